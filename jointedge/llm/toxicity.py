@@ -66,7 +66,7 @@ class Bags:
 
 
 def bags(run: list[bytes]) -> Bags:
-    text = b" " + b" ".join(r.translate(_FOLD) for r in run) + b" "
+    text = b" " + b" ".join(r.translate(_FOLD) for r in run) + b" " * max(SIZES)
     data = np.frombuffer(text, np.uint8)
     starts, ends = tb.words(data != 0x20)
     last = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)
