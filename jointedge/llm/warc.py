@@ -131,15 +131,17 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, gap: int, most: int) -
             i = j
 
 
-def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20, stretch: int = 64 << 20) -> DataFrame:
+def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20, stretch: int = 16 << 20) -> DataFrame:
     """The records that ``index`` rows name: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     Stretches of ``stretch`` bytes of a file go to one task, sorted, where records at most ``gap`` bytes apart are fetched by one
     read of up to ``most`` bytes (more for a longer record). The payload of a revisit is null; size and digest are
     of the full payload. A response that does not match its digest is an error.
     """
+    total = index.agg(F.sum("length")).first()[0] or 0
     part = F.floor(F.col("offset") / stretch)
-    wanted = index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    # a fixed count: merging partitions by the size of index rows would leave few readers for many bytes
+    wanted = index.select("file", "offset", "length").repartition(int(total // stretch) + 1, "file", part).sortWithinPartitions("file", "offset")
     out = wanted.mapInArrow(lambda batches: _read(batches, folder, gap, most), RECORD)
     return out.withColumn("page_id", from_id("page_id")).withColumn("refers_to", from_id("refers_to"))
 
