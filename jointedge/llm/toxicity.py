@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import fresh, held_out
+from .common import held_out
 from .quality import labelled_rows
 
 BUCKETS = 1 << 17
@@ -231,11 +231,16 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most MAX_TRAINED labelled documents, the least by hash of their ids."""
-    known = labelled_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "toxic").select("doc_id", "text", "y")
+    """A model from at most MAX_TRAINED labelled documents, the least by hash of their ids.
+
+    They are chosen on ids alone, so of the texts only theirs move.
+    """
+    known = labelled_rows(docs.select("doc_id"), labels, "toxic").select("doc_id", "y").distinct()
     half = MAX_TRAINED // 2
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    rows = known.where("y = 1").orderBy(*order).limit(half).unionAll(known.where("y = 0").orderBy(*order).limit(half)).toArrow()
+    chosen = known.where("y = 1").orderBy(*order).limit(half).unionAll(known.where("y = 0").orderBy(*order).limit(half))
+    named = F.broadcast(chosen.select(F.col("doc_id").alias("__chosen"), "y"))  # at most MAX_TRAINED rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, F.col("doc_id") == F.col("__chosen")).orderBy("doc_id", "y", "text").select("text", "y").toArrow()
     return train([t or "" for t in rows.column("text").to_pylist()], rows.column("y").to_numpy())
 
 
@@ -244,7 +249,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     Learns from ``labels`` (doc_id, toxic 0/1) of rows where crc32(doc_id) mod 5 is not 0. Null and empty texts get the least
     score; a null doc_id is never held out nor learned from; other label values are left out; an id or label that repeats
-    counts each time. Other columns are not read.
+    counts once per label value. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # half a megabyte, whatever the input
 
@@ -258,8 +263,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows predicted toxic; a doc_id that repeats goes if one of its rows is, a null one stays."""
-    mark = fresh(docs, "__toxic")
-    bad = toxicity(docs, labels, **settings).where("predicted = 1").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col(mark), "left_anti")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows predicted toxic; rows are judged one by one where they are read, and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = shared.value.score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
