@@ -121,19 +121,19 @@ def scan(texts: list[str | None], patterns: list[Patterns]) -> Iterator[tuple[in
             yield int(last[i] - first[i]), hit[first[i] : last[i]], sorted(items.get(i, ()))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: int = 20, group_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: int = 20, group_bytes: int = 16 << 20, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted strings) and contaminated (n_hit > 0 and ratio * n_hit >= n_words) for each row of ``docs``.
 
     ``items`` has item_id and text. Words are runs of digits, letters a-z after lower-casing A-Z, and non-ASCII characters. A null
     or empty text has no words; an item without words matches nothing; a null item_id is the empty string. Rows that repeat
-    an id each count. Other columns are not read.
+    an id each count. Other columns are not read; with ``carry`` the whole row comes along as a struct named row.
     """
     spark = docs.sparkSession
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = total // group_bytes + 1
-    out = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"))
-    kind = out.schema["doc_id"].dataType.simpleString()
+    out = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"), F.struct(*docs.columns if carry else [F.lit(0).alias("none")]).alias("row"))
+    schema = out.schema
     for group in range(groups):
         mine = named if groups == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
         rows = [(r.item_id, r.text) for r in mine.collect()]
@@ -151,14 +151,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: in
                     bits.append(int(hit.sum()).to_bytes(8, "big") if final else np.packbits(hit).tobytes())
                     names.append(sorted({*ids, *had}) if had else ids)
                 texts = pa.nulls(batch.num_rows, pa.string()) if final else batch.column(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(size, pa.int64())], names=["doc_id", "text", "hits", "item_ids", "n_words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(size, pa.int64()), batch.column(5)], names=["doc_id", "text", "hits", "item_ids", "n_words", "row"])
 
-        out = out.mapInArrow(each, f"doc_id {kind}, text string, hits binary, item_ids array<string>, n_words long")
+        out = out.mapInArrow(each, schema)
     hit = F.conv(F.hex("hits"), 16, 10).cast("long")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids").withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", *["row"] * carry).withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that are contaminated; a doc_id that repeats goes if one of its rows is, a null one stays."""
-    bad = contamination(docs, items, **settings).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """``docs`` without the rows that are contaminated; rows are judged one by one where they are read, and nothing is shuffled."""
+    return contamination(docs, items, carry=True, **settings).where("not contaminated").select("row.*")
