@@ -11,6 +11,7 @@ into one weight per bucket, and whole texts are scored by a few vector operation
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -194,12 +195,12 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 def _vocabulary(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of all texts, and the pairs of a word and a document that has it, by document."""
     known: dict[bytes, int] = {}
-    word, doc = [], []
+    word, doc = array("i"), array("i")
     for d, text in enumerate(texts):
         mine = {known.setdefault(w, len(known)) for w in text.encode("utf-8", "surrogatepass").translate(_FOLD).split()}
-        word += mine
-        doc += [d] * len(mine)
-    return list(known), np.array(word, np.int64), np.array(doc, np.int64)
+        word.extend(mine)
+        doc.extend([d] * len(mine))
+    return list(known), np.frombuffer(word, np.int32) if word else np.empty(0, np.int32), np.frombuffer(doc, np.int32) if doc else np.empty(0, np.int32)
 
 
 def _bag_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +214,7 @@ def _bag_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         owner.append(np.minimum(word, b.starts.size - 1))
     ids, owner = np.concatenate(ids), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return ids[order], owner[order]
+    return ids[order], owner[order].astype(np.int32)
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -240,8 +241,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("y = 1").orderBy(*order).limit(half).unionAll(known.where("y = 0").orderBy(*order).limit(half))
     named = F.broadcast(chosen.select(F.col("doc_id").alias("__chosen"), "y"))  # at most MAX_TRAINED rows
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, F.col("doc_id") == F.col("__chosen")).orderBy("doc_id", "y", "text").select("text", "y").toArrow()
-    return train([t or "" for t in rows.column("text").to_pylist()], rows.column("y").to_numpy())
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, F.col("doc_id") == F.col("__chosen"))
+    # one task trains, as the sample is bounded; the driver gets half a megabyte of weights
+    found = rows.repartition(1).sortWithinPartitions("doc_id", "y", "text").select("text", "y").mapInArrow(_train_task, "weight binary, slope double, shift double, prior double").collect()
+    if not found:
+        return Model()
+    weight = None if found[0].weight is None else np.frombuffer(found[0].weight, np.float32)
+    return Model(weight, found[0].slope, found[0].shift, found[0].prior)
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += [t or "" for t in batch.column(0).to_pylist()]
+        labels += batch.column(1).to_pylist()
+    m = train(texts, np.array(labels, np.int64))
+    weight = pa.array([None if m.weight is None else m.weight.tobytes()], pa.binary())
+    yield pa.RecordBatch.from_arrays([weight, pa.array([m.slope]), pa.array([m.shift]), pa.array([m.prior])], names=["weight", "slope", "shift", "prior"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
