@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import joint, odds
+from ..functions import joint, odds, text
 from .uploads import pair_key
 
 
@@ -76,6 +76,13 @@ def merged_prices(candidates: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("price_reason", F.when(F.col("matched").isNull(), "not requested").when(~F.col("matched"), F.coalesce(F.array_join("missing", ", "), F.lit("not matched"))))
 
 
+def matched_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """Each distinct player of ``names`` and whether ``known`` has the folded name."""
+    key = text.fold_key(F.col("player"))
+    held = known.select("player").distinct().select(key.alias("key")).distinct().withColumn("found", F.lit(True))
+    return names.select("player").distinct().withColumn("key", key).join(held, "key", "left").select("player", F.coalesce("found", F.lit(False)).alias("matched"))
+
+
 def gate_reason(n: Column, r: Column, status: Column, min_n: int, min_abs_r: float) -> Column:
     """Why a candidate does not go on; null if it does. A null r is zero."""
     return F.when(status == "awaiting", "game awaiting").when(n.isNull(), "no data").when((n < min_n) | (F.abs(F.coalesce(r, F.lit(0.0))) < min_abs_r), "below threshold")

@@ -7,17 +7,23 @@ touches the rows again.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import leg_hits
-from .moments import dot, pair_sums, pearson, percent, phi, rounded_ratio
+from ..functions.text import leg_hits, parse_leg
+from .moments import dot, pair_sums, pearson, percent, phi, rounded_ratio, weighted_pearson
 from .weights import normalised, with_rows, with_schemes
 
 Leg = tuple[str, float, str]
 
+PAIR_SUMS = ("n", "n1", "n2", "n11")
+TRIPLE_SUMS = ("n", "n1", "n2", "n3", "n12", "n13", "n23", "n123", "n000")
+RAW_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+SIDES = ((1, 2), (1, 3), (2, 3))
+
 
 def leg_name(leg: Leg) -> str:
     return f"{leg[0]} {leg[1]} {leg[2]}"
@@ -67,15 +73,21 @@ def triple_counts(counted: DataFrame, combos: list[tuple[int, ...]]) -> DataFram
 
 
 def raw_sums(rows: DataFrame, stats: list[str]) -> DataFrame:
-    """season, p, s1, s2 and the sums of each pair of stats over rows that have both; one wide aggregation, then one row per pair."""
+    """season, p, rows, s1, s2 and the sums of each pair of stats over rows that have both; one wide aggregation, then one row per pair."""
     pairs = list(combinations(stats, 2))
-    wide = rows.where("p is not null").groupBy("season", "p").agg(*(c for a, b in pairs for c in pair_sums(F.col(a), F.col(b), f"{a}_{b}_")))
-    structs = [F.struct(F.lit(a).alias("s1"), F.lit(b).alias("s2"), *(F.col(f"{a}_{b}_{k}").alias(k) for k in ("n", "x", "y", "xx", "yy", "xy"))) for a, b in pairs]
-    return wide.select("season", "p", F.explode(F.array(*structs)).alias("v")).select("season", "p", "v.*")
+    wide = rows.where("p is not null").groupBy("season", "p").agg(F.count("*").alias("rows"), *(c for a, b in pairs for c in pair_sums(F.col(a), F.col(b), f"{a}_{b}_")))
+    structs = [F.struct(F.lit(a).alias("s1"), F.lit(b).alias("s2"), *(F.col(f"{a}_{b}_{k}").alias(k) for k in RAW_SUMS)) for a, b in pairs]
+    return wide.select("season", "p", "rows", F.explode(F.array(*structs)).alias("v")).select("season", "p", "rows", "v.*")
 
 
 def raw_r() -> Column:
-    return F.round(pearson(*(F.col(k) for k in ("n", "x", "y", "xx", "yy", "xy"))), 4)
+    return F.round(pearson(*(F.col(k) for k in RAW_SUMS)), 4)
+
+
+def global_raw(raw: DataFrame) -> DataFrame:
+    """The stats' correlations over all rows of a season, from the entities' sums."""
+    sums = raw.groupBy("season", "s1", "s2").agg(*(F.sum(k).alias(k) for k in RAW_SUMS))
+    return sums.select("season", "s1", "s2", F.coalesce("n", F.lit(0)).alias("n"), raw_r().alias("r"))
 
 
 def entity_means(rows: DataFrame, stats: list[str]) -> DataFrame:
@@ -105,6 +117,12 @@ def pair_report(counts: DataFrame, legs: list[Leg], raw: DataFrame, same_stat: b
     return x.where(F.coalesce("r", "r_margin").isNotNull()).withColumn("given1", conditional("both", "hit1"))
 
 
+def mean_r(*names: str) -> Column:
+    """The mean of the correlations that are there; null without any."""
+    known = F.filter(F.array(*names), lambda v: v.isNotNull())
+    return F.round(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known)), 4)
+
+
 def triple_report(counts: DataFrame, legs: list[Leg]) -> DataFrame:
     """r12, r13, r23, their mean, hit1..3, all3 and none (counted) of each combo that has any r."""
     name = F.array(*(F.lit(leg_name(x)) for x in legs))
@@ -114,9 +132,7 @@ def triple_report(counts: DataFrame, legs: list[Leg]) -> DataFrame:
         "season", "p", *(F.get(name, F.col(k)).alias(f"leg{i}") for i, k in enumerate("abc", 1)), "n", *(v.alias(k) for k, v in r.items()),
         *(percent(c[f"n{i}"], c["n"]).alias(f"hit{i}") for i in (1, 2, 3)), percent(c["n123"], c["n"]).alias("all3"), percent(c["n000"], c["n"]).alias("none3"),
     )
-    known = F.filter(F.array("r12", "r13", "r23"), lambda v: v.isNotNull())
-    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
-    return x.withColumn("avg_r", F.round(mean, 4)).where("coalesce(r12, r13, r23) is not null")
+    return x.withColumn("avg_r", mean_r("r12", "r13", "r23")).where("coalesce(r12, r13, r23) is not null")
 
 
 def global_pairs(counts: DataFrame, legs: list[Leg]) -> DataFrame:
@@ -139,24 +155,86 @@ def global_pairs(counts: DataFrame, legs: list[Leg]) -> DataFrame:
     return out.withColumn("neither", F.round(100 - F.col("hit1") - F.col("hit2") + F.col("both"), 1)).withColumn("given1", conditional("both", "hit1")).withColumn("given2", conditional("both", "hit2"))
 
 
+def global_triples(counts: DataFrame, legs: list[Leg]) -> DataFrame:
+    """Triples over all rows of a season, and between entities (r12a, r13a, r23a, avg_ra) the correlations of their mean hit rates.
+
+    Works on the entities' counts, not on rows; neither is counted.
+    """
+    name = F.array(*(F.lit(leg_name(x)) for x in legs))
+    rate = {i: F.col(f"n{i}") / F.col("n") for i in (1, 2, 3)}
+    between = [F.count("*").alias("entities"), *(F.sum(rate[i] * rate[j]).alias(f"x{i}{j}") for i, j in SIDES)]
+    for i, u in rate.items():
+        between += [F.sum(u).alias(f"x{i}"), F.sum(u * u).alias(f"q{i}"), (F.min(u) < F.max(u)).alias(f"varies{i}")]
+    g = counts.groupBy("season", "a", "b", "c").agg(*(F.sum(k).alias(k) for k in TRIPLE_SUMS), *between)
+    col, n = F.col, F.col("n")
+    r = [F.round(phi(n, col(f"n{i}"), col(f"n{j}"), col(f"n{i}{j}")), 4).alias(f"r{i}{j}") for i, j in SIDES]
+    ra = [F.when(col(f"varies{i}") & col(f"varies{j}"), F.round(pearson(col("entities"), col(f"x{i}"), col(f"x{j}"), col(f"q{i}"), col(f"q{j}"), col(f"x{i}{j}")), 4)).alias(f"r{i}{j}a") for i, j in SIDES]
+    x = g.select("season", *(F.get(name, col(k)).alias(f"leg{i}") for i, k in enumerate("abc", 1)), "n", "entities", *r, *ra, *(percent(col(f"n{i}"), n).alias(f"hit{i}") for i in (1, 2, 3)), percent(col("n123"), n).alias("all3"), percent(col("n000"), n).alias("neither"))
+    return x.withColumn("avg_r", mean_r("r12", "r13", "r23")).withColumn("avg_ra", mean_r("r12a", "r13a", "r23a"))
+
+
 def by_season(df: DataFrame, keys: list[str], sums: list[str], seasons: list[int]) -> DataFrame:
     """One row per key with each sum of each season in a column of its own (name_0 .. name_3)."""
     return df.groupBy(*keys).agg(*(F.sum(F.when(F.col("season") == s, F.col(k))).alias(f"{k}_{i}") for k in sums for i, s in enumerate(seasons)))
 
 
+def pooled_sums(df: DataFrame, keys: list[str], sums: list[str], present: str, schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
+    """Per scheme and key the season sums, weighted by the normalised weights of the seasons where ``present`` is not null."""
+    span = range(len(seasons))
+    x = with_schemes(by_season(df.where(F.col("season").isin(*seasons)), keys, sums, seasons), schemes)
+    w = normalised([F.col(f"{present}_{i}").isNotNull() for i in span], [F.col(f"w{i}") for i in span], F.col("pin"))
+    x = x.withColumns({f"v{i}": c for i, c in enumerate(w)})
+    return x.select("scheme", *keys, *(dot([F.col(f"{k}_{i}") for i in span], [F.col(f"v{i}") for i in span]).alias(k) for k in sums))
+
+
 def pooled_pairs(counts: DataFrame, legs: list[Leg], schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
     """Combos per scheme and entity, each row weighted by its season's normalised weight; n_eff is the weighted number of rows."""
     name = F.array(*(F.lit(leg_name(x)) for x in legs))
-    sums = ["n", "n1", "n2", "n11"]
-    x = with_schemes(by_season(counts.where(F.col("season").isin(*seasons)), ["p", "a", "b"], sums, seasons), schemes)
-    span = range(len(seasons))
-    w = normalised([F.col(f"n_{i}").isNotNull() for i in span], [F.col(f"w{i}") for i in span], F.col("pin"))
-    x = x.withColumns({f"v{i}": c for i, c in enumerate(w)})
-    total = {k: dot([F.col(f"{k}_{i}") for i in span], [F.col(f"v{i}") for i in span]) for k in sums}
-    x = x.select("scheme", "p", F.get(name, F.col("a")).alias("leg1"), F.get(name, F.col("b")).alias("leg2"), *(v.alias(k) for k, v in total.items()))
+    x = pooled_sums(counts, ["p", "a", "b"], list(PAIR_SUMS), "n", schemes, seasons)
     rate = lambda k: F.round(F.try_divide(F.col(k) * 100, F.col("n")), 1)
-    r = phi(*(F.col(k) for k in sums))
-    return x.select("scheme", "p", "leg1", "leg2", F.round("n", 3).alias("n_eff"), F.round(r, 4).alias("r"), rate("n1").alias("hit1"), rate("n2").alias("hit2"), rate("n11").alias("both"))
+    r = phi(*(F.col(k) for k in PAIR_SUMS))
+    return x.select("scheme", "p", F.get(name, F.col("a")).alias("leg1"), F.get(name, F.col("b")).alias("leg2"), F.round("n", 3).alias("n_eff"), F.round(r, 4).alias("r"), rate("n1").alias("hit1"), rate("n2").alias("hit2"), rate("n11").alias("both"))
+
+
+def pooled_triples(counts: DataFrame, legs: list[Leg], schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
+    """Triples per scheme and entity, weighted as in ``pooled_pairs``; those without any r are left out."""
+    name = F.array(*(F.lit(leg_name(x)) for x in legs))
+    x = pooled_sums(counts, ["p", "a", "b", "c"], list(TRIPLE_SUMS[:-1]), "n", schemes, seasons)
+    col, n = F.col, F.col("n")
+    rate = lambda k: F.floor(F.try_divide(col(k) * 100, n) * 10 + 0.5) / 10
+    r = [F.round(phi(n, col(f"n{i}"), col(f"n{j}"), col(f"n{i}{j}")), 4).alias(f"r{i}{j}") for i, j in SIDES]
+    x = x.select("scheme", "p", *(F.get(name, col(k)).alias(f"leg{i}") for i, k in enumerate("abc", 1)), *r, *(rate(f"n{i}").alias(f"hit{i}") for i in (1, 2, 3)), rate("n123").alias("all3"))
+    return x.withColumn("avg_r", mean_r("r12", "r13", "r23")).where("coalesce(r12, r13, r23) is not null")
+
+
+def pooled_raw(raw: DataFrame, schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
+    """The stats' correlations per scheme and entity; a season is present where the entity has rows, complete or not."""
+    x = pooled_sums(raw, ["p", "s1", "s2"], ["rows", *RAW_SUMS], "rows", schemes, seasons)
+    return x.select("scheme", "p", "s1", "s2", F.round(weighted_pearson(*(F.col(k) for k in RAW_SUMS)), 4).alias("r"))
+
+
+def pooled_means(rows: DataFrame, stats: list[str], schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
+    """Weighted mean of each stat per scheme and entity over the rows that have it, two decimals."""
+    sums = rows.where("p is not null").groupBy("season", "p").agg(F.count("*").alias("n"), *(F.count(s).alias(f"k_{s}") for s in stats), *(F.sum(s).alias(f"t_{s}") for s in stats))
+    x = pooled_sums(sums, ["p"], ["n", *(f"{k}_{s}" for s in stats for k in "kt")], "n", schemes, seasons)
+    mean = lambda s: F.floor(F.try_divide(F.col(f"t_{s}"), F.when(F.col(f"k_{s}") > 0, F.col(f"k_{s}"))) * 100 + 0.5) / 100
+    return x.select("scheme", "p", F.round("n", 3).alias("n_eff"), *(mean(s).alias(f"avg_{s}") for s in stats))
+
+
+def pooled_report(pooled: DataFrame, raw: DataFrame) -> DataFrame:
+    """``pooled_pairs`` with r_margin from ``pooled_raw`` and given1; same-stat combos and those without any r are left out."""
+    stat = lambda leg: parse_leg(F.col(leg))["stat"]
+    x = pooled.withColumn("lo", F.least(stat("leg1"), stat("leg2"))).withColumn("hi", F.greatest(stat("leg1"), stat("leg2"))).where("lo <> hi")
+    margins = raw.select("scheme", "p", F.least("s1", "s2").alias("lo"), F.greatest("s1", "s2").alias("hi"), F.col("r").alias("r_margin"))
+    x = x.join(margins, ["scheme", "p", "lo", "hi"], "left").drop("lo", "hi")
+    return x.where("coalesce(r, r_margin) is not null").withColumn("given1", conditional("both", "hit1"))
+
+
+def distinct_legs(*reports: DataFrame) -> DataFrame:
+    """The legs that any of the reports names."""
+    columns = lambda df: [c for c in df.columns if c.startswith("leg")]
+    each = [df.select(F.explode(F.array(*columns(df))).alias("leg")).distinct() for df in reports]
+    return reduce(DataFrame.union, each).distinct()
 
 
 def entity_seasons(rows: DataFrame, seasons: list[int]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Events of one broadcast; more are searched block by block.
+EVENTS_BROADCAST = 10_000
+
 
 def classified(markets: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """Adds is_prop: the market's words hold one of ``include`` and none of ``exclude``."""
@@ -62,7 +67,7 @@ def team_events(teams: DataFrame, events: DataFrame, cities: list[str]) -> DataF
 def events_of_texts(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """Events of free texts (game_id, game): a team name inside the text or the text inside it, a short code, or all words of the text.
 
-    The events of a slate are few and are broadcast; candidates stream past them once. Rules in this order, then event id.
+    Events are broadcast in blocks of about EVENTS_BROADCAST, and candidates stream past each block. Rules in this order, then event id.
     """
     low = F.lower(F.trim("game"))
     words = F.filter(F.split(low, r"[^a-z0-9]+"), lambda w: w != "")
@@ -72,10 +77,20 @@ def events_of_texts(candidates: DataFrame, events: DataFrame) -> DataFrame:
     code = F.arrays_overlap("words", "codes")
     every = F.forall("words", lambda x: F.col("all").contains(x))
     rule = F.when(inside, 1).when(code, 2).when(every, 3)
-    hit = c.where("low <> ''").join(F.broadcast(e), inside | code | every).withColumn("rule", rule)
+    blocks = e.count() // EVENTS_BROADCAST + 1
+    parts = [e.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else e for b in range(blocks)]
+    hit = reduce(DataFrame.union, (c.where("low <> ''").join(F.broadcast(part), inside | code | every).withColumn("rule", rule) for part in parts))
     return candidates.join(_first(hit, ["game_id"], [F.col("rule"), F.col("id")], ["id", "rule"]), "game_id", "left").select("game_id", "game", F.col("id").alias("event_id"), "rule")
 
 
+def player_events(players: DataFrame, props: DataFrame) -> DataFrame:
+    """The event of the first selection that names each distinct player; null where none does. Distinct names meet, not rows."""
+    a = players.select("player").distinct().withColumn("pa", text.plain_name(F.col("player"))).withColumn("last", text.last_token(F.col("pa")))
+    b = props.groupBy(text.plain_name(F.col("player")).alias("pb")).agg(F.min(F.struct("feed_pos", "eventId")).alias("e")).withColumn("last", text.last_token(F.col("pb")))
+    hit = a.join(b, "last").where(text.names_match(F.col("pa"), F.col("pb"))).groupBy("player").agg(F.min("e").alias("e"))
+    return a.select("player").join(hit, "player", "left").select("player", F.col("e.eventId").alias("event_id"))
+
+
 def leg_combos(legs: DataFrame, size: int = 2) -> DataFrame:
     """All combos of an entity's matched legs (player, leg), each ordered by stat category."""
     cat = text.stat_category(F.col("leg"))
@@ -87,5 +102,6 @@ def leg_combos(legs: DataFrame, size: int = 2) -> DataFrame:
 
 
 def price_requests(pairs: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of selections of an event."""
-    return pairs.select("event_id", F.least("selection_a", "selection_b").alias("a"), F.greatest("selection_a", "selection_b").alias("b")).where("a is not null and b is not null").distinct()
+    """Distinct unordered pairs of selections of an event; a pair with a side missing asks for nothing."""
+    whole = pairs.where("selection_a is not null and selection_b is not null")
+    return whole.select("event_id", F.least("selection_a", "selection_b").alias("a"), F.greatest("selection_a", "selection_b").alias("b")).distinct()

@@ -29,6 +29,14 @@ def pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column)
     return F.when((n > 1) & (vx > 0) & (vy > 0), clamp((n * xy - x * y) / F.sqrt(vx * vy)))
 
 
+def weighted_pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    """``pearson`` from weighted sums, whose weight may be below two; a spread of under a billionth of the squares is rounding and none."""
+    n, x, y, xx, yy, xy = map(_d, (n, x, y, xx, yy, xy))
+    vx, vy = n * xx - x * x, n * yy - y * y
+    spread = (n > 0) & (vx > n * xx * 1e-9) & (vy > n * yy * 1e-9)
+    return F.when(spread, clamp((n * xy - x * y) / F.sqrt(vx * vy)))
+
+
 def pair_sums(x: Column, y: Column, prefix: str = "", weight: Column | None = None) -> list[Column]:
     """Aggregates n, x, y, xx, yy, xy over rows where both values are there (and the weight is positive)."""
     ok = x.isNotNull() & y.isNotNull()

@@ -1,0 +1,3 @@
+"""Queries and their SQL; the feeds register theirs with the others."""
+
+from . import feeds, feeds_sql  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import driver_table
+from .tables import NAMES, driver_table
 
 SEASONS = [1998, 1999, 2000, 2001]
 CURRENT = 2001
@@ -46,12 +46,17 @@ SELECTS = {
     "quotes": """SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_custkey % 2 = 0 THEN 100 + o_orderkey % 400 ELSE -(100 + o_orderkey % 300) END END AS american,
         -(105 + o_custkey % 60) AS other, CAST((o_orderkey % 97 + 1) / 100.0 AS DOUBLE) AS pa, CAST((o_custkey % 89 + 5) / 100.0 AS DOUBLE) AS pb, CASE WHEN o_orderkey % 17 <> 0 THEN CAST((o_orderkey % 201 - 100) / 100.0 AS DOUBLE) END AS r,
         o_custkey % 100 AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'Over' ELSE 'Under' END AS direction1, CASE WHEN o_custkey % 2 = 0 THEN 'Over' ELSE 'Under' END AS direction2, CASE WHEN o_orderkey % 19 = 0 THEN 'awaiting' ELSE 'confirmed' END AS status FROM {orders}""",
+    "fixtures": """SELECT s_suppkey AS id, CAST(s_suppkey * 13 % 90 AS BIGINT) AS start_date, 'North Club' || CAST(s_suppkey % 40 AS STRING) AS homeTeam, 'South Side' || CAST((s_suppkey * 7 + 3) % 40 AS STRING) AS awayTeam,
+        'NC' || CAST(s_suppkey % 40 AS STRING) AS homeShort, 'SS' || CAST((s_suppkey * 7 + 3) % 40 AS STRING) AS awayShort, 'Round ' || CAST(s_suppkey % 9 AS STRING) AS name FROM {supplier}""",
+    "teams": """SELECT c_custkey AS team_id, CASE c_custkey % 4 WHEN 0 THEN 'North Club' WHEN 1 THEN ' side' WHEN 2 THEN 'SS' ELSE 'Nobody' END || CAST(c_custkey % 50 AS STRING) AS team FROM {customer}""",
+    "texts": """SELECT c_custkey AS game_id, CASE c_custkey % 6 WHEN 0 THEN ' north club' || CAST(c_custkey % 50 AS STRING) || ' @ somewhere' WHEN 1 THEN 'Club' || CAST(c_custkey % 50 AS STRING)
+        WHEN 2 THEN 'NC' || CAST(c_custkey % 50 AS STRING) || ' - SS' || CAST(c_custkey % 47 AS STRING) WHEN 3 THEN 'side' || CAST(c_custkey % 50 AS STRING) || ', club' || CAST(c_custkey % 40 AS STRING) WHEN 4 THEN '' ELSE 'nobody' END AS game FROM {customer}""",
 }
 
 
 def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = SELECTS[name]
-    used = [t for t in ("lineitem", "orders", "part") if "{" + t + "}" in text]
+    used = [t for t in NAMES if "{" + t + "}" in text]
     return spark.sql(text, **{t: driver_table(spark, sf_dir, t) for t in used})
 
 
