@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import leg_hits, parse_leg
+from ..functions.text import leg_hits
 from .moments import dot, pair_sums, pearson, percent, phi, rounded_ratio, weighted_pearson
 from .weights import normalised, with_rows, with_schemes
 
@@ -179,12 +179,17 @@ def by_season(df: DataFrame, keys: list[str], sums: list[str], seasons: list[int
 
 
 def pooled_sums(df: DataFrame, keys: list[str], sums: list[str], present: str, schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
-    """Per scheme and key the season sums, weighted by the normalised weights of the seasons where ``present`` is not null."""
+    """Per scheme and key the season sums, weighted by the normalised weights of the seasons where ``present`` is not null.
+
+    The sums leave as the one row of a generator: a later filter on what is made of them cannot be pushed below it, where
+    it would repeat all the arithmetic.
+    """
     span = range(len(seasons))
     x = with_schemes(by_season(df.where(F.col("season").isin(*seasons)), keys, sums, seasons), schemes)
     w = normalised([F.col(f"{present}_{i}").isNotNull() for i in span], [F.col(f"w{i}") for i in span], F.col("pin"))
     x = x.withColumns({f"v{i}": c for i, c in enumerate(w)})
-    return x.select("scheme", *keys, *(dot([F.col(f"{k}_{i}") for i in span], [F.col(f"v{i}") for i in span]).alias(k) for k in sums))
+    total = F.struct(*(dot([F.col(f"{k}_{i}") for i in span], [F.col(f"v{i}") for i in span]).alias(k) for k in sums))
+    return x.select("scheme", *keys, F.inline(F.array(total)))
 
 
 def pooled_pairs(counts: DataFrame, legs: list[Leg], schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
@@ -221,9 +226,10 @@ def pooled_means(rows: DataFrame, stats: list[str], schemes: dict[str, tuple[flo
     return x.select("scheme", "p", F.round("n", 3).alias("n_eff"), *(mean(s).alias(f"avg_{s}") for s in stats))
 
 
-def pooled_report(pooled: DataFrame, raw: DataFrame) -> DataFrame:
+def pooled_report(pooled: DataFrame, raw: DataFrame, legs: list[Leg]) -> DataFrame:
     """``pooled_pairs`` with r_margin from ``pooled_raw`` and given1; same-stat combos and those without any r are left out."""
-    stat = lambda leg: parse_leg(F.col(leg))["stat"]
+    stats = F.create_map(*(F.lit(v) for leg in legs for v in (leg_name(leg), leg[2])))
+    stat = lambda leg: F.element_at(stats, F.col(leg))
     x = pooled.withColumn("lo", F.least(stat("leg1"), stat("leg2"))).withColumn("hi", F.greatest(stat("leg1"), stat("leg2"))).where("lo <> hi")
     margins = raw.select("scheme", "p", F.least("s1", "s2").alias("lo"), F.greatest("s1", "s2").alias("hi"), F.col("r").alias("r_margin"))
     x = x.join(margins, ["scheme", "p", "lo", "hi"], "left").drop("lo", "hi")

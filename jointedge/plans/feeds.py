@@ -48,7 +48,7 @@ def pooled_means(spark, sf_dir):
 @query
 def pooled_report(spark, sf_dir):
     pooled = entities.pooled_pairs(_pair_counts(spark, sf_dir), ENTITY_LEGS, ENTITY_SCHEMES, SEASONS)
-    return entities.pooled_report(pooled, entities.pooled_raw(_raw(spark, sf_dir), ENTITY_SCHEMES, SEASONS))
+    return entities.pooled_report(pooled, entities.pooled_raw(_raw(spark, sf_dir), ENTITY_SCHEMES, SEASONS), ENTITY_LEGS)
 
 
 @query
