@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +25,33 @@ def find_dyads(pairs: DataFrame, dyads: DataFrame) -> DataFrame:
     return x.withColumn("swapped", F.coalesce(swapped, F.lit(False))).withColumn("d", own).select(*pairs.columns, "swapped", *(F.col(f"d.{c}").alias(c) for c in stats))
 
 
+_ASKED = ["player", "prop_1", "side_1", "line_1", "prop_2", "side_2", "line_2"]
+
+
 def nearest_entries(tickets: DataFrame, entries: DataFrame) -> DataFrame:
     """Per ticket the entry of the same player and leg pair, in either order, with the least distance of lines; ties by more games, then id.
 
     tickets: ticket, player, prop_1, side_1, line_1, prop_2, side_2, line_2. Hit rates and lines are turned to the ticket's order.
+    Only distinct line pairs meet: of the entries with the same legs the best is kept, and equal tickets ask once, so a
+    popular player costs line pairs and not rows squared.
     """
-    t = tickets.withColumn("pair", pair_key(F.col("prop_1"), F.col("side_1"), F.col("prop_2"), F.col("side_2")))
-    e = entries.select("player", pair_key(F.col("leg1.prop"), F.col("leg1.side"), F.col("leg2.prop"), F.col("leg2.side")).alias("pair"), F.struct("id", "leg1", "leg2", "r_adj", "p_value", "n_games", "hit_rate_1", "hit_rate_2", "p_joint", "p_independent").alias("e"))
+    t = tickets.select(*_ASKED).distinct().withColumn("pair", pair_key(F.col("prop_1"), F.col("side_1"), F.col("prop_2"), F.col("side_2")))
+    legs = F.struct(F.col("leg1.prop").alias("prop"), F.col("leg1.side").alias("side"), F.col("leg1.line").alias("line"), F.col("leg2.line").alias("other"))
+    e = entries.select(
+        "player", pair_key(F.col("leg1.prop"), F.col("leg1.side"), F.col("leg2.prop"), F.col("leg2.side")).alias("pair"), legs.alias("legs"),
+        F.struct((-F.col("n_games")).alias("k"), "id", "hit_rate_1", "hit_rate_2", "r_adj", "p_value", "p_joint", "p_independent").alias("e"),
+    ).groupBy("player", "pair", "legs").agg(F.min("e").alias("e"))
     x = t.join(e, ["player", "pair"])
-    straight = (F.col("e.leg1.prop") == F.col("prop_1")) & (F.col("e.leg1.side") == F.col("side_1"))
-    turn = lambda a, b: F.when(straight, a).otherwise(b)
-    m1, m2 = turn(F.col("e.leg1.line"), F.col("e.leg2.line")), turn(F.col("e.leg2.line"), F.col("e.leg1.line"))
-    drift = F.abs(m1 - F.col("line_1")) + F.abs(m2 - F.col("line_2"))
-    x = x.select("ticket", F.struct(drift.alias("drift"), (-F.col("e.n_games")).alias("k"), F.col("e.id").alias("id"), m1.alias("m1"), m2.alias("m2"), turn(F.col("e.hit_rate_1"), F.col("e.hit_rate_2")).alias("h1"), turn(F.col("e.hit_rate_2"), F.col("e.hit_rate_1")).alias("h2"), F.col("e.r_adj").alias("r"), F.col("e.p_value").alias("p_value"), F.col("e.p_joint").alias("p_joint"), F.col("e.p_independent").alias("p_independent")).alias("m"))
-    best = x.groupBy("ticket").agg(F.min("m").alias("m"))
-    return tickets.join(best, "ticket", "left").select(
+    straight = (F.col("legs.prop") == F.col("prop_1")) & (F.col("legs.side") == F.col("side_1"))
+    turn = lambda a, b: F.when(straight, F.col(a)).otherwise(F.col(b))
+    drift = F.abs(turn("legs.line", "legs.other") - F.col("line_1")) + F.abs(turn("legs.other", "legs.line") - F.col("line_2"))
+    rest = [F.col(f"e.{k}").alias(k) for k in ("r_adj", "p_value", "p_joint", "p_independent")]
+    found = F.struct(drift.alias("drift"), F.col("e.k").alias("k"), F.col("e.id").alias("id"), turn("e.hit_rate_1", "e.hit_rate_2").alias("h1"), turn("e.hit_rate_2", "e.hit_rate_1").alias("h2"), *rest)
+    best = x.groupBy(*(F.col(c).alias(f"__{c}") for c in _ASKED)).agg(F.min(found).alias("m"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _ASKED))
+    return tickets.join(best, same, "left").select(
         *tickets.columns, F.col("m.id").alias("entry_id"), F.col("m.drift").alias("drift"), (F.col("m.drift") == 0).alias("exact"), (-F.col("m.k")).alias("n_games"), F.col("m.h1").alias("hit_rate_1"), F.col("m.h2").alias("hit_rate_2"),
-        F.col("m.r").alias("r_adj"), F.col("m.p_value").alias("p_value"), F.col("m.p_joint").alias("p_joint"), F.col("m.p_independent").alias("p_independent"),
+        F.col("m.r_adj").alias("r_adj"), F.col("m.p_value").alias("p_value"), F.col("m.p_joint").alias("p_joint"), F.col("m.p_independent").alias("p_independent"),
     )
 
 

@@ -6,7 +6,7 @@ statistics of the combos are one wide aggregation per (pair, season); seasons ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import leg_hits
@@ -34,8 +34,12 @@ def player_dyads(rows: DataFrame, stats: list[str]) -> DataFrame:
 
 
 def slot_sums(rows: DataFrame, stats: list[str]) -> DataFrame:
-    """Stats of the rows that share game, team and slot (1 to 9), added up."""
-    return usable(rows).where("bo between 1 and 9").groupBy("season", "gid", "t", F.col("bo").alias("p"), F.col("bo")).agg(*(F.sum(s).alias(s) for s in stats))
+    """Stats of the rows that share game, team and slot (1 to 9), added up.
+
+    Dealt by lineup, not by slot: the same partitioning serves the pairs that are made of the slots.
+    """
+    held = usable(rows).where("bo between 1 and 9").repartition("season", "gid", "t")
+    return held.groupBy("season", "gid", "t", F.col("bo").alias("p"), F.col("bo")).agg(*(F.sum(s).alias(s) for s in stats))
 
 
 def slot_dyads(rows: DataFrame, stats: list[str]) -> DataFrame:
@@ -64,6 +68,18 @@ def season_moments(dyads: DataFrame, keys: list[str], legs: list[Leg], combos: l
     return long_combos(wide, [*keys, "season"], combos)
 
 
+def passing_moments(dyads: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]], current: int) -> DataFrame:
+    """``season_moments`` of the keys that have enough games.
+
+    The games are added up over a key's seasons before the combos are unfolded; what follows by key needs no shuffle.
+    """
+    wide = dyads.groupBy(*keys, "season").agg(*combo_aggregates(legs, combos))
+    key = Window.partitionBy(*keys)
+    n, now = F.sum("n").over(key), F.sum(F.when(F.col("season") == current, F.col("n")).otherwise(0)).over(key)
+    held = wide.withColumns({"__all": n, "__now": now}).where(passes(F.col("__all"), F.col("__now"))).drop("__all", "__now")
+    return long_combos(held, [*keys, "season"], combos)
+
+
 def weighted_report(moments: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]], schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
     """r_binary, r_margin, hit1, hit2, both, neither per scheme, key and combo; scheme weights as they are, neither normalised nor pinned."""
     span = range(len(seasons))
@@ -88,17 +104,27 @@ def passes(n: Column, current: Column) -> Column:
 
 
 def dyad_meta(dyads: DataFrame, current: int) -> DataFrame:
-    """Games, slot gaps, adjacency, usual slots and the slot histogram of each dyad that passes the threshold; ties to the smallest value."""
-    gap = F.abs(F.col("slot1") - F.col("slot2"))
+    """Games, slot gaps, adjacency, usual slots and the slot histogram of each dyad that passes the threshold; ties to the smallest value.
+
+    Dyads are counted by slots and season once, with map-side sums; everything else is made of these counts.
+    """
     keys = ["p1", "p2", "t"]
-    base = dyads.groupBy(*keys).agg(
-        F.count("*").alias("n_total"), F.count_if(F.col("season") == current).alias("n_cur"), F.sum(gap).alias("gaps"), F.mode(gap, True).alias("gap_mode"), F.count_if(gap == 1).alias("adjacent"),
-        F.mode("slot1", True).alias("slot1"), F.mode("slot2", True).alias("slot2"),
+    counts = dyads.groupBy(*keys, "slot1", "slot2").agg(F.count("*").alias("k"), F.count_if(F.col("season") == current).alias("k_cur"))
+    gap, k = F.abs(F.col("slot1") - F.col("slot2")), F.col("k")
+    slots = F.struct(F.concat_ws("_", "slot1", "slot2").alias("slots"), "slot1", "slot2", gap.alias("gap"), "k")
+    base = counts.groupBy(*keys).agg(
+        F.sum("k").alias("n_total"), F.sum("k_cur").alias("n_cur"), F.sum(gap * k).alias("gaps"), F.sum(F.when(gap == 1, k).otherwise(0)).alias("adjacent"), F.array_sort(F.collect_list(slots)).alias("held")
     ).where(passes(F.col("n_total"), F.col("n_cur")))
-    usage = dyads.groupBy(*keys, F.concat_ws("_", "slot1", "slot2").alias("slots")).agg(F.count("*").alias("k"))
-    usage = usage.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slots", "k")))).alias("slot_usage"), F.min(F.struct((-F.col("k")).alias("k"), "slots")).alias("top"))
-    out = base.join(usage, keys)
-    return out.select(*keys, "n_total", "n_cur", (F.col("gaps") / F.col("n_total")).alias("gap_mean"), "gap_mode", (F.col("adjacent") / F.col("n_total")).alias("adjacency"), "slot1", "slot2", "slot_usage", F.col("top.slots").alias("top_slots"), (-F.col("top.k")).alias("top_n"))
+
+    def usual(field: str) -> Column:
+        """The most frequent value of a field, from the counts of its distinct values."""
+        times = lambda v: F.aggregate(F.filter("held", lambda h: h[field] == v), F.lit(0).cast("long"), lambda a, h: a + h["k"])
+        return F.array_min(F.transform(F.array_distinct(F.col(f"held.{field}")), lambda v: F.struct((-times(v)).alias("k"), v.alias("v"))))["v"]
+
+    top = F.array_min(F.transform("held", lambda h: F.struct((-h["k"]).alias("k"), h["slots"].alias("slots"))))
+    usage = F.map_from_entries(F.transform("held", lambda h: F.struct(h["slots"].alias("slots"), h["k"].alias("k"))))
+    out = base.withColumn("top", top)
+    return out.select(*keys, "n_total", "n_cur", (F.col("gaps") / F.col("n_total")).alias("gap_mean"), usual("gap").alias("gap_mode"), (F.col("adjacent") / F.col("n_total")).alias("adjacency"), usual("slot1").alias("slot1"), usual("slot2").alias("slot2"), usage.alias("slot_usage"), F.col("top.slots").alias("top_slots"), (-F.col("top.k")).alias("top_n"))
 
 
 def positional(report: DataFrame, keys: list[str], order: dict[tuple[str, str], int]) -> DataFrame:

@@ -110,9 +110,8 @@ def _dyads(spark, sf_dir):
 @query
 def dyad_combos(spark, sf_dir):
     keys = ["p1", "p2", "t"]
-    moments = dyads.season_moments(_dyads(spark, sf_dir), keys, LINEUP_LEGS, LINEUP_COMBOS)
-    held = moments.where("idx = 0").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("season") == CURRENT, F.col("n")).otherwise(0)).alias("cur")).where(dyads.passes(F.col("n"), F.col("cur"))).select(*keys)
-    return dyads.weighted_report(moments.join(held, keys, "left_semi"), keys, LINEUP_LEGS, LINEUP_COMBOS, DYAD_SCHEMES, SEASONS)
+    moments = dyads.passing_moments(_dyads(spark, sf_dir), keys, LINEUP_LEGS, LINEUP_COMBOS, CURRENT)
+    return dyads.weighted_report(moments, keys, LINEUP_LEGS, LINEUP_COMBOS, DYAD_SCHEMES, SEASONS)
 
 
 def _meta(spark, sf_dir):
