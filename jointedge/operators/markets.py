@@ -30,21 +30,27 @@ def _first(matches: DataFrame, keys: list[str], order: list[Column], keep: list[
     return matches.groupBy(*keys).agg(F.min(ranked).alias("m")).select(*keys, *(F.col(f"m.{k}").alias(k) for k in keep))
 
 
+_LEG = ["player", "direction", "threshold", "stat"]
+
+
 def match_legs(legs: DataFrame, props: DataFrame, half_points: bool = True, prefer_two_way: bool = False) -> DataFrame:
     """For each leg (leg_id, player, direction, threshold, stat) the first selection that offers it; null selectionId where none does.
 
-    Names are blocked on their last word, which every accepting rule shares. With ``half_points`` Over L also takes L + .5 and Under L takes
-    L - .5 (milestones). With ``prefer_two_way`` selections of O/U subcategories come first.
+    Names are blocked on their last word, which every accepting rule shares. Distinct legs meet distinct offers, each with its
+    first selection, so the rows of a popular name are never multiplied. With ``half_points`` Over L also takes L + .5 and
+    Under L takes L - .5 (milestones). With ``prefer_two_way`` selections of O/U subcategories come first.
     """
-    a = legs.withColumn("pa", text.plain_name(F.col("player"))).withColumn("last", text.last_token(F.col("pa")))
+    a = legs.select(*_LEG).distinct().withColumn("pa", text.plain_name(F.col("player"))).withColumn("last", text.last_token(F.col("pa")))
     b = props.select(text.plain_name(F.col("player")).alias("pb"), text.selection_direction(F.col("outcomeType")).alias("direction"), "points", "feed_pos", "selectionId", F.concat_ws(" ", "marketName", "subcategory", "marketType").alias("blob"), F.coalesce(F.col("subcategory").contains("O/U"), F.lit(False)).alias("ou"))
-    b = b.withColumn("last", text.last_token(F.col("pb")))
+    b = b.groupBy("pb", text.last_token(F.col("pb")).alias("last"), "direction", "points", "blob", "ou").agg(F.min(F.struct("feed_pos", "selectionId")).alias("offer"))
     half = F.when(F.col("direction") == "Over", 0.5).otherwise(-0.5)
     accepted = F.array(F.lit(0.0), half) if half_points else F.array(F.lit(0.0))
     a = a.select("*", F.explode(F.array_distinct(F.transform(accepted, lambda d: F.col("threshold") + d))).alias("points"))
     hit = a.join(b, ["last", "direction", "points"]).where(text.names_match(F.col("pa"), F.col("pb")) & text.stat_in_blob(F.col("stat"), F.col("blob")))
-    order = [F.when(F.col("ou"), 0).otherwise(1), F.col("feed_pos")] if prefer_two_way else [F.col("feed_pos")]
-    return legs.join(_first(hit, ["leg_id"], order, ["selectionId"]), "leg_id", "left")
+    rank = F.struct(F.when(F.col("ou"), 0).otherwise(1).alias("two_way"), "offer") if prefer_two_way else F.struct("offer")
+    best = hit.groupBy(*(F.col(c).alias(f"__{c}") for c in _LEG)).agg(F.min(rank).alias("m"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _LEG))
+    return legs.join(best, same, "left").select(*legs.columns, F.col("m.offer.selectionId").alias("selectionId"))
 
 
 def opposite_sides(props: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def market_texts(spark, sf_dir):
 @query
 def event_selections(spark, sf_dir):
     x = _selections(spark, sf_dir)
-    return markets.with_selections(x.where("feed_pos % 3 = 0").select("marketId").distinct(), x).groupBy("eventId").agg(F.count("*").alias("n"))
+    return markets.with_selections(x.where(F.col("subcategory").contains("O/U")).select("marketId").distinct(), x).groupBy("eventId").agg(F.count("*").alias("n"))
 
 
 @query
@@ -184,10 +184,10 @@ def price_requests(spark, sf_dir):
 
 @query
 def price_merge(spark, sf_dir):
-    i, n = F.col("candidate_id"), F.col("n")
+    n = F.col("n")
     x = _quotes(spark, sf_dir)
     missing = F.when(n % 3 == 0, F.when(n % 2 == 0, F.array(F.lit("leg1"), F.lit("leg2"))))
-    prices = x.where(i % 4 != 0).select("candidate_id", (n % 3 != 0).alias("matched"), F.col("american").alias("offered"), missing.alias("missing"))
+    prices = x.where("american is not null").select("candidate_id", (n % 3 != 0).alias("matched"), F.col("american").alias("offered"), missing.alias("missing"))
     return candidates.merged_prices(x.select("candidate_id", "r"), prices).select("candidate_id", "r", "offered", "price_reason")
 
 

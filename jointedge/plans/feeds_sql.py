@@ -67,7 +67,7 @@ _STAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(marketName), '{p}') THEN
 _OFFERED = "CASE stat " + " ".join(f"WHEN '{n}' THEN pts IN {lines}" for _, n, lines in PITCHER_MARKETS) + " ELSE FALSE END"
 SQL["market_texts"] = f"""WITH {MK}, x AS (SELECT *, {_STAT} AS stat FROM se) SELECT selectionId, stat, {_OFFERED} AS offered, dir AS direction,
 coalesce(CASE feed_pos % 3 WHEN 0 THEN {D('pts')} WHEN 1 THEN {D('pts')} + 1 END, try_cast(nullif(regexp_extract(outcomeType, '([0-9]+)', 1), '') AS DOUBLE)) AS line, player AS named FROM x"""
-SQL["event_selections"] = f"WITH {MK} SELECT eventId, count(*) AS n FROM se WHERE marketId IN (SELECT marketId FROM se WHERE feed_pos % 3 = 0) GROUP BY eventId"
+SQL["event_selections"] = f"WITH {MK} SELECT eventId, count(*) AS n FROM se WHERE marketId IN (SELECT marketId FROM se WHERE contains(subcategory, 'O/U')) GROUP BY eventId"
 SQL["player_events"] = f"""WITH {MK}, pl AS (SELECT DISTINCT player, pa FROM lg), m AS (SELECT pl.player, eventId, row_number() OVER (PARTITION BY pl.player ORDER BY feed_pos) AS k FROM pl JOIN se ON {_NAME}) SELECT pl.player, eventId AS event_id FROM pl LEFT JOIN m ON m.player = pl.player AND k = 1"""
 _NICK = lambda c: f"regexp_replace(lower(trim({c})), '^(north|south) ', '')"
 SQL["team_events"] = f"""WITH f AS ({adapted_sql('fixtures')}), n AS (SELECT id, start_date, unnest([{_NICK('homeTeam')}, {_NICK('awayTeam')}, lower(homeShort), lower(awayShort)]) AS nick FROM f),
@@ -81,8 +81,8 @@ _HELD = f"l0 AS (SELECT DISTINCT player, direction || ' ' || CAST(thr AS VARCHAR
 SQL["leg_pairs"] = f"WITH {_HELD} SELECT a.player, a.leg AS leg1, b.leg AS leg2 FROM l a JOIN l b ON a.player = b.player AND a.k < b.k"
 SQL["leg_triples"] = f"WITH {_HELD} SELECT a.player, a.leg AS leg1, b.leg AS leg2, c.leg AS leg3 FROM l a JOIN l b ON a.player = b.player AND a.k < b.k JOIN l c ON b.player = c.player AND b.k < c.k"
 SQL["price_requests"] = f"WITH {MK} SELECT DISTINCT eventId AS event_id, least(selectionId, o) AS a, greatest(selectionId, o) AS b FROM (SELECT *, 's' || CAST(feed_pos * 7 % 50 AS VARCHAR) AS o FROM se WHERE feed_pos % 9 <> 0)"
-SQL["price_merge"] = f"""WITH {QU} SELECT candidate_id, r, CASE WHEN candidate_id % 4 <> 0 THEN american END AS offered,
-CASE WHEN candidate_id % 4 = 0 THEN 'not requested' WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'leg1, leg2' ELSE 'not matched' END END AS price_reason FROM q0"""
+SQL["price_merge"] = f"""WITH {QU} SELECT candidate_id, r, american AS offered,
+CASE WHEN american IS NULL THEN 'not requested' WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'leg1, leg2' ELSE 'not matched' END END AS price_reason FROM q0"""
 SQL["fair_value_kinds"] = f"""WITH {SN}, {_DEDUPE('DESC')}, {UP}, pr AS (SELECT player, stat || '|' || direction AS k, line, {_PROB('min(fv)')} AS prob FROM d2 GROUP BY player, stat, direction, line)
 SELECT en.id, a.prob AS p_leg1, b.prob AS p_leg2, CASE (a.prob IS NOT NULL)::INT + (b.prob IS NOT NULL)::INT WHEN 2 THEN 'full_fv' WHEN 1 THEN 'hybrid' ELSE 'corr_only' END AS kind
 FROM en LEFT JOIN pr a ON a.player = en.player AND a.k = k1 AND a.line = l1 LEFT JOIN pr b ON b.player = en.player AND b.k = k2 AND b.line = l2"""

@@ -152,7 +152,7 @@ us AS (SELECT p1, p2, t, slot1 || '_' || slot2 AS slots, count(*) AS k FROM dy G
 me AS (SELECT bs.*, g.v AS gap_mode, a.v AS was1, b.v AS was2, tp.slots AS top_slots, tp.k AS top_n, kinds FROM bs JOIN {_mode('abs(slot1 - slot2)')} g USING (p1, p2, t) JOIN {_mode('slot1')} a USING (p1, p2, t) JOIN {_mode('slot2')} b USING (p1, p2, t) JOIN tp ON tp.p1 = bs.p1 AND tp.p2 = bs.p2 AND tp.t = bs.t AND rk = 1 WHERE {_PASS.format(cur='n_cur', n='n_total')})"""
 SQL["dyad_meta"] = f"""WITH {META} SELECT p1, p2, t, n_total, n_cur, gaps / {D('n_total')} AS gap_mean, gap_mode, adjacent / {D('n_total')} AS adjacency, was1 AS slot1, was2 AS slot2, CAST(kinds AS INT) AS slot_usage, top_slots, top_n,
 CASE WHEN n_cur <= 10 THEN 'dyn_1_10' WHEN n_cur <= 25 THEN 'dyn_11_25' WHEN n_cur <= 60 THEN 'dyn_26_60' ELSE 'dyn_61plus' END AS bucket FROM me"""
-SQL["dyad_lookup"] = f"""WITH {META}, tn AS (SELECT DISTINCT gid, t, bo AS slot, p AS player FROM lu WHERE season = {CURRENT} AND gid % 50 = 0), pr AS (SELECT a.gid, a.t, a.player AS p1, b.player AS p2, a.slot AS slot1, b.slot AS slot2 FROM tn a JOIN tn b ON a.gid = b.gid AND a.t = b.t AND (a.slot, a.player) < (b.slot, b.player)),
+SQL["dyad_lookup"] = f"""WITH {META}, tn AS (SELECT DISTINCT gid, t, bo AS slot, p AS player FROM lu WHERE season = {CURRENT}), pr AS (SELECT a.gid, a.t, a.player AS p1, b.player AS p2, a.slot AS slot1, b.slot AS slot2 FROM tn a JOIN tn b ON a.gid = b.gid AND a.t = b.t AND (a.slot, a.player) < (b.slot, b.player)),
 x AS (SELECT pr.*, coalesce(o.n_total, r.n_total) AS n_total, o.n_total IS NULL AND r.n_total IS NOT NULL AS swapped, coalesce(o.was1, r.was1) AS was1, coalesce(o.was2, r.was2) AS was2, coalesce(CASE WHEN o.n_total IS NOT NULL THEN uo.k WHEN r.n_total IS NOT NULL THEN ur.k END, 0) AS n_here
 FROM pr LEFT JOIN me o ON o.p1 = pr.p1 AND o.p2 = pr.p2 AND o.t = pr.t LEFT JOIN me r ON r.p1 = pr.p2 AND r.p2 = pr.p1 AND r.t = pr.t
 LEFT JOIN us uo ON uo.p1 = pr.p1 AND uo.p2 = pr.p2 AND uo.t = pr.t AND uo.slots = pr.slot1 || '_' || pr.slot2 LEFT JOIN us ur ON ur.p1 = pr.p2 AND ur.p2 = pr.p1 AND ur.t = pr.t AND ur.slots = pr.slot1 || '_' || pr.slot2)
@@ -227,7 +227,7 @@ WHEN ({_NUM('Line_1')}) IS NULL OR ({_NUM('Line_2')}) IS NULL THEN 'non-numeric
 en AS (SELECT id, trim(Player_1) AS player, Prop_1 || '|' || ({_SIDE('Side_1')}) AS k1, Prop_2 || '|' || ({_SIDE('Side_2')}) AS k2, {_NUM('Line_1')} AS l1, {_NUM('Line_2')} AS l2, CAST({_NUM('Total_Games')} AS INT) AS games, {_NUM('Hit_Rate_1')} AS h1, {_NUM('Hit_Rate_2')} AS h2 FROM up WHERE reason IS NULL)"""
 SQL["upload_rejects"] = f"WITH {UP} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, count(DISTINCT trim(Player_1)) AS players FROM up GROUP BY 1"
 SQL["upload_index"] = f"WITH {UP} SELECT player, least(k1, k2) || '#' || greatest(k1, k2) AS pair, CAST(count(*) AS INT) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM en GROUP BY 1, 2"
-SQL["nearest_lines"] = f"""WITH {UP}, ti AS (SELECT id AS ticket, Player_1 AS player, Prop_2 || '|' || ({_SIDE('Side_2')}) AS t1, id % 6 + 0.5 AS w1, Prop_1 || '|' || ({_SIDE('Side_1')}) AS t2, id % 4 + 0.5 AS w2 FROM u0 WHERE id % 7 = 2),
+SQL["nearest_lines"] = f"""WITH {UP}, ti AS (SELECT id AS ticket, Player_1 AS player, Prop_2 || '|' || ({_SIDE('Side_2')}) AS t1, id % 6 + 0.5 AS w1, Prop_1 || '|' || ({_SIDE('Side_1')}) AS t2, id % 4 + 0.5 AS w2 FROM u0),
 x AS (SELECT ticket, id, games, k1 = t1 AS s, CASE WHEN k1 = t1 THEN l1 ELSE l2 END AS m1, CASE WHEN k1 = t1 THEN l2 ELSE l1 END AS m2, w1, w2, CASE WHEN k1 = t1 THEN h1 ELSE h2 END AS r1, CASE WHEN k1 = t1 THEN h2 ELSE h1 END AS r2 FROM ti JOIN en ON en.player = ti.player AND (k1 = t1 AND k2 = t2 OR k1 = t2 AND k2 = t1)),
 b AS (SELECT * FROM (SELECT *, abs(m1 - w1) + abs(m2 - w2) AS drift, row_number() OVER (PARTITION BY ticket ORDER BY abs(m1 - w1) + abs(m2 - w2), games DESC, id) AS k FROM x) WHERE k = 1)
 SELECT ti.ticket, b.id AS entry_id, drift, drift = 0 AS exact, games AS n_games, r1 AS hit_rate_1, r2 AS hit_rate_2 FROM ti LEFT JOIN b USING (ticket)"""
@@ -255,6 +255,6 @@ BX = f"bx AS ({adapted_sql('box')})"
 SQL["starters"] = f"WITH {BX}, s AS (SELECT *, ord // 100 AS slot, row_number() OVER (PARTITION BY gid, team_id ORDER BY ord // 100, player) AS k FROM bx WHERE ord % 100 = 0 AND ord > 0) SELECT gid, team_id, count(*) AS n, CAST(min(slot) AS INT) AS lo, CAST(max(slot) AS INT) AS hi, CAST(sum(player) AS BIGINT) AS players FROM s WHERE k <= 9 GROUP BY gid, team_id"
 SQL["look_back"] = f"WITH g AS ({adapted_sql('games')}), w AS (SELECT DISTINCT team_id, d FROM g), x AS (SELECT w.team_id, w.d, g.gid, g.d AS past, row_number() OVER (PARTITION BY w.team_id, w.d ORDER BY g.d DESC, g.gid DESC) AS k FROM w JOIN g ON g.team_id = w.team_id AND g.state = 'Final' AND g.d < w.d AND g.d >= w.d - 3) SELECT team_id, CAST(d AS VARCHAR) AS d, gid, CAST(past AS VARCHAR) AS past FROM x WHERE k = 1"
 SQL["slate_coverage"] = f"WITH {BX}, c AS (SELECT team_id, count(DISTINCT player) AS players FROM bx GROUP BY team_id) SELECT team_id, players, players * (players - 1) // 2 AS pairs FROM c"
-SQL["folded_names"] = "SELECT lower(trim(regexp_replace(strip_accents(coalesce(substr(text, 1, 24), '')), '[^A-Za-z0-9]+', ' ', 'g'))) AS key, count(*) AS n FROM documents GROUP BY 1"
+SQL["folded_names"] = "SELECT lower(trim(regexp_replace(strip_accents(name), '[^A-Za-z0-9]+', ' ', 'g'))) AS key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT name, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), ' ')) AS name FROM documents) GROUP BY name) GROUP BY 1"
 SQL["stream_moments"] = "SELECT CAST(year(ts) AS INT) AS season, user_id AS p, count(*) AS n, CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS n1, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS n2, CAST(sum(CASE WHEN value > 20 AND event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS n11 FROM events GROUP BY 1, 2"
 SQL["stream_requests"] = "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id AS VARCHAR) || ':' || event_type AS fingerprint, count(*) AS n FROM events GROUP BY 1, 2"

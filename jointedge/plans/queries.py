@@ -125,8 +125,8 @@ def dyad_meta(spark, sf_dir):
 
 @query
 def dyad_lookup(spark, sf_dir):
-    """Tonight's pairs (the current season's games with keys divisible by 50) with their dyads in the pair's order."""
-    lineup = adapted(spark, sf_dir, "lineups").where((F.col("season") == CURRENT) & (F.col("gid") % 50 == 0)).select("gid", "t", F.col("bo").alias("slot"), F.col("p").alias("player"))
+    """The pairs of all lineups of the current season with their dyads in the pair's order."""
+    lineup = adapted(spark, sf_dir, "lineups").where(F.col("season") == CURRENT).select("gid", "t", F.col("bo").alias("slot"), F.col("p").alias("player"))
     pairs = slate.lineup_pairs(lineup.dropDuplicates(), ["gid", "t"])
     found = candidates.find_dyads(pairs, _meta(spark, sf_dir).select("p1", "p2", "t", "n_total", "slot1", "slot2", "slot_usage").withColumnsRenamed({"slot1": "was1", "slot2": "was2"}))
     n = F.coalesce(F.element_at("slot_usage", F.concat_ws("_", "slot1", "slot2")), F.lit(0))
@@ -248,7 +248,7 @@ def upload_index(spark, sf_dir):
 
 
 def _tickets(spark, sf_dir):
-    x = adapted(spark, sf_dir, "uploads").where("id % 7 = 2")
+    x = adapted(spark, sf_dir, "uploads")
     return x.select(F.col("id").alias("ticket"), F.col("Player_1").alias("player"), F.col("Prop_2").alias("prop_1"), text.side(F.col("Side_2")).alias("side_1"), (F.col("id") % 6 + 0.5).cast("double").alias("line_1"), F.col("Prop_1").alias("prop_2"), text.side(F.col("Side_1")).alias("side_2"), (F.col("id") % 4 + 0.5).cast("double").alias("line_2"))
 
 
@@ -304,8 +304,8 @@ def slate_coverage(spark, sf_dir):
 
 @query
 def folded_names(spark, sf_dir):
-    """Sources of documents by the folded first 24 characters of their text: distinct texts are folded, then counted."""
-    x = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.substring("text", 1, 24).alias("name")).agg(F.count("*").alias("n"))
+    """Words of whole documents, folded and counted: words are counted first, so that each distinct one is folded once."""
+    x = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     return x.groupBy(text.fold_key(F.col("name")).alias("key")).agg(F.sum("n").alias("n"))
 
 

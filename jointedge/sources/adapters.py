@@ -40,7 +40,7 @@ SELECTS = {
         CASE p_partkey % 5 WHEN 0 THEN 'Pitcher Strikeouts' WHEN 1 THEN 'Earned Runs' WHEN 2 THEN 'Walks' WHEN 3 THEN 'Hits Allowed' ELSE 'Pitching Outs' END AS marketName, CASE WHEN p_partkey % 3 = 0 THEN 'Main O/U' ELSE 'Main' END AS subcategory, p_type AS marketType,
         CASE WHEN p_size % 2 = 0 THEN '+' ELSE '−' END || CAST(100 + p_size AS STRING) AS oddsAmerican FROM {part}""",
     "legs": """SELECT p_partkey AS leg_id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 1, 1) || '. ' || split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 2) END AS player, CASE WHEN p_size % 2 = 0 THEN 'Over' ELSE 'Under' END AS direction,
-        p_size % 4 + 0.5 AS thr, CASE p_partkey % 4 WHEN 0 THEN 'Strikeouts' WHEN 1 THEN 'Earned Runs' WHEN 2 THEN 'Outs Recorded' ELSE 'Hits Allowed' END AS stat FROM {part} WHERE p_brand = 'Brand#3'""",
+        p_size % 4 + 0.5 AS thr, CASE p_partkey % 4 WHEN 0 THEN 'Strikeouts' WHEN 1 THEN 'Earned Runs' WHEN 2 THEN 'Outs Recorded' ELSE 'Hits Allowed' END AS stat FROM {part}""",
     "box": """SELECT l_orderkey AS gid, CAST(l_suppkey % 2 AS BIGINT) AS team_id, l_linenumber * 100 + CASE WHEN l_partkey % 10 = 0 THEN 1 ELSE 0 END AS ord, l_partkey AS player FROM {lineitem}""",
     "games": """SELECT o_orderkey AS gid, o_custkey % 50 AS team_id, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus = 'F' THEN 'Final' ELSE 'Live' END AS state FROM {orders}""",
     "quotes": """SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_custkey % 2 = 0 THEN 100 + o_orderkey % 400 ELSE -(100 + o_orderkey % 300) END END AS american,
