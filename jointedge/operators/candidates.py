@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import joint, odds, text
+from ..functions import joint, odds, shrink, text
 from .uploads import pair_key
 
 
@@ -55,6 +55,34 @@ def nearest_entries(tickets: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def gated_entries(found: DataFrame, min_games: int = 0, max_p: float = 1.0, props: list[str] | None = None, known: DataFrame | None = None, exact_only: bool = False) -> DataFrame:
+    """The tickets of ``nearest_entries`` that go on. The gates come after the pick: a nearest entry that fails is not replaced.
+
+    A null number of games is zero, a null p-value one. ``props``: both legs must be of these. ``known``: (player) that may pass.
+    """
+    out = found.where(F.col("entry_id").isNotNull() & (F.coalesce("n_games", F.lit(0)) >= min_games) & (F.coalesce("p_value", F.lit(1.0)) <= max_p))
+    if props is not None:
+        out = out.where(F.col("prop_1").isin(props) & F.col("prop_2").isin(props))
+    if exact_only:
+        out = out.where("exact")
+    return out if known is None else out.join(known, "player", "left_semi")
+
+
+def resolved_combos(found: DataFrame, combos: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Combos of the dyads that ``find_dyads`` gave pairs (p1, p2, t, slot1, slot2, swapped), in the dyad's own order.
+
+    asked counts the pairs with these players and slots; r is the dyad's correlation drawn toward the slot pair's. Equal pairs
+    are counted first, so a pair that plays often meets its combos once.
+    """
+    turn = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
+    asked = found.groupBy(turn("p1", "p2").alias("p1"), turn("p2", "p1").alias("p2"), "t", turn("slot1", "slot2").alias("slot1"), turn("slot2", "slot1").alias("slot2")).agg(F.count("*").alias("asked"))
+    own = combos.select("p1", "p2", "t", "leg1", "leg2", "games", F.col("r_binary").alias("own"))
+    base = baselines.select("slot1", "slot2", "leg1", "leg2", F.col("r_binary").alias("base"), F.lit(True).alias("known"))
+    x = asked.join(own, ["p1", "p2", "t"]).join(base, ["slot1", "slot2", "leg1", "leg2"], "left")
+    res = shrink.resolve_dyad_r(F.col("own"), F.col("base"), F.coalesce("known", F.lit(False)), F.col("games"))
+    return x.withColumn("res", res).select("p1", "p2", "t", "slot1", "slot2", "leg1", "leg2", "asked", "games", "res.r", "res.fallback")
+
+
 def fair_values(candidates: DataFrame, props: DataFrame) -> DataFrame:
     """p_leg1, p_leg2 from the sheet (player, stat, threshold, direction, fv), and kind: full_fv, hybrid or corr_only."""
     for i in (1, 2):
@@ -116,6 +144,17 @@ def ev_filter(ev_frac: Column, min_pct: float) -> Column:
     return F.coalesce(ev_frac >= min_pct / 100, F.lit(False))
 
 
+def result_filter(rows: DataFrame, min_ev: float | None = None, min_n: int = 0, kinds: list[str] | None = None, confidences: list[str] | None = None, confirmed_only: bool = False) -> DataFrame:
+    """Priced candidates (ev_pct, n, kind, confidence, status) that a reader asked for; a null EV or n never passes its minimum."""
+    keep = F.coalesce(F.col("n"), F.lit(0)) >= min_n
+    if min_ev is not None:
+        keep = keep & ev_filter(F.col("ev_pct") / 100, min_ev)
+    for name, allowed in (("kind", kinds), ("confidence", confidences)):
+        if allowed is not None:
+            keep = keep & F.col(name).isin(allowed)
+    return rows.where(keep & (F.col("status") == "confirmed") if confirmed_only else keep)
+
+
 def top_by_r(rows: DataFrame, k: int, id_column: str = "candidate_id") -> DataFrame:
     return rows.orderBy(F.abs(F.coalesce("r", F.lit(0.0))).desc(), id_column).limit(k)
 

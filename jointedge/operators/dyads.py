@@ -46,6 +46,12 @@ def slot_dyads(rows: DataFrame, stats: list[str]) -> DataFrame:
     return player_dyads(slot_sums(rows, stats), stats)
 
 
+def slot_samples(sums: DataFrame) -> DataFrame:
+    """Per season the team games with two slots or more, and their ordered slot pairs."""
+    held = sums.groupBy("season", "gid", "t").agg(F.count("*").alias("k"))
+    return held.groupBy("season").agg(F.count_if(F.col("k") >= 2).alias("team_games"), F.sum(F.expr("k * (k - 1)")).alias("dyads"))
+
+
 def combo_aggregates(legs: list[Leg], combos: list[tuple[int, int]]) -> list[Column]:
     """One struct per combo with its sums: a single pass over the dyads, whatever the number of combos."""
     hit = lambda side, k: leg_hits(F.col(f"{side}_{legs[k][2]}"), legs[k][0], legs[k][1])

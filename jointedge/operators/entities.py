@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shrink import mean_of, shrunk_entity_r
 from ..functions.text import leg_hits
 from .moments import dot, pair_sums, pearson, percent, phi, rounded_ratio, weighted_pearson
 from .weights import normalised, with_rows, with_schemes
@@ -248,3 +249,30 @@ def entity_seasons(rows: DataFrame, seasons: list[int]) -> DataFrame:
     n = rows.where("p is not null").groupBy("p").agg(*(F.count_if(F.col("season") == s).alias(f"s{s}") for s in seasons))
     pairs = F.array(*(F.struct(F.lit(s).alias("k"), F.col(f"s{s}").alias("v")) for s in seasons))
     return n.select("p", F.map_from_entries(pairs).alias("starts_by_year"), F.transform(F.filter(pairs, lambda x: x["v"] > 0), lambda x: x["k"]).alias("years"))
+
+
+def season_blend(df: DataFrame, keys: list[str], value: str, weights: tuple[float, ...], seasons: list[int]) -> DataFrame:
+    """base: the weighted mean of the seasons' values (one row per key and season) over the seasons that have one."""
+    x = by_season(df, keys, [value], seasons)
+    known = [F.col(f"{value}_{i}") for i in range(len(seasons))]
+    w = [F.lit(v) for v in weights]
+    there = [F.when(k.isNotNull(), 1.0) for k in known]
+    return x.select(*keys, F.try_divide(dot(known, w), dot(there, w)).alias("base"))
+
+
+def shrunk_pairs(pooled: DataFrame, base: DataFrame) -> DataFrame:
+    """``pooled`` pairs with base and r drawn toward it by n_eff; a combo without a baseline keeps its own r above the floor."""
+    x = pooled.join(base, ["leg1", "leg2"], "left")
+    return x.select("p", "leg1", "leg2", "n_eff", "base", shrunk_entity_r(F.col("r"), F.col("base"), F.col("n_eff")).alias("r"))
+
+
+def shrunk_triples(shrunk: DataFrame, legs: list[Leg]) -> DataFrame:
+    """Per entity and triple the mean of its three shrunk pair correlations that are there.
+
+    An entity's pairs (one per combo of the spec) become a map, in which the triples are looked up without a join.
+    """
+    key = lambda a, b: F.concat_ws("#", a, b)
+    held = shrunk.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct(key("leg1", "leg2").alias("pair"), "r"))).alias("held"))
+    x = with_rows(held, ["leg1", "leg2", "leg3"], [tuple(leg_name(v) for v in c) for c in combinations(legs, 3)])
+    r = [F.element_at("held", key(f"leg{i}", f"leg{j}")) for i, j in SIDES]
+    return x.select("p", "leg1", "leg2", "leg3", mean_of(*r).alias("r"))
