@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_path, saved
+
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
 FRAME, HOP, MELS, PATCH = 256, 128, 16, 32
 UNIT = 192
@@ -118,36 +122,125 @@ def seconds(frame: int) -> float:
     return frame * HOP * DOWN / (UP * RATE)
 
 
-def feature(media: bytes) -> str:
+def described(mel: np.ndarray) -> str:
     """Frames, active spans, their seconds and the mean log-mel spectrum, rounded, as text."""
-    mel, spans = analysed(media)
+    spans = active_spans(mel.mean(axis=1))
     active = sum(b - a for a, b in spans)
     mean = ",".join(f"{x + 0.0:.2f}" for x in np.round(mel.mean(axis=0, dtype=np.float64), 2))
     return f"frames={mel.shape[0]};spans={len(spans)};active={seconds(active):.3f};mel={mean}"
 
 
+def feature(media: bytes) -> str:
+    return described(analysed(media)[0])
+
+
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=["frame", "mel"])
+_PATCH_COLUMNS = ["doc_id", "patch", "start_s", "end_s", "active_s", "mel"]
+
+
+def _cut(mel: np.ndarray, spans: list[tuple[int, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """patch, start_s, end_s and active_s of a clip's patches, and their frames, the last patch padded by the log-mel floor."""
+    count = -(-mel.shape[0] // PATCH)
+    whole = np.full((count * PATCH, MELS), -6, np.float32)
+    whole[: mel.shape[0]] = mel
+    active = np.zeros(count * PATCH)
+    for a, b in spans:
+        active[a:b] = 1
+    first = np.arange(count) * PATCH
+    last = np.minimum(first + PATCH, mel.shape[0])
+    return [np.arange(count), first * seconds(1), last * seconds(1), active.reshape(count, PATCH).sum(axis=1) * seconds(1)], whole
+
+
+INDEX = "file string, batch long, rows long, bytes long"
+_ROWS, _BYTES = 256, 4 << 20  # of one stored batch, at most but for a longer clip
+
+
+def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes two Arrow files: clips (media and the frame spans that are active) and the patches of these clips, batch by batch."""
+    files: list = []
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        clip = pa.schema([("doc_id", kind), ("n_bytes", pa.int64()), ("n_frames", pa.int64()), ("media", pa.binary()), ("spans_s", pa.list_(pa.list_(pa.float64(), 2)))])
+        patch = pa.schema([("doc_id", kind), ("clip", pa.int64()), ("patch", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("active_s", pa.float64()), ("mel", TENSOR)])
+        if not files and batch.num_rows:
+            store, path = fs.FileSystem.from_uri(folder)
+            store.create_dir(path, recursive=True)
+            name, at = uuid.uuid4().hex, 0
+            for end, schema in (("clips", clip), ("patches", patch)):
+                stream = store.open_output_stream(f"{path}/{name}.{end}.arrow", compression=None)
+                files.append((stream, pa.ipc.new_file(stream, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))))
+        index: list[tuple] = []
+        i = 0
+        while i < batch.num_rows:
+            clips, columns, wholes, size = [], [], [], 0
+            while i < batch.num_rows and len(clips) < _ROWS and size < _BYTES:
+                doc, (n, raw) = batch.column(0)[i].as_py(), payload(batch.column(1)[i].as_py())
+                media = wav(raw)
+                mel, spans = analysed(media)
+                times, whole = _cut(mel, spans)
+                columns.append(([doc] * len(times[0]), np.full(len(times[0]), len(clips)), *times))
+                wholes.append(whole)
+                clips.append((doc, n, mel.shape[0], media, [(seconds(a), seconds(b)) for a, b in spans]))
+                size += len(media)
+                i += 1
+            files[0][1].write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*clips), clip)], schema=clip))
+            docs, *rest = zip(*columns)
+            storage = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(wholes).ravel()), PATCH * MELS)
+            arrays = [pa.array([d for part in docs for d in part], kind), *(pa.array(np.concatenate(c)) for c in rest), pa.ExtensionArray.from_storage(TENSOR, storage)]
+            files[1][1].write_batch(pa.RecordBatch.from_arrays(arrays, schema=patch))
+            index.append((name, at, len(clips), size))
+            at += 1
+        if index:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*index)], names=["file", "batch", "rows", "bytes"])
+    for stream, writer in files:
+        writer.close()
+        stream.close()
+
+
+def stored(docs: DataFrame, folder: str) -> DataFrame:
+    """Media and patches of each row's text (null: empty) in Arrow files in ``folder``, and the saved index of their batches.
+
+    Only files that the index names count, so a task that runs twice leaves unread files and nothing else.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return saved(rows.mapInArrow(lambda batches: _store(batches, folder), INDEX), "index")
+
+
+def read_batch(folder: str, file: str, batch: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The clips of a stored batch and their patches, whose mel column has the type ``TENSOR``."""
+    store, path = fs.FileSystem.from_uri(folder)
+    out = []
+    for end in ("clips", "patches"):
+        with store.open_input_file(f"{path}/{file}.{end}.arrow") as source:
+            out.append(pa.ipc.open_file(source).get_batch(batch))
+    return out[0], out[1]
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """What the stored form of each row's text (null: empty) holds, read back; see the columns. Other columns are not read."""
+    """Stores each row's media and patches and tells what a second job reads back; see the columns. Other columns are not read."""
+    folder = new_path(docs.sparkSession, "audio")
+    index = stored(docs, folder)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                size, raw = payload(text.as_py())
-                media = wav(raw)
+        for file, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            clips, patches_ = read_batch(folder, file, at)
+            frames = patches_["mel"].to_numpy_ndarray().reshape(-1, MELS)
+            rows, first = [], 0
+            for size, count, media in zip(*(clips[c].to_pylist() for c in ("n_bytes", "n_frames", "media"))):
                 _, back = samples_of(media)
-                rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(media)))
-            columns = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+                text = described(np.ascontiguousarray(frames[first : first + count]))
+                first += -(-count // PATCH) * PATCH
+                rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), text))
+            yield pa.RecordBatch.from_arrays([clips["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", *names])
 
+    total = index.agg(F.sum("bytes")).first()[0] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each, schema)
-
-
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=["frame", "mel"])
+    # a fixed count: merging partitions by the size of index rows would leave few readers for many bytes
+    wanted = index.repartition(int(total // (16 << 20)) + 1, "file", "batch").select("file", "batch")
+    return wanted.mapInArrow(lambda batches: (out for batch in batches for out in each(batch)), schema)
 
 
 def patches(docs: DataFrame) -> DataFrame:
@@ -159,18 +252,10 @@ def patches(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                mel, spans = analysed(wav(payload(text.as_py())[1]))
-                count = -(-mel.shape[0] // PATCH)
-                whole = np.full((count * PATCH, MELS), -6, np.float32)
-                whole[: mel.shape[0]] = mel
-                active = np.zeros(count * PATCH)
-                for a, b in spans:
-                    active[a:b] = 1
-                first = np.arange(count) * PATCH
+                columns, whole = _cut(*analysed(wav(payload(text.as_py())[1])))
+                count = len(columns[0])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * PATCH * MELS, pa.int32()), pa.array(whole.ravel()))
-                last = np.minimum(first + PATCH, mel.shape[0])
-                columns = [np.arange(count), first * seconds(1), last * seconds(1), active.reshape(count, PATCH).sum(axis=1) * seconds(1)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * count, batch.schema.field(0).type), *map(pa.array, columns), lists], names=["doc_id", "patch", "start_s", "end_s", "active_s", "mel"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * count, batch.schema.field(0).type), *map(pa.array, columns), lists], names=_PATCH_COLUMNS)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, patch long, start_s double, end_s double, active_s double, mel array<float>")
