@@ -4,7 +4,7 @@ A page is read once into blocks of text, each with its root-to-leaf tag path. Pe
 block are added up, smoothed over paths that follow one another, fused into one score (reduced by the share of link
 text) and compared with a threshold; blocks on the paths above it are the content. Elements that say what they are (navigation,
 forms, scripts, adverts by class, comment threads ...) are no candidates, and where a page marks an article, its paths
-are the only ones, with a threshold of zero.
+are raised by the threshold, so that their links cost them nothing; all other paths are held against it as on any page.
 """
 
 from __future__ import annotations
@@ -71,17 +71,18 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
     out: list[tuple[str, str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, noisy, marked; both hold for what is inside
     parts: list[str] = []
-    linked, at, size = 0, 0, len(html)
+    links: list[str] = []
+    at, size = 0, len(html)
     noisy = marked = False
 
     def flush() -> None:
-        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
+                linked = len(" ".join(entities.unescape("".join(links)).split()))
                 out.append((text, "/".join(t for t, _, _ in stack if t not in INLINE), linked, marked))
             parts.clear()
-        linked = 0
+        links.clear()
 
     def pop(depth: int) -> None:
         nonlocal noisy, marked
@@ -98,7 +99,7 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
             piece = html[at : m.start()]
             parts.append(piece)
             if any(t == "a" for t, _, _ in stack):
-                linked += len(piece)
+                links.append(piece)
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
@@ -167,18 +168,16 @@ def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
 def main_text(html: str | None, threshold: float = 0.3) -> str:
     """The content blocks, two newlines apart; empty for a null or empty page.
 
-    Without a marked article, a path is content if its score reaches ``threshold`` times the mean over all text; if
-    none had text the result is empty.
+    A path is content if its score reaches ``threshold`` times the mean over all text; a marked article adds as
+    much to the scores of its paths.
     """
     found = blocks(html or "")
-    inside = [b for b in found if b[3]]
-    found, mark = (inside, True) if inside else (found, False)
     if not found:
         return ""
     score = path_scores(found)
     size = sum(len(b[0]) for b in found)
-    bar = 0.0 if mark else threshold * sum(len(b[0]) * score[b[1]] for b in found) / size
-    return "\n\n".join(b[0] for b in found if (score[b[1]] > 0 if mark else score[b[1]] >= bar))
+    bar = threshold * sum(len(b[0]) * score[b[1]] for b in found) / size
+    return "\n\n".join(b[0] for b in found if score[b[1]] + bar * b[3] >= bar)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
