@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a local one only where it is unset."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as executors would not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -34,19 +40,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written inside each open ``temporary`` block.
+_OPEN: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: no lineage, and nothing lost with an executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for made in _OPEN[-1:]:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Deletes the files of a table of ``saved`` that nothing will read again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``saved`` writes inside are deleted at the end; what is to last must be saved after the block's tables are read."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _OPEN.pop():
+            _delete(spark, folder)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -3,11 +3,16 @@
 1. One pass hashes the word runs of ``gram`` words and keeps, for each window of ``window`` words, its least one (the
    anchor). Equal windows have equal anchors, so a window can recur only if its anchor is in two documents. About one
    run in twenty is an anchor; only their hashes are shuffled.
-2. Anchors in at least two documents are recurring phrases. Documents that hold some, and only these, are read again. In
-   blocks of documents the recurring phrases are compiled into an Aho-Corasick automaton, a shard that fits a worker's
-   memory, and the block is streamed through it to locate every occurrence.
-3. Windows around the occurrences get 128-bit hashes. Equal windows of one task are settled there; the rest meet
-   in one shuffle that finds the smallest document of each window. Windows of later documents mark their words.
+2. Anchors in at least two documents are candidate phrases. Their texts are read from the documents that hold them, and
+   a phrase whose text is in two documents is confirmed: the table of recurring phrases.
+3. Phrases are dealt to shards by the first document that holds them, so that what was copied together stays together. Each
+   shard's phrases are compiled into an Aho-Corasick automaton, and documents are streamed through it in doc_id order; what
+   the automaton reports is the only source of positions. A document meets the shards whose phrases its anchors name:
+   in no other shard can it hold a recurring window, so the work grows with the documents and not with documents times shards.
+   A shard with many occurrences is split by salt: its documents are spread, its phrases repeated.
+4. Windows around the occurrences get 128-bit hashes. Equal windows share their anchor and so their shard; they are
+   settled where they meet, and only runs of removed windows leave the task. Windows of salted or overfull shards stay
+   open and meet in a shuffle, one row per distinct window of a task.
 
 Exact copies (equal word sequences) are settled first by digest, so large groups of copies cost one short row each.
 """
@@ -24,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import as_id, drop_saved, from_id, map_batches, saved, spread_lookup
+from .common import as_id, drop_saved, fresh, from_id, map_batches, saved, spread_lookup
 
 _NONE = hashlib.sha256(b"").hexdigest()
-_FLUSH = 400_000  # windows that a task holds before it settles them
+_FLUSH = 1_000_000  # windows that a task holds before it settles them
+_SHARD = 10_000  # occurrences of the phrases of a shard, on average
 _U = np.uint64
 
 
@@ -80,26 +86,76 @@ def _outline(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n_words, pa.array(digests, pa.binary()), lists], names=["doc_id", "t", "n_words", "words_sha", "anchors"])
 
 
-def _located(block: Block, known: np.ndarray, gram: int) -> np.ndarray:
-    """Run hashes at the occurrences of recurring phrases, found by an automaton over the block's documents."""
-    at = np.flatnonzero(np.isin(block.grams, known))
-    at = at[block.owner[at] == block.owner[at + gram - 1]]
-    if not at.size:
-        return np.empty(0, _U)
-    whole = block.data.tobytes()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for s, e in zip(block.starts[at].tolist(), block.ends[at + gram - 1].tolist()):
-        automaton.add_word(f" {whole[s:e].decode('latin-1')} ")
-    automaton.make_automaton()
-    found = []
-    for raw, first in zip(block.run, block.first.tolist()):
-        found += [first + end - size + 1 for end, size in automaton.iter(f" {raw.decode('latin-1')} ")]
-    words = np.searchsorted(block.starts, np.array(found, np.int64))
-    return np.unique(block.grams[words])
-
-
-def _settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Windows of a task: those that an earlier document of the task has are done, as runs; the others stay open."""
+def _phrases(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
+    """anchor, phrase and doc_id: the texts of the runs whose hashes are among the documents' candidate phrases."""
+    anchors, texts, docs = [], [], []
+    ids, lists = batch.column(0).to_numpy(), batch.column(2)
+    for first, run in tb.blocks(batch.column(1).to_pylist()):
+        block = Block(run, window, gram)
+        known = np.unique(lists.slice(first, len(run)).flatten().to_numpy(zero_copy_only=False).view(_U))
+        at = np.flatnonzero(np.isin(block.grams, known))
+        at = at[block.owner[at] == block.owner[at + gram - 1]]
+        whole = block.data.tobytes()
+        anchors.append(block.grams[at])
+        texts += [whole[s:e] for s, e in zip(block.starts[at].tolist(), block.ends[at + gram - 1].tolist())]
+        docs.append(ids[first + block.owner[at]])
+    anchors = np.concatenate(anchors).view(np.int64) if anchors else np.empty(0, np.int64)
+    docs = np.concatenate(docs) if docs else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(texts, pa.binary()), pa.array(docs, pa.int64())], names=["anchor", "phrase", "doc_id"])
+
+
+class Shard:
+    """The automaton of one shard's phrases, and the windows of the documents that were streamed through it."""
+
+    def __init__(self, window: int, gram: int):
+        self.window, self.gram = window, gram
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        self.rows: list[tuple] = []
+        self.held, self.whole = 0, True
+
+    def add(self, phrases: list[bytes]) -> None:
+        for phrase in phrases:
+            self.automaton.add_word(f" {phrase.decode('latin-1')} ")
+
+    def occurrences(self, block: Block) -> np.ndarray:
+        """Words of the block at which a phrase of the shard begins, in order."""
+        found: list[int] = []
+        for raw, first in zip(block.run, block.first.tolist()):
+            found += [first + end - size + 1 for end, size in self.automaton.iter(f" {raw.decode('latin-1')} ")]
+        return np.searchsorted(block.starts, np.unique(np.array(found, np.int64)))
+
+    def stream(self, ids: np.ndarray, keys: np.ndarray, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+        """Documents in doc_id order; windows whose least run is an occurrence are held until they are settled."""
+        if not len(self.automaton):
+            return
+        if self.automaton.kind != ahocorasick.AHOCORASICK:
+            self.automaton.make_automaton()
+        for first, run in tb.blocks(texts):
+            block = Block(run, self.window, self.gram)
+            found = self.occurrences(block)
+            near = np.zeros(block.valid.size + 1, np.int64)  # windows that hold an occurrence
+            np.add.at(near, np.maximum(0, found - self.window + self.gram)[found - self.window + self.gram < block.valid.size], 1)
+            np.add.at(near, np.minimum(found + 1, block.valid.size), -1)
+            at = np.flatnonzero(block.valid & (np.cumsum(near)[:-1] > 0))
+            at = at[np.isin(block.anchor[at], block.grams[found])]
+            if not at.size:
+                continue
+            one, two = (tb.POWERS[i].spans(tb.POWERS[i].prefix(block.hashes), at, at + self.window) for i in (0, 1))
+            owner = block.owner[at]
+            self.rows.append((ids[first + owner], keys[first + owner], at - block.begin[owner], one, two))
+            self.held += at.size
+            if self.held >= _FLUSH:
+                self.whole = False
+                yield from _settled(self.rows, open_=True)
+                self.rows, self.held = [], 0
+
+    def rest(self, salts: int) -> Iterator[pa.RecordBatch]:
+        """What is still held. If all windows of the shard were held at once, none of them stays open."""
+        yield from _settled(self.rows, open_=salts > 1 or not self.whole)
+
+
+def _settled(rows: list[tuple], open_: bool) -> Iterator[pa.RecordBatch]:
+    """Windows that an earlier document of ``rows`` has, as runs (done), and with ``open_`` the first of each distinct window."""
     if not rows:
         return
     doc, t, pos, one, two = (np.concatenate(c) for c in zip(*rows))
@@ -108,16 +164,15 @@ def _settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     done = doc > least
-    for which in (~done, done):
+    for which in (~done, done) if open_ else (done,):
         d, k, p, a, b = (c[which] for c in (doc, t, pos, one, two))
         run = np.ones(d.size, np.int32)
         if which is done and d.size:
             order = np.lexsort((p, k, d))
-            d, k, p = d[order], k[order], p[order]
+            d, k, p, a, b = (c[order] for c in (d, k, p, a, b))
             start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)]))
             run = np.diff(np.append(start, d.size)).astype(np.int32)
-            d, k, p = d[start], k[start], p[start]
-            a, b = tb.mixed(d.view(_U) + p.astype(_U)), tb.mixed(k.view(_U) ^ p.astype(_U))  # spreads the rows
+            d, k, p, a, b = (c[start] for c in (d, k, p, a, b))
         for at in range(0, d.size, 50_000):
             cut = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays(
@@ -127,24 +182,23 @@ def _settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    rows, held = [], 0
+    """Rows by shard and salt, phrases before documents: each shard is compiled once and its documents stream past it."""
+    now, shard, salts = None, None, 1
     for batch in batches:
-        ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(3)
-        for first, run in tb.blocks(batch.column(2).to_pylist()):
-            block = Block(run, window, gram)
-            known = lists.slice(first, len(run)).flatten().to_numpy(zero_copy_only=False).view(_U)
-            at = np.flatnonzero(block.valid & np.isin(block.anchor, _located(block, np.unique(known), gram)))
-            if not at.size:
-                continue
-            one, two = (tb.POWERS[i].spans(tb.POWERS[i].prefix(block.hashes), at, at + window) for i in (0, 1))
-            owner = block.owner[at]
-            rows.append((ids[first + owner], keys[first + owner], at - block.begin[owner], one, two))
-            held += at.size
-            if held >= _FLUSH:
-                yield from _settled(rows)
-                rows, held = [], 0
-    yield from _settled(rows)
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])  # shard, salt, kind
+        edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist() if batch.num_rows else []
+        for a, b in zip(edges, [*edges[1:], batch.num_rows]):
+            if now != (key := tuple(keys[:2, a].tolist())):
+                if shard is not None:
+                    yield from shard.rest(salts)
+                now, shard, salts = key, Shard(window, gram), batch.column(3)[a].as_py()
+            part = batch.slice(a, b - a)
+            if keys[2, a] == 0:
+                shard.add(part.column(6).to_pylist())
+            else:
+                yield from shard.stream(part.column(4).to_numpy(), part.column(5).to_numpy(), part.column(7).to_pylist())
+    if shard is not None:
+        yield from shard.rest(salts)
 
 
 def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
@@ -163,6 +217,15 @@ def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "t", "n_removed", "kept_sha256", "kept_text"])
 
 
+def _sharded(runs: DataFrame) -> DataFrame:
+    """anchor, n (its occurrences), shard and salts for each anchor in two documents or more."""
+    shared = saved(runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "low", "n"), "shared")
+    shards = (shared.agg(F.sum("n")).first()[0] or 0) // _SHARD + 1
+    placed = shared.withColumn("shard", F.pmod(F.xxhash64("low"), F.lit(shards)))
+    size = placed.groupBy("shard").agg(F.sum("n").alias("size")).select("shard", F.ceil(F.col("size") / (2 * _SHARD)).cast("int").alias("salts"))
+    return saved(placed.join(size, "shard").select("anchor", "n", "shard", "salts"), "sharded")
+
+
 def repeats(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text and t (xxhash64 of the text) for each row of ``docs``.
 
@@ -176,14 +239,20 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
     marked = saved(spread_lookup(outline, ["words_sha"], F.col("doc_id"), copies, "n", ["first"]).withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first"), "marked")
     drop_saved(outline)
     runs = marked.where("not copy").select("doc_id", "t", F.explode("anchors").alias("anchor"))
-    shared = saved(runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "shared")
-    hits = spread_lookup(runs, ["anchor"], F.col("t"), shared, "n", ["n"]).where("n is not null").groupBy("doc_id", "t").agg(F.collect_list("anchor").alias("known"))
-    held = saved(source.join(hits, ["doc_id", "t"]).select("doc_id", "t", "text", "known"), "held")
-    schema = "doc_id long, t long, pos int, run int, one long, two long, done boolean"
-    windows = held.mapInArrow(lambda batches: _windows(batches, window, gram), schema)
-    later = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("one", "two"))).where("done or least < doc_id")
-    spans = later.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "run")).alias("spans"))
-    cut = map_batches(held.dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text").join(spans, ["doc_id", "t"]).select("doc_id", "t", "text", "spans"), lambda b: _kept(b, window), "doc_id long, t long, n_removed long, kept_sha256 string, kept_text string")
+    sharded = _sharded(runs)
+    hits = spread_lookup(runs, ["anchor"], F.col("t"), sharded, "n", ["shard", "salts"]).where("shard is not null")
+    hits = hits.groupBy("doc_id", "t").agg(F.collect_set(F.struct("shard", "salts")).alias("shards"), F.collect_set("anchor").alias("known"))
+    held = saved(source.join(hits, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "known", "shards"), "held")
+    found = map_batches(held.select("doc_id", "text", "known"), lambda b: _phrases(b, window, gram), "anchor long, phrase binary, doc_id long")
+    confirmed = found.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    phrases = confirmed.join(sharded, "anchor").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "salts", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("t"), "phrase", F.lit(None).cast("string").alias("text"))
+    routed = held.select("doc_id", "t", "text", F.explode("shards").alias("to"))
+    routed = routed.select("to.shard", F.pmod(F.xxhash64("doc_id", "t"), F.col("to.salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "to.salts", "doc_id", "t", F.lit(None).cast("binary").alias("phrase"), "text")
+    dealt = phrases.union(routed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
+    windows = saved(dealt.mapInArrow(lambda batches: _windows(batches, window, gram), "doc_id long, t long, pos int, run int, one long, two long, done boolean"), "windows")
+    later = windows.where("not done").withColumn("least", F.min("doc_id").over(Window.partitionBy("one", "two"))).where("least < doc_id")
+    spans = windows.where("done").select("doc_id", "t", "pos", "run").union(later.select("doc_id", "t", "pos", "run")).groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "run")).alias("spans"))
+    cut = map_batches(held.select("doc_id", "t", "text").join(spans, ["doc_id", "t"]).select("doc_id", "t", "text", "spans"), lambda b: _kept(b, window), "doc_id long, t long, n_removed long, kept_sha256 string, kept_text string")
     out = marked.select("doc_id", "t", "n_words", "words_sha", "copy").join(cut, ["doc_id", "t"], "left")
     return out.select(
         from_id("doc_id").alias("doc_id"),
@@ -197,6 +266,7 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with the kept words in ``text`` where words went; other rows and columns as they were. No row is dropped."""
-    cut = repeats(docs, **settings).where("kept_text is not null").select(as_id().alias("__id"), F.col("t").alias("__t"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__t"])
-    out = docs.join(cut, (as_id() == F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left")
-    return out.select(*(F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    key, t, kept = (fresh(docs, name) for name in ("__id", "__t", "__kept"))
+    cut = repeats(docs, **settings).where("kept_text is not null").select(as_id().alias(key), F.col("t").alias(t), F.col("kept_text").alias(kept)).dropDuplicates([key, t])
+    out = docs.join(cut, (as_id() == F.col(key)) & (F.xxhash64("text") == F.col(t)), "left")
+    return out.select(*(F.coalesce(kept, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
