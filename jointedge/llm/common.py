@@ -96,14 +96,15 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
-def spread_lookup(rows: DataFrame, keys: list[str], row: Column, side: DataFrame, weight: str, values: list[str]) -> DataFrame:
+def spread_lookup(rows: DataFrame, keys: list[str], row: Column, side: DataFrame, weight: str, values: list[str], total: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``side`` (one row per key; ``weight`` counts the key's rows) for ``values``.
 
     Keys with more than ``HEAVY_SHARE`` of the rows are broadcast, and there can be at most 512 of them; all
     others meet in a shuffle where no key is large. Rows of the heavy keys get a salt from ``row``, so they
-    spread over all tasks. ``side`` should be cheap to read twice.
+    spread over all tasks. ``side`` should be cheap to read twice. ``total`` is the sum of the weights, if it is known.
     """
-    total = side.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = side.agg(F.sum(weight)).first()[0] or 0
     limit = max(1, int(total * HEAVY_SHARE))
     heavy = side.where(F.col(weight) > limit).select(*(F.col(k).alias(f"__h_{k}") for k in keys), F.struct(*values).alias("__heavy"))
     light = side.where(F.col(weight) <= limit).select(*(F.col(k).alias(f"__l_{k}") for k in keys), F.lit(0).alias("__l_salt"), F.struct(*values).alias("__light"))

@@ -2,17 +2,21 @@
 
 The patterns are the windows of ``window`` consecutive words of each benchmark item (a shorter item is one window). They are
 grouped by length. For each length, a block of two words ending at a position gives the safe shift to the next
-possible end; where the shift is zero, the block's bucket of patterns is consulted by window hash, and the words
-themselves are compared before anything counts. Many stretches of documents are scanned in lockstep as numpy lanes.
+possible end. Where the shift is zero, the hash of the last words (the suffix) selects a bucket of patterns, in which they stand
+by the hash of their first words (the prefix), and the bytes of each pattern so selected are compared before anything counts.
+Many stretches of documents are scanned in lockstep as numpy lanes.
 
-Items are broadcast in groups of at most about ``group_bytes`` of text, each group searched by one pass over
-the documents' batches, so a larger benchmark means more passes and never a larger broadcast.
+Items are cut into stretches of at most about ``_STRETCH`` bytes, which overlap so that each window is in one, and dealt to
+groups of about ``group_bytes``. Each group is compiled once, in a task, into arrays of some eight times its size; these are
+broadcast, and each group is one pass over the documents. A larger benchmark means more passes and never a larger broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,52 +24,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import drop_saved, saved
 
 #: Lower-cases A-Z; what is not a digit, a-z or part of a non-ASCII character becomes a space.
 _LOWER = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _LANE = 256
+_STRETCH = 1 << 18
+_BLOCK, _ENDS = 2, 4  # words of a shift block, and of a suffix or prefix
 _U = np.uint64
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(b" ") if text else []
+def normal(raw: bytes) -> bytes:
+    """The words of a text, one space apart."""
+    return b" ".join(raw.translate(_LOWER).split())
 
 
+def block_hashes(word_hashes: np.ndarray, block: int) -> np.ndarray:
+    if block == 1:
+        return word_hashes
+    return tb.mixed(word_hashes[:-1] * _U(0x9E3779B97F4A7C15) + word_hashes[1:])
+
+
+def _ranks(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The places of ``values`` in the sorted ``known``; -1 where they are not."""
+    at = np.minimum(np.searchsorted(known, values), known.size - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+@dataclass
 class Patterns:
-    """Shift tables, suffix buckets and the words of all patterns of one length."""
-
-    def __init__(self, length: int, found: dict[bytes, list[int]]):
-        self.length, self.texts, self.items = length, list(found), list(found.values())
-        self.block = min(2, length)
-        hashes = []
-        for text in self.texts:
-            data = np.frombuffer(text + b" ", np.uint8)
-            hashes.append(tb.span_hashes(data, *tb.words(data != 0x20)))
-        words = np.stack(hashes)  # patterns x words
-        blocks = np.stack([block_hashes(w, self.block) for w in words])  # block j ends at word j + block - 1
-        self.size = 1 << max(12, int(blocks.size * 8).bit_length())
-        self.shift = np.full(self.size, length - self.block + 1, np.uint8 if length < 256 else np.int64)
-        last = blocks.shape[1] - 1
-        for j in range(blocks.shape[1]):
-            np.minimum.at(self.shift, (blocks[:, j] & _U(self.size - 1)).astype(np.int64), last - j)
-        self.buckets: dict[int, list[int]] = defaultdict(list)  # by the suffix block and the whole window
-        for i, w in enumerate(words):
-            self.buckets[int(tb.gram_hashes(w, length)[0])].append(i)
-        self.suffixes = np.unique(blocks[:, last])
-
-    def search(self, word_hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Ends of the windows, within texts of words first..last-1, whose suffix block is in a bucket."""
-        if not word_hashes.size:
-            return np.empty(0, np.int64)
+    """All patterns of one length: shift table, and buckets by suffix, in these by prefix, of offsets into the group's bytes."""
+
+    length: int
+    shift: np.ndarray
+    suffixes: np.ndarray  # sorted hashes
+    prefixes: np.ndarray
+    keys: np.ndarray  # suffix rank and prefix rank of each pattern, sorted
+    offset: np.ndarray
+    size: np.ndarray
+    first: np.ndarray  # of each pattern's items
+    items: np.ndarray
+
+    @property
+    def block(self) -> int:
+        return min(_BLOCK, self.length)
+
+    @property
+    def ends(self) -> int:
+        return min(_ENDS, self.length)
+
+    def selected(self, word_hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of windows within texts of words first..last-1, and the patterns that their buckets give; to be compared."""
+        none = np.empty(0, np.int64)
+        if word_hashes.size < self.length:
+            return none, none
         blocks = np.zeros(word_hashes.size, _U)
         blocks[self.block - 1 :] = block_hashes(word_hashes, self.block)
-        shifts = self.shift[(blocks & _U(self.size - 1)).astype(np.int64)]
+        shifts = self.shift[(blocks & _U(self.shift.size - 1)).astype(np.int64)]
         lanes = np.maximum(0, -(-(last - first - self.length + 1) // _LANE))
         text = np.repeat(np.arange(first.size), lanes)
         nth = np.arange(text.size) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = first[text] + self.length - 1 + nth * _LANE
         stop = np.minimum(at + _LANE, last[text])
-        out = []
+        out = [none]
         while at.size:
             step = shifts[at]
             if (zero := step == 0).any():
@@ -73,87 +94,175 @@ class Patterns:
             at = at + np.maximum(step, 1)
             live = at < stop
             at, stop = at[live], stop[live]
-        ends = np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
-        return ends[np.isin(blocks[ends], self.suffixes)]
+        end = np.sort(np.concatenate(out))
+        tails = tb.gram_hashes(word_hashes, self.ends)
+        suffix, prefix = _ranks(self.suffixes, tails[end - self.ends + 1]), _ranks(self.prefixes, tails[end - self.length + 1])
+        known = (suffix >= 0) & (prefix >= 0)
+        end, key = end[known], (suffix[known] << 32) | prefix[known]
+        low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        n = high - low
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(end, n), np.repeat(low, n) + place
 
 
-def block_hashes(word_hashes: np.ndarray, block: int) -> np.ndarray:
-    if block == 1:
-        return word_hashes
-    return tb.mixed(word_hashes[:-1] * _U(0x9E3779B97F4A7C15) + word_hashes[1:])
+@dataclass
+class Group:
+    """The compiled patterns of some items; ``data`` holds the items' words, one space apart."""
+
+    data: bytes = b""
+    names: list[str] = field(default_factory=list)
+    lengths: list[Patterns] = field(default_factory=list)
+
+
+def _patterns(length: int, at: np.ndarray, item: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Patterns:
+    """Patterns from the windows of ``length`` words that begin at words ``at`` of items ``item``."""
+    one, two = (tb.POWERS[i].spans(tb.POWERS[i].prefix(hashes), at, at + length) for i in (0, 1))
+    order = np.lexsort((item, two, one))
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    more = np.concatenate([[True], item[order][1:] != item[order][:-1]]) | new  # an item once for each of its windows
+    which, at_ = (np.cumsum(new) - 1)[more], at[order][new]
+    block, ends_ = min(_BLOCK, length), min(_ENDS, length)
+    blocks, count = block_hashes(hashes, block), length - block + 1
+    shift = np.full(1 << max(12, int((at_.size + count) * 4).bit_length()), count, np.uint8 if length < 256 else np.int64)
+    for j in range(count):  # later blocks have smaller shifts and overwrite
+        shift[(blocks[at_ + j] & _U(shift.size - 1)).astype(np.int64)] = count - 1 - j
+    tails = tb.gram_hashes(hashes, ends_)
+    suffixes, suffix = np.unique(tails[at_ + length - ends_], return_inverse=True)
+    prefixes, prefix = np.unique(tails[at_], return_inverse=True)
+    keys = (suffix.astype(np.int64) << 32) | prefix
+    by_key = np.argsort(keys, kind="stable")
+    n = np.bincount(which, minlength=at_.size)
+    begin, n = (np.cumsum(n) - n)[by_key], n[by_key]
+    first = np.concatenate([[0], np.cumsum(n)])
+    items = item[order][more][np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(first[:-1], n)]
+    at_ = at_[by_key]
+    size = ends[at_ + length - 1] - starts[at_]
+    return Patterns(length, shift, suffixes, prefixes, keys[by_key], starts[at_].astype(np.uint32), size.astype(np.uint32), first.astype(np.uint32), items.astype(np.int32))
 
 
-def compiled(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
-    by_length: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        words = [w for w in item_words(text) if w]
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if words else 0):
-            by_length[size][b" ".join(words[at : at + size])].append(item)
-    return [Patterns(size, found) for size, found in sorted(by_length.items())]
+def compiled(items: list[tuple[str, bytes]], window: int) -> Group:
+    """The group of items (item_id, normal text); a name may come more than once."""
+    items = [(name, text) for name, text in items if text]
+    if not items:
+        return Group()
+    names = sorted({name for name, _ in items})
+    number = {name: i for i, name in enumerate(names)}
+    data, _, last_byte = tb.joined([text for _, text in items], b" ")
+    starts, ends = tb.words(data != 0x20)
+    hashes = tb.span_hashes(data, starts, ends)
+    last = np.searchsorted(starts, last_byte)
+    first = np.concatenate([[0], last[:-1]])
+    count, item = last - first, np.array([number[name] for name, _ in items])
+    out = []
+    for length in np.unique(np.minimum(count, window)).tolist():
+        mine = np.flatnonzero(np.minimum(count, window) == length)
+        n = count[mine] - length + 1
+        at = np.repeat(first[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out.append(_patterns(length, at, np.repeat(item[mine], n), hashes, starts, ends))
+    return Group(data.tobytes(), names, out)
 
 
-def scan(texts: list[str | None], patterns: list[Patterns]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+def scan(texts: list[str | None], group: Group) -> Iterator[tuple[int, np.ndarray, list[str]]]:
     """For each text its number of words, which words are inside an occurrence, and the items that occur."""
     for _, run in tb.blocks(texts):
-        run = [r.translate(_LOWER) for r in run]
-        data, _, text_ends = tb.joined(run, b" ")
+        data, _, text_ends = tb.joined([normal(r) for r in run], b" ")
         starts, ends = tb.words(data != 0x20)
         hashes = tb.span_hashes(data, starts, ends)
         last = np.searchsorted(starts, text_ends)
         first = np.concatenate([[0], last[:-1]])
-        hit = np.zeros(starts.size, bool)
-        items: dict[int, set[str]] = defaultdict(set)
+        edge = np.zeros(starts.size + 1, np.int64)
+        items: dict[int, set[int]] = defaultdict(set)
         whole = data.tobytes()
-        for p in patterns:
-            found = p.search(hashes, first, last)
-            if not found.size:
-                continue
-            windows = tb.gram_hashes(hashes, p.length)[found - p.length + 1]
-            owner = np.searchsorted(last, found, side="right")
-            for end, window, text in zip(found.tolist(), windows.tolist(), owner.tolist()):
-                for i in p.buckets.get(window, ()):
-                    at = end - p.length + 1
-                    if whole[starts[at] : ends[end]] == p.texts[i] or b" ".join(whole[starts[at] : ends[end]].split()) == p.texts[i]:
-                        hit[at : end + 1] = True
-                        items[text].update(p.items[i])
+        for p in group.lengths:
+            end, pattern = p.selected(hashes, first, last)
+            begin = starts[end - p.length + 1]
+            here, there, size = begin.tolist(), p.offset[pattern].tolist(), p.size[pattern].tolist()
+            same = np.fromiter((whole[h : h + n] == group.data[o : o + n] and whole[h + n] == 0x20 for h, o, n in zip(here, there, size)), bool, len(here))
+            end, pattern = end[same], pattern[same]
+            np.add.at(edge, end - p.length + 1, 1)
+            np.add.at(edge, end + 1, -1)
+            owner = np.searchsorted(last, end, side="right")
+            for text, k in np.unique(np.stack([owner, pattern]), axis=1).T.tolist() if end.size else ():
+                items[text].update(p.items[p.first[k] : p.first[k + 1]].tolist())
+        hit = np.cumsum(edge)[:-1] > 0
         for i in range(len(run)):
-            yield int(last[i] - first[i]), hit[first[i] : last[i]], sorted(items.get(i, ()))
+            yield int(last[i] - first[i]), hit[first[i] : last[i]], [group.names[k] for k in sorted(items.get(i, ()))]
+
+
+def _stretches(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    names, parts, words_ = [], [], []
+    for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        whole = normal((text or "").encode("utf-8", "surrogatepass"))
+        held = whole.split() if len(whole) > _STRETCH else []
+        per = max(2 * window, len(held) * _STRETCH // (len(whole) + 1))
+        cut = [b" ".join(held[a : a + per + window - 1]) for a in range(0, max(1, len(held) - window + 1), per)] if held else [whole]
+        names += [name] * len(cut)
+        parts += range(len(cut))
+        words_ += cut
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.int64()), pa.array(words_, pa.binary())], names=["item_id", "part", "words"])
+
+
+def _compile(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """One row of compiled patterns for each group; rows come by group."""
+
+    def done(group: int, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([pickle.dumps(compiled(rows, window), protocol=5)], pa.binary())], names=["group", "patterns"])
+
+    now, rows = None, []
+    for batch in batches:
+        for group, name, words_ in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if group != now and rows:
+                yield done(now, rows)
+                rows = []
+            now = group
+            rows.append((name, words_))
+    if rows:
+        yield done(now, rows)
+
+
+def _searched(docs: DataFrame, group: DataFrame, final: bool) -> DataFrame:
+    """One pass of ``docs`` (doc_id, text, hits, item_ids, n_words, row) with the compiled ``group`` (patterns, one row or none)."""
+    row = group.first()  # at most about group_bytes of items, compiled
+    patterns = docs.sparkSession.sparkContext.broadcast(row.patterns if row else pickle.dumps(Group()))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = pickle.loads(patterns.value)
+        for batch in batches:
+            size, bits, names = [], [], []
+            for (n, hit, ids), was, had in zip(scan(batch.column(1).to_pylist(), ready), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if was:
+                    hit = hit | np.unpackbits(np.frombuffer(was, np.uint8), count=n).astype(bool)
+                size.append(n)
+                bits.append(int(hit.sum()).to_bytes(8, "big") if final else np.packbits(hit).tobytes())
+                names.append(sorted({*ids, *had}) if had else ids)
+            texts = pa.nulls(batch.num_rows, pa.string()) if final else batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(size, pa.int64()), batch.column(5)], names=["doc_id", "text", "hits", "item_ids", "n_words", "row"])
+
+    return docs.mapInArrow(each, docs.schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: int = 20, group_bytes: int = 16 << 20, carry: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: int = 20, group_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted strings) and contaminated (n_hit > 0 and ratio * n_hit >= n_words) for each row of ``docs``.
 
     ``items`` has item_id and text. Words are runs of digits, letters a-z after lower-casing A-Z, and non-ASCII characters. A null
     or empty text has no words; an item without words matches nothing; a null item_id is the empty string. Rows that repeat
     an id each count. Other columns are not read; with ``carry`` the whole row comes along as a struct named row.
     """
-    spark = docs.sparkSession
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = total // group_bytes + 1
+    cut = saved(named.mapInArrow(lambda batches: (_stretches(b, window) for b in batches), "item_id string, part long, words binary"), "stretches")
+    groups = (cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // group_bytes + 1
+    dealt = cut.select(F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(groups)).alias("group"), "item_id", "part", "words").repartition(min(groups, 10_000), "group").sortWithinPartitions("group", "item_id", "part")
+    patterns = saved(dealt.select("group", "item_id", "words").mapInArrow(lambda batches: _compile(batches, window), "group long, patterns binary"), "patterns")
     out = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"), F.struct(*docs.columns if carry else [F.lit(0).alias("none")]).alias("row"))
-    schema = out.schema
     for group in range(groups):
-        mine = named if groups == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
-        rows = [(r.item_id, r.text) for r in mine.collect()]
-        patterns = spark.sparkContext.broadcast(rows)
-        final = group == groups - 1
-
-        def each(batches: Iterator[pa.RecordBatch], patterns=patterns, final=final) -> Iterator[pa.RecordBatch]:
-            ready = compiled(patterns.value, window)
-            for batch in batches:
-                size, bits, names = [], [], []
-                for (n, hit, ids), was, had in zip(scan(batch.column(1).to_pylist(), ready), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if was:
-                        hit = hit | np.unpackbits(np.frombuffer(was, np.uint8), count=n).astype(bool)
-                    size.append(n)
-                    bits.append(int(hit.sum()).to_bytes(8, "big") if final else np.packbits(hit).tobytes())
-                    names.append(sorted({*ids, *had}) if had else ids)
-                texts = pa.nulls(batch.num_rows, pa.string()) if final else batch.column(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(size, pa.int64()), batch.column(5)], names=["doc_id", "text", "hits", "item_ids", "n_words", "row"])
-
-        out = out.mapInArrow(each, schema)
+        final, last = group == groups - 1, out
+        out = _searched(out, patterns.where(F.col("group") == group).select("patterns"), final)
+        if not final:
+            out = saved(out, "searched")
+        if 0 < group < groups - 1:
+            drop_saved(last)
+    for used in (cut, patterns):
+        drop_saved(used)
     hit = F.conv(F.hex("hits"), 16, 10).cast("long")
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", *["row"] * carry).withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
 

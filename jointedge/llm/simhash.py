@@ -1,15 +1,16 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a small Hamming distance.
 
 Fingerprints are computed in Arrow batches. Candidate pairs come from a pigeonring filter on distinct fingerprints:
-with the bits cut into ``segments`` on a ring and at most ``distance`` differing bits, some segment starts a chain
-in which each prefix of l segments has at most ``l * distance / segments`` differences. The first link of
-that chain (no difference, when there are more segments than allowed bits) is an equi-join; the longer prefixes are tested on
-the joined rows before the full Hamming check.
-
-A segment value shared by more than ``crowd`` fingerprints would make a quadratic join. Those fingerprints are linked
-another exact way: each is filed under itself and every fingerprint one bit away, and all that are filed under the same
-value are within two bits of each other, so one link to the smallest of them keeps every connection. That costs
-65 rows per fingerprint and holds for ``distance`` up to 2.
+with the bits cut into segments on a ring and at most ``distance`` differing bits, some segment starts a chain
+in which each prefix of l segments has at most ``l * distance / segments`` differences. The links of the chain
+whose budget is zero are an equi-join on their bits; the longer prefixes are tested on the joined rows before the full
+Hamming check. More segments make the exact part of the chain longer (21 bits of 3 segments, 26 of 5, up to 31 of 31), so
+their number is chosen by the count of fingerprints, and a key's share of them stays small on average.
+
+Hot keys (a large group of near copies) remain at any length. A chain value that more than ``crowd`` fingerprints share
+is not joined with itself: its fingerprints are each filed under itself and every fingerprint one bit away, and all
+that are filed under the same value are within two bits of each other, so one link to the smallest of them keeps every
+connection. That costs 65 rows per fingerprint and no pairs, and holds for ``distance`` up to 2.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import as_id, drop_saved, fresh, from_id, map_batches, saved, spread_lookup
@@ -66,29 +67,48 @@ def _mask(bits: list[tuple[int, int]]) -> Column:
     return F.lit(value - (1 << 64) if value >= 1 << 63 else value).cast("long")
 
 
-def _segment(fp: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def exact_length(segments: int, distance: int) -> int:
+    """How many segments a chain begins with whose budget is zero."""
+    return max(n for n in range(segments + 1) if n * distance // segments == 0)
 
 
-def chain_holds(differ: Column, start: int, segments: int, distance: int) -> Column:
-    """Whether the chain that starts at segment ``start`` keeps every prefix within its proportional budget."""
+def segments_for(count: int, distance: int, per_key: int = 8) -> int:
+    """The fewest segments whose exact chains give each key at most ``per_key`` of ``count`` fingerprints on average, 31 at most."""
+    tried = range(distance + 1, 32, max(1, distance))
+    return next((m for m in tried if count <= per_key << (64 * exact_length(m, distance) // m)), tried[-1])
+
+
+def _chain(fp: Column, start: int, segments: int, distance: int) -> Column:
+    """The bits of the exact part of the chain that starts at segment ``start``."""
     bits = segment_bits(segments)
-    held = F.lit(True)
+    return fp.bitwiseAND(_mask([bits[(start + j) % segments] for j in range(exact_length(segments, distance))]))
+
+
+def ring_holds(differ: list[Column], start: int, distance: int) -> Column:
+    """Whether the chain from segment ``start`` of a ring, given the differences of each segment, keeps every prefix within its budget."""
+    segments, held, total = len(differ), F.lit(True), F.lit(0)
     for length in range(1, segments + 1):
-        ring = [bits[(start + j) % segments] for j in range(length)]
-        held = held & (F.bit_count(differ.bitwiseAND(_mask(ring))) <= length * distance // segments)
+        total = total + differ[(start + length - 1) % segments]
+        held = held & (total <= length * distance // segments)
     return held
 
 
-def links(distinct: DataFrame, distance: int = 2, segments: int = 3, crowd: int = 64) -> DataFrame:
+def chain_holds(differ: Column, start: int, segments: int, distance: int) -> Column:
+    """``ring_holds`` for the differing bits of two 64-bit fingerprints."""
+    return ring_holds([F.bit_count(differ.bitwiseAND(_mask([b]))) for b in segment_bits(segments)], start, distance)
+
+
+def links(distinct: DataFrame, distance: int = 2, segments: int | None = None, crowd: int = 64) -> DataFrame:
     """a < b for fingerprints of ``distinct`` (one column fp): connected by these exactly as by all pairs within ``distance`` bits.
 
-    Pairs from uncrowded segments are each within ``distance``; so are the links of crowded ones.
+    Pairs from uncrowded chains are each within ``distance``; so are the links of crowded ones.
     """
+    if segments is None:
+        segments = segments_for(distinct.count(), distance)
     if not 0 <= distance <= 2 or distance >= segments:
         raise ValueError("distance is 0, 1 or 2 and below the number of segments")
     fp = F.col("fp")
-    filed = distinct.select("fp", F.posexplode(F.array(*(_segment(fp, at, width) for at, width in segment_bits(segments)))).alias("part", "value"))
+    filed = distinct.select("fp", F.posexplode(F.array(*(_chain(fp, start, segments, distance) for start in range(segments)))).alias("part", "value"))
     crowded = saved(filed.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
     where = saved(spread_lookup(filed, ["part", "value"], F.col("fp"), crowded, "n", ["n"]), "filed")
     calm = where.where(F.col("n").isNull())
@@ -113,28 +133,34 @@ def links(distinct: DataFrame, distance: int = 2, segments: int = 3, crowd: int
     return pairs.union(star.where("a < b")).distinct()
 
 
-def components(edges: DataFrame, limit: int = 1000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node reachable over ``edges`` (a, b), for each node that has an edge.
 
     Each round takes the least label among the neighbours, then the label of that label, and writes the result to the
-    shared folder, so the rounds grow with the logarithm of the longest path in the usual case and lineage stays short.
+    shared folder, so the rounds grow with the logarithm of the longest path in the usual case and lineage stays short. Nodes
+    with very many edges and labels of very many nodes are looked up as hot keys.
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    for _ in range(limit):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
-        hop = labels.select(F.col("node").alias("now"), F.col("label").alias("far")).where("far < now")
-        new = saved(near.join(hop, "now", "left").select("node", "was", F.least("now", "far").alias("label")), "labels")
-        moved = new.where("label < was").limit(1).count()
-        drop_saved(labels)
+    degrees = saved(both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.col("a"), F.min("b")).alias("label")), "degrees")
+    nodes, ends = degrees.agg(F.count("*"), F.sum("n")).first()
+    labels, moved = saved(degrees.select(F.col("a").alias("node"), "label"), "labels"), True
+    while moved:
+        named = degrees.select(F.col("a").alias("b"), "n").join(labels.withColumnRenamed("node", "b"), "b")
+        told = spread_lookup(both, ["b"], F.col("a"), named, "n", ["label"], ends or 0)
+        heard = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        near = saved(labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("now")), "near")
+        hop = near.groupBy("now").agg(F.count("*").alias("n")).join(labels.select(F.col("node").alias("now"), F.col("label").alias("far")), "now").where("far < now")
+        new = spread_lookup(near, ["now"], F.col("node"), hop, "n", ["far"], nodes)
+        seen = Observation()
+        new = saved(new.select("node", "was", F.least("now", "far").alias("label")).observe(seen, F.count_if(F.col("label") < F.col("was")).alias("moved")), "labels")
+        moved = seen.get["moved"] > 0
+        for old in (labels, near):
+            drop_saved(old)
         labels = new.select("node", "label")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {limit} rounds")
+    return labels
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, shingle_words: int = 3, segments: int = 3, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 2, shingle_words: int = 3, segments: int | None = None, crowd: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for each row of ``docs``.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that share a doc_id each get a row. A null
