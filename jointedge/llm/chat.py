@@ -79,13 +79,24 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
-def rows_as_events(conversations: DataFrame) -> DataFrame:
-    """Each row of (conv_id, turn, role, text) as an event that opens a message; rows of equal turn by role, then text, each kept."""
+def rows_as_events(conversations: DataFrame, streamed: str = "assistant") -> DataFrame:
+    """The log that leads to the rows of (conv_id, turn, role, text), rows of equal turn by role, then text, each kept.
+
+    A message of role ``streamed`` begins as a draft, is regenerated and arrives in three deltas. Any other begins with half
+    its text, is answered at once, and its edit to the whole text takes that answer back.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    n = F.row_number().over(order)
-    return conversations.select("conv_id", n.alias("seq"), F.lit("open").alias("kind"), n.alias("message"), "role", "text")
+    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("n"))
+    third = F.ceil(F.length("text") / 3).cast("int")
+    part = lambda i: F.substring(F.col("text"), third * i + 1, third)
+    event = lambda step, kind, message, role, text: F.struct((F.col("n") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), message.alias("message"), role.alias("role"), text.alias("text"))
+    n, none = F.col("n"), F.lit(None).cast("string")
+    arrives = [event(0, "open", n, F.col("role"), part(0)), event(1, "delta", n, none, part(2)), event(2, "regenerate", n, none, none), *(event(3 + i, "delta", n, none, part(i)) for i in range(3))]
+    changes = [event(0, "open", n, F.col("role"), part(0)), event(1, "open", -n, F.lit(streamed), part(1)), event(2, "edit", n, none, F.col("text"))]
+    log = F.when(F.col("role") == streamed, F.array(*arrives)).otherwise(F.array(*changes))
+    return rows.select("conv_id", F.inline(log))
 
 
 def formatted(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans for conversations given as rows by turn; see ``reconstruct`` and ``render``."""
-    return render(reconstruct(rows_as_events(conversations)), trained)
+    return render(reconstruct(rows_as_events(conversations, trained)), trained)

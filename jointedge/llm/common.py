@@ -44,12 +44,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 _OPEN: list[list[str]] = []
 
 
+def saved_apart(df: DataFrame, name: str) -> DataFrame:
+    """``saved``, but the table outlives an open ``temporary`` block."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: no lineage, and nothing lost with an executor."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
     for made in _OPEN[-1:]:
         made.append(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -66,7 +73,7 @@ def drop_saved(df: DataFrame) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``saved`` writes inside are deleted at the end; what is to last must be saved after the block's tables are read."""
+    """Tables that ``saved`` writes inside are deleted at the end; what is to last is written by ``saved_apart``."""
     _OPEN.append([])
     try:
         yield

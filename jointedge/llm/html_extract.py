@@ -3,8 +3,9 @@
 A page is read once into blocks of text, each with its root-to-leaf tag path. Per path, text length and punctuation per
 block are added up, smoothed over paths that follow one another, fused into one score (reduced by the share of link
 text) and compared with a threshold; blocks on the paths above it are the content. Elements that say what they are (navigation,
-forms, scripts, adverts by class, comment threads ...) are no candidates, and where a page marks an article, its paths
-are raised by the threshold, so that their links cost them nothing; all other paths are held against it as on any page.
+forms, scripts, adverts by class, comment threads ...) are no candidates. A page's own marks are one feature of the score: the
+marked article (of several, those with the most unlinked text) raises its paths by the threshold, so that links and short lines
+inside cost them nothing; lesser ones, as teasers are, lower theirs. All other paths are held against it as on any page.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ NOISE = frozenset(
     "sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer footers masthead comment comments commentlist disqus respond replies share sharing social "
     "related recommended recommendations newsletter subscribe subscription login signin signup pagination pager widget widgets toolbar copyright legal".split()
 )
-CONTENT = frozenset("article content post entry main story text body".split())
+UNLESS = frozenset("has with no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 html body".split())
 
 _TOKEN = re.compile(
@@ -45,16 +46,18 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _WORD = re.compile(r"[a-z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿、。，！？…]")
 
 
 def _noisy(tag: str, rest: str, marked: bool) -> bool:
+    """Whether an element says that it is no content. In class and id a noise word counts wherever it stands (``post-comments``,
+    ``comment-body``), but not in names like ``has-sidebar``, which tell of something else."""
     if tag in BOILERPLATE or tag == "header" and not marked:
         return True
-    if not rest.strip() or tag in HEADINGS or tag in MARKED:
+    if not rest.strip() or tag in HEADINGS or tag in MARKED and not marked:
         return False
-    names: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -62,62 +65,94 @@ def _noisy(tag: str, rest: str, marked: bool) -> bool:
         if key == "role" and value.strip() in ROLES:
             return True
         if key in ("class", "id"):
-            names.update(_WORD.findall(value))
-    return bool(names & NOISE) and not names & CONTENT
-
-
-def blocks(html: str) -> list[tuple[str, str, int, bool]]:
-    """Text, tag path, length of its link text, and whether it is in a marked article, of each candidate block in page order."""
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noisy, marked; both hold for what is inside
+            for name in value.split():
+                words = set(_WORD.findall(name))
+                if words & NOISE and not words & UNLESS:
+                    return True
+    return False
+
+
+class Open:
+    """The open elements of a page. Each knows the number of its path, whether it is noise, and the marked article it is in."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, path, noisy, article (0: none)
+        self.count: dict[str, int] = {}
+        self.paths: dict[tuple[int, str], int] = {}
+        self.articles = 0
+        self.path, self.noisy, self.article = 0, False, 0
+
+    def push(self, tag: str, rest: str) -> None:
+        noisy = self.noisy or _noisy(tag, rest, self.article > 0)
+        step = tag
+        if tag in MARKED and not noisy:
+            self.articles += 1
+            self.article, step = self.articles, f"{tag} {self.articles}"  # each has paths of its own
+        if tag not in INLINE:
+            self.path = self.paths.setdefault((self.path, step), len(self.paths) + 1)
+        self.noisy = noisy
+        self.stack.append((tag, self.path, self.noisy, self.article))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self, depth: int) -> None:
+        for tag, *_ in self.stack[depth:]:
+            self.count[tag] -= 1
+        del self.stack[depth:]
+        self.path, self.noisy, self.article = self.stack[-1][1:] if self.stack else (0, False, 0)
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open element of a tag, or -1; only what a close then removes is looked at."""
+        if not self.count.get(tag):
+            return -1
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag)
+
+
+def blocks(html: str) -> list[tuple[str, int, int, int]]:
+    """Text, number of its tag path, length of its link text, and its innermost marked article (0: none) of each candidate block in page order."""
+    out: list[tuple[str, int, int, int]] = []
+    held = Open()
     parts: list[str] = []
     links: list[str] = []
     at, size = 0, len(html)
-    noisy = marked = False
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 linked = len(" ".join(entities.unescape("".join(links)).split()))
-                out.append((text, "/".join(t for t, _, _ in stack if t not in INLINE), linked, marked))
+                out.append((text, held.path, linked, held.article))
             parts.clear()
         links.clear()
 
-    def pop(depth: int) -> None:
-        nonlocal noisy, marked
-        del stack[depth:]
-        noisy, marked = stack[-1][1:] if stack else (False, False)
-
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
-            if not noisy:
+            if not held.noisy:
                 parts.append(html[at:])
             break
-        if m.start() > at and not noisy:
+        if m.start() > at and not held.noisy:
             piece = html[at : m.start()]
             parts.append(piece)
-            if any(t == "a" for t, _, _ in stack):
+            if held.count.get("a"):
                 links.append(piece)
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
-            if m["cdata"] and not noisy:
+            if m["cdata"] and not held.noisy:
                 parts.append(entities.escape(m["cdata"]))
             continue
         tag, rest = tag.lower(), m["rest"] if m["tag"] else m["rest2"]
         if m["close"] or m["close2"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            depth = held.last(tag)
             if depth < 0:
                 continue
             if tag in CELLS:
                 parts.append(" ")
-            if any(t not in INLINE and t not in CELLS for t, _, _ in stack[depth:]):
+            if any(t not in INLINE and t not in CELLS for t, *_ in held.stack[depth:]):
                 flush()
-            pop(depth)
+            held.pop(depth)
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            end = _END[tag].search(html, at)
             if rest.endswith("/") and tag in ("svg", "math"):
                 continue
             close = html.find(">", end.end()) if end else -1
@@ -133,24 +168,22 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
             elif tag not in INLINE:
                 flush()
             closes = {"p"} if tag in ENDS_P else SAME.get(tag, ())
-            if closes:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in closes:
-                        pop(depth)
+            if any(held.count.get(t) for t in closes):
+                for depth in range(len(held.stack) - 1, -1, -1):
+                    if held.stack[depth][0] in closes:
+                        held.pop(depth)
                         break
-                    if stack[depth][0] not in INLINE and stack[depth][0] not in CELLS:
+                    if held.stack[depth][0] not in INLINE and held.stack[depth][0] not in CELLS:
                         break
             if not rest.endswith("/") or tag not in INLINE:
-                noisy = noisy or _noisy(tag, rest, marked)
-                marked = marked or tag in MARKED
-                stack.append((tag, noisy, marked))
+                held.push(tag, rest)
     flush()
     return out
 
 
-def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
+def path_scores(found: list[tuple[str, int, int, int]]) -> dict[int, float]:
     """The fused, smoothed ratio of each path: text length and punctuation per block, less link text."""
-    total: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for text, path, linked, _ in found:
         t = total.setdefault(path, [0, 0, 0, 0])
         for i, x in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), linked)):
@@ -165,19 +198,29 @@ def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
     return dict(zip(total, smooth))
 
 
+def stories(found: list[tuple[str, int, int, int]]) -> set[int]:
+    """The marked articles with the most unlinked text, or at least half as much."""
+    size: dict[int, int] = {}
+    for text, _, linked, article in found:
+        if article:
+            size[article] = size.get(article, 0) + len(text) - linked
+    return {k for k, n in size.items() if 2 * n >= max(size.values())}
+
+
 def main_text(html: str | None, threshold: float = 0.3) -> str:
     """The content blocks, two newlines apart; empty for a null or empty page.
 
-    A path is content if its score reaches ``threshold`` times the mean over all text; a marked article adds as
-    much to the scores of its paths.
+    A path is content if its score reaches ``threshold`` times the mean over all text; the page's marked article adds as
+    much to the scores of its blocks, and lesser ones take as much from theirs.
     """
     found = blocks(html or "")
     if not found:
         return ""
-    score = path_scores(found)
+    score, marked = path_scores(found), stories(found)
     size = sum(len(b[0]) for b in found)
     bar = threshold * sum(len(b[0]) * score[b[1]] for b in found) / size
-    return "\n\n".join(b[0] for b in found if score[b[1]] + bar * b[3] >= bar)
+    mark = lambda article: 1 if article in marked else -1 if article else 0
+    return "\n\n".join(b[0] for b in found if score[b[1]] + bar * mark(b[3]) >= bar)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 Leaves are (domain, lang, source). A token budget flows down the tree: at each node it is dealt to the children by weight, a
 child that cannot absorb its part is filled and the rest goes to its siblings, and as a node's capacity is the sum of its
 leaves', only what a whole subtree cannot absorb reaches the siblings of its ancestors. Each leaf then takes whole
-epochs and a token prefix of one more; each epoch has an order of its own, seeded by md5.
+epochs and a token prefix of one more; each epoch has an order of its own, seeded by md5 of id and text.
 
 The tables of nodes are small (one row per leaf). The prefix is found in two steps: token sums by hash range give the
-range where the budget ends, and only rows of that range are put in order, so no leaf meets in one task.
+range where the budget ends, and only rows of that range are put in order, so no leaf meets in one task. A leaf of n rows has
+about the square root of n ranges of about as many rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,6 @@ from .common import saved
 
 LEVELS = ("domain", "lang", "source")
 LEAVES_BROADCAST = 100_000  # more leaves meet the rows in a shuffle
-RANGE_DIGITS = 3  # hex digits of the order hash that name a range: 4096 a leaf
 
 
 def n_tokens(text: Column) -> Column:
@@ -28,8 +29,14 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_hash(doc_id: Column, epoch: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_hash(doc_id: Column, mark: Column, epoch: Column, seed: int) -> Column:
+    """Rows without an id, or with the same one, are apart by ``mark``, the md5 of their texts."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")), mark))
+
+
+def range_digits(rows: int) -> int:
+    """Hex digits of the order hash that name a range, for about the square root of ``rows`` ranges."""
+    return max(1, round(math.log(max(rows, 1), 16) / 2))
 
 
 def _weights(node: Column, weights: dict[str, int], default: int) -> Column:
@@ -68,31 +75,36 @@ def leaf_budgets(leaves: DataFrame, total: int, weights: dict[str, dict[str, int
     return held.join(level, list(LEVELS)).select(*LEVELS, "tokens", "budget")
 
 
-def mixture(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget_percent: int = 50, max_epochs: int = 2, seed: int = 20240601) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens and epochs (times it is taken) for each row that is taken at least once.
+def mixture(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget_percent: int = 50, max_epochs: int = 2, seed: int = 20240601, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, epochs (times it is taken) and the ``carry`` columns for each row that is taken at least once.
 
     The budget is ``budget_percent`` of the tokens of all rows. A leaf takes ``budget div tokens`` whole epochs, then, of the
-    next epoch's order (md5 of seed, epoch and doc_id, ties by doc_id and tokens), the rows whose running token sum stays within
-    the rest. Rows without tokens are never taken; null domain, lang or source is the empty string. Rows that repeat are
+    next epoch's order (md5 of seed, epoch, doc_id and text, ties by doc_id and tokens), the rows whose running token sum stays
+    within the rest. Rows without tokens are never taken; null domain, lang or source is the empty string. Rows that repeat are
     rows of their own. Other columns are not read.
     """
     named = docs.select(
-        F.col("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")))), n_tokens(F.col("text")).alias("n_tokens")
-    )
-    rows = saved(named.where("n_tokens > 0"), "tokens")
-    leaves = saved(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_percent // 100
-    plan = leaf_budgets(leaves, total, weights, max_epochs).select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
+        F.col("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")))), n_tokens(F.col("text")).alias("n_tokens"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("mark"), *carry,
+    ).where("n_tokens > 0")
+    rows = saved(named.drop(*carry), "tokens")
+    leaves = saved(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
+    count, most, tokens = leaves.agg(F.count("*"), F.max("rows"), F.sum("tokens")).first()
+    plan = leaf_budgets(leaves, (tokens or 0) * budget_percent // 100, weights, max_epochs).select(*LEVELS, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
     plan = saved(plan, "plan")
-    small = F.broadcast if leaves.count() <= LEAVES_BROADCAST else lambda df: df
-    ordered = rows.join(small(plan), list(LEVELS)).withColumn("hash", order_hash(F.col("doc_id"), F.col("whole") + 1, seed)).withColumn("range", F.substring("hash", 1, RANGE_DIGITS))
-    sums = ordered.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
+    small = F.broadcast if count <= LEAVES_BROADCAST else lambda df: df
+
+    def ordered(held: DataFrame) -> DataFrame:
+        placed = held.join(small(plan), list(LEVELS)).withColumn("hash", order_hash(F.col("doc_id"), F.col("mark"), F.col("whole") + 1, seed))
+        return placed.withColumn("range", F.substring("hash", 1, range_digits(most or 0)))
+
+    sums = ordered(rows).groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
     before = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")
     ends = saved(sums.withColumn("before", before).where("before <= rest and before + sum > rest").select(*LEVELS, F.col("range").alias("end"), "before"), "ends")
-    cut = ordered.join(small(ends), list(LEVELS), "left")
+    cut = ordered(named if carry else rows).join(small(ends), list(LEVELS), "left")
     inside = cut.where("range = end")
     running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("more", F.when(F.col("before") + running <= F.col("rest"), 1).otherwise(0))
     outside = cut.where("end is null or range <> end").withColumn("more", F.when((F.col("rest") > 0) & (F.col("end").isNull() | (F.col("range") < F.col("end"))), 1).otherwise(0))
     out = outside.unionByName(inside).withColumn("epochs", F.col("whole") + F.col("more"))
-    return out.where("epochs > 0").select("doc_id", *LEVELS, "n_tokens", "epochs")
+    return out.where("epochs > 0").select("doc_id", *LEVELS, "n_tokens", "epochs", *carry)

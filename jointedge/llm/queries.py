@@ -175,7 +175,7 @@ b{step} AS (SELECT root, {held}, CAST(CASE WHEN a IS NULL THEN capacity ELSE lea
 
 _DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in DOMAINS.items()) + f" ELSE '{OTHER_DOMAIN}' END"
 _MIX_SQL = f"""
-WITH d AS (SELECT doc_id, {_DOMAIN_SQL} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len({_WORDS7}) AS n_tokens FROM documents),
+WITH d AS (SELECT doc_id, {_DOMAIN_SQL} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len({_WORDS7}) AS n_tokens, md5(coalesce(text, '')) AS mark FROM documents),
 rows_ AS (SELECT * FROM d WHERE n_tokens > 0),
 leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM rows_ GROUP BY ALL),
 root_ AS (SELECT 0 AS root, CAST(sum(tokens) AS BIGINT) * {MIX_PERCENT} // 100 AS budget FROM leaves),
@@ -183,7 +183,7 @@ root_ AS (SELECT 0 AS root, CAST(sum(tokens) AS BIGINT) * {MIX_PERCENT} // 100 A
 {_dealt_sql(2, 'b1', ['domain'], 'lang')},
 {_dealt_sql(3, 'b2', ['domain', 'lang'], 'source')},
 plan AS (SELECT domain, lang, source, budget // tokens AS whole, budget % tokens AS rest FROM leaves JOIN b3 USING (domain, lang, source)),
-o AS (SELECT r.*, whole, rest, md5(concat_ws(':', '{MIX_SEED}', CAST(whole + 1 AS VARCHAR), CAST(doc_id AS VARCHAR))) AS h FROM rows_ r JOIN plan USING (domain, lang, source)),
+o AS (SELECT r.*, whole, rest, md5(concat_ws(':', '{MIX_SEED}', CAST(whole + 1 AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), mark)) AS h FROM rows_ r JOIN plan USING (domain, lang, source)),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM c
 WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0

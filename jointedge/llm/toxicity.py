@@ -1,10 +1,11 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-The bag of a word is the word and its character n-grams, hashed into buckets; a misspelling that was never seen shares most
-n-grams with the word it stands for. The bag's embeddings are averaged and a linear softmax classifies the average. A
-document's score is that of its most toxic bag, calibrated: an average over a whole long document would hide one insult.
+A document is read as overlapping passages of a few words. The bag of a passage holds its words and their character n-grams,
+hashed into buckets; a misspelling that was never seen shares most n-grams with the word it stands for. The bag's embeddings
+are averaged and a linear softmax classifies the average. A document's score is that of its most toxic passage,
+calibrated: one average over a whole long document would hide one insult.
 
-Training alternates between choosing, in each labelled document, the bags that decide it under the present model and
+Training alternates between choosing, in each labelled document, the passages that decide it under the present model and
 fitting embeddings and softmax together on these by Adam. As the classifier is linear in the average, scoring folds the model
 into one weight per bucket, and whole texts are scored by a few vector operations per block.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -28,10 +29,12 @@ BUCKETS = 1 << 17
 SIZES = (3, 4, 5)  # of n-grams, in bytes, with a space before and after each word
 WIDTH = 8  # of an embedding
 SEED = 11
-ROUNDS, STEPS, RATE = 5, 60, 0.1
-PARTS = 2  # partial copies of each toxic bag
-DECAY = 1e-4
-MAX_TRAINED = 4000  # labelled documents that a fit takes at most, half of them toxic if there are as many; a documented bound
+PASSAGE, STRIDE = 6, 3  # words of a passage, and from one to the next
+ROUNDS, STEPS, RATE = 5, 50, 0.1
+PARTS = 2  # copies of each toxic passage that hold a random half of its n-grams
+DECAY = 1e-3
+# Documented bounds: labelled documents that a fit takes at most, and bytes of their texts; of each half may be toxic.
+MAX_TRAINED, MAX_BYTES = 4000, 32 << 20
 
 #: Digits, letters and non-ASCII bytes make words; A-Z become a-z.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -74,8 +77,8 @@ def bags(run: list[bytes]) -> Bags:
     return Bags(data, starts, ends, np.searchsorted(last, starts, side="right"), len(run))
 
 
-def word_means(b: Bags, weight: np.ndarray) -> np.ndarray:
-    """The average of ``weight`` over the bag of each word."""
+def word_sums(b: Bags, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of ``weight`` over the bag of each word, and the bag's size."""
     total = weight[b.word_buckets()].astype(np.float64)
     count = np.ones(b.starts.size)
     for n, (code, valid) in zip(SIZES, b.grams()):
@@ -83,7 +86,22 @@ def word_means(b: Bags, weight: np.ndarray) -> np.ndarray:
         first, past = b.starts - 1, np.minimum(np.maximum(b.ends + 1 - n + 1, b.starts - 1), code.size)
         total += sums[past] - sums[first]
         count += past - first
-    return total / count
+    return total, count
+
+
+def passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word past the last, and document of each passage of documents of ``sizes`` words that follow one another."""
+    n = np.where(sizes > 0, np.maximum(0, -(-(sizes - PASSAGE) // STRIDE)) + 1, 0)
+    doc = np.repeat(np.arange(sizes.size), n)
+    stop = np.cumsum(sizes)
+    first = (stop - sizes)[doc] + (np.arange(doc.size) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    return first, np.minimum(first + PASSAGE, stop[doc]), doc
+
+
+def means(total: np.ndarray, count: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """The average over each passage's bag from the sums and sizes of the words' bags."""
+    t, c = (np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (total, count))
+    return (t[past] - t[first]) / (c[past] - c[first])
 
 
 @dataclass
@@ -94,13 +112,16 @@ class Model:
     prior: float = 0.5
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        """The largest word score of each text; a text without words has the least."""
+        """The largest passage score of each text; a text without words has the least."""
         out = []
         for _, run in tb.blocks(texts):
             b = bags(run)
             best = np.full(b.n_docs, -50.0)
-            if b.starts.size:
-                np.maximum.at(best, b.doc, word_means(b, self.weight)) if b.n_docs > b.starts.size else _group_max(best, b.doc, word_means(b, self.weight))
+            first, past, doc = passages(np.bincount(b.doc, minlength=b.n_docs))
+            if doc.size:
+                value = means(*word_sums(b, self.weight), first, past)
+                at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                best[doc[at]] = np.maximum.reduceat(value, at)
             out.append(best)
         return np.concatenate(out) if out else np.empty(0)
 
@@ -110,30 +131,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -40, 40)))
 
 
-def _group_max(best: np.ndarray, group: np.ndarray, values: np.ndarray) -> None:
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    best[group[at]] = np.maximum.reduceat(values, at)
+class Ragged:
+    """Rows of unequal length over one array of members, with sums by row and, turned round, by member."""
+
+    def __init__(self, members: np.ndarray, sizes: np.ndarray):
+        self.members, self.sizes = members, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.row = np.repeat(np.arange(sizes.size), sizes)
+        self.order = np.argsort(members, kind="stable")
+        kept = members[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]]))
+        self.known = kept[self.first]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.members], self.starts)
+
+    def back(self, rows: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, rows.shape[1]), rows.dtype)
+        out[self.known] = np.add.reduceat(rows[self.row[self.order]], self.first)
+        return out
 
 
-def _softmax_fit(e: np.ndarray, u: np.ndarray, c: np.ndarray, ids: np.ndarray, bag: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Adam on the weighted cross-entropy of softmax(mean of e over the bag @ u + c), all three trained together."""
-    used, ids = np.unique(ids, return_inverse=True)
-    part = e[used]
-    size = np.bincount(bag, minlength=y.size)[:, None].astype(np.float32)
-    starts = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
-    params = [part, u, c]
+def _softmax_fit(e: np.ndarray, u: np.ndarray, c: np.ndarray, words: Ragged, held: Ragged, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adam on the weighted cross-entropy of softmax(mean of e over the bag @ u + c), all three trained together.
+
+    ``words`` has the buckets of each word, ``held`` the words of each passage.
+    """
+    used, ids = np.unique(words.members, return_inverse=True)
+    words = Ragged(ids, words.sizes)
+    size = held.sums(words.sizes.astype(np.float32))[:, None]
+    params = [e[used], u, c]
     one, two = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = np.eye(2, dtype=np.float32)[y]
     for step in range(1, STEPS + 1):
-        mean = np.add.reduceat(params[0][ids], starts) / size
+        mean = held.sums(words.sums(params[0])) / size
         logit = mean @ params[1] + params[2]
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         g = (p - target) * w[:, None]
-        back = (g @ params[1].T / size)[bag]
-        grads = [np.add.reduceat(back[order], first) + DECAY / len(used) * params[0], mean.T @ g + DECAY * params[1], g.sum(axis=0)]
+        back = words.back(held.back(g @ params[1].T / size, words.sizes.size), used.size)
+        grads = [back + DECAY / used.size * params[0], mean.T @ g + DECAY * params[1], g.sum(axis=0)]
         for i, grad in enumerate(grads):
             one[i] = 0.9 * one[i] + 0.1 * grad
             two[i] = 0.99 * two[i] + 0.01 * grad**2
@@ -143,68 +180,81 @@ def _softmax_fit(e: np.ndarray, u: np.ndarray, c: np.ndarray, ids: np.ndarray, b
     return e, params[1], params[2]
 
 
+def _top(value: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """The k passages of the largest value of each document; ``doc`` is sorted."""
+    order = np.lexsort((-value, doc))
+    return order[np.arange(order.size) - np.searchsorted(doc, doc[order]) < k]
+
+
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """A model from whole texts and their 0/1 labels; without both kinds it scores the share of ones, or 0.5."""
     labels = np.asarray(labels, np.int64)
     if not labels.size or labels.min() == labels.max():
         return Model(prior=float(labels.mean()) if labels.size else 0.5)
-    words, word, doc = _vocabulary(texts)
+    words, word, sizes = _vocabulary(texts)
     if not words:
         return Model(prior=float(labels.mean()))
-    ids, bag = _bag_ids(words)
-    starts = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
-    size = np.bincount(bag, minlength=len(words))
+    ids, bag_size = _bag_ids(words)
+    bag_start = np.cumsum(bag_size) - bag_size
+    first, past, doc = passages(sizes)
     # the start: log odds of a bucket's words to be in toxic documents
     n = np.bincount(labels, minlength=2)
-    seen = [np.bincount(ids, np.bincount(word[labels[doc] == k], minlength=len(words))[bag], minlength=BUCKETS) for k in (0, 1)]
+    pairs = np.unique(word.astype(np.int64) * labels.size + np.repeat(np.arange(labels.size), sizes))
+    seen = [np.bincount(ids, np.repeat(np.bincount(pairs[labels[pairs % labels.size] == k] // labels.size, minlength=len(words)), bag_size), minlength=BUCKETS) for k in (0, 1)]
     weight = (np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))).astype(np.float32)
     rng = np.random.default_rng(SEED)
     e = (rng.standard_normal((BUCKETS, WIDTH)) * 0.1).astype(np.float32)
     u = (rng.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32)
     c = np.zeros(2, np.float32)
-    in_toxic = labels[doc] == 1
-    hard = np.zeros(len(words), bool)
+    toxic, hard = labels[doc] == 1, np.zeros(doc.size, bool)
     for _ in range(ROUNDS):
-        value = np.add.reduceat(weight[ids], starts) / size
-        order = np.lexsort((-value[word], doc))
-        first = np.searchsorted(doc[order], doc[order])
-        rank, best = np.arange(order.size) - first, value[word[order[first]]]
-        near = value[word[order]] >= 0.7 * best
-        chosen = np.bincount(word[order[in_toxic[order] & (rank < 3) & near]], minlength=len(words))
-        hard[word[order[~in_toxic[order] & (rank < 4)]]] = True
-        positive, negative = np.flatnonzero((chosen > 0) & ~hard), np.flatnonzero(hard)
+        total = np.add.reduceat(weight[ids], bag_start)[word]
+        value = means(total, bag_size[word], first, past)
+        top = _top(value, doc, 4)
+        hard[top[~toxic[top]]] = True
+        top = _top(value, doc, 2)
+        positive, negative = top[toxic[top]], np.flatnonzero(hard)
         if not positive.size or not negative.size:
             break
-        # each toxic bag also in parts, so that what is left of a misspelt word still counts
-        take = [(i, ids[starts[i] : starts[i] + size[i]], 1) for i in positive]
-        take += [(i, g[rng.random(g.size) < 0.5], 1) for _ in range(PARTS) for i, g, _ in take[: positive.size]]
-        take += [(i, ids[starts[i] : starts[i] + size[i]], 0) for i in negative]
-        take = [t for t in take if t[1].size]
-        y = np.array([t[2] for t in take], np.int64)
-        w = np.array([min(4.0, chosen[t[0]]) if t[2] else 1.0 for t in take], np.float32)
-        for k in (0, 1):
-            w[y == k] *= 0.5 / w[y == k].sum()
-        e, u, c = _softmax_fit(e, u, c, np.concatenate([t[1] for t in take]), np.repeat(np.arange(len(take)), [t[1].size for t in take]), y, w)
+        # each toxic passage also in parts, so that what is left of a misspelt word still counts
+        chosen = np.concatenate([positive, negative])
+        length = (past - first)[chosen]
+        held = word[np.repeat(first[chosen], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
+        whole = held[: length[: positive.size].sum()]
+        known, held = np.unique(held, return_inverse=True)
+        buckets = [ids[np.repeat(bag_start[known], bag_size[known]) + np.arange(bag_size[known].sum()) - np.repeat(np.cumsum(bag_size[known]) - bag_size[known], bag_size[known])]]
+        counts, members, lengths = [bag_size[known]], [held], [length]
+        for k in range(PARTS):
+            part = np.repeat(np.arange(whole.size), bag_size[whole])
+            every = ids[np.repeat(bag_start[whole], bag_size[whole]) + np.arange(part.size) - np.repeat(np.cumsum(bag_size[whole]) - bag_size[whole], bag_size[whole])]
+            keep = rng.random(part.size) < 0.5
+            keep[np.cumsum(bag_size[whole]) - 1] = True  # no bag is empty
+            buckets.append(every[keep])
+            counts.append(np.bincount(part[keep], minlength=whole.size))
+            members.append(known.size + k * whole.size + np.arange(whole.size))
+            lengths.append(length[: positive.size])
+        y = np.concatenate([np.ones(positive.size, np.int64), np.zeros(negative.size, np.int64), np.ones(PARTS * positive.size, np.int64)])
+        w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
+        e, u, c = _softmax_fit(e, u, c, Ragged(np.concatenate(buckets), np.concatenate(counts)), Ragged(np.concatenate(members), np.concatenate(lengths)), y, w)
         weight = (e @ (u[:, 1] - u[:, 0]) + (c[1] - c[0])).astype(np.float32)
     model = Model(weight, prior=float(labels.mean()))
-    x = model.logits(texts)
-    model.slope, model.shift = _platt(x, labels)
+    model.slope, model.shift = _platt(model.logits(texts), labels)
     return model
 
 
 def _vocabulary(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of all texts, and the pairs of a word and a document that has it, by document."""
+    """The distinct words of all texts, the words of the texts one after another, and how many each text has."""
     known: dict[bytes, int] = {}
-    word, doc = array("i"), array("i")
-    for d, text in enumerate(texts):
-        mine = {known.setdefault(w, len(known)) for w in text.encode("utf-8", "surrogatepass").translate(_FOLD).split()}
+    word, sizes = array("i"), []
+    for text in texts:
+        mine = [known.setdefault(w, len(known)) for w in text.encode("utf-8", "surrogatepass").translate(_FOLD).split()]
         word.extend(mine)
-        doc.extend([d] * len(mine))
-    return list(known), np.frombuffer(word, np.int32) if word else np.empty(0, np.int32), np.frombuffer(doc, np.int32) if doc else np.empty(0, np.int32)
+        sizes.append(len(mine))
+    return list(known), np.frombuffer(word, np.int32) if word else np.empty(0, np.int32), np.array(sizes, np.int64)
 
 
 def _bag_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all bags, sorted by bag, and the bag of each."""
+    """Buckets of all bags, one after another, and the size of each."""
     b = bags(words)
     ids, owner = [b.word_buckets()], [np.arange(b.starts.size)]
     for code, valid in b.grams():
@@ -213,8 +263,7 @@ def _bag_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids.append(code[at])
         owner.append(np.minimum(word, b.starts.size - 1))
     ids, owner = np.concatenate(ids), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return ids[order], owner[order].astype(np.int32)
+    return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -232,15 +281,19 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most MAX_TRAINED labelled documents, the least by hash of their ids.
+    """A model from at most MAX_TRAINED labelled documents, the least by hash of their ids, and MAX_BYTES of their texts.
 
-    They are chosen on ids alone, so of the texts only theirs move.
+    They are chosen on ids and lengths, so of the texts only theirs move.
     """
     known = labelled_rows(docs.select("doc_id"), labels, "toxic").select("doc_id", "y").distinct()
     half = MAX_TRAINED // 2
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("y = 1").orderBy(*order).limit(half).unionAll(known.where("y = 0").orderBy(*order).limit(half))
-    named = F.broadcast(chosen.select(F.col("doc_id").alias("__chosen"), "y"))  # at most MAX_TRAINED rows
+    here = F.broadcast(chosen.select(F.col("doc_id").alias("__chosen"), "y"))  # at most MAX_TRAINED rows
+    sizes = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).cast("long").alias("size")).join(here, F.col("doc_id") == F.col("__chosen"))
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(*order))
+    within = sizes.groupBy("doc_id", "y").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).withColumn("upto", upto).where(F.col("upto") <= MAX_BYTES // 2)
+    named = F.broadcast(within.select(F.col("doc_id").alias("__chosen"), "y"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, F.col("doc_id") == F.col("__chosen"))
     # one task trains, as the sample is bounded; the driver gets half a megabyte of weights
     found = rows.repartition(1).sortWithinPartitions("doc_id", "y", "text").select("text", "y").mapInArrow(_train_task, "weight binary, slope double, shift double, prior double").collect()
@@ -280,7 +333,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows predicted toxic; rows are judged one by one where they are read, and nothing is shuffled."""
+    """``docs`` without the rows predicted toxic; rows are judged one by one where they are read, and nothing is shuffled.
+
+    A null or empty text has the least score and stays; repeats are judged alike; an empty table, or labels of one kind, leave
+    every row whose score, then the share of ones, is below the threshold. Columns come along whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 

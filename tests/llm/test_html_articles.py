@@ -21,4 +21,50 @@ def test_pages_with_no_or_several_articles():
 
 
 def test_link_text_is_counted_decoded():
-    assert blocks("<p><a>&lt;&amp;&gt;</a> bc</p>")[0][:3] == ("<&> bc", "p", 3)
+    assert blocks("<p><a>&lt;&amp;&gt;</a> bc</p>")[0][::2] == ("<&> bc", 3)
+
+
+def test_noise_wins_over_content_words_and_teasers_go():
+    thread = '<div class="post-comments"><p>Nice one, thanks, really.</p></div><div class="comment-body"><p>So true, all of it, yes.</p></div><div id="main-nav"><p>News, sport, more of it.</p></div>'
+    for page in (f"<body><div class=wrap>{STORY}{thread}</div></body>", f"<body><article>{STORY}{thread}</article></body>", f"<body><article>{STORY}<article class=comment><p>Reader, here, with some words.</p></article></article></body>"):
+        text = main_text(page)
+        assert text.count("Long sentence") == 6 and not any(w in text for w in ("thanks", "true", "News", "Reader"))
+    assert main_text(f'<body><div class="content has-sidebar">{STORY}</div></body>').count("Long sentence") == 6
+    teaser = main_text(f"<body><article><h1>Title</h1>{STORY}</article><article><p><a href=1>Other story</a> in short.</p></article></body>")
+    assert teaser.startswith("Title") and teaser.count("Long sentence") == 6 and "Other" not in teaser
+
+
+def brute_paths(blocks_, threshold=0.3):
+    """Path scores by their definition, over lists: the mean size and punctuation of a path, smoothed over its neighbours, less links."""
+    order = list(dict.fromkeys(b[1] for b in blocks_))
+    mine = {p: [b for b in blocks_ if b[1] == p] for p in order}
+    size = {p: sum(len(b[0]) for b in mine[p]) / len(mine[p]) for p in order}
+    points = {p: sum(sum(c in ".,;:!?" for c in b[0]) for b in mine[p]) / len(mine[p]) for p in order}
+    unlinked = {p: 1 - sum(b[2] for b in mine[p]) / sum(len(b[0]) for b in mine[p]) for p in order}
+    score = {}
+    for i, p in enumerate(order):
+        near = [(q, 2 if q == p else 1) for q in order[max(0, i - 1) : i + 2]]
+        mean = lambda v: sum(v[q] * w for q, w in near) / sum(w for _, w in near)
+        score[p] = (mean(size) * (1 + mean(points))) ** 0.5 * unlinked[p]
+    bar = threshold * sum(len(b[0]) * score[b[1]] for b in blocks_) / sum(len(b[0]) for b in blocks_)
+    return [b[0] for b in blocks_ if score[b[1]] >= bar]
+
+
+def test_unmarked_pages_follow_the_path_scores():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(50):
+        page = "".join(f"<{t}>" + "".join(f"<p>{'word, ' * rng.randrange(1, 60)}</p>" if rng.random() < 0.7 else f"<p><a>{'link ' * rng.randrange(1, 9)}</a> x</p>" for _ in range(rng.randrange(1, 5))) + f"</{t}>" for t in rng.choices(["div", "section", "ul", "dl"], k=8))
+        assert main_text(page) == "\n\n".join(brute_paths(blocks(page)))
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        began = time.perf_counter()
+        main_text("<div>x" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
