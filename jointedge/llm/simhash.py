@@ -84,18 +84,22 @@ def _chain(fp: Column, start: int, segments: int, distance: int) -> Column:
     return fp.bitwiseAND(_mask([bits[(start + j) % segments] for j in range(exact_length(segments, distance))]))
 
 
-def ring_holds(differ: list[Column], start: int, distance: int) -> Column:
-    """Whether the chain from segment ``start`` of a ring, given the differences of each segment, keeps every prefix within its budget."""
-    segments, held, total = len(differ), F.lit(True), F.lit(0)
+def chain_holds(differ: Column, start: int, segments: int, distance: int) -> Column:
+    """Whether the chain that starts at segment ``start`` keeps every prefix within its proportional budget."""
+    bits = segment_bits(segments)
+    held = F.lit(True)
     for length in range(1, segments + 1):
-        total = total + differ[(start + length - 1) % segments]
-        held = held & (total <= length * distance // segments)
+        ring = [bits[(start + j) % segments] for j in range(length)]
+        held = held & (F.bit_count(differ.bitwiseAND(_mask(ring))) <= length * distance // segments)
     return held
 
 
-def chain_holds(differ: Column, start: int, segments: int, distance: int) -> Column:
-    """``ring_holds`` for the differing bits of two 64-bit fingerprints."""
-    return ring_holds([F.bit_count(differ.bitwiseAND(_mask([b]))) for b in segment_bits(segments)], start, distance)
+def ring_holds(differ: Column, segments: int, distance: Column) -> Column:
+    """Whether some chain on a ring of segments, given the array of their differences, keeps every prefix within its budget."""
+    places = lambda start: F.transform(F.sequence(F.lit(1), F.lit(segments)), lambda n: F.struct(n.alias("n"), F.get(differ, (start + n - 1) % segments).alias("d")))
+    none = F.struct(F.lit(0).alias("total"), F.lit(True).alias("held"))
+    step = lambda acc, p: F.struct((acc["total"] + p["d"]).alias("total"), (acc["held"] & ((acc["total"] + p["d"]) * segments <= p["n"] * distance)).alias("held"))
+    return F.exists(F.sequence(F.lit(0), F.lit(segments - 1)), lambda start: F.aggregate(places(start), none, step)["held"])
 
 
 def links(distinct: DataFrame, distance: int = 2, segments: int | None = None, crowd: int = 64) -> DataFrame:
