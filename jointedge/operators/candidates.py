@@ -11,6 +11,11 @@ from ..functions import joint, odds, shrink, text
 from .uploads import pair_key
 
 
+def bound(df: DataFrame) -> DataFrame:
+    """The same rows. The columns leave a generator, so no filter is inferred from how they are made, which can take long to plan."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def find_dyads(pairs: DataFrame, dyads: DataFrame) -> DataFrame:
     """Pairs (p1, p2, t, ...) with their dyad in either order of the names; a dyad stored both ways is taken in the pair's own order.
 
@@ -25,6 +30,28 @@ def find_dyads(pairs: DataFrame, dyads: DataFrame) -> DataFrame:
     return x.withColumn("swapped", F.coalesce(swapped, F.lit(False))).withColumn("d", own).select(*pairs.columns, "swapped", *(F.col(f"d.{c}").alias(c) for c in stats))
 
 
+def find_folded(pairs: DataFrame, dyads: DataFrame) -> DataFrame:
+    """``find_dyads`` by folded names of players and team; of dyads that fold alike the one with the least names is taken.
+
+    Distinct names are folded, not rows.
+    """
+    names = [df.select(F.explode(F.array("p1", "p2", "t")).alias("name")) for df in (pairs, dyads)]
+    keys = names[0].union(names[1]).distinct().select("name", text.fold_key(F.col("name")).alias("key"))
+
+    def folded(df: DataFrame) -> DataFrame:
+        for c in ("p1", "p2", "t"):
+            df = df.join(keys.select(F.col("name").alias(c), F.col("key").alias(f"__{c}")), c, "left")
+        return df
+
+    stats = [c for c in dyads.columns if c not in ("p1", "p2", "t")]
+    own = folded(dyads).groupBy("__p1", "__p2", "__t").agg(F.min_by(F.struct(*stats), F.struct("p1", "p2", "t")).alias("d"))
+    own = own.select(*(F.col(f"__{c}").alias(c) for c in ("p1", "p2", "t")), "d.*")
+    asked = folded(pairs)
+    met = asked.select(*(F.col(c).alias(f"own_{c}") for c in ("p1", "p2", "t")), *(F.col(f"__{c}").alias(c) for c in ("p1", "p2", "t")), *(c for c in pairs.columns if c not in ("p1", "p2", "t")))
+    rest = [c for c in pairs.columns if c not in ("p1", "p2", "t")]
+    return find_dyads(met, own).select(*(F.col(f"own_{c}").alias(c) for c in ("p1", "p2", "t")), *rest, "swapped", *stats)
+
+
 _ASKED = ["player", "prop_1", "side_1", "line_1", "prop_2", "side_2", "line_2"]
 
 
@@ -35,6 +62,7 @@ def nearest_entries(tickets: DataFrame, entries: DataFrame) -> DataFrame:
     Only distinct line pairs meet: of the entries with the same legs the best is kept, and equal tickets ask once, so a
     popular player costs line pairs and not rows squared.
     """
+    tickets, entries = bound(tickets), bound(entries)
     t = tickets.select(*_ASKED).distinct().withColumn("pair", pair_key(F.col("prop_1"), F.col("side_1"), F.col("prop_2"), F.col("side_2")))
     legs = F.struct(F.col("leg1.prop").alias("prop"), F.col("leg1.side").alias("side"), F.col("leg1.line").alias("line"), F.col("leg2.line").alias("other"))
     e = entries.select(
@@ -68,19 +96,20 @@ def gated_entries(found: DataFrame, min_games: int = 0, max_p: float = 1.0, prop
     return out if known is None else out.join(known, "player", "left_semi")
 
 
-def resolved_combos(found: DataFrame, combos: DataFrame, baselines: DataFrame) -> DataFrame:
+def resolved_combos(found: DataFrame, combos: DataFrame, baselines: DataFrame, mode: str = "blended") -> DataFrame:
     """Combos of the dyads that ``find_dyads`` gave pairs (p1, p2, t, slot1, slot2, swapped), in the dyad's own order.
 
-    asked counts the pairs with these players and slots; r is the dyad's correlation drawn toward the slot pair's. Equal pairs
-    are counted first, so a pair that plays often meets its combos once.
+    asked counts the pairs with these players and slots; r and r_margin are the dyad's correlations drawn toward the slot pair's
+    as ``mode`` says. Equal pairs are counted first, so a pair that plays often meets its combos once. There are at most 72 slot
+    pairs, so the baselines are a small table of 72 rows a combo and are broadcast.
     """
     turn = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
     asked = found.groupBy(turn("p1", "p2").alias("p1"), turn("p2", "p1").alias("p2"), "t", turn("slot1", "slot2").alias("slot1"), turn("slot2", "slot1").alias("slot2")).agg(F.count("*").alias("asked"))
-    own = combos.select("p1", "p2", "t", "leg1", "leg2", "games", F.col("r_binary").alias("own"))
-    base = baselines.select("slot1", "slot2", "leg1", "leg2", F.col("r_binary").alias("base"), F.lit(True).alias("known"))
-    x = asked.join(own, ["p1", "p2", "t"]).join(base, ["slot1", "slot2", "leg1", "leg2"], "left")
-    res = shrink.resolve_dyad_r(F.col("own"), F.col("base"), F.coalesce("known", F.lit(False)), F.col("games"))
-    return x.withColumn("res", res).select("p1", "p2", "t", "slot1", "slot2", "leg1", "leg2", "asked", "games", "res.r", "res.fallback")
+    own = combos.select("p1", "p2", "t", "leg1", "leg2", "games", F.col("r_binary").alias("own"), F.col("r_margin").alias("own_margin"))
+    base = baselines.select("slot1", "slot2", "leg1", "leg2", F.col("r_binary").alias("base"), F.col("r_margin").alias("base_margin"), F.lit(True).alias("known"))
+    x = asked.join(own, ["p1", "p2", "t"]).join(F.broadcast(base), ["slot1", "slot2", "leg1", "leg2"], "left")
+    res, margin = (shrink.resolve_dyad_r(F.col(f"own{k}"), F.col(f"base{k}"), F.coalesce("known", F.lit(False)), F.col("games"), mode) for k in ("", "_margin"))
+    return x.withColumns({"res": res, "margin": margin}).select("p1", "p2", "t", "slot1", "slot2", "leg1", "leg2", "asked", "games", "res.r", F.col("margin.r").alias("r_margin"), "res.fallback")
 
 
 def fair_values(candidates: DataFrame, props: DataFrame) -> DataFrame:
@@ -111,8 +140,14 @@ def finalised(candidates: DataFrame) -> DataFrame:
 
 
 def merged_prices(candidates: DataFrame, prices: DataFrame) -> DataFrame:
-    """Prices (candidate_id, matched, offered, missing) by candidate; those without one keep a reason."""
+    """Prices (candidate_id, matched, offered, decimal, missing) by candidate (fv_joint, model_joint), with EV and edge anew; those without one keep a reason.
+
+    ev_frac is of the joint probability by fair values, edge_points of the model's against the offered price.
+    """
     out = candidates.join(prices, "candidate_id", "left")
+    decimal = F.when(F.col("matched"), F.col("decimal"))
+    implied = F.when(decimal > 0, 1 / decimal)
+    out = out.withColumns({"ev_frac": F.col("fv_joint") * decimal - 1, "edge_points": (F.col("model_joint") - implied) * 100})
     return out.withColumn("price_reason", F.when(F.col("matched").isNull(), "not requested").when(~F.col("matched"), F.coalesce(F.array_join("missing", ", "), F.lit("not matched"))))
 
 
@@ -123,9 +158,12 @@ def matched_names(names: DataFrame, known: DataFrame) -> DataFrame:
     return names.select("player").distinct().withColumn("key", key).join(held, "key", "left").select("player", F.coalesce("found", F.lit(False)).alias("matched"))
 
 
-def gate_reason(n: Column, r: Column, status: Column, min_n: int, min_abs_r: float) -> Column:
-    """Why a candidate does not go on; null if it does. A null r is zero."""
-    return F.when(status == "awaiting", "game awaiting").when(n.isNull(), "no data").when((n < min_n) | (F.abs(F.coalesce(r, F.lit(0.0))) < min_abs_r), "below threshold")
+def gate_reason(n: Column, r: Column, status: Column, min_n: int, min_abs_r: float, team: Column | None = None, teams: list[str] | None = None) -> Column:
+    """Why a candidate does not go on; null if it does. A null r is zero; without ``teams`` all teams do."""
+    skipped = F.when(status == "awaiting", "game awaiting")
+    if teams:
+        skipped = skipped.when(~F.coalesce(team.isin(teams), F.lit(False)), "other team")
+    return skipped.when(n.isNull(), "no data").when((n < min_n) | (F.abs(F.coalesce(r, F.lit(0.0))) < min_abs_r), "below threshold")
 
 
 def funnel(rows: DataFrame) -> DataFrame:
@@ -133,6 +171,12 @@ def funnel(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", F.lit("with data")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def pair_funnel(rows: DataFrame, priced: Column, surviving: Column) -> DataFrame:
+    """Distinct pairs (pair_key) that were emitted, priced and left by the filters, and candidates, by lineup status."""
+    pairs = lambda c: F.count_distinct(F.when(c, F.col("pair_key")))
+    return rows.groupBy("status").agg(F.count("*").alias("candidates"), F.count_distinct("pair_key").alias("emitted"), pairs(priced).alias("priced"), pairs(priced & surviving).alias("surviving"))
+
+
 def slate_coverage(lineup: DataFrame) -> DataFrame:
     """Players and possible pairs by team."""
     n = lineup.groupBy("team_id").agg(F.count_distinct("player").alias("players"))
@@ -144,12 +188,12 @@ def ev_filter(ev_frac: Column, min_pct: float) -> Column:
     return F.coalesce(ev_frac >= min_pct / 100, F.lit(False))
 
 
-def result_filter(rows: DataFrame, min_ev: float | None = None, min_n: int = 0, kinds: list[str] | None = None, confidences: list[str] | None = None, confirmed_only: bool = False) -> DataFrame:
-    """Priced candidates (ev_pct, n, kind, confidence, status) that a reader asked for; a null EV or n never passes its minimum."""
+def result_filter(rows: DataFrame, min_ev: float | None = None, min_n: int = 0, kinds: list[str] | None = None, confidences: list[str] | None = None, teams: list[str] | None = None, games: list[str] | None = None, confirmed_only: bool = False) -> DataFrame:
+    """Priced candidates (ev_pct, n, kind, confidence, team, game, status) that a reader asked for; a null EV or n never passes its minimum."""
     keep = F.coalesce(F.col("n"), F.lit(0)) >= min_n
     if min_ev is not None:
         keep = keep & ev_filter(F.col("ev_pct") / 100, min_ev)
-    for name, allowed in (("kind", kinds), ("confidence", confidences)):
+    for name, allowed in (("kind", kinds), ("confidence", confidences), ("team", teams), ("game", games)):
         if allowed is not None:
             keep = keep & F.col(name).isin(allowed)
     return rows.where(keep & (F.col("status") == "confirmed") if confirmed_only else keep)

@@ -46,44 +46,62 @@ def slot_dyads(rows: DataFrame, stats: list[str]) -> DataFrame:
     return player_dyads(slot_sums(rows, stats), stats)
 
 
+def slot_pair_samples(dyads: DataFrame, seasons: list[int]) -> DataFrame:
+    """slot1, slot2, games, the team games of each slot pair in the pooled ``seasons``, and those of each season."""
+    n = [F.count_if(F.col("season") == s).alias(f"n_{s}") for s in seasons]
+    return dyads.where(F.col("season").isin(*seasons)).groupBy("slot1", "slot2").agg(F.count("*").alias("games"), *n)
+
+
 def slot_samples(sums: DataFrame) -> DataFrame:
     """Per season the team games with two slots or more, and their ordered slot pairs."""
     held = sums.groupBy("season", "gid", "t").agg(F.count("*").alias("k"))
     return held.groupBy("season").agg(F.count_if(F.col("k") >= 2).alias("team_games"), F.sum(F.expr("k * (k - 1)")).alias("dyads"))
 
 
-def combo_aggregates(legs: list[Leg], combos: list[tuple[int, int]]) -> list[Column]:
-    """One struct per combo with its sums: a single pass over the dyads, whatever the number of combos."""
+def _parts(legs: list[Leg], combos: list[tuple[int, int]]) -> dict[str, Column]:
+    """The distinct sums that the combos are made of: combos share the sums of their legs and stats."""
     hit = lambda side, k: leg_hits(F.col(f"{side}_{legs[k][2]}"), legs[k][0], legs[k][1])
-    raw = lambda side, k: F.coalesce(F.col(f"{side}_{legs[k][2]}"), F.lit(0)).cast("long")
-    out = []
-    for i, (a, b) in enumerate(combos):
-        h1, h2, x, y = hit("x", a), hit("y", b), raw("x", a), raw("y", b)
-        out += [F.sum(v).alias(f"c{i}_{k}") for k, v in zip(SUMS[1:], (h1, h2, h1 * h2, x, y, x * x, y * y, x * y))]
-    return [F.count("*").alias("n"), *out]
+    raw = lambda side, s: F.coalesce(F.col(f"{side}_{s}"), F.lit(0)).cast("long")
+    out = {}
+    for a, b in combos:
+        s, t = legs[a][2], legs[b][2]
+        out |= {f"n1_{a}": hit("x", a), f"n2_{b}": hit("y", b), f"n11_{a}_{b}": hit("x", a) * hit("y", b)}
+        out |= {f"x_{s}": raw("x", s), f"y_{t}": raw("y", t), f"xx_{s}": raw("x", s) * raw("x", s), f"yy_{t}": raw("y", t) * raw("y", t), f"xy_{s}_{t}": raw("x", s) * raw("y", t)}
+    return out
 
 
-def long_combos(wide: DataFrame, keys: list[str], combos: list[tuple[int, int]]) -> DataFrame:
-    structs = [F.struct(F.lit(i).alias("idx"), *(F.col(f"c{i}_{k}").alias(k) for k in SUMS[1:])) for i in range(len(combos))]
-    return wide.select(*keys, "n", F.explode(F.array(*structs)).alias("v")).select(*keys, "n", "v.*")
+def combo_aggregates(legs: list[Leg], combos: list[tuple[int, int]]) -> list[Column]:
+    """The sums of all combos: a single pass over the dyads, whatever the number of combos."""
+    return [F.count("*").alias("n"), *(F.sum(v).alias(f"c_{k}") for k, v in _parts(legs, combos).items())]
+
+
+def long_combos(wide: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]]) -> DataFrame:
+    """One row per combo, with its sums from those of its legs and stats."""
+
+    def sums(i: int, a: int, b: int) -> Column:
+        s, t = legs[a][2], legs[b][2]
+        held = {"n1": f"n1_{a}", "n2": f"n2_{b}", "n11": f"n11_{a}_{b}", "x": f"x_{s}", "y": f"y_{t}", "xx": f"xx_{s}", "yy": f"yy_{t}", "xy": f"xy_{s}_{t}"}
+        return F.struct(F.lit(i).alias("idx"), *(F.col(f"c_{v}").alias(k) for k, v in held.items()))
+
+    return wide.select(*keys, "n", F.inline(F.array(*(sums(i, a, b) for i, (a, b) in enumerate(combos)))))
 
 
 def season_moments(dyads: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]]) -> DataFrame:
     """Sums per key, season and combo."""
     wide = dyads.groupBy(*keys, "season").agg(*combo_aggregates(legs, combos))
-    return long_combos(wide, [*keys, "season"], combos)
+    return long_combos(wide, [*keys, "season"], legs, combos)
 
 
-def passing_moments(dyads: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]], current: int) -> DataFrame:
-    """``season_moments`` of the keys that have enough games.
+def passing_moments(dyads: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]], seasons: list[int]) -> DataFrame:
+    """``season_moments`` of the keys that have enough games in the pooled ``seasons``, whose last is the current one.
 
     The games are added up over a key's seasons before the combos are unfolded; what follows by key needs no shuffle.
     """
-    wide = dyads.groupBy(*keys, "season").agg(*combo_aggregates(legs, combos))
+    wide = dyads.where(F.col("season").isin(*seasons)).groupBy(*keys, "season").agg(*combo_aggregates(legs, combos))
     key = Window.partitionBy(*keys)
-    n, now = F.sum("n").over(key), F.sum(F.when(F.col("season") == current, F.col("n")).otherwise(0)).over(key)
+    n, now = F.sum("n").over(key), F.sum(F.when(F.col("season") == seasons[-1], F.col("n")).otherwise(0)).over(key)
     held = wide.withColumns({"__all": n, "__now": now}).where(passes(F.col("__all"), F.col("__now"))).drop("__all", "__now")
-    return long_combos(held, [*keys, "season"], combos)
+    return long_combos(held, [*keys, "season"], legs, combos)
 
 
 def weighted_report(moments: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]], schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
@@ -109,13 +127,13 @@ def passes(n: Column, current: Column) -> Column:
     return F.when(current >= WARM_CURRENT, n >= WARM).otherwise(n >= COLD)
 
 
-def dyad_meta(dyads: DataFrame, current: int) -> DataFrame:
+def dyad_meta(dyads: DataFrame, seasons: list[int]) -> DataFrame:
     """Games, slot gaps, adjacency, usual slots and the slot histogram of each dyad that passes the threshold; ties to the smallest value.
 
-    Dyads are counted by slots and season once, with map-side sums; everything else is made of these counts.
+    The pooled ``seasons`` count, and the last of them as the current one. Dyads are counted by slots and season once, with map-side sums; everything else is made of these counts.
     """
     keys = ["p1", "p2", "t"]
-    counts = dyads.groupBy(*keys, "slot1", "slot2").agg(F.count("*").alias("k"), F.count_if(F.col("season") == current).alias("k_cur"))
+    counts = dyads.where(F.col("season").isin(*seasons)).groupBy(*keys, "slot1", "slot2").agg(F.count("*").alias("k"), F.count_if(F.col("season") == seasons[-1]).alias("k_cur"))
     gap, k = F.abs(F.col("slot1") - F.col("slot2")), F.col("k")
     slots = F.struct(F.concat_ws("_", "slot1", "slot2").alias("slots"), "slot1", "slot2", gap.alias("gap"), "k")
     base = counts.groupBy(*keys).agg(

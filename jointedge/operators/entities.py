@@ -251,6 +251,15 @@ def entity_seasons(rows: DataFrame, seasons: list[int]) -> DataFrame:
     return n.select("p", F.map_from_entries(pairs).alias("starts_by_year"), F.transform(F.filter(pairs, lambda x: x["v"] > 0), lambda x: x["k"]).alias("years"))
 
 
+def pooled_weights(rows: DataFrame, schemes: dict[str, tuple[float, ...]], seasons: list[int]) -> DataFrame:
+    """scheme, p and the normalised weight of each season that an entity has rows of (weight_0 ..), four decimals; null for the others."""
+    n = rows.where(F.col("p").isNotNull() & F.col("season").isin(*seasons)).groupBy("p").agg(*(F.count_if(F.col("season") == s).alias(f"n_{i}") for i, s in enumerate(seasons)))
+    x = with_schemes(n, schemes)
+    there = [F.col(f"n_{i}") > 0 for i in range(len(seasons))]
+    w = normalised(there, [F.col(f"w{i}") for i in range(len(seasons))], F.col("pin"))
+    return x.select("scheme", "p", *(F.when(t, F.round(v, 4)).alias(f"weight_{i}") for i, (t, v) in enumerate(zip(there, w))))
+
+
 def season_blend(df: DataFrame, keys: list[str], value: str, weights: tuple[float, ...], seasons: list[int]) -> DataFrame:
     """base: the weighted mean of the seasons' values (one row per key and season) over the seasons that have one."""
     x = by_season(df, keys, [value], seasons)

@@ -9,14 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Events of one broadcast; more are searched block by block.
-EVENTS_BROADCAST = 10_000
 
+def _text(*columns: str) -> Column:
+    return F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
 
-def classified(markets: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    """Adds is_prop: the market's words hold one of ``include`` and none of ``exclude``."""
-    blob = F.concat_ws(" ", "marketName", "subcategory", "marketType")
-    return markets.withColumn("is_prop", text.has_any(blob, include) & ~text.has_any(blob, exclude))
+
+def classified(markets: DataFrame) -> DataFrame:
+    """Adds is_pitcher, is_batter, is_player (by the words of name, type and subcategory; a player prop is neither of the others),
+    and keeps_pitcher, keeps_batter, keeps_player: whether its subcategory is read for that class."""
+    out = markets.withColumns({f"is_{k}": text.of_class(_text("marketName", "marketType", "subcategory"), words) for k, words in text.PROP_WORDS.items()})
+    out = out.withColumn("is_player", F.col("is_player") & ~F.col("is_pitcher") & ~F.col("is_batter"))
+    return out.withColumns({f"keeps_{k}": text.of_class(F.col("subcategory"), words) for k, words in text.SHELF_WORDS.items()})
+
+
+FEED = "eventId string, markets array<struct<marketId: string, marketName: string, subcategory: string, marketType: string, selections: array<struct<feed_pos: long, selectionId: string, outcomeType: string, points: double>>>>"
+
+
+def flattened_feed(feed: DataFrame) -> DataFrame:
+    """One row per selection of a nested market feed (``FEED``); markets without selections have none."""
+    one = feed.select("eventId", F.explode("markets").alias("m")).select("eventId", "m.*")
+    return one.select("eventId", "marketId", "marketName", "subcategory", "marketType", F.explode("selections").alias("s")).select("eventId", "marketId", "marketName", "subcategory", "marketType", "s.*")
 
 
 def with_selections(markets: DataFrame, selections: DataFrame) -> DataFrame:
@@ -33,20 +45,31 @@ def _first(matches: DataFrame, keys: list[str], order: list[Column], keep: list[
 _LEG = ["player", "direction", "threshold", "stat"]
 
 
-def match_legs(legs: DataFrame, props: DataFrame, half_points: bool = True, prefer_two_way: bool = False) -> DataFrame:
-    """For each leg (leg_id, player, direction, threshold, stat) the first selection that offers it; null selectionId where none does.
+def name_blocks(plain: Column) -> Column:
+    """The keys under which two names that ``names_match`` accepts meet: last word with first letter, and last word alone if it has over three letters.
 
-    Names are blocked on their last word, which every accepting rule shares. Distinct legs meet distinct offers, each with its
-    first selection, so the rows of a popular name are never multiplied. With ``half_points`` Over L also takes L + .5 and
-    Under L takes L - .5 (milestones). With ``prefer_two_way`` selections of O/U subcategories come first.
+    Nameless rows have none, so they meet nobody.
     """
-    a = legs.select(*_LEG).distinct().withColumn("pa", text.plain_name(F.col("player"))).withColumn("last", text.last_token(F.col("pa")))
-    b = props.select(text.plain_name(F.col("player")).alias("pb"), text.selection_direction(F.col("outcomeType")).alias("direction"), "points", "feed_pos", "selectionId", F.concat_ws(" ", "marketName", "subcategory", "marketType").alias("blob"), F.coalesce(F.col("subcategory").contains("O/U"), F.lit(False)).alias("ou"))
-    b = b.groupBy("pb", text.last_token(F.col("pb")).alias("last"), "direction", "points", "blob", "ou").agg(F.min(F.struct("feed_pos", "selectionId")).alias("offer"))
+    last = text.last_token(plain)
+    both = F.when(plain != "", F.concat_ws(" ", F.substring(plain, 1, 1), last))
+    return F.array_compact(F.array(both, F.when(F.length(last) > 3, last)))
+
+
+def match_legs(legs: DataFrame, props: DataFrame, kind: str = "pitcher", half_points: bool = True, prefer_two_way: bool = False) -> DataFrame:
+    """For each leg (leg_id, player, direction, threshold, stat) the first selection of its class that offers it; null selectionId where none does.
+
+    ``kind``: pitcher, batter or player, for the class of markets and the stats known. Names are blocked on keys that every
+    accepting rule shares. Distinct legs meet distinct offers, each with its first selection, so the rows of a popular name
+    are never multiplied. With ``half_points`` Over L also takes L + .5 and Under L takes L - .5 (milestones). With
+    ``prefer_two_way`` selections of O/U subcategories come first.
+    """
+    a = legs.select(*_LEG).distinct().withColumn("pa", text.plain_name(F.col("player")))
+    b = classified(props).where(f"is_{kind}").select(text.plain_name(F.col("player")).alias("pb"), text.selection_direction(F.col("outcomeType")).alias("direction"), "points", "feed_pos", "selectionId", _text("marketName", "subcategory", "marketType").alias("blob"), F.coalesce(F.lower("subcategory").contains("o/u"), F.lit(False)).alias("ou"))
+    b = b.groupBy("pb", "direction", "points", "blob", "ou").agg(F.min(F.struct("feed_pos", "selectionId")).alias("offer")).withColumn("block", F.explode(name_blocks(F.col("pb"))))
     half = F.when(F.col("direction") == "Over", 0.5).otherwise(-0.5)
     accepted = F.array(F.lit(0.0), half) if half_points else F.array(F.lit(0.0))
-    a = a.select("*", F.explode(F.array_distinct(F.transform(accepted, lambda d: F.col("threshold") + d))).alias("points"))
-    hit = a.join(b, ["last", "direction", "points"]).where(text.names_match(F.col("pa"), F.col("pb")) & text.stat_in_blob(F.col("stat"), F.col("blob")))
+    a = a.select("*", F.explode(F.array_distinct(F.transform(accepted, lambda d: F.col("threshold") + d))).alias("points")).withColumn("block", F.explode(name_blocks(F.col("pa"))))
+    hit = a.join(b, ["block", "direction", "points"]).where(text.names_match(F.col("pa"), F.col("pb")) & text.stat_in_blob(F.col("stat"), F.col("blob"), text.STATS_OF[kind]))
     rank = F.struct(F.when(F.col("ou"), 0).otherwise(1).alias("two_way"), "offer") if prefer_two_way else F.struct("offer")
     best = hit.groupBy(*(F.col(c).alias(f"__{c}") for c in _LEG)).agg(F.min(rank).alias("m"))
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _LEG))
@@ -70,30 +93,59 @@ def team_events(teams: DataFrame, events: DataFrame, cities: list[str]) -> DataF
     return teams.withColumn("nick", text.nickname(F.col("team"), cities)).join(by_name, "nick", "left").select("team", "nick", F.col("e.id").alias("event_id"))
 
 
-def events_of_texts(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """Events of free texts (game_id, game): a team name inside the text or the text inside it, a short code, or all words of the text.
+NAMES = 10_000  # distinct names, or fixtures, of a broadcast block
+
+# Words between two teams in a game's text, and the longest that a team's short code is.
+BETWEEN, CODE = ("vs", "at", "v"), 4
+
+
+def _held(texts: DataFrame, names: DataFrame, condition: Column) -> DataFrame:
+    """Distinct texts with the distinct names for which a condition without a key holds: names pass in broadcast blocks of about NAMES."""
+    blocks = names.count() // NAMES + 1
+    parts = [names.where(F.pmod(F.xxhash64(*names.columns), F.lit(blocks)) == b) if blocks > 1 else names for b in range(blocks)]
+    return reduce(DataFrame.union, (texts.join(F.broadcast(part), condition) for part in parts))
+
+
+def events_of_games(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """The first event (by feed_pos) of each candidate (game_id, team, game), and the rule that found it; null where none does.
+
+    A team is looked for first: 1, an event whose short code it is, or one of whose teams' names holds it or is held by it. Without one, a
+    game of two words of up to four letters (words as vs apart) names the event with just these codes: 2. Else the event
+    all words of whose teams' names the game's text holds: 3.
 
-    Events are broadcast in blocks of about EVENTS_BROADCAST, and candidates stream past each block. Rules in this order, then event id.
+    Distinct texts meet distinct names, not rows. Codes meet as keys; what holds what has no key, so distinct teams and games pass
+    the distinct names of the events in broadcast blocks.
     """
-    low = F.lower(F.trim("game"))
-    words = F.filter(F.split(low, r"[^a-z0-9]+"), lambda w: w != "")
-    c = candidates.select("game_id", "game", low.alias("low"), words.alias("words"))
-    e = events.select("id", F.lower("homeTeam").alias("h"), F.lower("awayTeam").alias("w"), F.array(F.lower("homeShort"), F.lower("awayShort")).alias("codes"), F.lower(F.concat_ws(" ", "homeTeam", "awayTeam", "name")).alias("all"))
-    inside = F.col("low").contains(F.col("h")) | F.col("low").contains(F.col("w")) | F.col("h").contains(F.col("low")) | F.col("w").contains(F.col("low"))
-    code = F.arrays_overlap("words", "codes")
-    every = F.forall("words", lambda x: F.col("all").contains(x))
-    rule = F.when(inside, 1).when(code, 2).when(every, 3)
-    blocks = e.count() // EVENTS_BROADCAST + 1
-    parts = [e.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else e for b in range(blocks)]
-    hit = reduce(DataFrame.union, (c.where("low <> ''").join(F.broadcast(part), inside | code | every).withColumn("rule", rule) for part in parts))
-    return candidates.join(_first(hit, ["game_id"], [F.col("rule"), F.col("id")], ["id", "rule"]), "game_id", "left").select("game_id", "game", F.col("id").alias("event_id"), "rule")
+    key = lambda c: text.team_key(F.col(c))
+    c = candidates.select("team", "game").distinct().select("team", "game", key("team").alias("tn"), key("game").alias("gn"))
+    codes = [F.lower(F.coalesce(F.col(k), F.lit(""))) for k in ("homeShort", "awayShort")]
+    e = events.select("id", "feed_pos", *(x.alias(k) for x, k in zip(codes, ("hs", "as"))), key("homeTeam").alias("ht"), key("awayTeam").alias("at"))
+    at = F.struct("feed_pos", "id").alias("e")
+    teams = c.where("tn <> ''").select("tn").distinct()
+    by_code = e.select(F.explode(F.array("hs", "as")).alias("tn"), at).groupBy("tn").agg(F.min("e").alias("e"))
+    names = e.select(F.explode(F.array("ht", "at")).alias("name"), at).where("name <> ''").groupBy("name").agg(F.min("e").alias("e"))
+    inside = _held(teams, names, F.col("name").contains(F.col("tn")) | F.col("tn").contains(F.col("name"))).select("tn", "e")
+    found = teams.join(by_code, "tn").select("tn", "e").union(inside).groupBy("tn").agg(F.min("e").alias("by_team"))
+    games = c.where("gn <> ''").select("gn").distinct().withColumn("parts", F.filter(F.split("gn", " "), lambda w: ~w.isin(*BETWEEN)))
+    pair = lambda a, b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
+    two = (F.size("parts") == 2) & F.forall("parts", lambda w: F.length(w) <= CODE)
+    by_codes = e.select(pair(F.col("hs"), F.col("as")).alias("pair"), at).groupBy("pair").agg(F.min("e").alias("by_codes"))
+    coded = games.where(two).select("gn", pair(F.get("parts", F.lit(0)), F.get("parts", F.lit(1))).alias("pair")).join(by_codes, "pair").select("gn", "by_codes")
+    fixtures = e.where("ht <> '' and at <> ''").groupBy("ht", "at").agg(F.min(at).alias("e"))
+    every = lambda side: F.forall(F.split(side, " "), lambda w: F.col("gn").contains(w))
+    told = _held(games, fixtures, every("ht") & every("at")).groupBy("gn").agg(F.min("e").alias("by_names"))
+    out = c.join(found, "tn", "left").join(coded, "gn", "left").join(told, "gn", "left")
+    out = out.select(F.col("team").alias("__team"), F.col("game").alias("__game"), F.coalesce("by_team", "by_codes", "by_names").alias("e"), F.when(F.col("by_team").isNotNull(), 1).when(F.col("by_codes").isNotNull(), 2).when(F.col("by_names").isNotNull(), 3).alias("rule"))
+    held = candidates.join(out, F.col("team").eqNullSafe(F.col("__team")) & F.col("game").eqNullSafe(F.col("__game")), "left")
+    return held.select("game_id", F.col("e.id").alias("event_id"), "rule")
 
 
 def player_events(players: DataFrame, props: DataFrame) -> DataFrame:
     """The event of the first selection that names each distinct player; null where none does. Distinct names meet, not rows."""
-    a = players.select("player").distinct().withColumn("pa", text.plain_name(F.col("player"))).withColumn("last", text.last_token(F.col("pa")))
-    b = props.groupBy(text.plain_name(F.col("player")).alias("pb")).agg(F.min(F.struct("feed_pos", "eventId")).alias("e")).withColumn("last", text.last_token(F.col("pb")))
-    hit = a.join(b, "last").where(text.names_match(F.col("pa"), F.col("pb"))).groupBy("player").agg(F.min("e").alias("e"))
+    a = players.select("player").distinct().withColumn("pa", text.plain_name(F.col("player")))
+    b = props.groupBy(text.plain_name(F.col("player")).alias("pb")).agg(F.min(F.struct("feed_pos", "eventId")).alias("e"))
+    met = a.withColumn("block", F.explode(name_blocks(F.col("pa")))).join(b.withColumn("block", F.explode(name_blocks(F.col("pb")))), "block")
+    hit = met.where(text.names_match(F.col("pa"), F.col("pb"))).groupBy("player").agg(F.min("e").alias("e"))
     return a.select("player").join(hit, "player", "left").select("player", F.col("e.eventId").alias("event_id"))
 
 
@@ -101,9 +153,10 @@ def leg_combos(legs: DataFrame, size: int = 2) -> DataFrame:
     """All combos of an entity's matched legs (player, leg), each ordered by stat category."""
     cat = text.stat_category(F.col("leg"))
     held = legs.groupBy("player").agg(F.array_sort(F.collect_set(F.struct(cat.alias("cat"), "leg"))).alias("legs"))
-    out = held.select("player", "legs", F.posexplode("legs").alias("i", "a")).select("*", F.posexplode("legs").alias("j", "b")).where("i < j")
+    after = lambda i: F.slice("legs", F.col(i) + 2, F.size("legs"))  # noqa: E731 - only what comes later is unfolded
+    out = held.select("player", "legs", F.posexplode("legs").alias("i", "a")).select("player", "legs", "i", "a", F.posexplode(after("i")).alias("d", "b")).withColumn("j", F.col("i") + F.col("d") + 1)
     if size == 3:
-        out = out.select("*", F.posexplode("legs").alias("k", "c")).where("j < k")
+        out = out.select("player", "a", "b", F.explode(after("j")).alias("c"))
     return out.select("player", *(F.col(f"{x}.leg").alias(f"leg{i}") for i, x in enumerate("abc"[:size], 1)))
 
 

@@ -20,8 +20,9 @@ def starters(box: DataFrame) -> DataFrame:
 
 def last_final(wanted: DataFrame, games: DataFrame, days: int = 3) -> DataFrame:
     """For (team_id, d) the latest Final game of the team in the ``days`` before d; ties to the larger gid."""
-    past = games.where("state = 'Final'").select("team_id", F.col("d").alias("past"), "gid")
-    hit = wanted.join(past, "team_id").where((F.col("past") < F.col("d")) & (F.col("past") >= F.date_sub("d", days)))
+    past = games.where("state = 'Final'").groupBy("team_id", F.col("d").alias("past")).agg(F.max("gid").alias("gid"))
+    asked = wanted.select("team_id", "d", F.explode(F.array(*(F.date_sub("d", i) for i in range(1, days + 1)))).alias("past"))
+    hit = asked.join(past, ["team_id", "past"])
     return hit.groupBy("team_id", "d").agg(F.max(F.struct("past", "gid")).alias("g")).select("team_id", "d", F.col("g.gid").alias("gid"), F.col("g.past").alias("past"))
 
 
@@ -42,6 +43,15 @@ def backfilled(rows: DataFrame, people: DataFrame, key: str, columns: list[str])
     return out.select(*(F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
+# Game types that are no championship games, and the tag of events whose legs can be combined.
+PRACTICE, COMBINED = ("S", "E"), "SGP"
+
+
+def playable(games: DataFrame) -> DataFrame:
+    """Games (game_type, tags: an array) that count and whose legs can be combined; an unknown type counts, no tags do not."""
+    return games.where(~F.coalesce(F.col("game_type").isin(*PRACTICE), F.lit(False)) & F.coalesce(F.array_contains("tags", COMBINED), F.lit(False)))
+
+
 def flattened(slates: DataFrame) -> DataFrame:
     """One row per player of nested slates (game_id, home_lineup, away_lineup: arrays of structs)."""
     one = lambda side: slates.select("game_id", F.lit(side).alias("side"), F.posexplode_outer(f"{side}_lineup").alias("pos", "e")).select("game_id", "side", "pos", "e.*")

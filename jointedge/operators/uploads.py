@@ -20,11 +20,13 @@ def validated(rows: DataFrame) -> DataFrame:
     blank = F.forall(F.array(*(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in COLUMNS)), lambda v: v == "")
     t = lambda c: F.coalesce(F.trim(c), F.lit(""))
     n = lambda c: text.number(F.col(c))
-    x = rows.where(~blank).select(
-        *(c for c in rows.columns if c not in COLUMNS), t("Player_1").alias("player"), t("Player_2").alias("player_2"), t("Prop_1").alias("prop_1"), t("Prop_2").alias("prop_2"), text.side(F.col("Side_1")).alias("side_1"), text.side(F.col("Side_2")).alias("side_2"),
+    values = [
+        t("Player_1").alias("player"), t("Player_2").alias("player_2"), t("Prop_1").alias("prop_1"), t("Prop_2").alias("prop_2"), text.side(F.col("Side_1")).alias("side_1"), text.side(F.col("Side_2")).alias("side_2"),
         n("Line_1").alias("line_1"), n("Line_2").alias("line_2"), n("Total_Games").alias("games"), n("Empirical_Prob").alias("p_joint"), n("P_Value").alias("p_value"), n("Correlation").alias("r_raw"), n("Adjusted_Correlation").alias("r_adj"),
         n("Hit_Rate_1").alias("hit_rate_1"), n("Hit_Rate_2").alias("hit_rate_2"), n("Independent_Prob").alias("p_independent"), n("Adjusted_Prob").alias("adjusted_prob"), F.col("Type").alias("type"),
-    )
+    ]
+    # parsed values leave a generator: filters that are inferred from them would otherwise repeat the parsing, and take long to plan
+    x = rows.where(~blank).select(*(c for c in rows.columns if c not in COLUMNS), F.inline(F.array(F.struct(*values))))
     reason = (
         F.when((F.col("player") == "") | (F.col("player_2") == ""), "missing player name").when(F.col("player") != F.col("player_2"), "cross-player row")
         .when(F.col("side_1").isNull() | F.col("side_2").isNull(), "invalid side").when((F.col("prop_1") == "") | (F.col("prop_2") == ""), "missing prop")
@@ -54,6 +56,12 @@ def index_by_player(good: DataFrame) -> DataFrame:
     return good.groupBy("player").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def index_by_folded(good: DataFrame) -> DataFrame:
+    """The entries of all spellings of a name under its folded form; distinct names are folded, not rows."""
+    keys = good.select("player").distinct().withColumn("key", text.fold_key(F.col("player")))
+    return good.join(keys, "player").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count_distinct("player").alias("names"))
+
+
 def index_by_pair(good: DataFrame) -> DataFrame:
     key = pair_key(F.col("leg1.prop"), F.col("leg1.side"), F.col("leg2.prop"), F.col("leg2.side"))
     return good.groupBy("player", key.alias("pair")).agg(F.array_sort(F.collect_list("id")).alias("ids"))

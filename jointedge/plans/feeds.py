@@ -58,10 +58,11 @@ def distinct_legs(spark, sf_dir):
 
 @query
 def season_files(spark, sf_dir):
-    """Seasons written as JSON, one folder each, and read back with a fixed schema."""
+    """All seasons written as JSON, one folder each, and read back with a fixed schema."""
     path = _shared(spark, "seasons")
-    tables.write_seasons(starts(spark, sf_dir).where(F.col("season").isin(*SEASONS)).select("season", "p", "gid", "K"), path)
-    rows = tables.read_seasons(spark, {s: f"{path}/season={s}" for s in SEASONS}, "p long, gid long, K long", "json")
+    tables.write_seasons(starts(spark, sf_dir).select("season", "p", "gid", "K"), path)
+    held = [r.season for r in tables.manifest(starts(spark, sf_dir)).select("season").collect()]  # a handful
+    rows = tables.read_seasons(spark, {s: f"{path}/season={s}" for s in held}, "p long, gid long, K long", "json")
     tables.require_columns(rows, ["season", "p", "gid", "K"])
     return rows.groupBy("season", "p").agg(F.count("*").alias("n"), F.sum("K").alias("k"))
 
@@ -77,10 +78,12 @@ def entity_documents(spark, sf_dir):
 
 @query
 def dyad_layout(spark, sf_dir):
-    """Dyad records packed by position in the spec, and unpacked."""
+    """Dyad records packed by position in the spec, as JSON text, and unpacked."""
     keys = ["scheme", "p1", "p2", "t"]
     order = {(entities.leg_name(LINEUP_LEGS[a]), entities.leg_name(LINEUP_LEGS[b])): i for i, (a, b) in enumerate(LINEUP_COMBOS)}
-    return dyads.from_positional(dyads.positional(dyad_combos(spark, sf_dir), keys, order), keys, order)
+    packed = dyads.positional(dyad_combos(spark, sf_dir), keys, order)
+    told = packed.select(*keys, F.to_json("combos").alias("told")).select(*keys, F.from_json("told", "array<array<double>>").alias("combos"))
+    return dyads.from_positional(told, keys, order)
 
 
 @query
@@ -102,10 +105,26 @@ def upload_players(spark, sf_dir):
 
 @query
 def slate_rows(spark, sf_dir):
-    """Nested lineups of each game as rows; a side without players keeps one empty row."""
+    """Nested lineups of each game, written as JSON, read and flattened; a side without players keeps one empty row."""
     side = lambda k: F.array_sort(F.collect_list(F.when(F.col("team_id") == k, F.struct("ord", "player"))))
     slates = adapted(spark, sf_dir, "box").groupBy(F.col("gid").alias("game_id")).agg(side(0).alias("home_lineup"), side(1).alias("away_lineup"))
-    return slate.flattened(slates)
+    path = _shared(spark, "slates")
+    slates.write.json(path)
+    side_schema = "array<struct<ord: long, player: long>>"
+    return slate.flattened(spark.read.schema(f"game_id long, home_lineup {side_schema}, away_lineup {side_schema}").json(path))
+
+
+@query
+def feed_selections(spark, sf_dir):
+    """A nested market feed, written as JSON, read and flattened, with the class of each market."""
+    x = _selections(spark, sf_dir)
+    pick = F.struct("feed_pos", "selectionId", "outcomeType", "points")
+    nested = x.groupBy("eventId", "marketId", "marketName", "subcategory", "marketType").agg(F.array_sort(F.collect_list(pick)).alias("selections"))
+    feed = nested.groupBy("eventId").agg(F.collect_list(F.struct("marketId", "marketName", "subcategory", "marketType", "selections")).alias("markets"))
+    path = _shared(spark, "feed")
+    feed.write.json(path)
+    back = markets.classified(markets.flattened_feed(spark.read.schema(markets.FEED).json(path)))
+    return back.select("eventId", "marketId", "selectionId", "feed_pos", "points", "is_pitcher", "is_batter", "is_player")
 
 
 @query
@@ -133,7 +152,7 @@ def market_texts(spark, sf_dir):
     at, points = F.col("feed_pos"), F.col("points")
     stat = text.market_stat(F.col("marketName"), text.PITCHER_MARKETS)
     name = F.concat_ws(" ", "player", "marketName")
-    stats = ["Pitcher Strikeouts", "Earned Runs", "Walks", "Hits Allowed", "Pitching Outs"]
+    stats = ["Pitcher Strikeouts", "Earned Runs", "Walks", "Hits Allowed", "Pitching Outs", "Total Bases", "Home Runs", "Runs Scored", "Singles", "RBIs", "Player", "3-Pointers", "Points", "Team"]
     return _selections(spark, sf_dir).select(
         "selectionId", stat.alias("stat"), text.line_offered(stat, points, text.PITCHER_MARKETS).alias("offered"), text.selection_direction(F.col("outcomeType")).alias("direction"),
         text.selection_points(F.when(at % 3 == 0, points), F.when(at % 3 == 1, points + 1), F.col("outcomeType")).alias("line"),
@@ -159,7 +178,7 @@ def team_events(spark, sf_dir):
 
 @query
 def text_events(spark, sf_dir):
-    return markets.events_of_texts(adapted(spark, sf_dir, "texts"), adapted(spark, sf_dir, "fixtures"))
+    return markets.events_of_games(adapted(spark, sf_dir, "texts"), adapted(spark, sf_dir, "fixtures"))
 
 
 def _legs(spark, sf_dir):
@@ -187,8 +206,10 @@ def price_merge(spark, sf_dir):
     n = F.col("n")
     x = _quotes(spark, sf_dir)
     missing = F.when(n % 3 == 0, F.when(n % 2 == 0, F.array(F.lit("leg1"), F.lit("leg2"))))
-    prices = x.where("american is not null").select("candidate_id", (n % 3 != 0).alias("matched"), F.col("american").alias("offered"), missing.alias("missing"))
-    return candidates.merged_prices(x.select("candidate_id", "r"), prices).select("candidate_id", "r", "offered", "price_reason")
+    prices = x.where("american is not null").select("candidate_id", (n % 3 != 0).alias("matched"), F.col("american").alias("offered"), odds.american_to_decimal(F.col("american")).alias("decimal"), missing.alias("missing"))
+    pa, pb = F.col("pa"), F.col("pb")
+    asked = x.select("candidate_id", "r", (pa * pb).alias("fv_joint"), joint.joint_frechet(pa, pb, F.col("r")).alias("model_joint"))
+    return candidates.merged_prices(asked, prices).select("candidate_id", "r", "offered", F.round("ev_frac", 9).alias("ev_frac"), F.round("edge_points", 9).alias("edge_points"), "price_reason")
 
 
 @query

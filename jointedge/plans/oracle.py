@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from ..functions.text import PLAYER_MARKETS
-from ..operators.entities import combos_of, leg_name
-from ..operators.weights import DYAD_SCHEMES, ENTITY_SCHEMES
-from ..sources.adapters import CURRENT, ENTITY_LEGS, LINEUP_COMBOS, LINEUP_LEGS, SEASONS, STATS, adapted_sql
+from ..sources.adapters import adapted_sql
+
+# What the queries ask for, said again here: nothing but the driver tables' SELECTs is shared with the library.
+SEASONS, CURRENT = [1998, 1999, 2000, 2001], 2001
+STATS = ["K", "ER", "BB", "H", "OUTS"]
+ENTITY_LEGS = [("Over", 25.5, "K"), ("Under", 15.5, "K"), ("Over", 5.5, "ER"), ("Under", 3.5, "ER"), ("Over", 4.5, "BB"), ("Over", 3.5, "H"), ("Under", 2.5, "H"), ("Over", 12.5, "OUTS")]
+LINEUP_LEGS = [("Over", 25.5, "H"), ("Over", 5.5, "R"), ("Over", 4.5, "RBI"), ("Under", 3.5, "TB"), ("Over", 35.5, "H"), ("Under", 10.5, "H"), ("Over", 7.5, "R"), ("Under", 2.5, "R"), ("Over", 6.5, "RBI"), ("Over", 5.5, "TB"), ("Over", 40.5, "HRR"), ("Under", 20.5, "HRR")]
+LINEUP_STATS = ["H", "R", "RBI", "TB", "HRR"]
+LINEUP_COMBOS = [(a, b) for a in range(12) for b in range(12) if a <= b]
+_PAST = {"dyn_16plus": (8, 12, 25, 55), "static": (15, 20, 30, 35), "unweighted": (100, 100, 100, 100)}
+ENTITY_SCHEMES = {k: tuple(w / 100 for w in v) for k, v in {"dyn_1_3": (20, 25, 40, 15), "dyn_4_8": (15, 20, 35, 30), "dyn_9_15": (10, 15, 30, 45), **_PAST}.items()}
+DYAD_SCHEMES = {k: tuple(w / 100 for w in v) for k, v in {"dyn_1_10": (20, 25, 45, 10), "dyn_11_25": (15, 20, 35, 30), "dyn_26_60": (10, 15, 30, 45), "dyn_61plus": _PAST["dyn_16plus"], "static": _PAST["static"], "unweighted": _PAST["unweighted"]}.items()}
 
 SPAN = range(len(SEASONS))
 
 
+def combos_of(legs: list, size: int) -> list[tuple]:
+    return [(i, *c) for i, c in enumerate(combinations(range(len(legs)), size))]
+
+
+def leg_name(leg: tuple) -> str:
+    return " ".join(map(str, leg))
+
+
 def D(x: object) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -50,8 +66,10 @@ def values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
 
-ST = f"st AS ({adapted_sql('starts')})"
-LU = f"lu AS ({adapted_sql('lineups')})"
+ALL_ST, ALL_LU = f"({adapted_sql('starts')})", f"({adapted_sql('lineups')})"
+ST = f"st AS (SELECT * FROM {ALL_ST} WHERE upper(trim(flag)) = 'YES' AND ip > 0)"
+LU = f"lu AS (SELECT *, H + R + RBI AS HRR FROM {ALL_LU} WHERE PA > 0 AND bo IS NOT NULL)"
+IN_SEASONS = f"season IN ({', '.join(map(str, SEASONS))})"
 NAMES = "[" + ", ".join(f"'{leg_name(x)}'" for x in ENTITY_LEGS) + "]"
 STAT = "[" + ", ".join(f"'{x[2]}'" for x in ENTITY_LEGS) + "]"
 HITS = f"h AS (SELECT season, p, [{', '.join(hit(x[2], x) for x in ENTITY_LEGS)}] AS h FROM st)"
@@ -63,27 +81,27 @@ _RAW = " UNION ALL ".join(
     + " FROM st GROUP BY season, p"
     for a, b in combinations(STATS, 2)
 )
-RAW = f"raw AS (SELECT season, p, s1, s2, n, round({pearson('n', 'x', 'y', 'xx', 'yy', 'xy')}, 4) AS r FROM ({_RAW}))"
+RAW = f"raw AS (SELECT season, p, s1, s2, n, round({pearson('n', 'x', 'y', 'xx', 'yy', 'xy')}, 4) + 0.0 AS r FROM ({_RAW}))"
 GIVEN = lambda both, hit: percent(f"round({both} * 10)", f"round({hit} * 10)")
 
 SQL: dict[str, str] = {}
 SQL["season_manifest"] = f'WITH {ST} SELECT season, count(*) AS "rows", CAST(min(d) AS VARCHAR) AS "first", CAST(max(d) AS VARCHAR) AS "last" FROM st GROUP BY season'
-SQL["starter_share"] = f"WITH {ST} SELECT season, n, k, k / {D('n')} AS share FROM (SELECT season, count(*) FILTER (ip > 0) AS n, count(*) FILTER (upper(trim(flag)) = 'YES' AND ip > 0) AS k FROM st GROUP BY season)"
+SQL["starter_share"] = f"WITH st AS {ALL_ST} SELECT season, n, k, k / {D('n')} AS share FROM (SELECT season, count(*) FILTER (ip > 0) AS n, count(*) FILTER (upper(trim(flag)) = 'YES' AND ip > 0) AS k FROM st GROUP BY season)"
 SQL["corpus_summary"] = f'WITH {LU} SELECT season, count(*) AS "rows", count(DISTINCT gid) AS games, count(DISTINCT (gid, t)) AS team_games FROM lu GROUP BY season'
 SQL["entity_means"] = f"WITH {ST} SELECT season, p, count(*) AS n, {', '.join(ratio(f'sum({s})', f'count({s})', 100) + f' AS avg_{s}' for s in STATS)} FROM st GROUP BY season, p"
 SQL["raw_correlations"] = f"WITH {ST}, {RAW} SELECT season, p, s1, s2, CAST(n AS BIGINT) AS n, r FROM raw"
-SQL["entity_pairs"] = f"""WITH {COUNTS}, {RAW}, x AS (SELECT pc.season, pc.p, {NAMES}[a + 1] AS leg1, {NAMES}[b + 1] AS leg2, pc.n, round({phi('pc.n', 'n1', 'n2', 'n11')}, 4) AS r, raw.r AS r_margin,
+SQL["entity_pairs"] = f"""WITH {COUNTS}, {RAW}, x AS (SELECT pc.season, pc.p, {NAMES}[a + 1] AS leg1, {NAMES}[b + 1] AS leg2, pc.n, round({phi('pc.n', 'n1', 'n2', 'n11')}, 4) + 0.0 AS r, raw.r AS r_margin,
   {percent('n1', 'pc.n')} AS hit1, {percent('n2', 'pc.n')} AS hit2, {percent('n11', 'pc.n')} AS both_
   FROM pc LEFT JOIN raw ON raw.season = pc.season AND raw.p = pc.p AND least(s1, s2) = least({STAT}[a + 1], {STAT}[b + 1]) AND greatest(s1, s2) = greatest({STAT}[a + 1], {STAT}[b + 1]) WHERE {STAT}[a + 1] <> {STAT}[b + 1])
 SELECT season, p, leg1, leg2, n, r, r_margin, hit1, hit2, both_ AS "both", {GIVEN('both_', 'hit1')} AS given1 FROM x WHERE coalesce(r, r_margin) IS NOT NULL"""
 _T = {(i, j): phi("n", f"n{i}", f"n{j}", f"n{i}{j}") for i, j in ((1, 2), (1, 3), (2, 3))}
-SQL["entity_triples"] = f"""WITH {ST}, {HITS}, co(idx, a, b, c) AS ({values(combos_of(ENTITY_LEGS, 3, True))}),
+SQL["entity_triples"] = f"""WITH {ST}, {HITS}, co(idx, a, b, c) AS ({values(combos_of(ENTITY_LEGS, 3))}),
 tc AS (SELECT season, p, a, b, c, count(*) AS n, sum(h[a+1]) AS n1, sum(h[b+1]) AS n2, sum(h[c+1]) AS n3, sum(h[a+1]*h[b+1]) AS n12, sum(h[a+1]*h[c+1]) AS n13, sum(h[b+1]*h[c+1]) AS n23, sum(h[a+1]*h[b+1]*h[c+1]) AS n123, sum((1-h[a+1])*(1-h[b+1])*(1-h[c+1])) AS n000 FROM h, co GROUP BY ALL),
-x AS (SELECT season, p, {NAMES}[a+1] AS leg1, {NAMES}[b+1] AS leg2, {NAMES}[c+1] AS leg3, n, {', '.join(f'round({v}, 4) AS r{i}{j}' for (i, j), v in _T.items())}, {', '.join(percent(f'n{i}', 'n') + f' AS hit{i}' for i in (1, 2, 3))}, {percent('n123', 'n')} AS all3, {percent('n000', 'n')} AS none3 FROM tc)
-SELECT *, round(({D(0)} + coalesce(r12, 0) + coalesce(r13, 0) + coalesce(r23, 0)) / ((r12 IS NOT NULL)::INT + (r13 IS NOT NULL)::INT + (r23 IS NOT NULL)::INT), 4) AS avg_r FROM x WHERE coalesce(r12, r13, r23) IS NOT NULL"""
+x AS (SELECT season, p, {NAMES}[a+1] AS leg1, {NAMES}[b+1] AS leg2, {NAMES}[c+1] AS leg3, n, {', '.join(f'round({v}, 4) + 0.0 AS r{i}{j}' for (i, j), v in _T.items())}, {', '.join(percent(f'n{i}', 'n') + f' AS hit{i}' for i in (1, 2, 3))}, {percent('n123', 'n')} AS all3, {percent('n000', 'n')} AS none3 FROM tc)
+SELECT *, round(({D(0)} + coalesce(r12, 0) + coalesce(r13, 0) + coalesce(r23, 0)) / ((r12 IS NOT NULL)::INT + (r13 IS NOT NULL)::INT + (r23 IS NOT NULL)::INT), 4) + 0.0 AS avg_r FROM x WHERE coalesce(r12, r13, r23) IS NOT NULL"""
 SQL["global_pairs"] = f"""WITH {COUNTS}, e AS (SELECT *, n1 / {D('n')} AS u, n2 / {D('n')} AS v FROM pc),
 g AS (SELECT season, a, b, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n2) AS BIGINT) AS n2, CAST(sum(n11) AS BIGINT) AS n11, count(*) AS k, sum(u) AS x, sum(v) AS y, sum(u*u) AS xx, sum(v*v) AS yy, sum(u*v) AS xy, min(u) < max(u) AND min(v) < max(v) AS ok FROM e GROUP BY season, a, b),
-o AS (SELECT season, {NAMES}[a+1] AS leg1, {NAMES}[b+1] AS leg2, n, k AS entities, round({phi('n', 'n1', 'n2', 'n11')}, 4) AS r, CASE WHEN ok THEN round({pearson('k', 'x', 'y', 'xx', 'yy', 'xy')}, 4) END AS r_avg, {percent('n1', 'n')} AS hit1, {percent('n2', 'n')} AS hit2, {percent('n11', 'n')} AS both_ FROM g)
+o AS (SELECT season, {NAMES}[a+1] AS leg1, {NAMES}[b+1] AS leg2, n, k AS entities, round({phi('n', 'n1', 'n2', 'n11')}, 4) + 0.0 AS r, CASE WHEN ok THEN round({pearson('k', 'x', 'y', 'xx', 'yy', 'xy')}, 4) + 0.0 END AS r_avg, {percent('n1', 'n')} AS hit1, {percent('n2', 'n')} AS hit2, {percent('n11', 'n')} AS both_ FROM g)
 SELECT season, leg1, leg2, n, entities, r, r_avg, hit1, hit2, both_ AS "both", round(100 - hit1 - hit2 + both_, 1) AS neither, {GIVEN('both_', 'hit1')} AS given1, {GIVEN('both_', 'hit2')} AS given2 FROM o"""
 
 
@@ -109,13 +127,13 @@ def _normal() -> list[str]:
 _SUMS = ["n", "n1", "n2", "n11"]
 SQL["pooled_pairs"] = f"""WITH {COUNTS}, b AS ({by_season('pc', 'p, a, b', _SUMS)}), s AS ({schemes(ENTITY_SCHEMES)}), w AS (SELECT b.*, scheme, {', '.join(_normal())} FROM b, s),
 t AS (SELECT scheme, p, a, b, {', '.join(dot([f'{k}_{i}' for i in SPAN], [f'v{i}' for i in SPAN]) + f' AS {k}' for k in _SUMS)} FROM w)
-SELECT scheme, p, {NAMES}[a+1] AS leg1, {NAMES}[b+1] AS leg2, round(n, 3) AS n_eff, round({phi('n', 'n1', 'n2', 'n11')}, 4) AS r, round(n1 * 100 / n, 1) AS hit1, round(n2 * 100 / n, 1) AS hit2, round(n11 * 100 / n, 1) AS "both" FROM t"""
+SELECT scheme, p, {NAMES}[a+1] AS leg1, {NAMES}[b+1] AS leg2, round(n, 3) AS n_eff, round({phi('n', 'n1', 'n2', 'n11')}, 4) + 0.0 AS r, round(n1 * 100 / n, 1) AS hit1, round(n2 * 100 / n, 1) AS hit2, round(n11 * 100 / n, 1) AS "both" FROM t"""
 SQL["entity_seasons"] = f"""WITH {ST}, n AS (SELECT p, {', '.join(f'count(*) FILTER (season = {s}) AS n_{s}' for s in SEASONS)} FROM st GROUP BY p)
 SELECT *, {' + '.join(f'(n_{s} > 0)::INT' for s in SEASONS)} AS n_years, CASE WHEN n_{CURRENT} <= 3 THEN 'dyn_1_3' WHEN n_{CURRENT} <= 8 THEN 'dyn_4_8' WHEN n_{CURRENT} <= 15 THEN 'dyn_9_15' ELSE 'dyn_16plus' END AS bucket FROM n"""
 
 ROWS = f"{LU}, rw AS (SELECT *, row_number() OVER () AS rid FROM lu)"
-DY = f"{ROWS}, dy AS (SELECT a.season, a.t, a.p AS p1, b.p AS p2, a.bo AS slot1, b.bo AS slot2, {', '.join(f'a.{s} AS x_{s}, b.{s} AS y_{s}' for s in ('H', 'R', 'RBI', 'TB'))} FROM rw a JOIN rw b ON a.season = b.season AND a.gid = b.gid AND a.t = b.t AND a.rid <> b.rid)"
-SLOTS = f"{LU}, rw AS (SELECT season, gid, t, bo, {', '.join(f'CAST(sum({s}) AS BIGINT) AS {s}' for s in ('H', 'R', 'RBI', 'TB'))} FROM lu WHERE bo BETWEEN 1 AND 9 GROUP BY ALL), dy AS (SELECT a.season, a.bo AS slot1, b.bo AS slot2, 'all' AS pool, {', '.join(f'a.{s} AS x_{s}, b.{s} AS y_{s}' for s in ('H', 'R', 'RBI', 'TB'))} FROM rw a JOIN rw b ON a.season = b.season AND a.gid = b.gid AND a.t = b.t AND a.bo <> b.bo)"
+DY = f"{ROWS}, dy AS MATERIALIZED (SELECT a.season, a.t, a.p AS p1, b.p AS p2, a.bo AS slot1, b.bo AS slot2, {', '.join(f'a.{s} AS x_{s}, b.{s} AS y_{s}' for s in LINEUP_STATS)} FROM rw a JOIN rw b ON a.season = b.season AND a.gid = b.gid AND a.t = b.t AND a.rid <> b.rid WHERE a.{IN_SEASONS})"
+SLOTS = f"{LU}, rw AS (SELECT season, gid, t, bo, {', '.join(f'CAST(sum({s}) AS BIGINT) AS {s}' for s in LINEUP_STATS)} FROM lu WHERE bo BETWEEN 1 AND 9 GROUP BY ALL), dy AS MATERIALIZED (SELECT a.season, a.bo AS slot1, b.bo AS slot2, 'all' AS pool, {', '.join(f'a.{s} AS x_{s}, b.{s} AS y_{s}' for s in LINEUP_STATS)} FROM rw a JOIN rw b ON a.season = b.season AND a.gid = b.gid AND a.t = b.t AND a.bo <> b.bo)"
 _ALL = ["n", "n1", "n2", "n11", "x", "y", "xx", "yy", "xy"]
 
 
@@ -132,7 +150,7 @@ def weighted(base: str, keys: str, held: dict, keep: str = "TRUE", scheme: bool
     games = " + ".join(f"coalesce(n_{i}, 0)" for i in SPAN)
     return f"""WITH {base}, m AS ({_moments(keys)}), b AS ({by_season('m', f'{keys}, leg1, leg2', _ALL)}), s AS ({schemes(held)}),
 t AS (SELECT scheme, {keys}, leg1, leg2, CAST({games} AS BIGINT) AS games, coalesce(n_3, 0) AS cur, {', '.join(dot([f'{k}_{i}' for i in SPAN], [f'w{i}' for i in SPAN]) + f' AS {k}' for k in _ALL)} FROM b, s),
-o AS (SELECT {'scheme, ' if scheme else ''}{keys}, leg1, leg2, games, round({phi('n', 'n1', 'n2', 'n11')}, 4) AS r_binary, round({pearson('n', 'x', 'y', 'xx', 'yy', 'xy')}, 4) AS r_margin, round(n1 * 100 / n, 1) AS hit1, round(n2 * 100 / n, 1) AS hit2, round(n11 * 100 / n, 1) AS "both", round((n - n1 - n2 + n11) * 100 / n, 1) AS neither FROM t WHERE {keep})
+o AS (SELECT {'scheme, ' if scheme else ''}{keys}, leg1, leg2, games, round({phi('n', 'n1', 'n2', 'n11')}, 4) + 0.0 AS r_binary, round({pearson('n', 'x', 'y', 'xx', 'yy', 'xy')}, 4) + 0.0 AS r_margin, round(n1 * 100 / n, 1) AS hit1, round(n2 * 100 / n, 1) AS hit2, round(n11 * 100 / n, 1) AS "both", round((n - n1 - n2 + n11) * 100 / n, 1) AS neither FROM t WHERE {keep})
 SELECT * FROM o WHERE coalesce(r_binary, r_margin) IS NOT NULL"""
 
 
@@ -203,22 +221,58 @@ SQL["candidate_funnel"] = f"WITH {QU} SELECT coalesce({_GATE}, 'with data') AS r
 SQL["top_candidates"] = f"""WITH {QD}, e AS (SELECT candidate_id, r, round(({_J} * decimal_ - 1) * 100, 6) AS ev, CASE WHEN n % 2 = 0 THEN 'full_fv' ELSE 'hybrid' END AS kind FROM q ORDER BY abs(coalesce(r, 0)) DESC, candidate_id LIMIT 60)
 SELECT * FROM e ORDER BY floor(ev / 0.5) DESC NULLS LAST, CASE WHEN kind = 'full_fv' THEN 0 ELSE 1 END, ev DESC NULLS LAST, candidate_id LIMIT 30"""
 
-SH = f"s0 AS ({adapted_sql('sheet')}), dr AS (SELECT sheet_id, count(*) AS n, count(*) FILTER (try_cast(avg_fv AS DOUBLE) IS NULL) AS bad FROM s0 GROUP BY sheet_id)"
-_BET = r"'(?i)^\s*(.+?)\s+(over|under)\s+(\d+(?:\.\d+)?)\s*$'"
-_MARKET = "CASE " + " ".join(f"WHEN regexp_matches(lower(market), '{p}') THEN {repr(n) if n else 'NULL'}" for p, n, _ in PLAYER_MARKETS) + " END"
+# The market tables of the sheets, each with what its rows without a stat are told.
+_UNSUPPORTED, _COMBO = "unsupported_prop (no correlation data)", "multi-stat combo (skipped)"
+_MARKETS = {
+    "player": [("triple[- ]*double|double[- ]*double|points? *\\+ *rebounds? *\\+ *assists?|\\bpra\\b|points? *\\+ *rebounds?|points? *\\+ *assists?|rebounds? *\\+ *assists?", None, _UNSUPPORTED), ("3[- ]?(pointers?|pts?) *made|threes? *made|\\b3pm\\b", "3-Pointers Made", None),
+        ("\\brebounds?\\b", "Rebounds", None), ("\\bassists?\\b", "Assists", None), ("\\bpoints?\\b", "Points", None), ("\\b(steals?|blocks?|turnovers?)\\b", None, _UNSUPPORTED)],
+    "batter": [("hits? *\\+ *runs? *\\+ *rbi|runs? *\\+ *rbi", None, _COMBO), ("total *bases", "Total Bases", "1.5, 2.5, 3.5"), ("home *runs?", "Home Runs", "0.5"), ("stolen *bases?", "Stolen Bases", "0.5"), ("singles?", "Singles", "0.5"), ("doubles?", "Doubles", "0.5"), ("triples?", "Triples", "0.5"),
+        ("\\brbi", "RBIs", "0.5, 1.5"), ("walks?", "Walks", "0.5"), ("\\bruns?\\b", "Runs", "0.5, 1.5"), ("\\bhits?\\b", "Hits", "0.5, 1.5, 2.5")],
+    "pitcher": [("strikeout", "Strikeouts", "3.5, 4.5, 5.5, 6.5, 7.5"), ("earned *run", "Earned Runs", "1.5, 2.5, 3.5"), ("walk", "Walks", "1.5, 2.5, 3.5"), ("hits", "Hits Allowed", "3.5, 4.5, 5.5"), ("outs", "Outs Recorded", "14.5, 15.5, 16.5, 17.5, 18.5")],
+}
+_BET = r"'(?i)^(.*?)\s+(over|under)\s+(\d+(?:\.\d+)?)'"
 _SIDE = lambda c: f"CASE WHEN lower(trim({c})) IN ('over', 'o') THEN 'Over' WHEN lower(trim({c})) IN ('under', 'u') THEN 'Under' END"
-SN = f"""{SH}, s1 AS (SELECT s0.*, nullif(trim(player), '') AS ep, {_SIDE('direction')} AS ed, try_cast(trim(line) AS DOUBLE) AS el, nullif(regexp_extract(bet_name, {_BET}, 1), '') AS bp, CASE lower(regexp_extract(bet_name, {_BET}, 2)) WHEN 'over' THEN 'Over' WHEN 'under' THEN 'Under' END AS bd, try_cast(nullif(regexp_extract(bet_name, {_BET}, 3), '') AS DOUBLE) AS bl,
-{_MARKET} AS stat, try_cast(trim(avg_fv) AS DOUBLE) AS fv, try_cast(books_count AS INT) AS books, try_cast(L AS INT) AS row_id, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 1) AS BIGINT) AS o1, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 2) AS BIGINT) AS o2 FROM s0 JOIN dr USING (sheet_id) WHERE dr.n < 10 OR dr.bad * 5 <= dr.n),
-s2 AS (SELECT sheet_id, idx, row_id, coalesce(ep, bp) AS player, coalesce(ed, bd) AS direction, coalesce(el, bl) AS line, market, stat, fv, books, coalesce(ep <> bp, FALSE) OR coalesce(ed <> bd, FALSE) OR coalesce(el <> bl, FALSE) AS disagree, coalesce(fv = o1 OR fv = o2, FALSE) AS suspicious FROM s1),
-sn AS (SELECT *, CASE WHEN player IS NULL THEN 'no player name' WHEN market IS NULL OR trim(market) = '' THEN 'no market' WHEN stat IS NULL THEN 'unsupported_prop' WHEN direction IS NULL THEN 'no direction' WHEN line IS NULL THEN 'no line' WHEN fv IS NULL THEN 'no fair value' END AS reason FROM s2)"""
-_DEDUPE = lambda tie: f"d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, row_id ORDER BY idx) AS k1 FROM sn WHERE reason IS NULL) WHERE k1 = 1), d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, stat, direction, line ORDER BY coalesce(books, -1) DESC, row_id {tie} NULLS LAST, idx) AS k2 FROM d1) WHERE k2 = 1)"
+
+
+def sheet_rows(kind: str) -> str:
+    """CTEs up to sn: the rows of a kind of sheet with what was read and the first reason to leave a row out."""
+    table, markets = {"player": "sheet"}.get(kind, f"{kind}_sheet"), _MARKETS[kind]
+    when = lambda of: "CASE " + " ".join(f"WHEN regexp_matches(lower(market), '{e[0]}') THEN {of(e)}" for e in markets) + " END"
+    quoted = lambda x: f"'{x}'" if x else "NULL"
+    stat, dropped = when(lambda e: quoted(e[1])), when(lambda e: "NULL" if e[1] else quoted(e[2]))
+    offered = " OR ".join(f"stat = '{e[1]}' AND line IN ({e[2]})" for e in markets if e[1] and e[2]) or "TRUE"
+    name = {"pitcher": "CASE WHEN bd IS NOT NULL AND bp IS NOT NULL THEN bp ELSE ep END", "batter": "nullif(trim(regexp_replace(strip_accents(ep), '[^A-Za-z0-9]+', ' ', 'g')), '')", "player": "ep"}[kind]
+    direction, line = ("coalesce(bd, ed)", "CASE WHEN bd IS NOT NULL THEN bl ELSE el END") if kind == "pitcher" else ("coalesce(ed, bd)", "coalesce(el, bl)")
+    differ = "coalesce(ed <> bd, FALSE) OR coalesce(el <> bl, FALSE)" + (" OR coalesce(lower(ep) <> lower(bp), FALSE)" if kind == "pitcher" else "")
+    no_leg, known = "direction IS NULL OR line IS NULL", f"stat IS NULL AND dropped IS NULL"
+    reason = {
+        "player": f"WHEN player IS NULL THEN 'no player name' WHEN dropped IS NOT NULL THEN dropped WHEN {known} THEN 'unknown NBA market' WHEN {no_leg} THEN 'missing direction/line'",
+        "batter": f"WHEN player IS NULL THEN 'no batter name' WHEN {no_leg} OR market IS NULL THEN 'missing fields' WHEN dropped IS NOT NULL THEN dropped WHEN {known} THEN 'unknown market' WHEN NOT ({offered}) THEN 'line not valid'",
+        "pitcher": f"WHEN {no_leg} OR market IS NULL THEN 'missing fields' WHEN {known} THEN 'unknown market' WHEN NOT ({offered}) THEN 'line not offered' WHEN player IS NULL THEN 'no pitcher name'",
+    }[kind]
+    return f"""s0 AS ({adapted_sql(table)}), dr AS (SELECT sheet_id, count(*) AS n, count(*) FILTER (try_cast(avg_fv AS DOUBLE) IS NULL) AS bad FROM s0 GROUP BY sheet_id),
+s1 AS (SELECT s0.* EXCLUDE (market, team, game), nullif(trim(market), '') AS market, nullif(trim(team), '') AS team, nullif(trim(game), '') AS game, nullif(trim(player), '') AS ep, {_SIDE('direction')} AS ed, try_cast(trim(line) AS DOUBLE) AS el, nullif(trim(regexp_extract(bet_name, {_BET}, 1)), '') AS bp, CASE lower(regexp_extract(bet_name, {_BET}, 2)) WHEN 'over' THEN 'Over' WHEN 'under' THEN 'Under' END AS bd, try_cast(nullif(regexp_extract(bet_name, {_BET}, 3), '') AS DOUBLE) AS bl,
+try_cast(trim(avg_fv) AS DOUBLE) AS fv, coalesce(try_cast(books_count AS INT), 0) AS books, try_cast(L AS INT) AS row_id, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 1) AS BIGINT) AS o1, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 2) AS BIGINT) AS o2 FROM s0 JOIN dr USING (sheet_id) WHERE dr.n < 10 OR dr.bad * 5 <= dr.n),
+s2 AS (SELECT sheet_id, idx, row_id, team, game, {name} AS player, {direction} AS direction, {line} AS line, market, {stat} AS stat, {dropped} AS dropped, fv, books, {differ} AS disagree, coalesce(fv = o1 OR fv = o2, FALSE) AS suspicious FROM s1),
+sn AS (SELECT *, CASE {reason} WHEN fv IS NULL THEN 'avg_fv not numeric' END AS reason FROM s2)"""
+
+
+SN = sheet_rows("player")
+SH = SN.split(", dr AS")[0] + ", dr AS" + SN.split(", dr AS")[1].split(",\ns1")[0]
+_DEDUPE = lambda tie: f"d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, row_id ORDER BY idx) AS k1 FROM sn WHERE reason IS NULL) WHERE k1 = 1), d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, stat, direction, line ORDER BY books DESC, coalesce(row_id, -1) {tie}, idx) AS k2, min(idx) OVER (PARTITION BY sheet_id, player, stat, direction, line) AS seen FROM d1) WHERE k2 = 1)"
 _OF = lambda d, c: f"max(CASE WHEN direction = '{d}' THEN {c} END)"
 SQL["sheet_drift"] = f"WITH {SH} SELECT sheet_id, n, bad, n < 10 OR bad * 5 <= n AS ok FROM dr"
-SQL["sheet_rows"] = f"WITH {SN} SELECT idx, player, direction, line, stat, fv, books, disagree, suspicious, reason FROM sn"
+for _name, _kind in (("sheet_rows", "player"), ("batter_rows", "batter"), ("pitcher_rows", "pitcher")):
+    SQL[_name] = f"WITH {sheet_rows(_kind)} SELECT idx, player, team, game, direction, line, stat, fv, books, disagree, suspicious, reason FROM sn"
+SQL["pitcher_legs"] = f"WITH {sheet_rows('pitcher')}, {_DEDUPE('ASC')} SELECT sheet_id, player, direction, line, stat, fv, suspicious FROM d2"
 SQL["sheet_reasons"] = f"WITH {SN} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM sn GROUP BY 1"
 SQL["sheet_props"] = f"""WITH {SN}, {_DEDUPE('DESC')} SELECT sheet_id, player, stat, line AS threshold, {_OF('Over', 'fv')} AS over_fv, {_OF('Under', 'fv')} AS under_fv, {_OF('Over', 'books')} AS over_books_count, {_OF('Under', 'books')} AS under_books_count, {_OF('Over', 'row_id')} AS "over_L", {_OF('Under', 'row_id')} AS "under_L",
 bool_or(CASE WHEN direction = 'Over' THEN suspicious END) AS over_fv_suspicious, bool_or(CASE WHEN direction = 'Under' THEN suspicious END) AS under_fv_suspicious FROM d2 GROUP BY sheet_id, player, stat, line"""
-SQL["sheet_players"] = f"WITH {SN}, {_DEDUPE('ASC')}, g AS (SELECT DISTINCT sheet_id, player, stat, line FROM d2) SELECT sheet_id, player, CAST(count(*) AS INT) AS n, string_agg(stat || '@' || CAST(line AS VARCHAR), ';' ORDER BY stat, line) AS props FROM g GROUP BY sheet_id, player"
+_FIRST = lambda c: f"arg_min({c}, seen) FILTER ({c} IS NOT NULL) AS {c}"
+for _name, _kind in (("sheet_players", "player"), ("batter_players", "batter")):
+    SQL[_name] = f"""WITH {sheet_rows(_kind)}, {_DEDUPE('DESC')}, w AS (SELECT sheet_id, player, {_FIRST('team')}, {_FIRST('game')} FROM d2 GROUP BY sheet_id, player), g AS (SELECT DISTINCT sheet_id, player, stat, line FROM d2)
+SELECT sheet_id, player, w.team, w.game, CAST(count(*) AS INT) AS n, string_agg(stat || '@' || CAST(line AS VARCHAR), ';' ORDER BY stat, line) AS props FROM g JOIN w USING (sheet_id, player) GROUP BY ALL"""
+SQL["props_per_player"] = f"WITH {SN}, {_DEDUPE('DESC')}, g AS (SELECT DISTINCT sheet_id, player, stat, line FROM d2), c AS (SELECT sheet_id, player, count(*) AS props FROM g GROUP BY ALL) SELECT props, count(*) AS players FROM c GROUP BY props"
 SQL["sheet_coverage"] = f"WITH {SN} SELECT stat, count(*) AS n, count(DISTINCT player) AS players, count(*) FILTER (suspicious) AS suspicious FROM sn WHERE reason IS NULL GROUP BY stat"
 
 _NUM = lambda c: f"CASE WHEN NOT isnan(try_cast({c} AS DOUBLE)) THEN try_cast({c} AS DOUBLE) END"
@@ -233,28 +287,51 @@ b AS (SELECT * FROM (SELECT *, abs(m1 - w1) + abs(m2 - w2) AS drift, row_number(
 SELECT ti.ticket, b.id AS entry_id, drift, drift = 0 AS exact, games AS n_games, r1 AS hit_rate_1, r2 AS hit_rate_2 FROM ti LEFT JOIN b USING (ticket)"""
 
 _PLAIN = lambda c: f"trim(regexp_replace(regexp_replace(lower(trim({c})), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g'))"
-_DIR = "CASE WHEN outcomeType IN ('Over', 'Under') THEN outcomeType WHEN contains(lower(outcomeType), 'fewer') THEN 'Under' WHEN outcomeType LIKE '%+' THEN 'Over' END"
-MK = f"""se AS (SELECT *, {_PLAIN('player')} AS pb, {_DIR} AS dir, lower(marketName || ' ' || subcategory || ' ' || marketType) AS blob FROM ({adapted_sql('selections')})), lg AS (SELECT *, {_PLAIN('player')} AS pa FROM ({adapted_sql('legs')}))"""
-_STATOK = "CASE stat WHEN 'Strikeouts' THEN contains(blob, 'strikeout') WHEN 'Earned Runs' THEN contains(blob, 'earned run') WHEN 'Outs Recorded' THEN contains(replace(replace(blob, 'strikeouts', ''), 'strikeout', ''), 'outs') ELSE contains(blob, 'hits') AND (contains(blob, 'pitch') OR contains(blob, 'allow')) END"
+_DIR = "CASE WHEN outcomeType IN ('Over', 'Under') THEN outcomeType WHEN regexp_matches(lower(outcomeType), 'fewer|or less|at most') THEN 'Under' WHEN regexp_matches(lower(outcomeType), 'or more|at least') OR outcomeType LIKE '%+' THEN 'Over' END"
+_HAS = lambda blob, *words: "(" + " OR ".join(f"contains({blob}, '{w}')" for w in words) + ")"
+_P = _HAS("cls", "strikeout", "earned run", "walks", "walk ", "hits allowed", "pitching out", "pitcher", "outs recorded", "outs o/u", "outs thrown")
+_IS = {
+    "pitcher": f"{_P} AND NOT {_HAS('cls', 'rbi', 'total bases', 'home run', 'at bat', 'stolen base', 'singles', 'doubles', 'triples', 'batting')}",
+    "batter": f"{_HAS('cls', 'hits', 'runs', 'rbi', 'total bases', 'home run', 'at bat', 'stolen base', 'singles', 'doubles', 'triples', 'walks', 'batter', 'hitter')} AND NOT {_P} AND NOT contains(cls, 'team')",
+    "player": f"{_HAS('cls', 'points', 'rebounds', 'assists', 'pointers', '3-point', 'three-point', '3 pt', 'threes')} AND NOT {_HAS('cls', 'team', 'quarter', 'half', '1st', '2nd', '3rd', '4th', 'race to', 'parlay', 'double-double', 'triple-double', 'pra', 'steal', 'block', 'turnover', 'combo')}",
+}
+_SHELF_P = ("pitcher", "pitching", "strikeout", "earned run", "walks allowed", "walk allowed", "hits allowed", "outs recorded", "outs o/u", "outs thrown")
+_SHELF_NOT = ("team total", "moneyline", "run line", "game prop", "game lines", "first inning", "first 5", "1st 5", "innings")
+_KEEPS = {
+    "pitcher": f"{_HAS('shelf', *_SHELF_P)} AND NOT {_HAS('shelf', 'batter', 'hitter', 'home run', 'rbi', 'total bases', 'at bat', 'stolen base', 'singles', 'doubles', 'batting', *_SHELF_NOT, 'player combo', 'alternate run', 'parlay', 'quick pick')}",
+    "batter": f"{_HAS('shelf', 'hits', 'runs', 'rbi', 'total bases', 'home run', 'at bat', 'stolen base', 'singles', 'doubles', 'triples', 'walks', 'batter', 'hitter', 'batting', 'extra base')} AND NOT {_HAS('shelf', *_SHELF_P, *_SHELF_NOT, 'team to', 'spread')}",
+    "player": f"{_HAS('shelf', 'points', 'rebounds', 'assists', 'pointers', 'three-point', '3-point', '3 pt', 'threes')} AND NOT {_HAS('shelf', 'team total', 'team to', 'moneyline', 'spread', 'game prop', 'game lines', 'quarter', 'half', 'parlay', 'quick pick', 'race to', 'alternate', 'steals', 'blocks', 'turnovers', 'double-double', 'triple-double', 'same game', 'player combo', 'pra', 'points+', 'points +')}",
+}
+MK = f"""s00 AS (SELECT *, {_PLAIN("coalesce(player, '')")} AS pb, {_DIR} AS dir, lower(marketName || ' ' || coalesce(subcategory, '') || ' ' || marketType) AS blob, lower(marketName || ' ' || marketType || ' ' || coalesce(subcategory, '')) AS cls, lower(coalesce(subcategory, '')) AS shelf FROM ({adapted_sql('selections')})),
+se AS (SELECT *, {_IS['pitcher']} AS is_pitcher, {_IS['batter']} AS is_batter, {_IS['player']} AND NOT ({_IS['pitcher']}) AND NOT ({_IS['batter']}) AS is_player, {', '.join(f'{v} AS keeps_{k}' for k, v in _KEEPS.items())} FROM s00), lg AS (SELECT *, {_PLAIN('player')} AS pa FROM ({adapted_sql('legs')}))"""
+_STATOK = {
+    "pitcher": "CASE WHEN contains(s, 'earned run') THEN contains(blob, 'earned run') WHEN contains(s, 'hits allowed') OR s = 'hits' THEN contains(blob, 'hits') AND (contains(blob, 'pitch') OR contains(blob, 'allow')) WHEN contains(s, 'walk') THEN contains(blob, 'walk') WHEN contains(s, 'strikeout') THEN contains(blob, 'strikeout') WHEN contains(s, 'out') THEN contains(replace(replace(blob, 'strikeouts', ''), 'strikeout', ''), 'outs') ELSE FALSE END",
+    "batter": "CASE WHEN contains(s, 'total base') OR s = 'tb' THEN contains(blob, 'total base') WHEN contains(s, 'home run') OR s = 'hr' THEN contains(blob, 'home run') WHEN contains(s, 'stolen base') OR s = 'sb' THEN contains(blob, 'stolen base') WHEN contains(s, 'single') OR s = '1b' THEN contains(blob, 'single') WHEN contains(s, 'double') OR s = '2b' THEN contains(blob, 'double') WHEN contains(s, 'triple') OR s = '3b' THEN contains(blob, 'triple') WHEN contains(s, 'rbi') THEN contains(blob, 'rbi') WHEN contains(s, 'walk') OR s = 'bb' THEN contains(blob, 'walk') WHEN s IN ('runs', 'r') THEN contains(blob, 'runs') AND NOT contains(blob, 'home run') AND NOT contains(blob, 'rbi') WHEN s IN ('hits', 'h') THEN contains(blob, 'hits') ELSE FALSE END",
+    "player": "CASE WHEN contains(s, '3-point') OR contains(s, 'three') OR s = '3pm' THEN contains(blob, '3-point') OR contains(blob, '3 point') OR contains(blob, 'threes') OR contains(blob, 'pointers') OR contains(blob, '3pt') OR contains(blob, '3 pt') WHEN s = 'points' THEN contains(blob, 'point') AND NOT (contains(blob, '3-point') OR contains(blob, '3 point') OR contains(blob, 'three') OR contains(blob, 'pointers') OR contains(blob, 'rebound') OR contains(blob, 'assist')) WHEN s = 'rebounds' THEN contains(blob, 'rebound') AND NOT contains(blob, 'assist') AND NOT contains(blob, 'point') WHEN s = 'assists' THEN contains(blob, 'assist') AND NOT contains(blob, 'rebound') AND NOT contains(blob, 'point') ELSE FALSE END",
+}
 _LAST = lambda c: f"split_part({c}, ' ', -1)"
 _NAME = f"(pa <> '' AND pb <> '' AND (pa = pb OR {_LAST('pa')} = {_LAST('pb')} AND (contains(pa, ' ') AND contains(pb, ' ') AND substr(pa, 1, 1) = substr(pb, 1, 1) OR length({_LAST('pa')}) > 3)))"
 
 
-def _leg_match(points: str, order: str) -> str:
-    return f"WITH {MK}, m AS (SELECT leg_id, selectionId, row_number() OVER (PARTITION BY leg_id ORDER BY {order}) AS k FROM lg JOIN se ON {_NAME} AND dir = direction AND {points} AND {_STATOK}) SELECT lg.leg_id, selectionId FROM lg LEFT JOIN m ON m.leg_id = lg.leg_id AND k = 1"
+def _leg_match(kind: str, points: str, order: str) -> str:
+    return f"WITH {MK}, m AS (SELECT leg_id, selectionId, row_number() OVER (PARTITION BY leg_id ORDER BY {order}) AS k FROM (SELECT *, lower(trim(stat)) AS s FROM lg) JOIN se ON {_NAME} AND dir = direction AND {points} AND is_{kind} AND {_STATOK[kind]}) SELECT lg.leg_id, selectionId FROM lg LEFT JOIN m ON m.leg_id = lg.leg_id AND k = 1"
 
 
-SQL["leg_matches"] = _leg_match("(pts = thr OR pts = CASE WHEN direction = 'Over' THEN thr + 0.5 ELSE thr - 0.5 END)", "CASE WHEN contains(subcategory, 'O/U') THEN 0 ELSE 1 END, feed_pos")
-SQL["exact_leg_matches"] = _leg_match("pts = thr", "feed_pos")
+_HALF = "(pts = thr OR pts = CASE WHEN direction = 'Over' THEN thr + 0.5 ELSE thr - 0.5 END)"
+SQL["leg_matches"] = _leg_match("pitcher", _HALF, "feed_pos")
+SQL["batter_leg_matches"] = _leg_match("batter", _HALF, "CASE WHEN contains(shelf, 'o/u') THEN 0 ELSE 1 END, feed_pos")
+SQL["exact_leg_matches"] = _leg_match("player", "pts = thr", "feed_pos")
 _AM = lambda c: f"CAST(replace(replace({c}, '−', '-'), '+', '') AS BIGINT)"
 SQL["opposite_odds"] = f"""WITH {MK}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player, marketName, pts, subcategory, dir ORDER BY feed_pos) AS k FROM se) WHERE k = 1)
 SELECT se.selectionId, {_AM("CASE WHEN se.dir = 'Over' THEN se.oddsAmerican ELSE f.oddsAmerican END")} AS over_odds, {_AM("CASE WHEN se.dir = 'Over' THEN f.oddsAmerican ELSE se.oddsAmerican END")} AS under_odds
 FROM se LEFT JOIN f ON f.player = se.player AND f.marketName = se.marketName AND f.pts = se.pts AND f.subcategory = se.subcategory AND f.dir <> se.dir"""
-SQL["market_classes"] = f"WITH {MK} SELECT marketName, regexp_matches(blob, 'strikeout|earned|outs') AND NOT regexp_matches(blob, 'economy') AS is_prop, count(*) AS n FROM se GROUP BY 1, 2"
+_CLASSES = ", ".join(f"{a}_{k}" for a in ("is", "keeps") for k in ("pitcher", "batter", "player"))
+SQL["market_classes"] = f"WITH {MK} SELECT marketName, subcategory, {_CLASSES}, count(*) AS n FROM se GROUP BY ALL"
 BX = f"bx AS ({adapted_sql('box')})"
 SQL["starters"] = f"WITH {BX}, s AS (SELECT *, ord // 100 AS slot, row_number() OVER (PARTITION BY gid, team_id ORDER BY ord // 100, player) AS k FROM bx WHERE ord % 100 = 0 AND ord > 0) SELECT gid, team_id, count(*) AS n, CAST(min(slot) AS INT) AS lo, CAST(max(slot) AS INT) AS hi, CAST(sum(player) AS BIGINT) AS players FROM s WHERE k <= 9 GROUP BY gid, team_id"
 SQL["look_back"] = f"WITH g AS ({adapted_sql('games')}), w AS (SELECT DISTINCT team_id, d FROM g), x AS (SELECT w.team_id, w.d, g.gid, g.d AS past, row_number() OVER (PARTITION BY w.team_id, w.d ORDER BY g.d DESC, g.gid DESC) AS k FROM w JOIN g ON g.team_id = w.team_id AND g.state = 'Final' AND g.d < w.d AND g.d >= w.d - 3) SELECT team_id, CAST(d AS VARCHAR) AS d, gid, CAST(past AS VARCHAR) AS past FROM x WHERE k = 1"
 SQL["slate_coverage"] = f"WITH {BX}, c AS (SELECT team_id, count(DISTINCT player) AS players FROM bx GROUP BY team_id) SELECT team_id, players, players * (players - 1) // 2 AS pairs FROM c"
 SQL["folded_names"] = "SELECT lower(trim(regexp_replace(strip_accents(name), '[^A-Za-z0-9]+', ' ', 'g'))) AS key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT name, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), ' ')) AS name FROM documents) GROUP BY name) GROUP BY 1"
 SQL["stream_moments"] = "SELECT CAST(year(ts) AS INT) AS season, user_id AS p, count(*) AS n, CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS n1, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS n2, CAST(sum(CASE WHEN value > 20 AND event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS n11 FROM events GROUP BY 1, 2"
-SQL["stream_requests"] = "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id AS VARCHAR) || ':' || event_type AS fingerprint, count(*) AS n FROM events GROUP BY 1, 2"
+SQL["stream_requests"] = "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id AS VARCHAR) || ':' || event_type AS fingerprint, count(*) AS n FROM events WHERE time_bucket(INTERVAL '10 minutes', ts) <= (SELECT max(ts) FROM events) - INTERVAL '20 minutes' GROUP BY 1, 2"
+SQL["stream_fresh"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS fingerprint FROM events"

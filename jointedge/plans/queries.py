@@ -24,8 +24,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outs come from the X.Y innings, as a feed has them."""
-    return adapted(spark, sf_dir, "starts").withColumn("OUTS", text.ip_to_outs(F.col("ip")))
+    """The starters' rows of all seasons; outs come from the X.Y innings, as a feed has them."""
+    x = adapted(spark, sf_dir, "starts").where(tables.is_starter(F.col("flag"), F.col("ip")))
+    return x.withColumn("OUTS", text.ip_to_outs(F.col("ip")))
+
+
+def lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all seasons that were in the lineup and came to bat; stats that are no numbers are zero, HRR is a composite."""
+    x = adapted(spark, sf_dir, "lineups").where(tables.in_lineup(F.col("PA"), F.col("bo")))
+    x = x.withColumns({s: tables.zero_int(F.col(s)) for s in LINEUP_STATS if s != "HRR"})
+    return x.withColumn("HRR", text.hits_runs_rbis(F.col("H"), F.col("R"), F.col("RBI")))
 
 
 def _pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,18 +42,21 @@ def _pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def season_manifest(spark, sf_dir):
+    """Of a build whose every season has a plausible share of starters."""
+    tables.guard_share(adapted(spark, sf_dir, "starts"), tables.is_starter(F.col("flag"), F.col("ip")), F.col("ip") > 0, *tables.STARTER_SHARE)
     return tables.manifest(starts(spark, sf_dir)).select("season", "rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
 
 
 @query
 def starter_share(spark, sf_dir):
-    rows = starts(spark, sf_dir)
+    rows = adapted(spark, sf_dir, "starts")
     return tables.row_share(rows, tables.is_starter(F.col("flag"), F.col("ip")), F.col("ip") > 0)
 
 
 @query
 def corpus_summary(spark, sf_dir):
-    return tables.corpus_summary(adapted(spark, sf_dir, "lineups"))
+    tables.guard_share(adapted(spark, sf_dir, "lineups"), tables.in_lineup(F.col("PA"), F.col("bo")), None, *tables.LINEUP_SHARE)
+    return tables.corpus_summary(lineups(spark, sf_dir))
 
 
 @query
@@ -65,7 +76,7 @@ def entity_pairs(spark, sf_dir):
 
 @query
 def entity_triples(spark, sf_dir):
-    counts = entities.triple_counts(entities.masks(starts(spark, sf_dir), ENTITY_LEGS), entities.combos_of(ENTITY_LEGS, 3, distinct_stats=True))
+    counts = entities.triple_counts(entities.masks(starts(spark, sf_dir), ENTITY_LEGS), entities.combos_of(ENTITY_LEGS, 3))
     return entities.triple_report(counts, ENTITY_LEGS)
 
 
@@ -87,7 +98,7 @@ def entity_seasons(spark, sf_dir):
 
 
 def _slot_moments(spark, sf_dir, keys):
-    return dyads.season_moments(dyads.slot_dyads(adapted(spark, sf_dir, "lineups"), LINEUP_STATS), keys, LINEUP_LEGS, LINEUP_COMBOS)
+    return dyads.season_moments(dyads.slot_dyads(lineups(spark, sf_dir), LINEUP_STATS), keys, LINEUP_LEGS, LINEUP_COMBOS)
 
 
 @query
@@ -104,18 +115,18 @@ def combo_floors(spark, sf_dir):
 
 
 def _dyads(spark, sf_dir):
-    return dyads.player_dyads(adapted(spark, sf_dir, "lineups"), LINEUP_STATS)
+    return dyads.player_dyads(lineups(spark, sf_dir), LINEUP_STATS)
 
 
 @query
 def dyad_combos(spark, sf_dir):
     keys = ["p1", "p2", "t"]
-    moments = dyads.passing_moments(_dyads(spark, sf_dir), keys, LINEUP_LEGS, LINEUP_COMBOS, CURRENT)
+    moments = dyads.passing_moments(_dyads(spark, sf_dir), keys, LINEUP_LEGS, LINEUP_COMBOS, SEASONS)
     return dyads.weighted_report(moments, keys, LINEUP_LEGS, LINEUP_COMBOS, DYAD_SCHEMES, SEASONS)
 
 
 def _meta(spark, sf_dir):
-    return dyads.dyad_meta(_dyads(spark, sf_dir), CURRENT)
+    return dyads.dyad_meta(_dyads(spark, sf_dir), SEASONS)
 
 
 @query
@@ -126,7 +137,7 @@ def dyad_meta(spark, sf_dir):
 @query
 def dyad_lookup(spark, sf_dir):
     """The pairs of all lineups of the current season with their dyads in the pair's order."""
-    lineup = adapted(spark, sf_dir, "lineups").where(F.col("season") == CURRENT).select("gid", "t", F.col("bo").alias("slot"), F.col("p").alias("player"))
+    lineup = lineups(spark, sf_dir).where(F.col("season") == CURRENT).select("gid", "t", F.col("bo").alias("slot"), F.col("p").alias("player"))
     pairs = slate.lineup_pairs(lineup.dropDuplicates(), ["gid", "t"])
     found = candidates.find_dyads(pairs, _meta(spark, sf_dir).select("p1", "p2", "t", "n_total", "slot1", "slot2", "slot_usage").withColumnsRenamed({"slot1": "was1", "slot2": "was2"}))
     n = F.coalesce(F.element_at("slot_usage", F.concat_ws("_", "slot1", "slot2")), F.lit(0))
@@ -197,8 +208,14 @@ def top_candidates(spark, sf_dir):
     return candidates.page(top, candidates.near_tie_order(F.col("ev"), F.col("kind")), 0, 30).select("candidate_id", "r", "ev", "kind")
 
 
-def _sheet(spark, sf_dir):
-    return sheet.normalised(sheet.keep_sound_sheets(adapted(spark, sf_dir, "sheet")))
+def _sheet(spark, sf_dir, kind="player"):
+    name = {"player": "sheet"}.get(kind, f"{kind}_sheet")
+    return sheet.normalised(sheet.keep_sound_sheets(adapted(spark, sf_dir, name)), kind)
+
+
+def _legs_of_sheet(spark, sf_dir, kind="player"):
+    """The canonical legs of a sheet; of a pitcher's equal legs the lowest row wins a tie."""
+    return sheet.collapsed(sheet.first_rows(_sheet(spark, sf_dir, kind).where("reason is null")), low_row_id_wins=kind == "pitcher")
 
 
 @query
@@ -206,9 +223,27 @@ def sheet_drift(spark, sf_dir):
     return sheet.drift_ok(adapted(spark, sf_dir, "sheet"))
 
 
+_ROW = ("idx", "player", "team", "game", "direction", "line", "stat", "fv", "books", "disagree", "suspicious", "reason")
+
+
 @query
 def sheet_rows(spark, sf_dir):
-    return _sheet(spark, sf_dir).select("idx", "player", "direction", "line", "stat", "fv", "books", "disagree", "suspicious", "reason")
+    return _sheet(spark, sf_dir).select(*_ROW)
+
+
+@query
+def batter_rows(spark, sf_dir):
+    return _sheet(spark, sf_dir, "batter").select(*_ROW)
+
+
+@query
+def pitcher_rows(spark, sf_dir):
+    return _sheet(spark, sf_dir, "pitcher").select(*_ROW)
+
+
+@query
+def pitcher_legs(spark, sf_dir):
+    return _legs_of_sheet(spark, sf_dir, "pitcher").select("sheet_id", "player", "direction", "line", "stat", "fv", "suspicious")
 
 
 @query
@@ -218,14 +253,27 @@ def sheet_reasons(spark, sf_dir):
 
 @query
 def sheet_props(spark, sf_dir):
-    kept = sheet.collapsed(sheet.first_rows(_sheet(spark, sf_dir).where("reason is null")))
-    return sheet.props(kept).select("sheet_id", "player", "stat", "threshold", "over_fv", "under_fv", "over_books_count", "under_books_count", "over_L", "under_L", "over_fv_suspicious", "under_fv_suspicious")
+    return sheet.props(_legs_of_sheet(spark, sf_dir)).select("sheet_id", "player", "stat", "threshold", "over_fv", "under_fv", "over_books_count", "under_books_count", "over_L", "under_L", "over_fv_suspicious", "under_fv_suspicious")
+
+
+def _told(players):
+    props = F.array_join(F.transform("props", lambda p: F.concat_ws("@", p["stat"], p["threshold"].cast("string"))), ";")
+    return players.select("sheet_id", "player", "team", "game", F.size("props").alias("n"), props.alias("props"))
 
 
 @query
 def sheet_players(spark, sf_dir):
-    kept = sheet.collapsed(sheet.first_rows(_sheet(spark, sf_dir).where("reason is null")), low_row_id_wins=True)
-    return sheet.players(sheet.props(kept)).select("sheet_id", "player", F.size("props").alias("n"), F.array_join(F.transform("props", lambda p: F.concat_ws("@", p["stat"], p["threshold"].cast("string"))), ";").alias("props"))
+    return _told(sheet.players(sheet.props(_legs_of_sheet(spark, sf_dir))))
+
+
+@query
+def batter_players(spark, sf_dir):
+    return _told(sheet.players(sheet.props(_legs_of_sheet(spark, sf_dir, "batter"))))
+
+
+@query
+def props_per_player(spark, sf_dir):
+    return sheet.props_per_player(sheet.props(_legs_of_sheet(spark, sf_dir)))
 
 
 @query
@@ -261,16 +309,23 @@ def _selections(spark, sf_dir):
     return adapted(spark, sf_dir, "selections").withColumn("points", F.col("pts").cast("double"))
 
 
+def _asked(spark, sf_dir):
+    return adapted(spark, sf_dir, "legs").withColumn("threshold", F.col("thr").cast("double"))
+
+
 @query
 def leg_matches(spark, sf_dir):
-    legs = adapted(spark, sf_dir, "legs").withColumn("threshold", F.col("thr").cast("double"))
-    return markets.match_legs(legs, _selections(spark, sf_dir), prefer_two_way=True).select("leg_id", "selectionId")
+    return markets.match_legs(_asked(spark, sf_dir), _selections(spark, sf_dir)).select("leg_id", "selectionId")
+
+
+@query
+def batter_leg_matches(spark, sf_dir):
+    return markets.match_legs(_asked(spark, sf_dir), _selections(spark, sf_dir), "batter", prefer_two_way=True).select("leg_id", "selectionId")
 
 
 @query
 def exact_leg_matches(spark, sf_dir):
-    legs = adapted(spark, sf_dir, "legs").withColumn("threshold", F.col("thr").cast("double"))
-    return markets.match_legs(legs, _selections(spark, sf_dir), half_points=False).select("leg_id", "selectionId")
+    return markets.match_legs(_asked(spark, sf_dir), _selections(spark, sf_dir), "player", half_points=False).select("leg_id", "selectionId")
 
 
 @query
@@ -282,8 +337,8 @@ def opposite_odds(spark, sf_dir):
 
 @query
 def market_classes(spark, sf_dir):
-    x = markets.classified(_selections(spark, sf_dir), ["strikeout", "earned", "outs"], ["economy"])
-    return x.groupBy("marketName", "is_prop").agg(F.count("*").alias("n"))
+    classes = [f"{a}_{k}" for a in ("is", "keeps") for k in ("pitcher", "batter", "player")]
+    return markets.classified(_selections(spark, sf_dir)).groupBy("marketName", "subcategory", *classes).agg(F.count("*").alias("n"))
 
 
 @query
@@ -310,7 +365,12 @@ def folded_names(spark, sf_dir):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that all executors share; without one, in the warehouse of a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
@@ -325,13 +385,23 @@ def stream_moments(spark, sf_dir):
     path = _shared(spark, "moments")
     rows = _events(spark, sf_dir).select("ts", F.col("event_id").alias("gid"), F.col("user_id").alias("p"), F.year("ts").alias("season"), F.when(F.col("value") > 20, 1).otherwise(0).alias("h1"), F.when(F.col("event_type") == "click", 1).otherwise(0).alias("h2"))
     refresh.keep_moments(refresh.new_rows(rows), f"{path}/batches", f"{path}/checkpoint").awaitTermination()
-    return refresh.total_moments(spark.read.parquet(f"{path}/batches"))
+    return refresh.compacted(spark, f"{path}/batches", f"{path}/totals")
 
 
 @query
 def stream_requests(spark, sf_dir):
+    """Requests per fingerprint and ten minutes. Windows are written once, when the watermark has passed them, and their state is dropped."""
     path = _shared(spark, "requests")
     stream = _events(spark, sf_dir).select("ts", F.concat_ws(":", "user_id", "event_type").alias("fingerprint"))
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/counts")
-    refresh.requests_per_window(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/counts").select(F.col("start").cast("string").alias("start"), "fingerprint", "n")
+    refresh.keep_windows(refresh.requests_per_window(stream), f"{path}/counts", f"{path}/checkpoint").awaitTermination()
+    closed = spark.read.schema("start timestamp, fingerprint string, n long").parquet(f"{path}/counts")
+    return closed.select(F.col("start").cast("string").alias("start"), "fingerprint", "n")
+
+
+@query
+def stream_fresh(spark, sf_dir):
+    """Each fingerprint's first request; repeats within its life of 40 days, longer than the feed, are dropped."""
+    path = _shared(spark, "fresh")
+    stream = _events(spark, sf_dir).select("ts", F.concat_ws(":", "user_id", "event_type").alias("fingerprint"))
+    refresh.keep_windows(refresh.fresh_requests(stream, "40 days").select("fingerprint"), f"{path}/kept", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("fingerprint string").parquet(f"{path}/kept")

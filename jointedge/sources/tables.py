@@ -67,6 +67,10 @@ def guard_share(df: DataFrame, part: Column, whole: Column | None = None, low: f
         raise ValueError(f"season {bad[0].season}: {bad[0].k} of {bad[0].n} rows")
 
 
+# The shares of rows between which a season's starters (of those who pitched) and lineup rows (of all) must be.
+STARTER_SHARE, LINEUP_SHARE = (0.0, 0.35), (0.0, 0.7)
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Rows and first and last date by season."""
     return df.groupBy("season").agg(F.count("*").alias("rows"), F.min("d").alias("first"), F.max("d").alias("last"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +30,17 @@ def total_moments(batches: DataFrame) -> DataFrame:
     return batches.groupBy("season", "p").agg(*(F.sum(k).alias(k) for k in ("n", "n1", "n2", "n11")))
 
 
+def keep_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends what is final to a table; the sink's log makes a batch that runs again count once."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compacted(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """The totals of all batches so far as one folder in place of one per batch; further batches are added to these by ``total_moments``."""
+    total_moments(spark.read.parquet(path)).write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)
+
+
 def fresh_requests(stream: DataFrame, life: str = "10 minutes") -> DataFrame:
     """Price requests (ts, fingerprint), each fingerprint once within its life."""
     return stream.withWatermark("ts", life).dropDuplicatesWithinWatermark(["fingerprint"])
