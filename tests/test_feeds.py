@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from jointedge.operators import candidates, entities, markets
+from jointedge.operators import candidates, entities, markets, sheet
 
 SCHEMES = {"static": (0.15, 0.20, 0.30, 0.35)}
 SEASONS = [1, 2, 3, 4]
@@ -13,13 +13,45 @@ def test_price_requests_need_both_sides(spark):
     assert [tuple(r) for r in markets.price_requests(rows).collect()] == [("e", "a", "b")]
 
 
-def test_texts_find_the_same_events_in_blocks(spark, monkeypatch):
-    events = spark.createDataFrame([(i, f"Club{i}", f"Side{i}", f"C{i}", f"S{i}", f"round {i}") for i in range(40)], "id long, homeTeam string, awayTeam string, homeShort string, awayShort string, name string")
-    texts = spark.createDataFrame([(1, "club7 at side7"), (2, "C9 - x"), (3, "round club3"), (4, ""), (5, None), (6, "nobody")], "game_id long, game string")
-    found = lambda: {r.game_id: (r.event_id, r.rule) for r in markets.events_of_texts(texts, events).collect()}
+def test_games_find_the_same_events_in_blocks(spark, monkeypatch):
+    """Team first, then both short codes, then all words of both names; each in feed order."""
+    events = spark.createDataFrame([(1, 20, "New York Knicks", "Philadelphia 76ers", "NYK", "PHI"), (2, 10, "Boston Celtics", "Philadelphia 76ers", "BOS", "PHI"), (3, 30, "Miami Heat", None, "MIA", None), *((k, k, f"Club {k}", f"Side {k}", f"C{k}", f"S{k}") for k in range(40, 80))], "id long, feed_pos long, homeTeam string, awayTeam string, homeShort string, awayShort string")
+    asked = [
+        (1, None, "PHI@NYK", (1, 2)), (2, "", "PHI vs BOS", (2, 2)), (3, "76ers", None, (2, 1)), (4, "PHI", "PHI@NYK", (2, 1)), (5, "the Miami Heat!", None, (3, 1)), (6, None, "Philadelphia 76ers @ New York Knicks", (1, 3)),
+        (7, "nobody", "side 44 at club 44", (44, 3)), (8, None, None, (None, None)), (9, None, "PHI@MIA", (None, None)), (10, "Club 77", "", (77, 1)),
+    ]
+    games = spark.createDataFrame([x[:3] for x in asked], "game_id long, team string, game string")
+    found = lambda: {r.game_id: (r.event_id, r.rule) for r in markets.events_of_games(games, events).collect()}
     whole = found()
-    monkeypatch.setattr(markets, "EVENTS_BROADCAST", 7)
-    assert found() == whole == {1: (7, 1), 2: (9, 2), 3: (3, 1), 4: (None, None), 5: (None, None), 6: (None, None)}
+    monkeypatch.setattr(markets, "NAMES", 7)
+    assert found() == whole == {x[0]: x[3] for x in asked}
+
+
+def test_legs_match_markets_of_their_class(spark):
+    sel = lambda i, player, outcome, points, name, shelf: (i, f"s{i}", player, outcome, points, name, shelf, "")
+    offers = spark.createDataFrame([
+        sel(1, "Ann Lee", "Over", 1.5, "Total Bases", "Batter Props"), sel(2, "Ann Lee", "2+", 2.0, "Total Bases o/u", "Main"), sel(3, "Ann Lee", "Over", 20.5, "Player Points", "Points"), sel(4, "Ann Lee", "Over", 20.5, "Points + Rebounds", "Points"),
+        sel(5, "Ann Lee", "Over", 2.5, "3-Pointers Made", "Threes"), sel(6, "Ann Lee", "Over", 4.5, "Pitcher Strikeouts", None), sel(7, None, "Over", 4.5, "Pitcher Strikeouts", None), sel(8, "Ann Lee", "Over", 0.5, "Home Runs", "Main"), sel(9, "Ann Lee", "Over", 0.5, "Runs Scored", "Main O/U"),
+    ], "feed_pos long, selectionId string, player string, outcomeType string, points double, marketName string, subcategory string, marketType string")
+    legs = lambda *rows: spark.createDataFrame([(i, "A. Lee", "Over", t, s) for i, (t, s) in enumerate(rows)], "leg_id long, player string, direction string, threshold double, stat string")
+    match = lambda df, **how: [r.selectionId for r in markets.match_legs(df, offers, **how).orderBy("leg_id").collect()]
+    assert match(legs((1.5, "Total Bases"), (0.5, "Runs"), (0.5, "HR"), (4.5, "Strikeouts")), kind="batter", prefer_two_way=True) == ["s1", "s9", "s8", None]
+    assert match(legs((20.5, "Points"), (2.5, "3-Pointers Made"), (20.5, "Rebounds")), kind="player", half_points=False) == ["s3", "s5", None]
+    assert match(legs((4.5, "Strikeouts"), (1.5, "Total Bases"))) == ["s6", None]
+
+
+def test_sheets_read_names_and_ties_as_their_kind_does(spark):
+    row = lambda i, **k: tuple({"sheet_id": "a", "idx": i, "L": str(i), "team": None, "game": None, "market": "Player Points", "bet_name": "Bo Ray Over 3.5", "player": "Ann Lee", "direction": None, "line": None, "avg_odds": None, "avg_fv": "110", "books_count": None, **k}.values())
+    schema = "sheet_id string, idx long, L string, team string, game string, market string, bet_name string, player string, direction string, line string, avg_odds string, avg_fv string, books_count string"
+    rows = spark.createDataFrame([row(1, player=" "), row(2, market="Player Steals"), row(3, market="Points"), row(4, market="x"), row(5, books_count="0", team="T", L="9")], schema)
+    got = {r.idx: (r.player, r.reason) for r in sheet.normalised(rows).collect()}
+    assert got == {1: (None, "no player name"), 2: ("Ann Lee", "unsupported_prop (no correlation data)"), 3: ("Ann Lee", None), 4: ("Ann Lee", "unknown NBA market"), 5: ("Ann Lee", None)}
+    kept = sheet.collapsed(sheet.first_rows(sheet.normalised(rows).where("reason is null")))
+    assert [(r.idx, r.seen) for r in kept.collect()] == [(5, 3)]  # no books are 0 books, then the larger row id
+    told = sheet.players(sheet.props(kept)).first()
+    assert (told.team, told.game, len(told.props)) == ("T", None, 1)
+    one = sheet.normalised(spark.createDataFrame([row(1, market="Strikeouts", line="5.5", direction="u")], schema), "pitcher").first()
+    assert (one.player, one.direction, one.line, one.disagree, one.reason) == ("Bo Ray", "Over", 3.5, True, None)
 
 
 def test_names_match_when_folded(spark):
