@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import fresh, held_out, saved
+from .common import held_out, saved
 
 FEATURES = 256
 BANDWIDTH = 6.0  # of the Gaussian kernel, in standard deviations
@@ -180,7 +180,6 @@ def fit(labelled: DataFrame) -> Model:
         edges = np.flatnonzero(np.concatenate([[True], np.diff(values) > 0]))  # the middle of each pool, joined by lines
         ends = np.append(edges[1:], values.size)
         middle = np.array([np.average(raw[a:b], weights=[r.n for r in bins[a:b]]) for a, b in zip(edges, ends)])
-        model.steps = (middle, np.clip(values[edges], 0, 1))
         # beyond the outer pools a small slope keeps the order of scores
         model.steps = (np.concatenate([[-1.0], middle, [2.0]]), np.concatenate([[values[0] * 0.9], values[edges], [values[-1] + (1 - values[-1]) * 0.1]]))
     return model
@@ -215,10 +214,3 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     kind = facts.schema["doc_id"].dataType.simpleString()
     out = facts.select("doc_id", "x").mapInArrow(scored, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows that score below the threshold; a doc_id that repeats stays if one of its rows does."""
-    mark = fresh(docs, "__good")
-    good = quality(docs, labels, **settings).where("predicted = 1").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
