@@ -58,12 +58,6 @@ def percent(hits: Column, n: Column) -> Column:
     return rounded_ratio(hits, n, 10, 100)
 
 
-def weighted_mean(value: Column, weight: Column) -> Column:
-    """Aggregate: mean of the values, weighted, over rows where both are there."""
-    ok = value.isNotNull() & weight.isNotNull()
-    return F.try_divide(F.sum(F.when(ok, value * weight)), F.sum(F.when(ok, weight)))
-
-
 def dot(names: list[Column], weights: list[Column]) -> Column:
     """w0 n0 + w1 n1 + ... in this order (float sums depend on it); nulls count as zero."""
     out = F.lit(0.0)
