@@ -64,7 +64,8 @@ def normalised(rows: DataFrame, kind: str = "player") -> DataFrame:
     offered = text.line_offered(F.col("stat"), F.col("line"), markets)
     leg = F.coalesce(drop, F.when(missing, no_leg)) if kind == "player" else F.coalesce(F.when(missing | F.col("market").isNull(), no_leg), drop, F.when(~offered, no_line))
     name = F.when(F.col("player").isNull(), no_name)
-    return x.withColumn("reason", F.coalesce(*((leg, name) if kind == "pitcher" else (name, leg)), F.when(F.col("fv").isNull(), NO_FAIR_VALUE))).drop("drop")
+    reason = F.coalesce(*((leg, name) if kind == "pitcher" else (name, leg)), F.when(F.col("fv").isNull(), NO_FAIR_VALUE))
+    return x.select("*", F.inline(F.array(F.struct(reason.alias("reason"))))).drop("drop")
 
 
 def first_rows(rows: DataFrame) -> DataFrame:

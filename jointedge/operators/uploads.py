@@ -17,6 +17,9 @@ COLUMNS = (
 def validated(rows: DataFrame) -> DataFrame:
     """Typed columns and reason (null for a good row) of each row that is not blank; fails if a column is missing."""
     require_columns(rows, COLUMNS)
+    # the rows, what is parsed and the reason leave generators: a filter on them would otherwise be pushed down to where the columns are made, and
+    # what Catalyst infers from it doubles with every column that is so made
+    rows = rows.select(F.inline(F.array(F.struct(*rows.columns))))
     blank = F.forall(F.array(*(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in COLUMNS)), lambda v: v == "")
     t = lambda c: F.coalesce(F.trim(c), F.lit(""))
     n = lambda c: text.number(F.col(c))
@@ -25,7 +28,6 @@ def validated(rows: DataFrame) -> DataFrame:
         n("Line_1").alias("line_1"), n("Line_2").alias("line_2"), n("Total_Games").alias("games"), n("Empirical_Prob").alias("p_joint"), n("P_Value").alias("p_value"), n("Correlation").alias("r_raw"), n("Adjusted_Correlation").alias("r_adj"),
         n("Hit_Rate_1").alias("hit_rate_1"), n("Hit_Rate_2").alias("hit_rate_2"), n("Independent_Prob").alias("p_independent"), n("Adjusted_Prob").alias("adjusted_prob"), F.col("Type").alias("type"),
     ]
-    # parsed values leave a generator: filters that are inferred from them would otherwise repeat the parsing, and take long to plan
     x = rows.where(~blank).select(*(c for c in rows.columns if c not in COLUMNS), F.inline(F.array(F.struct(*values))))
     reason = (
         F.when((F.col("player") == "") | (F.col("player_2") == ""), "missing player name").when(F.col("player") != F.col("player_2"), "cross-player row")
@@ -33,7 +35,7 @@ def validated(rows: DataFrame) -> DataFrame:
         .when(F.col("line_1").isNull() | F.col("line_2").isNull(), "non-numeric line").when(F.coalesce(F.col("games"), F.lit(0.0)) < 1, "too few games")
         .when(~F.coalesce(F.col("p_joint").between(0, 1), F.lit(False)), "joint probability out of range").when(~F.coalesce(F.col("p_value").between(0, 1), F.lit(False)), "p-value out of range")
     )
-    return x.withColumn("reason", reason)
+    return x.select("*", F.inline(F.array(F.struct(reason.alias("reason")))))
 
 
 def entries(checked: DataFrame) -> DataFrame:
