@@ -63,7 +63,7 @@ SQL["season_labels"] = f"WITH g AS (SELECT year(d) - CASE WHEN month(d) < 8 THEN
 _STAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(marketName), '{p}') THEN '{n}'" for p, n, _ in _MARKETS["pitcher"]) + " END"
 _OFFERED = "CASE stat " + " ".join(f"WHEN '{n}' THEN pts IN ({lines})" for _, n, lines in _MARKETS["pitcher"]) + " ELSE FALSE END"
 SQL["market_texts"] = f"""WITH {MK}, x AS (SELECT *, {_STAT} AS stat FROM se) SELECT selectionId, stat, {_OFFERED} AS offered, dir AS direction,
-coalesce(CASE feed_pos % 3 WHEN 0 THEN {D('pts')} WHEN 1 THEN {D('pts')} + 1 END, try_cast(nullif(regexp_extract(outcomeType, '([0-9]+)', 1), '') AS DOUBLE)) AS line, player AS named FROM x"""
+coalesce(CASE feed_pos % 3 WHEN 0 THEN {D('pts')} WHEN 1 THEN {D('pts')} + 1 END, try_cast(nullif(regexp_extract(outcomeType, '([0-9]+)', 1), '') AS DOUBLE)) AS line, coalesce(player, CASE marketName WHEN 'Player Points' THEN 'Player' END) AS named FROM x"""
 SQL["event_selections"] = f"WITH {MK} SELECT eventId, count(*) AS n FROM se WHERE marketId IN (SELECT marketId FROM se WHERE contains(subcategory, 'O/U')) GROUP BY eventId"
 SQL["player_events"] = f"""WITH {MK}, pl AS (SELECT DISTINCT player, pa FROM lg), m AS (SELECT pl.player, eventId, row_number() OVER (PARTITION BY pl.player ORDER BY feed_pos) AS k FROM pl JOIN se ON {_NAME}) SELECT pl.player, eventId AS event_id FROM pl LEFT JOIN m ON m.player = pl.player AND k = 1"""
 _NICK = lambda c: f"regexp_replace(lower(trim({c})), '^(north|south) ', '')"
