@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, html_extract, mixing, pieces, quality, repair, repair_sql, simhash, substring, toxicity, warc
+from . import audio, chat, decontam, html_extract, mixing, pieces, quality, repair, repair_sql, simhash, substring, toxicity, trie, trie_sql, warc
 from .common import table
 
 #: The domains, by source, and the weights of the mixture; nodes without a weight have weight 1.
@@ -100,8 +100,12 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), told.alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_html_extract, op3_warc, op4_toxicity, op5_simhash, op6_decontaminate, op7_substring_dedup, op8_audio, op9_mixture, op10_chat, op11_repair, op12_pieces)
+    f.__name__: f for f in (op1_quality, op2_html_extract, op3_warc, op4_toxicity, op5_simhash, op6_decontaminate, op7_substring_dedup, op8_audio, op9_mixture, op10_chat, op11_repair, op12_pieces, op13_prefix_trie)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -206,4 +210,4 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN upto <= re
 WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op6_decontaminate": _DECONTAM_SQL, "op7_substring_dedup": _SUBSTRING_SQL, "op9_mixture": _MIX_SQL, "op10_chat": _CHAT_SQL, "op11_repair": repair_sql.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op6_decontaminate": _DECONTAM_SQL, "op7_substring_dedup": _SUBSTRING_SQL, "op9_mixture": _MIX_SQL, "op10_chat": _CHAT_SQL, "op11_repair": repair_sql.SQL, "op13_prefix_trie": trie_sql.SQL}
