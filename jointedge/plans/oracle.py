@@ -335,3 +335,9 @@ SQL["folded_names"] = "SELECT lower(trim(regexp_replace(strip_accents(name), '[^
 SQL["stream_moments"] = "SELECT CAST(year(ts) AS INT) AS season, user_id AS p, count(*) AS n, CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS n1, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS n2, CAST(sum(CASE WHEN value > 20 AND event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS n11 FROM events GROUP BY 1, 2"
 SQL["stream_requests"] = "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id AS VARCHAR) || ':' || event_type AS fingerprint, count(*) AS n FROM events WHERE time_bucket(INTERVAL '10 minutes', ts) <= (SELECT max(ts) FROM events) - INTERVAL '20 minutes' GROUP BY 1, 2"
 SQL["stream_fresh"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS fingerprint FROM events"
+SQL["stream_reuse"] = """WITH RECURSIVE e AS (SELECT event_id AS request_id, ts, event_type || ':' || CAST(user_id % 10 AS VARCHAR) AS fingerprint, event_id % 7 <> 0 AS ok, row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT request_id, fingerprint, n, FALSE AS cached, ts, CASE WHEN ok THEN ts END AS kept, CASE WHEN ok THEN ts END AS source FROM e WHERE n = 1
+      UNION ALL SELECT request_id, fingerprint, n, hit, ts, CASE WHEN NOT hit AND ok THEN ts ELSE kept END, kept FROM (
+          SELECT e.*, w.kept, w.kept IS NOT NULL AND e.ts < w.kept + INTERVAL 10 MINUTE AS hit FROM w JOIN e ON e.fingerprint = w.fingerprint AND e.n = w.n + 1))
+SELECT request_id, fingerprint, cached, CASE WHEN cached THEN (date_diff('microsecond', source, ts) + 500000) // 1000000 ELSE 0 END AS age_s FROM w"""
+SQL["season_refresh"] = f"SELECT season, p, count(*) AS n, CAST(count_if(K > 24.5) AS BIGINT) AS n1, CAST(count_if(ER > 4.5) AS BIGINT) AS n2, CAST(count_if(K > 24.5 AND ER > 4.5) AS BIGINT) AS n11 FROM ({adapted_sql('starts')}) WHERE upper(trim(flag)) = 'YES' AND ip > 0 GROUP BY season, p"

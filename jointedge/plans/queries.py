@@ -405,3 +405,28 @@ def stream_fresh(spark, sf_dir):
     stream = _events(spark, sf_dir).select("ts", F.concat_ws(":", "user_id", "event_type").alias("fingerprint"))
     refresh.keep_windows(refresh.fresh_requests(stream, "40 days").select("fingerprint"), f"{path}/kept", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema("fingerprint string").parquet(f"{path}/kept")
+
+
+@query
+def stream_reuse(spark, sf_dir):
+    """Each request of an event type and user group, and whether a success of the ten minutes before answers it; every seventh request fails."""
+    path = _shared(spark, "reuse")
+    conf, held = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        fingerprint = F.concat_ws(":", "event_type", (F.col("user_id") % 10).cast("string"))
+        stream = _events(spark, sf_dir).select(F.col("event_id").alias("request_id"), "ts", fingerprint.alias("fingerprint"), (F.col("event_id") % 7 != 0).alias("ok"))
+        refresh.keep_windows(refresh.reused_requests(stream), f"{path}/answers", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(conf, held)
+    return spark.read.schema("request_id long, fingerprint string, cached boolean, age_s long").parquet(f"{path}/answers")
+
+
+@query
+def season_refresh(spark, sf_dir):
+    """Pair moments of all seasons, kept by season: built from the past ones, then refreshed with the current, which reads and writes that one alone."""
+    kept = refresh.SeasonMoments(spark, _shared(spark, "season_moments"))
+    rows = starts(spark, sf_dir).select("season", "p", F.when(F.col("K") > 24.5, 1).otherwise(0).alias("h1"), F.when(F.col("ER") > 4.5, 1).otherwise(0).alias("h2"))
+    kept.apply(rows.where(F.col("season") != CURRENT), 0)
+    kept.apply(rows.where(F.col("season") == CURRENT), 1)
+    return kept.read()
