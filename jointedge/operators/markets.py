@@ -55,6 +55,39 @@ def name_blocks(plain: Column) -> Column:
     return F.array_compact(F.array(both, F.when(F.length(last) > 3, last)))
 
 
+def _offers(props: DataFrame, kind: str) -> DataFrame:
+    """Distinct offers of a class by player (pb), direction, points, market text and subcategory, each with its first selection, under their name blocks."""
+    price = F.col("oddsAmerican") if "oddsAmerican" in props.columns else F.lit(None).cast("string")
+    b = classified(props).where(f"is_{kind}").select(
+        text.plain_name(F.col("player")).alias("pb"), text.selection_direction(F.col("outcomeType")).alias("direction"), "points", "feed_pos", "selectionId", price.alias("price"), _text("marketName", "subcategory", "marketType").alias("blob"), F.coalesce("subcategory", F.lit("")).alias("shelf")
+    )
+    b = b.groupBy("pb", "direction", "points", "blob", "shelf").agg(F.min(F.struct("feed_pos", "selectionId", "price", "points", "shelf")).alias("offer"))
+    return b.withColumn("ou", F.lower("shelf").contains("o/u")).withColumn("block", F.explode(name_blocks(F.col("pb"))))
+
+
+def _speaks(kind: str) -> Column:
+    """Whether an offer is of a leg's player and stat."""
+    return text.names_match(F.col("pa"), F.col("pb")) & text.stat_in_blob(F.col("stat"), F.col("blob"), text.STATS_OF[kind])
+
+
+def _best_offers(legs: DataFrame, offers: DataFrame, kind: str, half_points: bool, prefer_two_way: bool) -> DataFrame:
+    """Distinct legs that an offer matches, with the first."""
+    a = legs.select(*_LEG).distinct().withColumn("pa", text.plain_name(F.col("player")))
+    half = F.when(F.col("direction") == "Over", 0.5).otherwise(-0.5)
+    accepted = F.array(F.lit(0.0), half) if half_points else F.array(F.lit(0.0))
+    a = a.select("*", F.explode(F.array_distinct(F.transform(accepted, lambda d: F.col("threshold") + d))).alias("points")).withColumn("block", F.explode(name_blocks(F.col("pa"))))
+    hit = a.join(offers, ["block", "direction", "points"]).where(_speaks(kind))
+    rank = F.struct(F.when(F.col("ou"), 0).otherwise(1).alias("two_way"), "offer") if prefer_two_way else F.struct("offer")
+    return hit.groupBy(*_LEG).agg(F.min(rank).alias("m")).select(*_LEG, "m.offer")
+
+
+def _for_legs(legs: DataFrame, found: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``legs`` with values of what was found for each distinct leg; null where nothing was."""
+    named = found.select(*(F.col(c).alias(f"__{c}") for c in _LEG), *(v.alias(k) for k, v in values.items()))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _LEG))
+    return legs.join(named, same, "left").select(*legs.columns, *values)
+
+
 def match_legs(legs: DataFrame, props: DataFrame, kind: str = "pitcher", half_points: bool = True, prefer_two_way: bool = False) -> DataFrame:
     """For each leg (leg_id, player, direction, threshold, stat) the first selection of its class that offers it; null selectionId where none does.
 
@@ -63,23 +96,33 @@ def match_legs(legs: DataFrame, props: DataFrame, kind: str = "pitcher", half_po
     are never multiplied. With ``half_points`` Over L also takes L + .5 and Under L takes L - .5 (milestones). With
     ``prefer_two_way`` selections of O/U subcategories come first.
     """
-    a = legs.select(*_LEG).distinct().withColumn("pa", text.plain_name(F.col("player")))
-    b = classified(props).where(f"is_{kind}").select(text.plain_name(F.col("player")).alias("pb"), text.selection_direction(F.col("outcomeType")).alias("direction"), "points", "feed_pos", "selectionId", _text("marketName", "subcategory", "marketType").alias("blob"), F.coalesce(F.lower("subcategory").contains("o/u"), F.lit(False)).alias("ou"))
-    b = b.groupBy("pb", "direction", "points", "blob", "ou").agg(F.min(F.struct("feed_pos", "selectionId")).alias("offer")).withColumn("block", F.explode(name_blocks(F.col("pb"))))
-    half = F.when(F.col("direction") == "Over", 0.5).otherwise(-0.5)
-    accepted = F.array(F.lit(0.0), half) if half_points else F.array(F.lit(0.0))
-    a = a.select("*", F.explode(F.array_distinct(F.transform(accepted, lambda d: F.col("threshold") + d))).alias("points")).withColumn("block", F.explode(name_blocks(F.col("pa"))))
-    hit = a.join(b, ["block", "direction", "points"]).where(text.names_match(F.col("pa"), F.col("pb")) & text.stat_in_blob(F.col("stat"), F.col("blob"), text.STATS_OF[kind]))
-    rank = F.struct(F.when(F.col("ou"), 0).otherwise(1).alias("two_way"), "offer") if prefer_two_way else F.struct("offer")
-    best = hit.groupBy(*(F.col(c).alias(f"__{c}") for c in _LEG)).agg(F.min(rank).alias("m"))
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _LEG))
-    return legs.join(best, same, "left").select(*legs.columns, F.col("m.offer.selectionId").alias("selectionId"))
+    best = _best_offers(legs, _offers(props, kind), kind, half_points, prefer_two_way)
+    return _for_legs(legs, best, {"selectionId": F.col("offer.selectionId")})
+
+
+def leg_sides(legs: DataFrame, props: DataFrame, kind: str = "batter", half_points: bool = True, prefer_two_way: bool = False) -> DataFrame:
+    """``match_legs`` with the other side: opposite_id, over_odds and under_odds.
+
+    The other side is the first selection of the class, by the same rules for name and stat, that has the other direction, and the points and
+    subcategory (null is the empty one) of the selection that was matched. Where there is none, its odds are null.
+    """
+    offers = _offers(props, kind)
+    best = _best_offers(legs, offers, kind, half_points, prefer_two_way)
+    wanted = best.withColumn("pa", text.plain_name(F.col("player"))).select(*_LEG, "pa", F.col("offer").alias("own"), F.when(F.col("direction") == "Over", "Under").otherwise("Over").alias("side"), F.explode(name_blocks(F.col("pa"))).alias("block"))
+    others = offers.select("block", F.col("direction").alias("side"), "points", "shelf", "pb", "blob", "offer")
+    on = [wanted[c] == others[c] for c in ("block", "side")] + [F.col("own.points") == others["points"], F.col("own.shelf") == others["shelf"]]
+    met = wanted.join(others, on).where(_speaks(kind)).groupBy(*_LEG).agg(F.min("offer").alias("other"))
+    same = reduce(lambda x, y: x & y, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _LEG))
+    both = best.alias("l").join(met.alias("r"), same, "left").select(*(F.col(f"l.{c}").alias(c) for c in _LEG), "offer", "other")
+    over = F.col("direction") == "Over"
+    values = {"selectionId": F.col("offer.selectionId"), "opposite_id": F.col("other.selectionId"), "over_odds": F.when(over, F.col("offer.price")).otherwise(F.col("other.price")), "under_odds": F.when(over, F.col("other.price")).otherwise(F.col("offer.price"))}
+    return _for_legs(legs, both, values)
 
 
 def opposite_sides(props: DataFrame) -> DataFrame:
-    """selectionId, over_odds and under_odds: its own odds and those of the first other side of the same player, market text and points."""
-    key = ["player", "stat", "points", "subcategory"]
-    x = props.withColumn("direction", text.selection_direction(F.col("outcomeType"))).where("direction is not null")
+    """selectionId, over_odds and under_odds: its own odds and those of the first other side of the same player, stat, points and subcategory (null is the empty one)."""
+    key = ["player", "stat", "points", "shelf"]
+    x = props.withColumn("direction", text.selection_direction(F.col("outcomeType"))).where("direction is not null").withColumn("shelf", F.coalesce("subcategory", F.lit("")))
     firsts = x.groupBy(*key, "direction").agg(F.min_by("oddsAmerican", "feed_pos").alias("other"))
     y = x.withColumn("want", F.when(F.col("direction") == "Over", "Under").otherwise("Over")).join(firsts.withColumnRenamed("direction", "want"), [*key, "want"], "left")
     over = F.col("direction") == "Over"
@@ -93,17 +136,39 @@ def team_events(teams: DataFrame, events: DataFrame, cities: list[str]) -> DataF
     return teams.withColumn("nick", text.nickname(F.col("team"), cities)).join(by_name, "nick", "left").select("team", "nick", F.col("e.id").alias("event_id"))
 
 
-NAMES = 10_000  # distinct names, or fixtures, of a broadcast block
-
 # Words between two teams in a game's text, and the longest that a team's short code is.
 BETWEEN, CODE = ("vs", "at", "v"), 4
 
+GRAM = 3  # characters
+
 
-def _held(texts: DataFrame, names: DataFrame, condition: Column) -> DataFrame:
-    """Distinct texts with the distinct names for which a condition without a key holds: names pass in broadcast blocks of about NAMES."""
-    blocks = names.count() // NAMES + 1
-    parts = [names.where(F.pmod(F.xxhash64(*names.columns), F.lit(blocks)) == b) if blocks > 1 else names for b in range(blocks)]
-    return reduce(DataFrame.union, (texts.join(F.broadcast(part), condition) for part in parts))
+def _grams(held: Column, sizes: range) -> Column:
+    """The distinct runs of characters of a text, of each size."""
+
+    def runs(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(held) - size + 1, F.lit(1))), lambda i: F.substring(held, i, F.lit(size)))
+
+    return F.filter(F.array_distinct(F.flatten(F.array(*map(runs, sizes)))), lambda g: g != "")
+
+
+def _own_grams(held: Column) -> Column:
+    """Runs that any text must have that holds this one: those of ``GRAM`` characters, or the text itself if it is shorter."""
+    return F.when(F.length(held) < GRAM, F.array(held)).otherwise(_grams(held, range(GRAM, GRAM + 1)))
+
+
+def holding(small: DataFrame, needs: Column, big: DataFrame, text_column: str, confirm: Column) -> DataFrame:
+    """The pairs of rows of ``small`` and ``big`` for which ``confirm`` holds, where a match's text has all runs that ``needs`` lists.
+
+    An inverted index from runs of characters to the texts of ``big`` serves as the join key: a row of ``small`` goes by the rarest of its runs, and not
+    at all if one of them is in no text. So rows meet by an equi-join, and only texts that share a rare run are compared.
+    """
+    index = big.select("*", F.explode(_grams(F.col(text_column), range(1, GRAM + 1))).alias("__gram"))
+    spread = index.groupBy("__gram").agg(F.count("*").alias("__n"))
+    row = F.struct(*small.columns)
+    asked = small.select(row.alias("__row"), F.explode(needs).alias("__gram")).join(spread, "__gram", "left")
+    rarest = asked.groupBy("__row").agg(F.count_if(F.col("__n").isNull()).alias("__absent"), F.min(F.struct("__n", "__gram")).alias("__best")).where("__absent = 0")
+    met = rarest.select("__row.*", F.col("__best.__gram").alias("__gram")).join(index, "__gram")
+    return met.where(confirm).drop("__gram")
 
 
 def events_of_games(candidates: DataFrame, events: DataFrame) -> DataFrame:
@@ -113,8 +178,7 @@ def events_of_games(candidates: DataFrame, events: DataFrame) -> DataFrame:
     game of two words of up to four letters (words as vs apart) names the event with just these codes: 2. Else the event
     all words of whose teams' names the game's text holds: 3.
 
-    Distinct texts meet distinct names, not rows. Codes meet as keys; what holds what has no key, so distinct teams and games pass
-    the distinct names of the events in broadcast blocks.
+    Distinct texts meet distinct names, not rows. Codes meet as keys; what holds what goes by an index of runs of characters (``holding``).
     """
     key = lambda c: text.team_key(F.col(c))
     c = candidates.select("team", "game").distinct().select("team", "game", key("team").alias("tn"), key("game").alias("gn"))
@@ -124,7 +188,8 @@ def events_of_games(candidates: DataFrame, events: DataFrame) -> DataFrame:
     teams = c.where("tn <> ''").select("tn").distinct()
     by_code = e.select(F.explode(F.array("hs", "as")).alias("tn"), at).groupBy("tn").agg(F.min("e").alias("e"))
     names = e.select(F.explode(F.array("ht", "at")).alias("name"), at).where("name <> ''").groupBy("name").agg(F.min("e").alias("e"))
-    inside = _held(teams, names, F.col("name").contains(F.col("tn")) | F.col("tn").contains(F.col("name"))).select("tn", "e")
+    within = holding(teams, _own_grams(F.col("tn")), names, "name", F.col("name").contains(F.col("tn"))).select("tn", "e")
+    inside = within.union(holding(names, _own_grams(F.col("name")), teams, "tn", F.col("tn").contains(F.col("name"))).select("tn", "e"))
     found = teams.join(by_code, "tn").select("tn", "e").union(inside).groupBy("tn").agg(F.min("e").alias("by_team"))
     games = c.where("gn <> ''").select("gn").distinct().withColumn("parts", F.filter(F.split("gn", " "), lambda w: ~w.isin(*BETWEEN)))
     pair = lambda a, b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
@@ -133,7 +198,8 @@ def events_of_games(candidates: DataFrame, events: DataFrame) -> DataFrame:
     coded = games.where(two).select("gn", pair(F.get("parts", F.lit(0)), F.get("parts", F.lit(1))).alias("pair")).join(by_codes, "pair").select("gn", "by_codes")
     fixtures = e.where("ht <> '' and at <> ''").groupBy("ht", "at").agg(F.min(at).alias("e"))
     every = lambda side: F.forall(F.split(side, " "), lambda w: F.col("gn").contains(w))
-    told = _held(games, fixtures, every("ht") & every("at")).groupBy("gn").agg(F.min("e").alias("by_names"))
+    words = F.array_distinct(F.flatten(F.transform(F.split(F.concat_ws(" ", "ht", "at"), " "), _own_grams)))
+    told = holding(fixtures, words, games.select("gn"), "gn", every("ht") & every("at")).groupBy("gn").agg(F.min("e").alias("by_names"))
     out = c.join(found, "tn", "left").join(coded, "gn", "left").join(told, "gn", "left")
     out = out.select(F.col("team").alias("__team"), F.col("game").alias("__game"), F.coalesce("by_team", "by_codes", "by_names").alias("e"), F.when(F.col("by_team").isNotNull(), 1).when(F.col("by_codes").isNotNull(), 2).when(F.col("by_names").isNotNull(), 3).alias("rule"))
     held = candidates.join(out, F.col("team").eqNullSafe(F.col("__team")) & F.col("game").eqNullSafe(F.col("__game")), "left")

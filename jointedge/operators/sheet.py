@@ -35,7 +35,8 @@ def normalised(rows: DataFrame, kind: str = "player") -> DataFrame:
 
     In pitcher sheets bet_name is read for name, direction and line together, and the explicit fields only where it says
     nothing. In the others the explicit fields come first and bet_name fills direction and line, never the name; batters'
-    names are folded. disagree marks rows where both are there and differ. A number of books that is none counts as 0.
+    names are folded. disagree marks rows where both are there and differ. A number of books that is none counts as 0. row_key
+    is the text that names the row, row_id its number, if it is one.
     """
     markets, no_name, no_market, no_leg, no_line = KINDS[kind]
     parsed = text.parse_bet_name(F.col("bet_name"))
@@ -50,9 +51,10 @@ def normalised(rows: DataFrame, kind: str = "player") -> DataFrame:
     if kind == "batter":
         read["player"] = F.nullif(text.fold_ascii(read["player"]), F.lit(""))
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    finite = lambda c: F.when(F.abs(text.number(F.col(c))) < float("inf"), text.number(F.col(c)))
     values = [
-        F.trim("L").try_cast("int").alias("row_id"), filled("team").alias("team"), filled("game").alias("game"), filled("market").alias("market"), *(v.alias(k) for k, v in read.items()),
-        reduce(lambda a, b: a | b, both).alias("disagree"), text.number(F.col("avg_fv")).alias("fv"), F.coalesce(F.trim("books_count").try_cast("int"), F.lit(0)).alias("books"), odds.parse_odds_pair(F.col("avg_odds")).alias("pair"), F.col("avg_odds"),
+        F.nullif(F.col("L"), F.lit("")).alias("row_key"), finite("L").alias("row_id"), filled("team").alias("team"), filled("game").alias("game"), filled("market").alias("market"), *(v.alias(k) for k, v in read.items()),
+        reduce(lambda a, b: a | b, both).alias("disagree"), text.number(F.col("avg_fv")).alias("fv"), F.coalesce(finite("books_count"), F.lit(0.0)).alias("books"), odds.parse_odds_pair(F.col("avg_odds")).alias("pair"), F.col("avg_odds"),
     ]
     # what is read leaves a generator: filters on the reason cannot be pushed below it, where they would repeat the parsing
     x = rows.select("sheet_id", "idx", F.inline(F.array(F.struct(*values))))
@@ -69,18 +71,18 @@ def normalised(rows: DataFrame, kind: str = "player") -> DataFrame:
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """The first row, by idx, of each sheet, player and row id; rows without a row id all stay."""
-    w = W.partitionBy("sheet_id", "player", "row_id", F.when(F.col("row_id").isNull(), F.col("idx"))).orderBy("idx")
+    """The first row, by idx, of each sheet, player and text of the row id ("7" and "07" are two); rows without one all stay."""
+    w = W.partitionBy("sheet_id", "player", "row_key", F.when(F.col("row_key").isNull(), F.col("idx"))).orderBy("idx")
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def collapsed(rows: DataFrame, low_row_id_wins: bool = False) -> DataFrame:
-    """One whole row per player and leg: the most books, then the highest row id (or the lowest; none is -1), then the first idx.
+    """One whole row per player and leg: the most books, then the highest row id (or the lowest; one that is no number is -1), then the first idx.
 
     seen is the first idx of the leg, which orders a player's legs.
     """
     leg = W.partitionBy("sheet_id", "player", "stat", "direction", "line")
-    row_id = F.coalesce("row_id", F.lit(-1))
+    row_id = F.coalesce("row_id", F.lit(-1.0))
     w = leg.orderBy(F.col("books").desc(), row_id.asc() if low_row_id_wins else row_id.desc(), "idx")
     return rows.withColumns({"__n": F.row_number().over(w), "seen": F.min("idx").over(leg)}).where("__n = 1").drop("__n")
 

@@ -151,12 +151,13 @@ def market_texts(spark, sf_dir):
     """What the texts of a feed's selections say: stat, whether the line is offered, direction, points, player."""
     at, points = F.col("feed_pos"), F.col("points")
     stat = text.market_stat(F.col("marketName"), text.PITCHER_MARKETS)
-    name = F.concat_ws(" ", "player", "marketName")
-    stats = ["Pitcher Strikeouts", "Earned Runs", "Walks", "Hits Allowed", "Pitching Outs", "Total Bases", "Home Runs", "Runs Scored", "Singles", "RBIs", "Player", "3-Pointers", "Points", "Team"]
+    # feeds name a market by its player and kind, which may come in another case or with an ending, or by player and stat alone
+    name = F.concat_ws(" ", "player", F.when(at % 5 == 1, F.upper("marketName")).otherwise(F.col("marketName")), F.when(at % 7 == 0, F.col("subcategory")))
+    kind = F.when(at % 2 == 0, F.when(at % 3 == 0, F.concat("marketName", F.lit(" O/U"))).when(at % 3 == 1, F.concat("marketName", F.lit(" Milestones"))).otherwise(F.col("marketName")))
     return _selections(spark, sf_dir).select(
         "selectionId", stat.alias("stat"), text.line_offered(stat, points, text.PITCHER_MARKETS).alias("offered"), text.selection_direction(F.col("outcomeType")).alias("direction"),
         text.selection_points(F.when(at % 3 == 0, points), F.when(at % 3 == 1, points + 1), F.col("outcomeType")).alias("line"),
-        text.player_of_market(name, F.when(at % 2 == 0, F.col("marketName")), F.col("subcategory"), stats).alias("named"),
+        text.player_of_market(name, kind, F.col("subcategory")).alias("named"),
     )
 
 

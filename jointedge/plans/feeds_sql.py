@@ -62,8 +62,20 @@ SQL["season_labels"] = f"WITH g AS (SELECT year(d) - CASE WHEN month(d) < 8 THEN
 
 _STAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(marketName), '{p}') THEN '{n}'" for p, n, _ in _MARKETS["pitcher"]) + " END"
 _OFFERED = "CASE stat " + " ".join(f"WHEN '{n}' THEN pts IN ({lines})" for _, n, lines in _MARKETS["pitcher"]) + " ELSE FALSE END"
-SQL["market_texts"] = f"""WITH {MK}, x AS (SELECT *, {_STAT} AS stat FROM se) SELECT selectionId, stat, {_OFFERED} AS offered, dir AS direction,
-coalesce(CASE feed_pos % 3 WHEN 0 THEN {D('pts')} WHEN 1 THEN {D('pts')} + 1 END, try_cast(nullif(regexp_extract(outcomeType, '([0-9]+)', 1), '') AS DOUBLE)) AS line, coalesce(player, CASE marketName WHEN 'Player Points' THEN 'Player' END) AS named FROM x"""
+_WORDS_OF_STATS = ["Strikeouts", "Earned Runs", "Walks", "Hits Allowed", "Pitching Outs", "Total Bases", "Home Runs", "RBIs", "Hits", "Runs", "Singles", "Doubles", "Stolen Bases", "3-Pointers Made", "3-Point Made", "Threes Made", "Points", "Rebounds", "Assists", "Steals", "Blocks", "Turnovers"]
+
+
+def _less(name: str, suffix: str) -> str:
+    forms = [suffix, f"replace({suffix}, ' O/U', '')", f"replace({suffix}, ' Milestones', '')"]
+    return "CASE " + " ".join(f"WHEN length({f}) > 0 AND ends_with(lower({name}), lower({f})) THEN trim(left({name}, length({name}) - length({f})))" for f in forms) + f" ELSE {name} END"
+
+
+_BEFORE = "CASE " + " ".join(f"WHEN strpos(market_, '{w}') > 1 THEN trim(left(market_, strpos(market_, '{w}') - 1))" for w in _WORDS_OF_STATS) + " ELSE market_ END"
+SQL["market_texts"] = f"""WITH {MK}, x AS (SELECT *, {_STAT} AS stat, concat_ws(' ', player, CASE WHEN feed_pos % 5 = 1 THEN upper(marketName) ELSE marketName END, CASE WHEN feed_pos % 7 = 0 THEN subcategory END) AS market_,
+CASE feed_pos % 6 WHEN 0 THEN marketName || ' O/U' WHEN 4 THEN marketName || ' Milestones' WHEN 2 THEN marketName END AS kind_ FROM se),
+y AS (SELECT *, {_less('market_', 'kind_')} AS once FROM x), z AS (SELECT *, {_less('once', 'subcategory')} AS twice FROM y)
+SELECT selectionId, stat, {_OFFERED} AS offered, dir AS direction,
+coalesce(CASE feed_pos % 3 WHEN 0 THEN {D('pts')} WHEN 1 THEN {D('pts')} + 1 END, try_cast(nullif(regexp_extract(outcomeType, '([0-9]+)', 1), '') AS DOUBLE)) AS line, CASE WHEN twice <> market_ THEN twice ELSE {_BEFORE} END AS named FROM z"""
 SQL["event_selections"] = f"WITH {MK} SELECT eventId, count(*) AS n FROM se WHERE marketId IN (SELECT marketId FROM se WHERE contains(subcategory, 'O/U')) GROUP BY eventId"
 SQL["player_events"] = f"""WITH {MK}, pl AS (SELECT DISTINCT player, pa FROM lg), m AS (SELECT pl.player, eventId, row_number() OVER (PARTITION BY pl.player ORDER BY feed_pos) AS k FROM pl JOIN se ON {_NAME}) SELECT pl.player, eventId AS event_id FROM pl LEFT JOIN m ON m.player = pl.player AND k = 1"""
 _NICK = lambda c: f"regexp_replace(lower(trim({c})), '^(north|south) ', '')"

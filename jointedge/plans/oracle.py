@@ -13,9 +13,9 @@ ENTITY_LEGS = [("Over", 25.5, "K"), ("Under", 15.5, "K"), ("Over", 5.5, "ER"), (
 LINEUP_LEGS = [("Over", 25.5, "H"), ("Over", 5.5, "R"), ("Over", 4.5, "RBI"), ("Under", 3.5, "TB"), ("Over", 35.5, "H"), ("Under", 10.5, "H"), ("Over", 7.5, "R"), ("Under", 2.5, "R"), ("Over", 6.5, "RBI"), ("Over", 5.5, "TB"), ("Over", 40.5, "HRR"), ("Under", 20.5, "HRR")]
 LINEUP_STATS = ["H", "R", "RBI", "TB", "HRR"]
 LINEUP_COMBOS = [(a, b) for a in range(12) for b in range(12) if a <= b]
-_PAST = {"dyn_16plus": (8, 12, 25, 55), "static": (15, 20, 30, 35), "unweighted": (100, 100, 100, 100)}
-ENTITY_SCHEMES = {k: tuple(w / 100 for w in v) for k, v in {"dyn_1_3": (20, 25, 40, 15), "dyn_4_8": (15, 20, 35, 30), "dyn_9_15": (10, 15, 30, 45), **_PAST}.items()}
-DYAD_SCHEMES = {k: tuple(w / 100 for w in v) for k, v in {"dyn_1_10": (20, 25, 45, 10), "dyn_11_25": (15, 20, 35, 30), "dyn_26_60": (10, 15, 30, 45), "dyn_61plus": _PAST["dyn_16plus"], "static": _PAST["static"], "unweighted": _PAST["unweighted"]}.items()}
+# The weights of the seasons, oldest first, by scheme.
+ENTITY_SCHEMES = {"dyn_1_3": (0.20, 0.25, 0.40, 0.15), "dyn_4_8": (0.15, 0.20, 0.35, 0.30), "dyn_9_15": (0.10, 0.15, 0.30, 0.45), "dyn_16plus": (0.08, 0.12, 0.25, 0.55), "static": (0.15, 0.20, 0.30, 0.35), "unweighted": (1.0, 1.0, 1.0, 1.0)}
+DYAD_SCHEMES = {"dyn_1_10": (0.20, 0.25, 0.45, 0.10), "dyn_11_25": (0.15, 0.20, 0.35, 0.30), "dyn_26_60": (0.10, 0.15, 0.30, 0.45), "dyn_61plus": (0.08, 0.12, 0.25, 0.55), "static": (0.15, 0.20, 0.30, 0.35), "unweighted": (1.0, 1.0, 1.0, 1.0)}
 
 SPAN = range(len(SEASONS))
 
@@ -252,14 +252,14 @@ def sheet_rows(kind: str) -> str:
     }[kind]
     return f"""s0 AS ({adapted_sql(table)}), dr AS (SELECT sheet_id, count(*) AS n, count(*) FILTER (try_cast(avg_fv AS DOUBLE) IS NULL) AS bad FROM s0 GROUP BY sheet_id),
 s1 AS (SELECT s0.* EXCLUDE (market, team, game), nullif(trim(market), '') AS market, nullif(trim(team), '') AS team, nullif(trim(game), '') AS game, nullif(trim(player), '') AS ep, {_SIDE('direction')} AS ed, try_cast(trim(line) AS DOUBLE) AS el, nullif(trim(regexp_extract(bet_name, {_BET}, 1)), '') AS bp, CASE lower(regexp_extract(bet_name, {_BET}, 2)) WHEN 'over' THEN 'Over' WHEN 'under' THEN 'Under' END AS bd, try_cast(nullif(regexp_extract(bet_name, {_BET}, 3), '') AS DOUBLE) AS bl,
-try_cast(trim(avg_fv) AS DOUBLE) AS fv, coalesce(try_cast(books_count AS INT), 0) AS books, try_cast(L AS INT) AS row_id, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 1) AS BIGINT) AS o1, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 2) AS BIGINT) AS o2 FROM s0 JOIN dr USING (sheet_id) WHERE dr.n < 10 OR dr.bad * 5 <= dr.n),
-s2 AS (SELECT sheet_id, idx, row_id, team, game, {name} AS player, {direction} AS direction, {line} AS line, market, {stat} AS stat, {dropped} AS dropped, fv, books, {differ} AS disagree, coalesce(fv = o1 OR fv = o2, FALSE) AS suspicious FROM s1),
+try_cast(trim(avg_fv) AS DOUBLE) AS fv, CASE WHEN isfinite(try_cast(trim(books_count) AS DOUBLE)) THEN try_cast(trim(books_count) AS DOUBLE) ELSE 0 END AS books, CASE WHEN isfinite(try_cast(trim(L) AS DOUBLE)) THEN try_cast(trim(L) AS DOUBLE) END AS row_id, CASE WHEN L IS NULL OR L = '' THEN 'idx' || CAST(idx AS VARCHAR) ELSE L END AS row_key, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 1) AS BIGINT) AS o1, CAST(regexp_extract(avg_odds, '([+-]?[0-9]+) / ([+-]?[0-9]+)', 2) AS BIGINT) AS o2 FROM s0 JOIN dr USING (sheet_id) WHERE dr.n < 10 OR dr.bad * 5 <= dr.n),
+s2 AS (SELECT sheet_id, idx, row_id, row_key, team, game, {name} AS player, {direction} AS direction, {line} AS line, market, {stat} AS stat, {dropped} AS dropped, fv, books, {differ} AS disagree, coalesce(fv = o1 OR fv = o2, FALSE) AS suspicious FROM s1),
 sn AS (SELECT *, CASE {reason} WHEN fv IS NULL THEN 'avg_fv not numeric' END AS reason FROM s2)"""
 
 
 SN = sheet_rows("player")
 SH = SN.split(", dr AS")[0] + ", dr AS" + SN.split(", dr AS")[1].split(",\ns1")[0]
-_DEDUPE = lambda tie: f"d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, row_id ORDER BY idx) AS k1 FROM sn WHERE reason IS NULL) WHERE k1 = 1), d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, stat, direction, line ORDER BY books DESC, coalesce(row_id, -1) {tie}, idx) AS k2, min(idx) OVER (PARTITION BY sheet_id, player, stat, direction, line) AS seen FROM d1) WHERE k2 = 1)"
+_DEDUPE = lambda tie: f"d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, row_key ORDER BY idx) AS k1 FROM sn WHERE reason IS NULL) WHERE k1 = 1), d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, player, stat, direction, line ORDER BY books DESC, coalesce(row_id, -1) {tie}, idx) AS k2, min(idx) OVER (PARTITION BY sheet_id, player, stat, direction, line) AS seen FROM d1) WHERE k2 = 1)"
 _OF = lambda d, c: f"max(CASE WHEN direction = '{d}' THEN {c} END)"
 SQL["sheet_drift"] = f"WITH {SH} SELECT sheet_id, n, bad, n < 10 OR bad * 5 <= n AS ok FROM dr"
 for _name, _kind in (("sheet_rows", "player"), ("batter_rows", "batter"), ("pitcher_rows", "pitcher")):
@@ -317,14 +317,24 @@ def _leg_match(kind: str, points: str, order: str) -> str:
     return f"WITH {MK}, m AS (SELECT leg_id, selectionId, row_number() OVER (PARTITION BY leg_id ORDER BY {order}) AS k FROM (SELECT *, lower(trim(stat)) AS s FROM lg) JOIN se ON {_NAME} AND dir = direction AND {points} AND is_{kind} AND {_STATOK[kind]}) SELECT lg.leg_id, selectionId FROM lg LEFT JOIN m ON m.leg_id = lg.leg_id AND k = 1"
 
 
+def _leg_sides(kind: str, points: str, order: str) -> str:
+    whole = _leg_match(kind, points, order).split(" SELECT lg.leg_id")[0].replace("SELECT leg_id, selectionId,", "SELECT leg_id, player_ AS leg_player, pa, direction, s, selectionId, pts, coalesce(subcategory, '') AS sub, oddsAmerican,").replace("lower(trim(stat)) AS s FROM lg", "lower(trim(stat)) AS s, player AS player_ FROM lg")
+    return f"""{whole}, a AS (SELECT * FROM m WHERE k = 1),
+o AS (SELECT a.leg_id, se.selectionId, se.oddsAmerican, row_number() OVER (PARTITION BY a.leg_id ORDER BY se.feed_pos) AS k FROM a JOIN se ON {_NAME} AND se.dir <> a.direction AND se.pts = a.pts AND coalesce(se.subcategory, '') = a.sub AND is_{kind} AND {_STATOK[kind]})
+SELECT lg.leg_id, a.selectionId, o.selectionId AS opposite_id, {_AM("CASE WHEN a.direction = 'Over' THEN a.oddsAmerican ELSE o.oddsAmerican END")} AS over_odds, {_AM("CASE WHEN a.direction = 'Over' THEN o.oddsAmerican ELSE a.oddsAmerican END")} AS under_odds
+FROM lg LEFT JOIN a ON a.leg_id = lg.leg_id LEFT JOIN o ON o.leg_id = lg.leg_id AND o.k = 1"""
+
+
+_AM = lambda c: f"CAST(replace(replace({c}, '−', '-'), '+', '') AS BIGINT)"
 _HALF = "(pts = thr OR pts = CASE WHEN direction = 'Over' THEN thr + 0.5 ELSE thr - 0.5 END)"
 SQL["leg_matches"] = _leg_match("pitcher", _HALF, "feed_pos")
 SQL["batter_leg_matches"] = _leg_match("batter", _HALF, "CASE WHEN contains(shelf, 'o/u') THEN 0 ELSE 1 END, feed_pos")
 SQL["exact_leg_matches"] = _leg_match("player", "pts = thr", "feed_pos")
-_AM = lambda c: f"CAST(replace(replace({c}, '−', '-'), '+', '') AS BIGINT)"
-SQL["opposite_odds"] = f"""WITH {MK}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player, marketName, pts, subcategory, dir ORDER BY feed_pos) AS k FROM se) WHERE k = 1)
+SQL["batter_sides"] = _leg_sides("batter", _HALF, "CASE WHEN contains(shelf, 'o/u') THEN 0 ELSE 1 END, feed_pos")
+SQL["player_sides"] = _leg_sides("player", "pts = thr", "feed_pos")
+SQL["opposite_odds"] = f"""WITH {MK}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player, marketName, pts, coalesce(subcategory, ''), dir ORDER BY feed_pos) AS k FROM se) WHERE k = 1)
 SELECT se.selectionId, {_AM("CASE WHEN se.dir = 'Over' THEN se.oddsAmerican ELSE f.oddsAmerican END")} AS over_odds, {_AM("CASE WHEN se.dir = 'Over' THEN f.oddsAmerican ELSE se.oddsAmerican END")} AS under_odds
-FROM se LEFT JOIN f ON f.player = se.player AND f.marketName = se.marketName AND f.pts = se.pts AND f.subcategory = se.subcategory AND f.dir <> se.dir"""
+FROM se LEFT JOIN f ON f.player = se.player AND f.marketName = se.marketName AND f.pts = se.pts AND coalesce(f.subcategory, '') = coalesce(se.subcategory, '') AND f.dir <> se.dir"""
 _CLASSES = ", ".join(f"{a}_{k}" for a in ("is", "keeps") for k in ("pitcher", "batter", "player"))
 SQL["market_classes"] = f"WITH {MK} SELECT marketName, subcategory, {_CLASSES}, count(*) AS n FROM se GROUP BY ALL"
 BX = f"bx AS ({adapted_sql('box')})"

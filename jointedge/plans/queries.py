@@ -328,6 +328,21 @@ def exact_leg_matches(spark, sf_dir):
     return markets.match_legs(_asked(spark, sf_dir), _selections(spark, sf_dir), "player", half_points=False).select("leg_id", "selectionId")
 
 
+def _priced(found: DataFrame) -> DataFrame:
+    return found.select("leg_id", "selectionId", "opposite_id", *(odds.parse_american(F.col(c)).alias(c) for c in ("over_odds", "under_odds")))
+
+
+@query
+def batter_sides(spark, sf_dir):
+    """Matched legs of batters with both sides' odds: the other side by the rules for name and stat, at the same points and subcategory."""
+    return _priced(markets.leg_sides(_asked(spark, sf_dir), _selections(spark, sf_dir), "batter", prefer_two_way=True))
+
+
+@query
+def player_sides(spark, sf_dir):
+    return _priced(markets.leg_sides(_asked(spark, sf_dir), _selections(spark, sf_dir), "player", half_points=False))
+
+
 @query
 def opposite_odds(spark, sf_dir):
     x = _selections(spark, sf_dir).withColumn("stat", F.col("marketName"))

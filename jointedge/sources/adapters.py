@@ -24,12 +24,12 @@ SELECTS = {
         CASE WHEN l_partkey % 23 <> 0 THEN l_linenumber END AS bo, CAST(l_suppkey % 3 AS BIGINT) AS PA, CAST(l_quantity AS BIGINT) AS H, CAST(round(l_discount * 100) AS BIGINT) AS R,
         CAST(round(l_tax * 100) AS BIGINT) AS RBI, CAST(floor(l_extendedprice / 10000) AS BIGINT) AS TB
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""",
-    "sheet": """SELECT CAST(p_partkey % 5 AS STRING) AS sheet_id, p_partkey AS idx, CAST(p_partkey % 97 AS STRING) AS L, 'T' || CAST(p_size AS STRING) AS team, 'G' || CAST(p_size % 7 AS STRING) AS game,
+    "sheet": """SELECT CAST(p_partkey % 5 AS STRING) AS sheet_id, p_partkey AS idx, CASE WHEN p_partkey % 41 = 0 THEN 'A' WHEN p_partkey % 43 = 0 THEN '' ELSE CASE WHEN p_partkey % 37 = 0 THEN '0' ELSE '' END || CAST(p_partkey % 97 AS STRING) END AS L, 'T' || CAST(p_size AS STRING) AS team, 'G' || CAST(p_size % 7 AS STRING) AS game,
         CASE p_partkey % 6 WHEN 0 THEN 'Player Points' WHEN 1 THEN 'Player Rebounds' WHEN 2 THEN 'Player Assists' WHEN 3 THEN 'Player 3-Pt Made' WHEN 4 THEN CASE WHEN p_size < 10 THEN 'Player PRA' WHEN p_size < 20 THEN 'Rebound' ELSE 'Player Steals' END ELSE CASE WHEN p_size < 20 THEN 'Points + Rebounds' WHEN p_size < 30 THEN 'Other' END END AS market,
         CASE WHEN p_partkey % 10 <> 0 THEN p_name || CASE WHEN p_size % 2 = 0 THEN ' Over ' ELSE ' under ' END || CAST(p_size % 4 AS STRING) || '.5' END AS bet_name,
         CASE WHEN p_partkey % 8 = 1 THEN '  ' WHEN p_partkey % 8 <> 2 THEN p_name END AS player, CASE p_partkey % 7 WHEN 0 THEN 'o' WHEN 1 THEN ' UNDER' WHEN 2 THEN 'x' END AS direction,
         CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size % 3 AS STRING) || '.5' WHEN p_partkey % 8 = 3 THEN 'bad' END AS line, '+' || CAST(100 + p_size AS STRING) || ' / -' || CAST(110 + p_size AS STRING) AS avg_odds,
-        CASE WHEN p_partkey % 9 = 0 OR p_partkey % 5 = 3 AND p_partkey % 3 = 0 THEN 'n/a' WHEN p_partkey % 8 = 1 THEN CAST(100 + p_size AS STRING) ELSE CAST(100 + p_partkey % 150 AS STRING) END AS avg_fv, CASE WHEN p_size % 8 < 7 THEN CAST(p_size % 8 AS STRING) END AS books_count
+        CASE WHEN p_partkey % 9 = 0 OR p_partkey % 5 = 3 AND p_partkey % 3 = 0 THEN 'n/a' WHEN p_partkey % 8 = 1 THEN CAST(100 + p_size AS STRING) ELSE CAST(100 + p_partkey % 150 AS STRING) END AS avg_fv, CASE WHEN p_size % 8 < 7 THEN CAST(p_size % 8 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.0' ELSE '' END END AS books_count
         FROM {part}""",
     "uploads": """SELECT p_partkey AS id, CASE WHEN p_partkey % 31 = 0 THEN ' ' ELSE p_name END AS Player_1, CASE WHEN p_partkey % 29 = 0 THEN 'Other' ELSE p_name END AS Player_2, CASE p_size % 3 WHEN 0 THEN 'Points' WHEN 1 THEN 'Assists' ELSE 'Rebounds' END AS Prop_1,
         CASE WHEN p_partkey % 23 = 0 THEN '' WHEN p_size % 4 = 0 THEN 'Assists' ELSE 'Points' END AS Prop_2, CASE WHEN p_partkey % 19 = 0 THEN 'maybe' WHEN p_size % 2 = 0 THEN 'Over' ELSE 'u' END AS Side_1, CASE WHEN p_size % 5 = 0 THEN 'UNDER ' ELSE 'o' END AS Side_2,

@@ -1,5 +1,7 @@
 """Edges of the feed and pooling operators on small rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from jointedge.operators import candidates, entities, markets, sheet
@@ -13,7 +15,7 @@ def test_price_requests_need_both_sides(spark):
     assert [tuple(r) for r in markets.price_requests(rows).collect()] == [("e", "a", "b")]
 
 
-def test_games_find_the_same_events_in_blocks(spark, monkeypatch):
+def test_games_find_their_events_by_an_index(spark):
     """Team first, then both short codes, then all words of both names; each in feed order."""
     events = spark.createDataFrame([(1, 20, "New York Knicks", "Philadelphia 76ers", "NYK", "PHI"), (2, 10, "Boston Celtics", "Philadelphia 76ers", "BOS", "PHI"), (3, 30, "Miami Heat", None, "MIA", None), *((k, k, f"Club {k}", f"Side {k}", f"C{k}", f"S{k}") for k in range(40, 80))], "id long, feed_pos long, homeTeam string, awayTeam string, homeShort string, awayShort string")
     asked = [
@@ -21,10 +23,19 @@ def test_games_find_the_same_events_in_blocks(spark, monkeypatch):
         (7, "nobody", "side 44 at club 44", (44, 3)), (8, None, None, (None, None)), (9, None, "PHI@MIA", (None, None)), (10, "Club 77", "", (77, 1)),
     ]
     games = spark.createDataFrame([x[:3] for x in asked], "game_id long, team string, game string")
-    found = lambda: {r.game_id: (r.event_id, r.rule) for r in markets.events_of_games(games, events).collect()}
-    whole = found()
-    monkeypatch.setattr(markets, "NAMES", 7)
-    assert found() == whole == {x[0]: x[3] for x in asked}
+    found = markets.events_of_games(games, events)
+    assert {r.game_id: (r.event_id, r.rule) for r in found.collect()} == {x[0]: x[3] for x in asked}
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_holding_equals_all_pairs(spark):
+    rng = random.Random(1)
+    texts = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))).strip() or "a" for _ in range(150)})
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    small, big = df.withColumnRenamed("x", "a"), df.withColumnRenamed("x", "b")
+    got = markets.holding(small, markets._own_grams(F.col("a")), big, "b", F.col("b").contains(F.col("a")))
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in texts for b in texts if a in b)
 
 
 def test_legs_match_markets_of_their_class(spark):
@@ -40,6 +51,39 @@ def test_legs_match_markets_of_their_class(spark):
     assert match(legs((4.5, "Strikeouts"), (1.5, "Total Bases"))) == ["s6", None]
 
 
+def test_the_other_side_goes_by_name_stat_points_and_shelf(spark):
+    sel = lambda i, player, outcome, points, name, shelf, price: (i, f"s{i}", player, outcome, points, name, shelf, "", price)
+    offers = spark.createDataFrame([
+        sel(1, "Ann Lee", "Over", 1.5, "Ann Lee Total Bases", None, "+120"), sel(2, "Bo Lee", "Under", 1.5, "Total Bases", "", "-150"), sel(3, "A. Lee", "Under", 1.5, "Total Bases", "", "-140"), sel(4, "Ann Lee", "Under", 1.5, "Team Total Bases", "", "-1"),
+        sel(5, "Ann Lee", "Over", 0.5, "Hits", "Hits O/U", "-200"), sel(6, "Ann Lee", "Under", 0.5, "Hits", "Hits", "+170"), sel(7, "Ann Lee", "Under", 2.5, "RBIs", "x", "+110"),
+    ], "feed_pos long, selectionId string, player string, outcomeType string, points double, marketName string, subcategory string, marketType string, oddsAmerican string")
+    legs = spark.createDataFrame([(1, "Ann Lee", "Over", 1.5, "Total Bases"), (2, "Ann Lee", "Over", 0.5, "Hits"), (3, "Ann Lee", "Under", 2.5, "RBI"), (4, "Nobody", "Over", 1.5, "Hits"), (5, None, "Over", 1.5, "Hits")], "leg_id long, player string, direction string, threshold double, stat string")
+    got = {r.leg_id: (r.selectionId, r.opposite_id, r.over_odds, r.under_odds) for r in markets.leg_sides(legs, offers, "batter").collect()}
+    # a null shelf is the empty one; an initial matches; another market text does too; another shelf does not
+    assert got == {1: ("s1", "s3", "+120", "-140"), 2: ("s5", None, "-200", None), 3: ("s7", None, None, "+110"), 4: (None,) * 4, 5: (None,) * 4}
+
+
+def test_row_ids_are_texts_and_books_numbers(spark):
+    row = lambda i, **k: tuple({"sheet_id": "a", "idx": i, "L": str(i), "team": None, "game": None, "market": "Player Points", "bet_name": None, "player": "Ann Lee", "direction": "Over", "line": "3.5", "avg_odds": None, "avg_fv": "110", "books_count": None, **k}.values())
+    schema = "sheet_id string, idx long, L string, team string, game string, market string, bet_name string, player string, direction string, line string, avg_odds string, avg_fv string, books_count string"
+    rows = [row(1, L="A"), row(2, L="A"), row(3, L="7"), row(4, L="07", books_count="3.0"), row(5, L=""), row(6, L=None), row(7, L="7", books_count="9"), row(8, L="8", books_count="x"), row(9, L="9", books_count="2.5")]
+    first = sheet.first_rows(sheet.normalised(spark.createDataFrame(rows, schema)))
+    assert {r.idx: (r.row_id, r.books) for r in first.collect()} == {1: (None, 0.0), 3: (7.0, 0.0), 4: (7.0, 3.0), 5: (None, 0.0), 6: (None, 0.0), 8: (8.0, 0.0), 9: (9.0, 2.5)}
+    assert [r.idx for r in sheet.collapsed(first).collect()] == [4]
+
+
+def test_players_come_out_of_market_names(spark):
+    from jointedge.functions import text
+
+    cases = [
+        ("Ann Lee Strikeouts Thrown", "Strikeouts Thrown O/U", "x", "Ann Lee"), ("Ann Lee total bases", "Total Bases", None, "Ann Lee"), ("Ann Lee Points Alt", "Alt", "Points Milestones", "Ann Lee"), ("Ann Lee Hits Allowed", None, "", "Ann Lee"),
+        ("Ann Lee 3-Pointers Made", "", None, "Ann Lee"), ("Hits Ann Lee Runs", None, None, "Hits Ann Lee"), ("Ann Lee", "Points", "Points", "Ann Lee"), ("Points", "Points", None, ""), (None, "x", "y", None), ("Moneyline", None, None, "Moneyline"),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, market string, kind string, sub string")
+    got = {r.i: r.name for r in df.select("i", text.player_of_market(F.col("market"), F.col("kind"), F.col("sub")).alias("name")).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
+
+
 def test_sheets_read_names_and_ties_as_their_kind_does(spark):
     row = lambda i, **k: tuple({"sheet_id": "a", "idx": i, "L": str(i), "team": None, "game": None, "market": "Player Points", "bet_name": "Bo Ray Over 3.5", "player": "Ann Lee", "direction": None, "line": None, "avg_odds": None, "avg_fv": "110", "books_count": None, **k}.values())
     schema = "sheet_id string, idx long, L string, team string, game string, market string, bet_name string, player string, direction string, line string, avg_odds string, avg_fv string, books_count string"
