@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.shrink import mean_of, shrunk_entity_r
 from ..functions.text import leg_hits
 from .moments import dot, pair_sums, pearson, percent, phi, rounded_ratio, weighted_pearson
-from .weights import normalised, with_rows, with_schemes
+from .weights import normalised, with_numbers, with_schemes
 
 Leg = tuple[str, float, str]
 
@@ -30,19 +30,23 @@ def leg_name(leg: Leg) -> str:
     return f"{leg[0]} {leg[1]} {leg[2]}"
 
 
-def mask_of(legs: list[Leg]) -> Column:
-    """One bit per event; at most 63 of them."""
-    if len(legs) > 63:
-        raise ValueError("at most 63 legs a mask")
-    out = F.lit(0).cast("long")
-    for i, (direction, threshold, stat) in enumerate(legs):
-        out = out + leg_hits(F.col(stat), direction, threshold).cast("long") * (1 << i)
+WORD = 62  # bits of a mask's word
+
+
+def mask_words(legs: list[Leg]) -> list[Column]:
+    """One bit per event, in as many longs (mask0, mask1, ...) as the legs need."""
+    out = []
+    for word, first in enumerate(range(0, len(legs), WORD)):
+        bits = F.lit(0).cast("long")
+        for i, (direction, threshold, stat) in enumerate(legs[first : first + WORD]):
+            bits = bits + leg_hits(F.col(stat), direction, threshold).cast("long") * (1 << i)
+        out.append(bits.alias(f"mask{word}"))
     return out
 
 
 def masks(rows: DataFrame, legs: list[Leg]) -> DataFrame:
-    """season, p, mask, c: how many rows of an entity's season have exactly these events."""
-    return rows.where("p is not null").groupBy("season", "p", mask_of(legs).alias("mask")).agg(F.count("*").alias("c"))
+    """season, p, mask0.., cnt: how many rows of an entity's season have exactly these events. Any number of legs."""
+    return rows.where("p is not null").groupBy("season", "p", *mask_words(legs)).agg(F.count("*").alias("cnt"))
 
 
 def combos_of(legs: list[Leg], size: int, distinct_stats: bool = False) -> list[tuple[int, ...]]:
@@ -51,21 +55,27 @@ def combos_of(legs: list[Leg], size: int, distinct_stats: bool = False) -> list[
     return [(i, *x) for i, x in enumerate(kept)]
 
 
-def _bit(leg: str) -> Column:
-    return F.expr(f"shiftright(mask, {leg}) & 1")
+def _bits(counted: DataFrame, legs: str) -> list[Column]:
+    """h1, h2, ...: whether the events of the combo's legs hold, from the words of the mask."""
+    words = [c for c in counted.columns if c.startswith("mask")]
+    word = lambda leg: F.col(words[0]) if len(words) == 1 else F.get(F.array(*words), F.floor(F.col(leg) / WORD).cast("int"))
+    return [F.call_function("shiftright", word(k), (F.col(k) % WORD).cast("int")).bitwiseAND(1).alias(f"h{i}") for i, k in enumerate(legs, 1)]
+
+
+def _unfolded(counted: DataFrame, combos: list[tuple[int, ...]], legs: str) -> DataFrame:
+    """Each count for each combo of a spec."""
+    names = ["idx", *legs]
+    return with_numbers(counted, names, combos).select("season", "p", *names, "cnt", *_bits(counted, legs))
 
 
 def pair_counts(counted: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
     """season, p, idx, a, b, n, n1, n2, n11 for every entity's season and combo."""
-    x = with_rows(counted, ["idx", "a", "b"], combos).select("season", "p", "idx", "a", "b", "c", _bit("a").alias("h1"), _bit("b").alias("h2"))
-    return x.groupBy("season", "p", "idx", "a", "b").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("h1")).alias("n1"), F.sum(F.col("c") * F.col("h2")).alias("n2"), F.sum(F.col("c") * F.col("h1") * F.col("h2")).alias("n11")
-    )
+    x, c = _unfolded(counted, combos, "ab"), F.col("cnt")
+    return x.groupBy("season", "p", "idx", "a", "b").agg(F.sum(c).alias("n"), F.sum(c * F.col("h1")).alias("n1"), F.sum(c * F.col("h2")).alias("n2"), F.sum(c * F.col("h1") * F.col("h2")).alias("n11"))
 
 
 def triple_counts(counted: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
-    x = with_rows(counted.withColumnRenamed("c", "cnt"), ["idx", "a", "b", "c"], combos).select("season", "p", "idx", "a", "b", "c", "cnt", *(_bit(k).alias(f"h{i}") for i, k in enumerate("abc", 1)))
-    c = F.col("cnt")
+    x, c = _unfolded(counted, combos, "abc"), F.col("cnt")
     h = [F.col(f"h{i}") for i in (1, 2, 3)]
     return x.groupBy("season", "p", "idx", "a", "b", "c").agg(
         F.sum(c).alias("n"), *(F.sum(c * h[i]).alias(f"n{i + 1}") for i in range(3)), F.sum(c * h[0] * h[1]).alias("n12"), F.sum(c * h[0] * h[2]).alias("n13"), F.sum(c * h[1] * h[2]).alias("n23"),

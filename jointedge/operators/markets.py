@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -215,15 +215,29 @@ def player_events(players: DataFrame, props: DataFrame) -> DataFrame:
     return a.select("player").join(hit, "player", "left").select("player", F.col("e.eventId").alias("event_id"))
 
 
-def leg_combos(legs: DataFrame, size: int = 2) -> DataFrame:
-    """All combos of an entity's matched legs (player, leg), each ordered by stat category."""
+SHARE = 64  # legs of an entity that a key holds
+
+
+def leg_combos(legs: DataFrame, size: int = 2, share: int = SHARE) -> DataFrame:
+    """All combos of an entity's matched legs (player, leg), each ordered by stat category.
+
+    An entity's distinct legs are numbered in that order and cut into shares; a combo's legs meet under the numbers of their shares, so the
+    square or cube of one entity with many legs is made by many tasks, none of which holds more than its shares.
+    """
     cat = text.stat_category(F.col("leg"))
-    held = legs.groupBy("player").agg(F.array_sort(F.collect_set(F.struct(cat.alias("cat"), "leg"))).alias("legs"))
-    after = lambda i: F.slice("legs", F.col(i) + 2, F.size("legs"))  # noqa: E731 - only what comes later is unfolded
-    out = held.select("player", "legs", F.posexplode("legs").alias("i", "a")).select("player", "legs", "i", "a", F.posexplode(after("i")).alias("d", "b")).withColumn("j", F.col("i") + F.col("d") + 1)
-    if size == 3:
-        out = out.select("player", "a", "b", F.explode(after("j")).alias("c"))
-    return out.select("player", *(F.col(f"{x}.leg").alias(f"leg{i}") for i, x in enumerate("abc"[:size], 1)))
+    named = legs.where("leg is not null").select(F.coalesce("player", F.lit("")).alias("who"), F.col("player").isNull().alias("nobody"), cat.alias("cat"), "leg").distinct()
+    entity = ["who", "nobody"]
+    held = named.withColumn("at", F.row_number().over(Window.partitionBy(*entity).orderBy("cat", "leg")) - 1)
+    held = held.join(held.groupBy(*entity).agg(F.floor(F.max("at") / share).cast("int").alias("last")), entity).withColumn("own", F.floor(F.col("at") / share).cast("int"))
+    out, keys = None, [f"s{i}" for i in range(size)]
+    for i in range(size):
+        part = held.select(*entity, F.col("leg").alias(f"leg{i + 1}"), F.col("at").alias(f"at{i}"), "own", "last")
+        for k in range(size):  # the leg stands in place i: the shares before it are no later than its own, those after no earlier
+            low = F.lit(0) if k == 0 else F.col(f"s{k - 1}")
+            part = part.withColumn(f"s{k}", F.col("own") if k == i else F.explode(F.sequence(low, F.col("own" if k < i else "last"))))
+        part = part.drop("own", "last")
+        out = part if out is None else out.join(part, [*entity, *keys]).where(F.col(f"at{i - 1}") < F.col(f"at{i}"))
+    return out.select(F.when(~F.col("nobody"), F.col("who")).alias("player"), *(f"leg{i + 1}" for i in range(size)))
 
 
 def price_requests(pairs: DataFrame) -> DataFrame:

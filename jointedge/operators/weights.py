@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def with_rows(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
     return df.select("*", F.inline(F.array(*structs)))
 
 
+def with_numbers(df: DataFrame, names: list[str], rows: list[tuple[int, ...]]) -> DataFrame:
+    """``with_rows`` for some hundreds of rows of whole numbers: one literal of the plan, however many they are."""
+    kind = f"array<struct<{', '.join(f'{n}: int' for n in names)}>>"
+    return df.select("*", F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), kind)))
+
+
 def with_schemes(df: DataFrame, schemes: dict[str, tuple[float, ...]]) -> DataFrame:
     """Each row for each scheme, with scheme, w0..w3 and pin (the current season keeps its weight; not for unweighted)."""
     return with_rows(df, ["scheme", "w0", "w1", "w2", "w3", "pin"], [(k, *v, k != "unweighted") for k, v in schemes.items()])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import joint, odds, shrink, text
 from ..operators import candidates, dyads, entities, markets, sheet, slate, uploads
 from ..operators.weights import ENTITY_SCHEMES
-from ..sources import tables
+from ..sources import specs, tables
 from ..sources.adapters import ENTITY_LEGS, LINEUP_COMBOS, LINEUP_LEGS, SEASONS, STATS, adapted
 from .queries import _pair_counts, _quotes, _selections, _shared, _sheet, _uploads, dyad_combos, entity_pairs, entity_triples, pooled_pairs, query, starts
 
@@ -30,6 +31,43 @@ def pooled_triples(spark, sf_dir):
     return entities.pooled_triples(_triple_counts(spark, sf_dir), ENTITY_LEGS, ENTITY_SCHEMES, SEASONS)
 
 
+#: A hundred legs: thresholds by stat; and the numbers of pairs and triples of a full spec.
+WIDE_LEGS = [f"{d} {t}.5 {s}" for s, top, step in (("K", 50, 4), ("ER", 10, 1), ("BB", 8, 1), ("H", 10, 1), ("OUTS", 24, 2)) for t in range(0, top, step) for d in ("Over", "Under")][:100]
+WIDE_PAIRS, WIDE_TRIPLES = 166, 690
+
+
+def wide_combos(size: int, count: int) -> list[list[str]]:
+    """The first combos, counted from legs that stand apart, whose legs are of different stats."""
+    n, out = len(WIDE_LEGS), []
+    for step in range(1, n):
+        for i in range(n):
+            legs = [WIDE_LEGS[(i + k * (step * 7 + 11)) % n] for k in range(size)]
+            if len({x.split()[-1] for x in legs}) == size and len(out) < count:
+                out.append(legs)
+    return out
+
+
+def _wide_counts(spark, sf_dir):
+    """The spec as a document, read again, and the counts of its masks."""
+    path = _shared(spark, "spec")
+    specs.write_spec(spark, path, wide_combos(2, WIDE_PAIRS), wide_combos(3, WIDE_TRIPLES))
+    spec = specs.read_spec(spark, path)
+    return spec, entities.masks(starts(spark, sf_dir), spec.legs)
+
+
+@query
+def spec_pairs(spark, sf_dir):
+    """Over all entities, the pairs of a spec that is read as a table."""
+    spec, counted = _wide_counts(spark, sf_dir)
+    return entities.global_pairs(entities.pair_counts(counted, spec.pairs), spec.legs).select("season", "leg1", "leg2", "n", "entities", "r", "hit1", "hit2", "both")
+
+
+@query
+def spec_triples(spark, sf_dir):
+    spec, counted = _wide_counts(spark, sf_dir)
+    return entities.global_triples(entities.triple_counts(counted, spec.triples), spec.legs).select("season", "leg1", "leg2", "leg3", "n", "r12", "r13", "r23", "all3", "neither")
+
+
 @query
 def global_raw(spark, sf_dir):
     return entities.global_raw(_raw(spark, sf_dir))
@@ -76,6 +114,17 @@ def entity_documents(spark, sf_dir):
     return held.select("scheme", "p", F.size("combos").alias("n"), F.get("combos", F.lit(0))["leg1"].alias("first_leg"), F.element_at("combos", -1)["leg2"].alias("last_leg"))
 
 
+@query
+def entity_document(spark, sf_dir):
+    """The documents of the entity with the largest id, by the ranges of an export's files."""
+    path = _shared(spark, "ranged")
+    rows = pooled_pairs(spark, sf_dir).select("scheme", "p", "leg1", "leg2", "r")
+    tables.export_nested(rows, ["p"], path, rows=20)
+    last = rows.agg(F.max("p")).first()[0]
+    schema = T.StructType.fromDDL("p bigint, combos array<struct<leg1: string, leg2: string, r: double>>, scheme string")
+    return tables.read_export(spark, path, schema, "static", (last,)).select("scheme", "p", F.inline("combos"))
+
+
 @query
 def dyad_layout(spark, sf_dir):
     """Dyad records packed by position in the spec, as JSON text, and unpacked."""

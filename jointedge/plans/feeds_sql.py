@@ -33,6 +33,26 @@ SELECT *, {mean_r()} AS avg_r, {mean_r('a')} AS avg_ra FROM o"""
 _TENTHS = lambda k: f"floor({k} * 100 / n * 10 + 0.5) / 10"
 SQL["pooled_triples"] = f"""WITH {TRIPLES}, {pooled('tc', 'p, a, b, c', _SUMS3)}, o AS (SELECT scheme, p, {_LEGS3}, {_R3}, {', '.join(_TENTHS(f'n{i}') + f' AS hit{i}' for i in (1, 2, 3))}, {_TENTHS('n123')} AS all3 FROM t)
 SELECT *, {mean_r()} AS avg_r FROM o WHERE coalesce(r12, r13, r23) IS NOT NULL"""
+_WIDE = [(way, low + 0.5, stat) for stat, lows in (("K", range(0, 50, 4)), ("ER", range(10)), ("BB", range(8)), ("H", range(10)), ("OUTS", range(0, 24, 2))) for low in lows for way in ("Over", "Under")][:100]
+
+
+def _far_combos(size: int, count: int) -> list[tuple[int, ...]]:
+    """Legs that stand 18, 25, 32, ... places apart, each round from every leg, if all are of different stats."""
+    far = ([(start + part * apart) % 100 for part in range(size)] for apart in range(18, 18 + 7 * 99, 7) for start in range(100))
+    kept = [c for c in far if len({_WIDE[k][2] for k in c}) == size]
+    return [(i, *c) for i, c in enumerate(kept[:count])]
+
+
+_WIDE_HITS = "[" + ", ".join(f"CASE WHEN {stat} {'>' if way == 'Over' else '<'} {low} THEN 1 ELSE 0 END" for way, low, stat in _WIDE) + "]"
+_WIDE_NAMES = "[" + ", ".join(f"'{way} {low} {stat}'" for way, low, stat in _WIDE) + "]"
+_WIDE_LEGS = lambda legs: ", ".join(f"{_WIDE_NAMES}[{k}+1] AS leg{i}" for i, k in enumerate(legs, 1))
+_PAIR = {"n1": "h[a+1]", "n2": "h[b+1]", "n11": "h[a+1] * h[b+1]"}
+SQL["spec_pairs"] = f"""WITH {ST}, h AS (SELECT season, p, {_WIDE_HITS} AS h FROM st WHERE p IS NOT NULL), co(idx, a, b) AS ({values(_far_combos(2, 166))}),
+g AS (SELECT season, a, b, count(*) AS n, count(DISTINCT p) AS entities, {', '.join(f'CAST(sum({v}) AS BIGINT) AS {k}' for k, v in _PAIR.items())} FROM h, co GROUP BY season, a, b)
+SELECT season, {_WIDE_LEGS('ab')}, n, entities, round({phi('n', 'n1', 'n2', 'n11')}, 4) + 0.0 AS r, {percent('n1', 'n')} AS hit1, {percent('n2', 'n')} AS hit2, {percent('n11', 'n')} AS both FROM g"""
+SQL["spec_triples"] = f"""WITH {ST}, h AS (SELECT season, p, {_WIDE_HITS} AS h FROM st WHERE p IS NOT NULL), co(idx, a, b, c) AS ({values(_far_combos(3, 690))}),
+g AS (SELECT season, a, b, c, {', '.join(f'CAST({e} AS BIGINT) AS {k}' for k, e in _ALL3.items())} FROM h, co GROUP BY season, a, b, c)
+SELECT season, {_WIDE_LEGS('abc')}, n, {_R3}, {percent('n123', 'n')} AS all3, {percent('n000', 'n')} AS neither FROM g"""
 SQL["global_raw"] = f"""WITH {ST}, g AS (SELECT season, s1, s2, {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k in ('n', 'x', 'y', 'xx', 'yy', 'xy'))} FROM ({_RAW}) GROUP BY season, s1, s2)
 SELECT season, s1, s2, n, round({pearson('n', 'x', 'y', 'xx', 'yy', 'xy')}, 4) + 0.0 AS r FROM g"""
 # here n is all rows of a season and m those with both stats
@@ -105,3 +125,4 @@ _OTHER = f"CASE WHEN other > 0 THEN 1 + {D('other')} / 100 WHEN other < 0 THEN 1
 SQL["parlay_factors"] = f"WITH {QD}, i AS (SELECT candidate_id, decimal_, coalesce(decimal_, 1) * ({_OTHER}) AS independent FROM q) SELECT candidate_id, independent, decimal_ / independent AS factor FROM i"
 SQL["triple_verdicts"] = f"WITH {ATT} SELECT candidate_id, CASE WHEN total < 0 THEN 'SKIP' WHEN total > 10 AND n >= 20 AND sign(total) = sign(from_legs) THEN 'PLAY' WHEN total IS NOT NULL THEN 'MARGINAL' END AS verdict FROM att"
 SQL["ev_page"] = f"WITH {QD} SELECT candidate_id, round(({_J} * decimal_ - 1) * 100, 6) AS ev, CASE WHEN n % 5 <> 0 THEN {D('n')} / 100 END AS p_value FROM q ORDER BY ev DESC NULLS LAST, coalesce(p_value, 1), candidate_id LIMIT 30 OFFSET 30"
+SQL["entity_document"] = f"""WITH pp AS ({SQL['pooled_pairs']}) SELECT scheme, p, leg1, leg2, r FROM pp WHERE scheme = 'static' AND p = (SELECT max(p) FROM pp)"""

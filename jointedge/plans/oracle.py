@@ -351,3 +351,4 @@ w AS (SELECT request_id, fingerprint, n, FALSE AS cached, ts, CASE WHEN ok THEN
           SELECT e.*, w.kept, w.kept IS NOT NULL AND e.ts < w.kept + INTERVAL 10 MINUTE AS hit FROM w JOIN e ON e.fingerprint = w.fingerprint AND e.n = w.n + 1))
 SELECT request_id, fingerprint, cached, CASE WHEN cached THEN (date_diff('microsecond', source, ts) + 500000) // 1000000 ELSE 0 END AS age_s FROM w"""
 SQL["season_refresh"] = f"SELECT season, p, count(*) AS n, CAST(count_if(K > 24.5) AS BIGINT) AS n1, CAST(count_if(ER > 4.5) AS BIGINT) AS n2, CAST(count_if(K > 24.5 AND ER > 4.5) AS BIGINT) AS n11 FROM ({adapted_sql('starts')}) WHERE upper(trim(flag)) = 'YES' AND ip > 0 GROUP BY season, p"
+SQL["entity_build"] = SQL["entity_means"]

@@ -12,7 +12,7 @@ from ..functions import joint, odds, shrink, text
 from ..operators import candidates, dyads, entities, markets, sheet, slate, uploads
 from ..operators.weights import DYAD_SCHEMES, ENTITY_SCHEMES
 from ..sources import tables
-from ..sources.adapters import CURRENT, ENTITY_LEGS, LINEUP_COMBOS, LINEUP_LEGS, LINEUP_STATS, SEASONS, STATS, adapted
+from ..sources.adapters import CURRENT, ENTITY_LEGS, EVERY_SEASON, LINEUP_COMBOS, LINEUP_LEGS, LINEUP_STATS, SEASONS, STATS, adapted
 from ..streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,13 +25,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The starters' rows of all seasons; outs come from the X.Y innings, as a feed has them."""
-    x = adapted(spark, sf_dir, "starts").where(tables.is_starter(F.col("flag"), F.col("ip")))
-    return x.withColumn("OUTS", text.ip_to_outs(F.col("ip")))
+    return _starters(adapted(spark, sf_dir, "starts"))
+
+
+def _starters(rows: DataFrame) -> DataFrame:
+    return rows.where(tables.is_starter(F.col("flag"), F.col("ip"))).withColumn("OUTS", text.ip_to_outs(F.col("ip")))
 
 
 def lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of all seasons that were in the lineup and came to bat; stats that are no numbers are zero, HRR is a composite."""
-    x = adapted(spark, sf_dir, "lineups").where(tables.in_lineup(F.col("PA"), F.col("bo")))
+    return _in_lineup(adapted(spark, sf_dir, "lineups"))
+
+
+def _in_lineup(rows: DataFrame) -> DataFrame:
+    x = rows.where(tables.in_lineup(F.col("PA"), F.col("bo")))
     x = x.withColumns({s: tables.zero_int(F.col(s)) for s in LINEUP_STATS if s != "HRR"})
     return x.withColumn("HRR", text.hits_runs_rbis(F.col("H"), F.col("R"), F.col("RBI")))
 
@@ -40,11 +47,30 @@ def _pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.pair_counts(entities.masks(starts(spark, sf_dir), ENTITY_LEGS), entities.combos_of(ENTITY_LEGS, 2))
 
 
+def _starts_gate() -> tables.Gate:
+    return tables.Gate(EVERY_SEASON, tables.is_starter(F.col("flag"), F.col("ip")), F.coalesce(F.col("ip") > 0, F.lit(False)), *tables.STARTER_SHARE)
+
+
+def _published(spark: SparkSession, name: str, build: DataFrame, gate: tables.Gate) -> DataFrame:
+    """A build's rows as they were published, which they are only if its gate holds; the gate is measured while the build reads."""
+    store = tables.Snapshots(spark, _shared(spark, name))
+    store.publish(build, (gate,))
+    return store.current(build.schema)
+
+
 @query
 def season_manifest(spark, sf_dir):
     """Of a build whose every season has a plausible share of starters."""
-    tables.guard_share(adapted(spark, sf_dir, "starts"), tables.is_starter(F.col("flag"), F.col("ip")), F.col("ip") > 0, *tables.STARTER_SHARE)
-    return tables.manifest(starts(spark, sf_dir)).select("season", "rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
+    gate = _starts_gate()
+    build = tables.manifest(_starters(gate.watch(adapted(spark, sf_dir, "starts")))).select("season", "rows", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
+    return _published(spark, "manifest", build, gate)
+
+
+@query
+def entity_build(spark, sf_dir):
+    """Entity means, published only if every season's share of starters is plausible."""
+    gate = _starts_gate()
+    return _published(spark, "entity_build", entities.entity_means(_starters(gate.watch(adapted(spark, sf_dir, "starts"))), STATS), gate)
 
 
 @query
@@ -55,8 +81,8 @@ def starter_share(spark, sf_dir):
 
 @query
 def corpus_summary(spark, sf_dir):
-    tables.guard_share(adapted(spark, sf_dir, "lineups"), tables.in_lineup(F.col("PA"), F.col("bo")), None, *tables.LINEUP_SHARE)
-    return tables.corpus_summary(lineups(spark, sf_dir))
+    gate = tables.Gate(EVERY_SEASON, tables.in_lineup(F.col("PA"), F.col("bo")), None, *tables.LINEUP_SHARE)
+    return _published(spark, "corpus_summary", tables.corpus_summary(_in_lineup(gate.watch(adapted(spark, sf_dir, "lineups")))), gate)
 
 
 @query

@@ -8,6 +8,8 @@ from .tables import NAMES, driver_table
 
 SEASONS = [1998, 1999, 2000, 2001]
 CURRENT = 2001
+#: All seasons that a build may meet.
+EVERY_SEASON = list(range(1995, 2002))
 ENTITY_LEGS = [("Over", 25.5, "K"), ("Under", 15.5, "K"), ("Over", 5.5, "ER"), ("Under", 3.5, "ER"), ("Over", 4.5, "BB"), ("Over", 3.5, "H"), ("Under", 2.5, "H"), ("Over", 12.5, "OUTS")]
 STATS = ["K", "ER", "BB", "H", "OUTS"]
 #: Twelve legs give the 78 combos of a leg with itself or a later one.

@@ -91,6 +91,87 @@ def test_required_columns_and_snapshots(spark, tmp_path):
         store.publish(spark.createDataFrame([(i,)], "v long"))
     assert store.versions() == [3, 4, 5] and store.current("v long").first().v == 4
     assert store.roll_back() == 4 and store.current("v long").first().v == 3
+    assert store.versions() == [3, 4] and store.publish(spark.createDataFrame([(9,)], "v long"), reasons={"odd": 2}) == 7
+    assert store.versions() == [3, 4, 7] and store.about() == {"version": 7, "rows": 1, "shares": [], "reasons": {"odd": 2}} and store.roll_back() == 4
+
+
+def test_publishers_at_once_and_failed_ones(spark, tmp_path, monkeypatch):
+    one = lambda v: spark.createDataFrame([(v,)], "v long")
+    a, b = (tables.Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.publish(one(1))
+    real = a._numbers
+    calls = []
+
+    def late():  # another publisher takes the number between the look and the pointer
+        found = real()
+        if not calls:
+            calls.append(b.publish(one(2)))
+        return found
+
+    monkeypatch.setattr(a, "_numbers", late)
+    assert a.publish(one(3)) == 3 and calls == [2]
+    monkeypatch.undo()
+    assert a.versions() == [1, 2, 3] and a.current("v long").first().v == 3
+    monkeypatch.setattr(b, "_point", lambda told: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        b.publish(one(4))
+    monkeypatch.undo()
+    (tmp_path / "s/pointers/00000004").write_text("")  # a publisher that failed while it made its pointer
+    assert a.current("v long").first().v == 3 and a.versions() == [1, 2, 3] and a.publish(one(5)) == 5 and a.versions() == [1, 2, 3, 5]
+
+
+def test_a_failing_gate_publishes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(s, i) for s in (1, 2) for i in range(10)] + [(2, 99)], "season int, x long")
+    store = tables.Snapshots(spark, f"file://{tmp_path}/s")
+
+    def build(gate):
+        out = gate.watch(rows).where("x < 3").groupBy("season").agg(F.count("*").alias("n"))
+        assert str(out._jdf.queryExecution().executedPlan().toString()).count("Scan") <= 1
+        return store.publish(out, (gate,), source="test")
+
+    assert build(tables.Gate([1, 2], F.col("x") < 3, None, 0.0, 0.35)) == 1
+    assert store.about()["shares"] == [{"1": [3, 10], "2": [3, 11]}] and store.about()["rows"] == 2
+    for gate in (tables.Gate([1, 2], F.col("x") < 3, None, 0.0, 0.3), tables.Gate([1], F.col("x") < 3), tables.Gate([1, 2, 3], F.col("x") < 3)):
+        with pytest.raises(ValueError, match="season|other"):
+            build(gate)
+    assert store.versions() == [1] and len(list((tmp_path / "s/data").iterdir())) == 1
+
+
+def test_exports_lie_in_bounded_files_and_are_pruned(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    rows = spark.range(900).select(F.when(F.col("id") < 850, "big").otherwise("small").alias("scheme"), F.col("id").alias("p"), F.col("id").alias("v"))
+    path = f"file://{tmp_path}/export"
+    tables.export_nested(rows, ["p"], path, rows=40)
+    ranges = spark.read.parquet(f"{path}/{tables.RANGES}").collect()
+    assert max(r.documents for r in ranges) <= 40 and sum(r.documents for r in ranges) == 900 and len(ranges) >= 23
+    schema = T.StructType.fromDDL("p bigint, combos array<struct<v: bigint>>, scheme string")
+    found = tables.read_export(spark, path, schema, "big", (700,))
+    assert len(found.inputFiles()) == 1 and [(r.p, r.combos[0].v) for r in found.collect()] == [(700, 700)]
+    assert tables.read_export(spark, path, schema, "small", (700,)).count() == 0 and spark.read.schema(schema).json(path).count() == 900
+
+
+def test_combos_of_one_entity_spread_over_keys(spark):
+    from itertools import combinations
+
+    from jointedge.operators import markets
+
+    legs = [f"Over {i}.5 {s}" for i in range(9) for s in ("Walks", "Strikeouts", "Hits")]
+    rows = spark.createDataFrame([("a", x) for x in legs + legs[:3]] + [(None, "Over 1.5 Hits"), (None, "Over 2.5 Outs"), ("b", "Over 1.5 Hits"), ("b", None)], "player string, leg string")
+    order = sorted(legs, key=lambda x: ({"Walks": "BB", "Strikeouts": "SO", "Hits": "H"}[x.split()[-1]], x))
+    for size in (2, 3):
+        for share in (4, 64):
+            got = sorted((tuple(r) for r in markets.leg_combos(rows, size, share).collect()), key=str)
+            assert got == sorted([("a", *c) for c in combinations(order, size)] + ([(None, "Over 1.5 Hits", "Over 2.5 Outs")] if size == 2 else []), key=str)
+    many = spark.range(2000).select(F.lit("a").alias("player"), F.concat(F.lit("Over "), F.col("id"), F.lit(".5 Hits")).alias("leg"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = markets.leg_combos(many).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.n for r in out) == 2000 * 1999 // 2 and len(out) == 8 and max(r.n for r in out) < 600_000
 
 
 def test_seasons_round_trip(spark, tmp_path):
