@@ -54,21 +54,26 @@ def saved_apart(df: DataFrame, name: str) -> DataFrame:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: no lineage, and nothing lost with an executor."""
     path = new_path(df.sparkSession, name)
-    for made in _OPEN[-1:]:
-        made.append(path)
+    until_end(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def until_end(folder: str) -> None:
+    """The folder is deleted at the end of the open ``temporary`` block, if there is one."""
+    for made in _OPEN[-1:]:
+        made.append(folder)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Deletes the files of a table of ``saved`` that nothing will read again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        delete(df.sparkSession, folder)
 
 
 @contextmanager
@@ -79,7 +84,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for folder in _OPEN.pop():
-            _delete(spark, folder)
+            delete(spark, folder)
 
 
 def fresh(df: DataFrame, name: str) -> str:

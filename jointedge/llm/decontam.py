@@ -7,24 +7,29 @@ by the hash of their first words (the prefix), and the bytes of each pattern so
 Many stretches of documents are scanned in lockstep as numpy lanes.
 
 Items are cut into stretches of at most about ``_STRETCH`` bytes, which overlap so that each window is in one, and dealt to
-groups of about ``group_bytes``. Each group is compiled once, in a task, into arrays of some eight times its size; these are
-broadcast, and each group is one pass over the documents. A larger benchmark means more passes and never a larger broadcast.
+groups of about ``group_bytes``. Each group is compiled once, in a task, into arrays of some eight times its size, in a file of the shared
+folder (a single group is broadcast). Documents are read once: a task takes some ``DOCUMENTS`` bytes of them at a time and passes these by the groups, of
+which it holds one. So a larger benchmark means more reading of patterns, and neither more passes over the corpus nor larger broadcasts.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import drop_saved, saved
+from .common import delete, drop_saved, new_path, saved, until_end
 
 #: Lower-cases A-Z; what is not a digit, a-z or part of a non-ASCII character becomes a space.
 _LOWER = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -202,11 +207,19 @@ def _stretches(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.int64()), pa.array(words_, pa.binary())], names=["item_id", "part", "words"])
 
 
-def _compile(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """One row of compiled patterns for each group; rows come by group."""
+DOCUMENTS = 64 << 20  # bytes of texts that a task passes by all groups at a time
+
+
+def _compile(batches: Iterator[pa.RecordBatch], window: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes a file of compiled patterns for each group and names it; rows come by group. A task that runs again writes files of its own, and only named ones count."""
 
     def done(group: int, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([pickle.dumps(compiled(rows, window), protocol=5)], pa.binary())], names=["group", "patterns"])
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name = f"{path}/{group}-{uuid.uuid4().hex}"
+        with store.open_output_stream(name, compression=None) as out:
+            out.write(pickle.dumps(compiled(rows, window), protocol=5))
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([name.rsplit("/", 1)[1]])], names=["group", "file"])
 
     now, rows = None, []
     for batch in batches:
@@ -220,25 +233,50 @@ def _compile(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield done(now, rows)
 
 
-def _searched(docs: DataFrame, group: DataFrame, final: bool) -> DataFrame:
-    """One pass of ``docs`` (doc_id, text, hits, item_ids, n_words, row) with the compiled ``group`` (patterns, one row or none)."""
-    row = group.first()  # at most about group_bytes of items, compiled
-    patterns = docs.sparkSession.sparkContext.broadcast(row.patterns if row else pickle.dumps(Group()))
+def _read(folder: str, name: str) -> bytes:
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}", compression=None) as held:
+        return held.read()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of about ``DOCUMENTS`` bytes."""
+    run, size = [], 0
+    for batch in batches:
+        run.append(batch)
+        size += batch.nbytes
+        if size >= DOCUMENTS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = pickle.loads(patterns.value)
-        for batch in batches:
-            size, bits, names = [], [], []
-            for (n, hit, ids), was, had in zip(scan(batch.column(1).to_pylist(), ready), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if was:
-                    hit = hit | np.unpackbits(np.frombuffer(was, np.uint8), count=n).astype(bool)
-                size.append(n)
-                bits.append(int(hit.sum()).to_bytes(8, "big") if final else np.packbits(hit).tobytes())
-                names.append(sorted({*ids, *had}) if had else ids)
-            texts = pa.nulls(batch.num_rows, pa.string()) if final else batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(size, pa.int64()), batch.column(5)], names=["doc_id", "text", "hits", "item_ids", "n_words", "row"])
 
-    return docs.mapInArrow(each, docs.schema)
+def _searched(docs: DataFrame, groups: list[Callable[[], bytes]]) -> DataFrame:
+    """n_words, hits (how many words), item_ids and the row for each of ``docs`` (doc_id, text, row); each of ``groups`` gives compiled patterns."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = pickle.loads(groups[0]()) if len(groups) == 1 else None
+        for run in _runs(batches):
+            texts = [t for b in run for t in b.column(1).to_pylist()]
+            size, bits, names = [0] * len(texts), [None] * len(texts), [[] for _ in texts]
+            for group in groups:
+                found = ready if ready is not None else pickle.loads(group())
+                for i, (n, hit, ids) in enumerate(scan(texts, found)):
+                    size[i] = n
+                    if hit.any():
+                        bits[i] = hit if bits[i] is None else bits[i] | hit
+                        names[i] += ids
+            at = 0
+            for b in run:
+                part = slice(at, at + b.num_rows)
+                at = part.stop
+                hits = [0 if h is None else int(h.sum()) for h in bits[part]]
+                ids = pa.array([sorted(set(x)) for x in names[part]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size[part], pa.int64()), pa.array(hits, pa.int64()), ids, b.column(2)], names=["doc_id", "n_words", "n_hit", "item_ids", "row"])
+
+    long, ids = T.LongType(), T.ArrayType(T.StringType())
+    return docs.mapInArrow(each, T.StructType([docs.schema["doc_id"], T.StructField("n_words", long), T.StructField("n_hit", long), T.StructField("item_ids", ids), docs.schema["row"]]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: int = 20, group_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
@@ -252,19 +290,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: in
     cut = saved(named.mapInArrow(lambda batches: (_stretches(b, window) for b in batches), "item_id string, part long, words binary"), "stretches")
     groups = (cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // group_bytes + 1
     dealt = cut.select(F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(groups)).alias("group"), "item_id", "part", "words").repartition(min(groups, 10_000), "group").sortWithinPartitions("group", "item_id", "part")
-    patterns = saved(dealt.select("group", "item_id", "words").mapInArrow(lambda batches: _compile(batches, window), "group long, patterns binary"), "patterns")
-    out = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"), F.struct(*docs.columns if carry else [F.lit(0).alias("none")]).alias("row"))
-    for group in range(groups):
-        final, last = group == groups - 1, out
-        out = _searched(out, patterns.where(F.col("group") == group).select("patterns"), final)
-        if not final:
-            out = saved(out, "searched")
-        if 0 < group < groups - 1:
-            drop_saved(last)
-    for used in (cut, patterns):
-        drop_saved(used)
-    hit = F.conv(F.hex("hits"), 16, 10).cast("long")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", *["row"] * carry).withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
+    folder = new_path(docs.sparkSession, "patterns")
+    files = dealt.select("group", "item_id", "words").mapInArrow(lambda batches: _compile(batches, window, folder), "group long, file string").collect()  # a name for each group
+    drop_saved(cut)
+    if len(files) > 1:
+        found = [partial(_read, folder, r.file) for r in files]
+        until_end(folder)
+    else:
+        whole = docs.sparkSession.sparkContext.broadcast(_read(folder, files[0].file) if files else pickle.dumps(Group()))  # at most about group_bytes of items, compiled
+        found = [lambda: whole.value]
+        delete(docs.sparkSession, folder)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.struct(F.lit(0).alias("none"))
+    out = _searched(docs.select("doc_id", F.col("text").cast("string").alias("text"), row.alias("row")), found)
+    return out.select("doc_id", "n_words", "n_hit", "item_ids", *["row"] * carry).withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:

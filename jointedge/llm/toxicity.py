@@ -35,6 +35,7 @@ PARTS = 2  # copies of each toxic passage that hold a random half of its n-grams
 DECAY = 1e-3
 # Documented bounds: labelled documents that a fit takes at most, and bytes of their texts; of each half may be toxic.
 MAX_TRAINED, MAX_BYTES = 4000, 32 << 20
+MAX_TEXT = 1 << 20
 
 #: Digits, letters and non-ASCII bytes make words; A-Z become a-z.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -109,7 +110,7 @@ class Model:
     weight: np.ndarray | None = None  # by bucket
     slope: float = 1.0
     shift: float = 0.0
-    prior: float = 0.5
+    prior: float = 0.0
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The largest passage score of each text; a text without words has the least."""
@@ -190,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     """A model from whole texts and their 0/1 labels; without both kinds it scores the share of ones, or 0.5."""
     labels = np.asarray(labels, np.int64)
     if not labels.size or labels.min() == labels.max():
-        return Model(prior=float(labels.mean()) if labels.size else 0.5)
+        return Model(prior=float(labels.mean()) if labels.size else 0.0)
     words, word, sizes = _vocabulary(texts)
     if not words:
         return Model(prior=float(labels.mean()))
@@ -283,7 +284,8 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most MAX_TRAINED labelled documents, the least by hash of their ids, and MAX_BYTES of their texts.
 
-    They are chosen on ids and lengths, so of the texts only theirs move.
+    Of each class documents are taken until their texts reach half of that, those over MAX_TEXT last; the text that reaches it counts whole, so no long
+    text shuts out the others of its class, and a class of long texts alone has one. They are chosen on ids and lengths, so of the texts only theirs move.
     """
     known = labelled_rows(docs.select("doc_id"), labels, "toxic").select("doc_id", "y").distinct()
     half = MAX_TRAINED // 2
@@ -291,8 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("y = 1").orderBy(*order).limit(half).unionAll(known.where("y = 0").orderBy(*order).limit(half))
     here = F.broadcast(chosen.select(F.col("doc_id").alias("__chosen"), "y"))  # at most MAX_TRAINED rows
     sizes = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).cast("long").alias("size")).join(here, F.col("doc_id") == F.col("__chosen"))
-    upto = F.sum("size").over(Window.partitionBy("y").orderBy(*order))
-    within = sizes.groupBy("doc_id", "y").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).withColumn("upto", upto).where(F.col("upto") <= MAX_BYTES // 2)
+    size = F.coalesce(F.sum("size"), F.lit(0))
+    sizes = sizes.groupBy("doc_id", "y").agg(size.alias("size"), (size > MAX_TEXT).alias("long"))
+    before = F.sum("size").over(Window.partitionBy("y").orderBy("long", *order).rowsBetween(Window.unboundedPreceding, -1))
+    within = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < MAX_BYTES // 2)
     named = F.broadcast(within.select(F.col("doc_id").alias("__chosen"), "y"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, F.col("doc_id") == F.col("__chosen"))
     # one task trains, as the sample is bounded; the driver gets half a megabyte of weights
@@ -318,7 +322,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     Learns from ``labels`` (doc_id, toxic 0/1) of rows where crc32(doc_id) mod 5 is not 0. Null and empty texts get the least
     score; a null doc_id is never held out nor learned from; other label values are left out; an id or label that repeats
-    counts once per label value. Other columns are not read.
+    counts once per label value; without any label all scores are 0. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # half a megabyte, whatever the input
 

@@ -1,10 +1,12 @@
 """Trained models and searches against dense or slow versions of the same."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jointedge.llm import chat, decontam, quality, substring, toxicity
+from jointedge.llm import chat, decontam, jaccard, quality, substring, toxicity
 from jointedge.llm.common import saved, temporary
 
 
@@ -98,3 +100,31 @@ def test_temporary_tables_go(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_one_long_text_does_not_shut_out_its_class(spark, monkeypatch):
+    rng = random.Random(7)
+    ordinary = lambda bad: " ".join([rng.choice(["mild", "plain", "kind", "even"]) for _ in range(20)] + (["grumblor"] if bad else []))
+    rows = [(i, ordinary(i % 2 == 1), i % 2) for i in range(1, 120)]
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 12_000)
+    monkeypatch.setattr(toxicity, "MAX_TEXT", 3_000)
+    for late in ((), (1000, 1001)):  # long toxic texts under any hash order
+        held = rows + [(i, "grumblor " * 5000, 1) for i in late]
+        docs = spark.createDataFrame([r[:2] for r in held], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in held], "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels)
+        assert model.weight is not None
+        score = model.score(["mild plain grumblor kind", "mild plain kind even"])
+        assert score[0] >= 0.5 > score[1]
+    only = spark.createDataFrame([(i, "grumblor " * 5000) for i in range(1, 9)] + [(i, ordinary(False)) for i in range(10, 60)], "doc_id long, text string")
+    marks = only.select("doc_id", (F.col("doc_id") < 9).cast("int").alias("toxic"))
+    assert toxicity.fit(only, marks).weight is not None
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "mild words", 5, "x"), (2, None, 6, "y"), (3, "", 7, None)], "doc_id long, text string, score int, y string").withColumn("__chosen", F.lit(1)).withColumn("label", F.lit("l")).withColumn("node", F.lit(2))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).columns == docs.columns and toxicity.without_toxic(docs, labels).count() == 3
+    assert toxicity.without_toxic(docs.limit(0), labels).count() == 0 and toxicity.without_toxic(docs, labels.limit(0)).count() == 3
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]

@@ -183,6 +183,23 @@ def brute_contamination(texts, items, window=13):
     return out
 
 
+def test_decontamination_reads_documents_once(spark, monkeypatch, tmp_path):
+    """Three groups of items and documents of several batches: one scan, no table of documents in between, one group of patterns at a time."""
+    rng = random.Random(12)
+    items = [(f"i{k}", " ".join(words(rng, 20))) for k in range(30)]
+    texts = [(i, " ".join(words(rng, 30) + (items[i % 30][1].split() if i % 4 == 0 else []))) for i in range(400)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(decontam, "DOCUMENTS", 4000)
+    written = []
+    monkeypatch.setattr(decontam, "saved", lambda df, name: written.append(name) or saved(df, name))
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), spark.read.parquet(f"{tmp_path}/docs")
+    size = sum(len(t) for _, t in items)
+    found = decontam.contamination(docs, bench, group_bytes=size // 3 + 1)
+    assert written == ["stretches"] and found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    tell = lambda df: {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in df.collect()}
+    assert tell(found) == tell(decontam.contamination(docs, bench)) and sum(r.contaminated for r in found.collect()) == 100
+
+
 @pytest.mark.parametrize("group_bytes", [1 << 24, 300])
 def test_decontamination_against_brute_force(spark, group_bytes):
     rng = random.Random(3)
