@@ -2,16 +2,22 @@
 
 A page is read once into blocks of text, each with its root-to-leaf tag path. Per path, text length and punctuation per
 block are added up, smoothed over paths that follow one another, fused into one score (reduced by the share of link
-text) and compared with a threshold; blocks on the paths above it are the content. Elements that say what they are (navigation,
-forms, scripts, adverts by class, comment threads ...) are no candidates. A page's own marks are one feature of the score: the
-marked article (of several, those with the most unlinked text) raises its paths by the threshold, so that links and short lines
-inside cost them nothing; lesser ones, as teasers are, lower theirs. All other paths are held against it as on any page.
+text) and compared with a threshold; blocks on the paths above it are the content. Elements that the standard sets apart (navigation,
+footers, forms, scripts, hidden ones ...) are no candidates.
+
+What a page says of its parts are terms of the score, in doublings of it: the marked article (of several, those with the most unlinked text)
+raises its paths, so that short lines inside stay, and lesser ones, as teasers are, lower theirs; but a path of several blocks without a tenth of the
+threshold goes, as a list of links in the article. A class or id that is made of noise words only (``post-comments``,
+``ad-slot``) weighs against the blocks inside, and one that says more (``legal-news``, ``share-price``) a little. Against that stands the share of the
+page's text that such an element holds: what holds nearly all of it is the story, whatever its name.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +45,11 @@ NOISE = frozenset(
     "related recommended recommendations newsletter subscribe subscription login signin signup pagination pager widget widgets toolbar copyright legal".split()
 )
 UNLESS = frozenset("has with no without".split())
+#: Words that add nothing to a name.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button close col column container content entry fixed footer form group header heading icon id inner item items js left link links list main module page panel post row section site slot "
+    "sticky tab text thread title top unit wrap wrapper zone right style widget".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 html body".split())
 
 _TOKEN = re.compile(
@@ -51,9 +62,15 @@ _WORD = re.compile(r"[a-z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿、。，！？…]")
 
 
-def _noisy(tag: str, rest: str, marked: bool) -> bool:
-    """Whether an element says that it is no content. In class and id a noise word counts wherever it stands (``post-comments``,
-    ``comment-body``), but not in names like ``has-sidebar``, which tell of something else."""
+#: Doublings of the score: for the story's mark and against lesser ones, against names of noise and against names that also hold a noise word.
+MARK, NOISY, DOUBTFUL = 3.0, 5.0, 1.0
+#: A path's ratio counts from a tenth of the threshold to four times it; an element named noise wins back what its share of the text is over half.
+LEAST, MOST, WHOLE = 0.1, 4.0, 10.0
+LIST = 3  # blocks of a path that make it a list
+
+
+def _set_apart(tag: str, rest: str, marked: bool) -> bool:
+    """Whether an element is no content by its tag, its role, or because it is hidden."""
     if tag in BOILERPLATE or tag == "header" and not marked:
         return True
     if not rest.strip() or tag in HEADINGS or tag in MARKED and not marked:
@@ -64,41 +81,56 @@ def _noisy(tag: str, rest: str, marked: bool) -> bool:
             return True
         if key == "role" and value.strip() in ROLES:
             return True
-        if key in ("class", "id"):
-            for name in value.split():
+    return False
+
+
+def _doubt(tag: str, rest: str, marked: bool) -> float:
+    """How much an element's names speak against it. A noise word counts wherever it stands, but not in names like ``has-sidebar``, which tell of something else."""
+    out = 0.0
+    if not rest.strip() or tag in HEADINGS or tag in MARKED and not marked:
+        return out
+    for key, *values in _ATTRIBUTE.findall(rest):
+        if key.lower() in ("class", "id"):
+            for name in "".join(values).lower().split():
                 words = set(_WORD.findall(name))
                 if words & NOISE and not words & UNLESS:
-                    return True
-    return False
+                    rest_ = {w for w in words - NOISE - NEUTRAL if not w.isdigit() and len(w) > 1}
+                    out = max(out, DOUBTFUL if rest_ else NOISY)
+    return out
 
 
 class Open:
-    """The open elements of a page. Each knows the number of its path, whether it is noise, and the marked article it is in."""
+    """The open elements of a page. Each knows the number of its path, whether it is set apart, the marked article and the named noise that it is in."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, path, noisy, article (0: none)
+        self.stack: list[tuple[str, int, bool, int, int]] = []  # tag, path, apart, article and noise (0: none)
         self.count: dict[str, int] = {}
         self.paths: dict[tuple[int, str], int] = {}
-        self.articles = 0
-        self.path, self.noisy, self.article = 0, False, 0
+        self.articles, self.doubts = 0, [0.0]
+        self.path, self.noisy, self.article, self.noise = 0, False, 0, 0
 
     def push(self, tag: str, rest: str) -> None:
-        noisy = self.noisy or _noisy(tag, rest, self.article > 0)
+        noisy = self.noisy or _set_apart(tag, rest, self.article > 0)
+        if not noisy and (doubt := _doubt(tag, rest, self.article > 0)) > self.doubts[self.noise]:
+            self.doubts.append(doubt)
+            self.noise = len(self.doubts) - 1
         step = tag
         if tag in MARKED and not noisy:
             self.articles += 1
             self.article, step = self.articles, f"{tag} {self.articles}"  # each has paths of its own
+        if self.noise and self.noise == len(self.doubts) - 1 and (not self.stack or self.stack[-1][4] != self.noise):
+            step = f"{step} !{self.noise}"  # and so has each named noise
         if tag not in INLINE:
             self.path = self.paths.setdefault((self.path, step), len(self.paths) + 1)
         self.noisy = noisy
-        self.stack.append((tag, self.path, self.noisy, self.article))
+        self.stack.append((tag, self.path, self.noisy, self.article, self.noise))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop(self, depth: int) -> None:
         for tag, *_ in self.stack[depth:]:
             self.count[tag] -= 1
         del self.stack[depth:]
-        self.path, self.noisy, self.article = self.stack[-1][1:] if self.stack else (0, False, 0)
+        self.path, self.noisy, self.article, self.noise = self.stack[-1][1:] if self.stack else (0, False, 0, 0)
 
     def last(self, tag: str) -> int:
         """The depth of the innermost open element of a tag, or -1; only what a close then removes is looked at."""
@@ -107,9 +139,12 @@ class Open:
         return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag)
 
 
-def blocks(html: str) -> list[tuple[str, int, int, int]]:
-    """Text, number of its tag path, length of its link text, and its innermost marked article (0: none) of each candidate block in page order."""
-    out: list[tuple[str, int, int, int]] = []
+Block = tuple[str, int, int, int, int]
+
+
+def blocks(html: str) -> tuple[list[Block], list[float]]:
+    """Text, number of its tag path, length of its link text, its innermost marked article and its named noise (0: none) of each candidate block in page order; and the doubt of each noise."""
+    out: list[Block] = []
     held = Open()
     parts: list[str] = []
     links: list[str] = []
@@ -120,7 +155,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 linked = len(" ".join(entities.unescape("".join(links)).split()))
-                out.append((text, held.path, linked, held.article))
+                out.append((text, held.path, linked, held.article, held.noise))
             parts.clear()
         links.clear()
 
@@ -178,13 +213,13 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
             if not rest.endswith("/") or tag not in INLINE:
                 held.push(tag, rest)
     flush()
-    return out
+    return out, held.doubts
 
 
-def path_scores(found: list[tuple[str, int, int, int]]) -> dict[int, float]:
+def path_scores(found: list[Block]) -> dict[int, float]:
     """The fused, smoothed ratio of each path: text length and punctuation per block, less link text."""
     total: dict[int, list[float]] = {}
-    for text, path, linked, _ in found:
+    for text, path, linked, *_ in found:
         t = total.setdefault(path, [0, 0, 0, 0])
         for i, x in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), linked)):
             t[i] += x
@@ -198,10 +233,10 @@ def path_scores(found: list[tuple[str, int, int, int]]) -> dict[int, float]:
     return dict(zip(total, smooth))
 
 
-def stories(found: list[tuple[str, int, int, int]]) -> set[int]:
+def stories(found: list[Block]) -> set[int]:
     """The marked articles with the most unlinked text, or at least half as much."""
     size: dict[int, int] = {}
-    for text, _, linked, article in found:
+    for text, _, linked, article, _ in found:
         if article:
             size[article] = size.get(article, 0) + len(text) - linked
     return {k for k, n in size.items() if 2 * n >= max(size.values())}
@@ -210,17 +245,35 @@ def stories(found: list[tuple[str, int, int, int]]) -> set[int]:
 def main_text(html: str | None, threshold: float = 0.3) -> str:
     """The content blocks, two newlines apart; empty for a null or empty page.
 
-    A path is content if its score reaches ``threshold`` times the mean over all text; the page's marked article adds as
-    much to the scores of its blocks, and lesser ones take as much from theirs.
+    A path is content if its score, raised and lowered by what the page says of it, reaches ``threshold`` times the mean over all text that no noise is named for.
     """
-    found = blocks(html or "")
+    found, doubts = blocks(html or "")
     if not found:
         return ""
-    score, marked = path_scores(found), stories(found)
-    size = sum(len(b[0]) for b in found)
-    bar = threshold * sum(len(b[0]) * score[b[1]] for b in found) / size
-    mark = lambda article: 1 if article in marked else -1 if article else 0
-    return "\n\n".join(b[0] for b in found if score[b[1]] + bar * mark(b[3]) >= bar)
+    doubted = [0] * len(doubts)
+    for text, _, linked, _, noise in found:
+        doubted[noise] += len(text) - linked
+    size = max(1, sum(doubted))
+    # what a page names noise weighs less the more of the page it is, unless a marked article stands beside it
+    inside = {noise for *_, article, noise in found if article} if any(b[3] for b in found) else set(range(len(doubts)))
+    against = [max(0.0, d - WHOLE * max(0.0, 2 * n / size - 1)) if k in inside else d for k, (d, n) in enumerate(zip(doubts, doubted))]
+    plain = [b for b in found if against[b[4]] < NOISY] or found
+    apart = [b for b in found if against[b[4]] >= NOISY] if len(plain) < len(found) else []
+    score, marked = path_scores(plain) | (path_scores(apart) if apart else {}), stories(plain)
+    bar = threshold * sum(len(b[0]) * score[b[1]] for b in plain) / sum(len(b[0]) for b in plain)
+
+    listed = Counter(b[1] for b in found)
+
+    def stands(block: Block) -> bool:
+        ratio = score[block[1]] / bar if bar else 1.0
+        if ratio < LEAST and (block[3] not in marked or listed[block[1]] >= LIST):
+            return False
+        mark = MARK if block[3] in marked else -MARK if block[3] else 0.0
+        if against[block[4]] >= NOISY:
+            mark = min(mark, 0.0)  # a story's mark does not speak for the noise inside it
+        return math.log2(max(LEAST * 2, min(ratio, MOST))) + mark - against[block[4]] >= 0
+
+    return "\n\n".join(b[0] for b in found if stands(b))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
