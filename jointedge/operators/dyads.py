@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import leg_hits
-from .entities import Leg, by_season, leg_name
+from .entities import WORD, Leg, by_season, leg_name, mask_words
 from .moments import dot, pearson, phi
 from .weights import with_schemes
 
@@ -25,9 +24,14 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where("gid is not null and t is not null and p is not null and coalesce(bo, 0) <> 0 and trim(string(gid)) <> '' and trim(t) <> ''")
 
 
-def player_dyads(rows: DataFrame, stats: list[str]) -> DataFrame:
-    """season, t, p1, p2, slot1, slot2 and both players' stats (x_*, y_*) for every ordered pair of different rows of a lineup."""
-    group = usable(rows).groupBy("season", "gid", "t").agg(F.collect_list(F.struct("p", "bo", *stats)).alias("rows"))
+def player_dyads(rows: DataFrame, stats: list[str], legs: list[Leg] = ()) -> DataFrame:
+    """season, t, p1, p2, slot1, slot2 and both players' stats (x_*, y_*) for every ordered pair of different rows of a lineup.
+
+    With ``legs``, also which of them hold for each (x_mask0.., y_mask0..): found once a row, before rows are paired.
+    """
+    words = mask_words(legs)
+    stats = [*stats, *(f"mask{i}" for i in range(len(words)))]
+    group = usable(rows).select("*", *words).groupBy("season", "gid", "t").agg(F.collect_list(F.struct("p", "bo", *stats)).alias("rows"))
     one = group.select("season", "gid", "t", "rows", F.posexplode("rows").alias("i", "a"))
     two = one.select("season", "gid", "t", "i", "a", F.posexplode("rows").alias("j", "b")).where("i <> j")
     return two.select("season", "gid", "t", F.col("a.p").alias("p1"), F.col("b.p").alias("p2"), F.col("a.bo").alias("slot1"), F.col("b.bo").alias("slot2"), *(F.col(f"a.{s}").alias(f"x_{s}") for s in stats), *(F.col(f"b.{s}").alias(f"y_{s}") for s in stats))
@@ -42,8 +46,8 @@ def slot_sums(rows: DataFrame, stats: list[str]) -> DataFrame:
     return held.groupBy("season", "gid", "t", F.col("bo").alias("p"), F.col("bo")).agg(*(F.sum(s).alias(s) for s in stats))
 
 
-def slot_dyads(rows: DataFrame, stats: list[str]) -> DataFrame:
-    return player_dyads(slot_sums(rows, stats), stats)
+def slot_dyads(rows: DataFrame, stats: list[str], legs: list[Leg] = ()) -> DataFrame:
+    return player_dyads(slot_sums(rows, stats), stats, legs)
 
 
 def slot_pair_samples(dyads: DataFrame, seasons: list[int]) -> DataFrame:
@@ -58,32 +62,35 @@ def slot_samples(sums: DataFrame) -> DataFrame:
     return held.groupBy("season").agg(F.count_if(F.col("k") >= 2).alias("team_games"), F.sum(F.expr("k * (k - 1)")).alias("dyads"))
 
 
-def _parts(legs: list[Leg], combos: list[tuple[int, int]]) -> dict[str, Column]:
-    """The distinct sums that the combos are made of: combos share the sums of their legs and stats."""
-    hit = lambda side, k: leg_hits(F.col(f"{side}_{legs[k][2]}"), legs[k][0], legs[k][1])
-    raw = lambda side, s: F.coalesce(F.col(f"{side}_{s}"), F.lit(0)).cast("long")
+def _parts(legs: list[Leg], combos: list[tuple[int, int]]) -> dict[str, str]:
+    """The distinct sums that the combos are made of: combos share the sums of their legs and stats.
+
+    In SQL, as hundreds of expressions take seconds to put together column by column.
+    """
+    hit = lambda side, k: f"(shiftright({side}_mask{k // WORD}, {k % WORD}) & 1)"
+    raw = lambda side, s: f"CAST(coalesce({side}_{s}, 0) AS BIGINT)"
     out = {}
     for a, b in combos:
         s, t = legs[a][2], legs[b][2]
-        out |= {f"n1_{a}": hit("x", a), f"n2_{b}": hit("y", b), f"n11_{a}_{b}": hit("x", a) * hit("y", b)}
-        out |= {f"x_{s}": raw("x", s), f"y_{t}": raw("y", t), f"xx_{s}": raw("x", s) * raw("x", s), f"yy_{t}": raw("y", t) * raw("y", t), f"xy_{s}_{t}": raw("x", s) * raw("y", t)}
+        out |= {f"n1_{a}": hit("x", a), f"n2_{b}": hit("y", b), f"n11_{a}_{b}": f"{hit('x', a)} * {hit('y', b)}"}
+        out |= {f"x_{s}": raw("x", s), f"y_{t}": raw("y", t), f"xx_{s}": f"{raw('x', s)} * {raw('x', s)}", f"yy_{t}": f"{raw('y', t)} * {raw('y', t)}", f"xy_{s}_{t}": f"{raw('x', s)} * {raw('y', t)}"}
     return out
 
 
 def combo_aggregates(legs: list[Leg], combos: list[tuple[int, int]]) -> list[Column]:
     """The sums of all combos: a single pass over the dyads, whatever the number of combos."""
-    return [F.count("*").alias("n"), *(F.sum(v).alias(f"c_{k}") for k, v in _parts(legs, combos).items())]
+    return [F.expr("count(*) AS n"), *(F.expr(f"sum({v}) AS c_{k}") for k, v in _parts(legs, combos).items())]
 
 
 def long_combos(wide: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]]) -> DataFrame:
     """One row per combo, with its sums from those of its legs and stats."""
 
-    def sums(i: int, a: int, b: int) -> Column:
+    def sums(i: int, a: int, b: int) -> str:
         s, t = legs[a][2], legs[b][2]
         held = {"n1": f"n1_{a}", "n2": f"n2_{b}", "n11": f"n11_{a}_{b}", "x": f"x_{s}", "y": f"y_{t}", "xx": f"xx_{s}", "yy": f"yy_{t}", "xy": f"xy_{s}_{t}"}
-        return F.struct(F.lit(i).alias("idx"), *(F.col(f"c_{v}").alias(k) for k, v in held.items()))
+        return f"named_struct('idx', {i}, {', '.join(f"'{k}', c_{v}" for k, v in held.items())})"
 
-    return wide.select(*keys, "n", F.inline(F.array(*(sums(i, a, b) for i, (a, b) in enumerate(combos)))))
+    return wide.select(*keys, "n", F.expr(f"inline(array({', '.join(sums(i, a, b) for i, (a, b) in enumerate(combos))}))"))
 
 
 def season_moments(dyads: DataFrame, keys: list[str], legs: list[Leg], combos: list[tuple[int, int]]) -> DataFrame:

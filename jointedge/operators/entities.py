@@ -33,14 +33,14 @@ def leg_name(leg: Leg) -> str:
 WORD = 62  # bits of a mask's word
 
 
-def mask_words(legs: list[Leg]) -> list[Column]:
+def mask_words(legs: list[Leg], name: str = "mask") -> list[Column]:
     """One bit per event, in as many longs (mask0, mask1, ...) as the legs need."""
     out = []
     for word, first in enumerate(range(0, len(legs), WORD)):
         bits = F.lit(0).cast("long")
         for i, (direction, threshold, stat) in enumerate(legs[first : first + WORD]):
             bits = bits + leg_hits(F.col(stat), direction, threshold).cast("long") * (1 << i)
-        out.append(bits.alias(f"mask{word}"))
+        out.append(bits.alias(f"{name}{word}"))
     return out
 
 
@@ -112,20 +112,36 @@ def conditional(both: str, hit: str) -> Column:
     return percent(tenths(both), tenths(hit))
 
 
-def pair_report(counts: DataFrame, legs: list[Leg], raw: DataFrame, same_stat: bool = False) -> DataFrame:
-    """r, r_margin, hit1, hit2, both, given1 of each combo; same-stat combos and combos without any r are left out."""
-    stat = F.array(*(F.lit(x[2]) for x in legs))
-    name = F.array(*(F.lit(leg_name(x)) for x in legs))
-    at = lambda array, i: F.get(array, F.col(i))
-    x = counts.select("*", at(stat, "a").alias("st1"), at(stat, "b").alias("st2"), at(name, "a").alias("leg1"), at(name, "b").alias("leg2"))
+def pair_report(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]], stats: list[str], same_stat: bool = False) -> DataFrame:
+    """r, r_margin, hit1, hit2, both, given1 of each combo; same-stat combos and combos without any r are left out.
+
+    Rows are read and shuffled once: an entity's season is counted by mask together with the sums of each pair of stats, and both become slots that one
+    aggregation adds up. An entity's slots, as many as the spec has combos and pairs of stats, meet in one row for the margins.
+    """
     if not same_stat:
-        x = x.where("st1 <> st2")
-    margins = raw.select("season", "p", F.least("s1", "s2").alias("lo"), F.greatest("s1", "s2").alias("hi"), raw_r().alias("r_margin"))
-    x = x.withColumn("lo", F.least("st1", "st2")).withColumn("hi", F.greatest("st1", "st2")).join(margins, ["season", "p", "lo", "hi"], "left")
-    n, n1, n2, n11 = (F.col(k) for k in ("n", "n1", "n2", "n11"))
-    x = x.select("season", "p", "leg1", "leg2", "n", F.round(phi(n, n1, n2, n11), 4).alias("r"), "r_margin", percent(n1, n).alias("hit1"), percent(n2, n).alias("hit2"), percent(n11, n).alias("both"))
+        combos = [c for c in combos if legs[c[1]][2] != legs[c[2]][2]]
+    sides = list(combinations(stats, 2))
+    side_of = {frozenset(x): i for i, x in enumerate(sides)}
+    masked = rows.where("p is not null").groupBy("season", "p", *mask_words(legs)).agg(F.count("*").alias("cnt"), *(c for x, y in sides for c in pair_sums(F.col(x), F.col(y), f"{x}_{y}_")))
+    held = masked.select("season", "p", *[c for c in masked.columns if c.startswith("mask")], "cnt", *(F.array(*(F.col(f"{x}_{y}_{k}") for x, y in sides)).alias(f"all_{k}") for k in RAW_SUMS))
+    slots = with_numbers(held, ["slot", "a", "b"], [*((i, c[1], c[2]) for i, c in enumerate(combos)), *((len(combos) + i, -1, i) for i in range(len(sides)))])
+    h1, h2 = (F.when(F.col("a") >= 0, h) for h in _bits(held, "ab"))
+    x = slots.select("season", "p", "slot", "a", "b", "cnt", h1.alias("h1"), h2.alias("h2"), *(F.when(F.col("a") < 0, F.get(F.col(f"all_{k}"), F.col("b"))).alias(f"raw_{k}") for k in RAW_SUMS))
+    c = F.col("cnt")
+    counts = {"n": c, "x": c * F.col("h1"), "y": c * F.col("h2"), "xy": c * F.col("h1") * F.col("h2")}
+    sums = [F.sum(F.when(F.col("a") >= 0, counts[k]).otherwise(F.col(f"raw_{k}")) if k in counts else F.col(f"raw_{k}")).alias(k) for k in RAW_SUMS]
+    one = x.groupBy("season", "p", "slot", "a", "b").agg(*sums).groupBy("season", "p").agg(F.array_sort(F.collect_list(F.struct("slot", "a", "b", *RAW_SUMS))).alias("slots"))
+    margin = F.array(*(F.lit(len(combos) + side_of.get(frozenset((legs[x[1]][2], legs[x[2]][2])), len(sides))) for x in combos))
+    pairs = one.select("season", "p", "slots", F.inline(F.filter("slots", lambda s: s["a"] >= 0)))
+    raw = F.get(F.col("slots"), F.get(margin, F.col("slot")))
+    name = F.array(*(F.lit(leg_name(x)) for x in legs))
+    n, n1, n2, n11 = (F.col(k) for k in ("n", "x", "y", "xy"))
+    told = pairs.select(
+        "season", "p", F.get(name, F.col("a")).alias("leg1"), F.get(name, F.col("b")).alias("leg2"), "n", F.round(phi(n, n1, n2, n11), 4).alias("r"), F.round(pearson(*(raw[k] for k in RAW_SUMS)), 4).alias("r_margin"),
+        percent(n1, n).alias("hit1"), percent(n2, n).alias("hit2"), percent(n11, n).alias("both"),
+    )
     # the conditional comes from the rounded rates
-    return x.where(F.coalesce("r", "r_margin").isNotNull()).withColumn("given1", conditional("both", "hit1"))
+    return told.where(F.coalesce("r", "r_margin").isNotNull()).withColumn("given1", conditional("both", "hit1"))
 
 
 def mean_r(*names: str) -> Column:

@@ -97,7 +97,7 @@ def raw_correlations(spark, sf_dir):
 
 @query
 def entity_pairs(spark, sf_dir):
-    return entities.pair_report(_pair_counts(spark, sf_dir), ENTITY_LEGS, entities.raw_sums(starts(spark, sf_dir), STATS))
+    return entities.pair_report(starts(spark, sf_dir), ENTITY_LEGS, entities.combos_of(ENTITY_LEGS, 2), STATS)
 
 
 @query
@@ -124,7 +124,7 @@ def entity_seasons(spark, sf_dir):
 
 
 def _slot_moments(spark, sf_dir, keys):
-    return dyads.season_moments(dyads.slot_dyads(lineups(spark, sf_dir), LINEUP_STATS), keys, LINEUP_LEGS, LINEUP_COMBOS)
+    return dyads.season_moments(dyads.slot_dyads(lineups(spark, sf_dir), LINEUP_STATS, LINEUP_LEGS), keys, LINEUP_LEGS, LINEUP_COMBOS)
 
 
 @query
@@ -141,7 +141,7 @@ def combo_floors(spark, sf_dir):
 
 
 def _dyads(spark, sf_dir):
-    return dyads.player_dyads(lineups(spark, sf_dir), LINEUP_STATS)
+    return dyads.player_dyads(lineups(spark, sf_dir), LINEUP_STATS, LINEUP_LEGS)
 
 
 @query
