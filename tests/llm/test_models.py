@@ -71,6 +71,19 @@ def test_windows_come_from_the_automaton(spark, monkeypatch):
     assert {r.doc_id: len(r.text.split()) for r in substring.without_repeats(clash).collect()} == {1: 62, 2: 1, 3: 80}
     monkeypatch.setattr(substring, "_SHARD", 1)  # every shard is salted
     assert removed() == {1: 0, 2: 60, 3: 0}
+    # what the automaton does not find holds no window
+    texts, ids = ["a b " + passage, passage + " c"], np.array([1, 2])
+
+    def held():
+        shard = substring.Shard(50, 12)
+        phrases = passage.split()
+        shard.add([" ".join(phrases[i : i + 12]).encode() for i in range(len(phrases) - 11)])
+        list(shard.stream(ids, ids, texts))
+        return shard.held
+
+    assert held() == 13 + 12
+    monkeypatch.setattr(substring.Shard, "occurrences", lambda self, block: np.empty(0, np.int64))
+    assert held() == 0
 
 
 def test_a_large_benchmark_compiles_into_bounded_tables():
