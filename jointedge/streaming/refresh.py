@@ -103,8 +103,8 @@ class _Reuse(StatefulProcessor):
         self.kept = handle.getValueState("kept", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")  # a fingerprint's rows of one batch
-        times, good = asked["ts"].to_numpy("datetime64[us]").astype(np.int64), asked["ok"].to_numpy(bool)
+        asked = pd.concat(list(rows)).sort_values(["us", "request_id"], kind="stable")  # a fingerprint's rows of one batch
+        times, good = asked["us"].to_numpy(np.int64), asked["ok"].to_numpy(bool)
         since = np.full(times.size, -1, np.int64)
         held = self.kept.get()[0] if self.kept.exists() else None
         successes, at = np.flatnonzero(good), 0
@@ -143,7 +143,7 @@ def reused_requests(stream: DataFrame, life: str = "10 minutes", delay: str = "1
     Needs the RocksDB state store.
     """
     life_us = int(pd.Timedelta(life).total_seconds() * 1_000_000)
-    rows = stream.select("request_id", "ts", "fingerprint", F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", delay)
+    rows = stream.select("request_id", "ts", F.unix_micros("ts").alias("us"), "fingerprint", F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", delay)
     return rows.groupBy("fingerprint").transformWithStateInPandas(_Reuse(life_us), "request_id long, fingerprint string, cached boolean, age_s long", "Append", "EventTime")
 
 
