@@ -8,8 +8,8 @@ Many stretches of documents are scanned in lockstep as numpy lanes.
 
 Items are cut into stretches of at most about ``_STRETCH`` bytes, which overlap so that each window is in one, and dealt to
 groups of about ``group_bytes``. Each group is compiled once, in a task, into arrays of some eight times its size, in a file of the shared
-folder (a single group is broadcast). Documents are read once: a task takes some ``DOCUMENTS`` bytes of them at a time and passes these by the groups, of
-which it holds one. So a larger benchmark means more reading of patterns, and neither more passes over the corpus nor larger broadcasts.
+folder (a single group is broadcast). Documents are read once: a task takes some ``DOCUMENTS`` bytes of them at a time (a batch, if there is one group) and passes
+these by the groups, of which it holds one. So a larger benchmark means more reading of patterns, and neither more passes over the corpus nor larger broadcasts.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def _stretches(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.int64()), pa.array(words_, pa.binary())], names=["item_id", "part", "words"])
 
 
-DOCUMENTS = 64 << 20  # bytes of texts that a task passes by all groups at a time
+DOCUMENTS = 16 << 20  # bytes of texts that a task passes by all groups at a time, if there are several
 
 
 def _compile(batches: Iterator[pa.RecordBatch], window: int, folder: str) -> Iterator[pa.RecordBatch]:
@@ -239,13 +239,13 @@ def _read(folder: str, name: str) -> bytes:
         return held.read()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in runs of about ``DOCUMENTS`` bytes."""
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of about ``least`` bytes."""
     run, size = [], 0
     for batch in batches:
         run.append(batch)
         size += batch.nbytes
-        if size >= DOCUMENTS:
+        if size >= least:
             yield run
             run, size = [], 0
     if run:
@@ -257,12 +257,12 @@ def _searched(docs: DataFrame, groups: list[Callable[[], bytes]]) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = pickle.loads(groups[0]()) if len(groups) == 1 else None
-        for run in _runs(batches):
-            texts = [t for b in run for t in b.column(1).to_pylist()]
-            size, bits, names = [0] * len(texts), [None] * len(texts), [[] for _ in texts]
+        for run in _runs(batches, DOCUMENTS if len(groups) > 1 else 0):
+            count = sum(b.num_rows for b in run)
+            size, bits, names = [0] * count, [None] * count, [[] for _ in range(count)]
             for group in groups:
                 found = ready if ready is not None else pickle.loads(group())
-                for i, (n, hit, ids) in enumerate(scan(texts, found)):
+                for i, (n, hit, ids) in enumerate(scan((t.as_py() for b in run for t in b.column(1)), found)):
                     size[i] = n
                     if hit.any():
                         bits[i] = hit if bits[i] is None else bits[i] | hit
