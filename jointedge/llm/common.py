@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,16 @@ def spread_lookup(rows: DataFrame, keys: list[str], row: Column, side: DataFrame
     return out.select(*rows.columns, *(F.coalesce(F.col(f"__heavy.{v}"), F.col(f"__light.{v}")).alias(v) for v in values))
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes on what a task yields, and at its end gives back the memory that it has freed: a worker lives on and serves other stages beside it."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch, or none, per input batch."""
 
@@ -136,4 +147,4 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
             if (out := f(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(lambda batches: freed(each(batches)), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import delete, drop_saved, new_path, saved, until_end
+from .common import delete, drop_saved, freed, new_path, saved, until_end
 
 #: Lower-cases A-Z; what is not a digit, a-z or part of a non-ASCII character becomes a space.
 _LOWER = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -276,7 +276,7 @@ def _searched(docs: DataFrame, groups: list[Callable[[], bytes]]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size[part], pa.int64()), pa.array(hits, pa.int64()), ids, b.column(2)], names=["doc_id", "n_words", "n_hit", "item_ids", "row"])
 
     long, ids = T.LongType(), T.ArrayType(T.StringType())
-    return docs.mapInArrow(each, T.StructType([docs.schema["doc_id"], T.StructField("n_words", long), T.StructField("n_hit", long), T.StructField("item_ids", ids), docs.schema["row"]]))
+    return docs.mapInArrow(lambda batches: freed(each(batches)), T.StructType([docs.schema["doc_id"], T.StructField("n_words", long), T.StructField("n_hit", long), T.StructField("item_ids", ids), docs.schema["row"]]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, ratio: int = 20, group_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import as_id, drop_saved, fresh, from_id, map_batches, saved, spread_lookup
+from .common import as_id, drop_saved, freed, fresh, from_id, map_batches, saved, spread_lookup
 
 _NONE = hashlib.sha256(b"").hexdigest()
 _FLUSH = 1_000_000  # windows that a task holds before it settles them
@@ -249,7 +249,7 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
     routed = held.select("doc_id", "t", "text", F.explode("shards").alias("to"))
     routed = routed.select("to.shard", F.pmod(F.xxhash64("doc_id", "t"), F.col("to.salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "to.salts", "doc_id", "t", F.lit(None).cast("binary").alias("phrase"), "text")
     dealt = phrases.union(routed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
-    windows = saved(dealt.mapInArrow(lambda batches: _windows(batches, window, gram), "doc_id long, t long, pos int, run int, one long, two long, done boolean"), "windows")
+    windows = saved(dealt.mapInArrow(lambda batches: freed(_windows(batches, window, gram)), "doc_id long, t long, pos int, run int, one long, two long, done boolean"), "windows")
     later = windows.where("not done").withColumn("least", F.min("doc_id").over(Window.partitionBy("one", "two"))).where("least < doc_id")
     spans = windows.where("done").select("doc_id", "t", "pos", "run").union(later.select("doc_id", "t", "pos", "run")).groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "run")).alias("spans"))
     cut = map_batches(held.select("doc_id", "t", "text").join(spans, ["doc_id", "t"]).select("doc_id", "t", "text", "spans"), lambda b: _kept(b, window), "doc_id long, t long, n_removed long, kept_sha256 string, kept_text string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import held_out
+from .common import freed, held_out
 from .quality import labelled_rows
 
 BUCKETS = 1 << 17
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     named = F.broadcast(within.select(F.col("doc_id").alias("__chosen"), "y"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, F.col("doc_id") == F.col("__chosen"))
     # one task trains, as the sample is bounded; the driver gets half a megabyte of weights
-    found = rows.repartition(1).sortWithinPartitions("doc_id", "y", "text").select("text", "y").mapInArrow(_train_task, "weight binary, slope double, shift double, prior double").collect()
+    found = rows.repartition(1).sortWithinPartitions("doc_id", "y", "text").select("text", "y").mapInArrow(lambda batches: freed(_train_task(batches)), "weight binary, slope double, shift double, prior double").collect()
     if not found:
         return Model()
     weight = None if found[0].weight is None else np.frombuffer(found[0].weight, np.float32)
@@ -332,7 +332,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: freed(scored(batches)), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -350,4 +350,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
             score = shared.value.score(batch.column(at).to_pylist())
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lambda batches: freed(clean(batches)), docs.schema)
