@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.shrink import mean_of, shrunk_entity_r
 from ..functions.text import leg_hits
 from .moments import dot, pair_sums, pearson, percent, phi, rounded_ratio, weighted_pearson
-from .weights import normalised, with_numbers, with_schemes
+from .weights import normalised, with_numbers, with_rows, with_schemes
 
 Leg = tuple[str, float, str]
 
@@ -304,10 +304,11 @@ def shrunk_pairs(pooled: DataFrame, base: DataFrame) -> DataFrame:
 def shrunk_triples(shrunk: DataFrame, legs: list[Leg]) -> DataFrame:
     """Per entity and triple the mean of its three shrunk pair correlations that are there.
 
-    An entity's pairs (one per combo of the spec) become a map, in which the triples are looked up without a join.
+    An entity's pairs (one per combo of the spec) become a map, in which the triples are looked up without a join. Rows without an
+    entity have no triples.
     """
     key = lambda a, b: F.concat_ws("#", a, b)
-    held = shrunk.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct(key("leg1", "leg2").alias("pair"), "r"))).alias("held"))
+    held = shrunk.where("p is not null").groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct(key("leg1", "leg2").alias("pair"), "r"))).alias("held"))
     x = with_rows(held, ["leg1", "leg2", "leg3"], [tuple(leg_name(v) for v in c) for c in combinations(legs, 3)])
     r = [F.element_at("held", key(f"leg{i}", f"leg{j}")) for i, j in SIDES]
     return x.select("p", "leg1", "leg2", "leg3", mean_of(*r).alias("r"))
