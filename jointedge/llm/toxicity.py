@@ -33,6 +33,7 @@ PASSAGE, STRIDE = 6, 3  # words of a passage, and from one to the next
 ROUNDS, STEPS, RATE = 5, 50, 0.1
 PARTS = 2  # copies of each toxic passage that hold a random half of its n-grams
 DECAY = 1e-3
+GATHERED = 1 << 17  # places whose values a sum holds at once
 # Documented bounds: labelled documents that a fit takes at most, and bytes of their texts; of each half may be toxic.
 MAX_TRAINED, MAX_BYTES = 4000, 32 << 20
 MAX_TEXT = 1 << 20
@@ -133,26 +134,40 @@ class Model:
 
 
 class Ragged:
-    """Rows of unequal length over one array of members, with sums by row and, turned round, by member."""
+    """Rows of unequal length over one array of members, with sums by row and, turned round, by member.
+
+    Sums gather the values of some rows at a time, as those of all members together are many times the size of the rest.
+    """
 
     def __init__(self, members: np.ndarray, sizes: np.ndarray):
-        self.members, self.sizes = members, sizes
+        self.members, self.sizes = members.astype(np.int32), sizes
         self.starts = np.cumsum(sizes) - sizes
-        self.row = np.repeat(np.arange(sizes.size), sizes)
-        self.order = np.argsort(members, kind="stable")
-        kept = members[self.order]
+        order = np.argsort(self.members, kind="stable")
+        kept = self.members[order]
+        self.owners = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)[order]  # the rows that hold each member, member by member
         self.first = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]]))
         self.known = kept[self.first]
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[self.members], self.starts)
+        return _gathered(values, self.members, self.starts)
 
     def back(self, rows: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, rows.shape[1]), rows.dtype)
-        out[self.known] = np.add.reduceat(rows[self.row[self.order]], self.first)
+        out[self.known] = _gathered(rows, self.owners, self.first)
         return out
 
 
+def _gathered(values: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` at the places ``at`` from each of ``starts`` to the next, for as many sums at once as take about GATHERED places."""
+    out, low = np.empty((starts.size, *values.shape[1:]), values.dtype), 0
+    while low < starts.size:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + GATHERED)))
+        end = starts[high] if high < starts.size else at.size
+        out[low:high] = np.add.reduceat(values[at[starts[low] : end]], starts[low:high] - starts[low])
+        low = high
+    return out
+
+
 def _softmax_fit(e: np.ndarray, u: np.ndarray, c: np.ndarray, words: Ragged, held: Ragged, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adam on the weighted cross-entropy of softmax(mean of e over the bag @ u + c), all three trained together.
 
