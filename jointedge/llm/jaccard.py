@@ -6,10 +6,11 @@ gets a fixed number of keys, 32 bands of five minima of its hashed shingles: two
 probability of 3e-6, and texts with half of their shingles in common share a key in one of 32 bands.
 
 The texts of a key do not meet each other but one of them, another in each round: first any two, then the one with the most confirmed
-links, by which the copies of a text find it, then ``_FEW`` that are drawn. Keys whose texts are in one component by then are done with. The rest are
+links, by which the copies of a text find it. Keys whose texts are in one component by then are done with. The rest are
 compared in full across components: small keys by a join, larger ones in blocks of texts, a task's work each, in which the texts of the component that
-most texts of the key are in do not meet each other. Only pairs whose fingerprints are near leave a block, so a large group of copies costs its
-rows once for each block of the few that are still apart, and no link of a key is left out.
+most texts of the key are in do not meet each other. A block is compared twice, by fingerprints and then, with the texts that have a near one in it, by
+their shingles. Rows are texts and links between components and never the pairs of a block, whose number grows with the square of a group of
+texts that are alike but below the threshold; a large group costs its rows once for each block of those that are still apart, and no link of a key is left out.
 
 Candidates are pruned by fingerprints of 512 bits: chains of 64-bit segments whose cumulative differences stay within proportional
 budgets, then the full Hamming distance. Pairs at the threshold have 78 bits on average, with a deviation of 8; the distance is 116,
@@ -35,8 +36,8 @@ from .textbytes import mixed
 
 _PAIRS = 2000  # that a task compares
 BANDS, MINIMA = 32, 5
-_FEW = 16  # texts of a key that a join compares in full, and drawn partners that each of a larger key meets before its blocks do
-_BLOCK = 512  # texts of a key on either side of a block
+_FEW = 16  # texts of a key that a join compares in full
+_BLOCK, _BULK = 1024, 1 << 20  # texts of a key on either side of a block, and their shingles
 _DRAWN = np.random.default_rng(20240601).integers(0, 2**64, (2, BANDS * MINIMA), np.uint64)
 _SALTS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 LANES = 8  # of 64 bits each
@@ -164,39 +165,40 @@ def labels(texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     open_ = saved(_across(left.join(tried, ["a", "b"], "left_anti"), out), "open")
     edges.append(_confirmed(open_.select("a", "b"), texts, words, percent))
 
-    for turn in ("linked", "drawn", "full"):
+    for turn in ("linked", "full"):
         out = _merged(out, edges[-1])
         both = reduce(DataFrame.union, edges)
         degree = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
         named = filed.select("key", "node").join(out.join(degree, "node"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
         named = saved(named, "named")
         of = lambda order: F.max(F.struct(order.alias("order"), F.col("node").alias("met"), F.col("label").alias("met_label")))
-        orders = [F.xxhash64("node", F.lit(k)) for k in range(_FEW)] if turn == "drawn" else [F.col("degree")]
-        found = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*map(of, orders))).alias("picks")).where("low < high")
-        rows = saved(spread_lookup(named, ["key"], F.col("node"), saved(found, "found"), "n", ["n", "picks"]).where(F.col("n").isNotNull()), "rows")
+        found = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), of(F.col("degree")).alias("pick")).where("low < high")
+        rows = saved(spread_lookup(named, ["key"], F.col("node"), saved(found, "found"), "n", ["n", "pick"]).where(F.col("n").isNotNull()), "rows")
         if turn == "full":
             few = rows.where(F.col("n") <= _FEW).select("key", "node", "label")
             other = few.select("key", F.col("node").alias("met"), F.col("label").alias("met_label"))
             pairs = few.join(other, "key").where("node < met and label <> met_label").select("node", "met")
-            pairs = pairs.union(_apart(rows.where(F.col("n") > _FEW).select("key", "node", "label"), prints))
+            edges.append(_apart(rows.where(F.col("n") > _FEW).select("key", "node", "label"), prints, texts, words, percent))
         else:
-            pairs = rows.select("node", "label", F.inline("picks")).where("label <> met_label").select("node", "met")
+            pairs = rows.select("node", "label", "pick.*").where("label <> met_label").select("node", "met")
         fresh_ = saved(_paired(pairs).join(known, ["a", "b"], "left_anti"), "fresh")
         known = known.union(fresh_.select("a", "b"))
         edges.append(_confirmed(saved(_near(fresh_, prints).select("a", "b"), "near"), texts, words, percent))
-    return _merged(out, edges[-1])
+    return _merged(out, edges[-1].union(edges[-2]))
 
 
-def _apart(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """node and met for the near pairs of different labels among the texts of each key of ``rows`` (key, node, label).
+def _apart(rows: DataFrame, prints: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the labels of ``rows`` (key, node, label) as all pairs of a key's texts that reach the threshold do.
 
     A key's texts are dealt to blocks by hash: those of its most frequent label, which need not meet each other, and apart from
     them the rest, which meet all. Each pair of blocks is compared where it meets.
     """
-    counts = saved(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "counts")
-    most = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    dealt = lambda n: F.ceil(n / _BLOCK).cast("int")
-    most = saved(most.select("key", "n", F.col("most.label").alias("most"), dealt(F.col("n") - F.col("most.n")).alias("rest"), dealt(F.col("most.n")).alias("calm")), "most")
+    sized = rows.join(prints.select("node", "size"), "node")
+    counts = saved(sized.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bulk")), "counts")
+    most = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bulk").alias("bulk"), F.max(F.struct("n", "label", "bulk")).alias("most"))
+    dealt = lambda n, bulk: F.ceil(F.greatest(n / _BLOCK, bulk / _BULK)).cast("int")
+    rest, calm = dealt(F.col("n") - F.col("most.n"), F.col("bulk") - F.col("most.bulk")), dealt(F.col("most.n"), F.col("most.bulk"))
+    most = saved(most.select("key", "n", F.col("most.label").alias("most"), rest.alias("rest"), calm.alias("calm")), "most")
     held = spread_lookup(rows, ["key"], F.col("node"), most, "n", ["most", "rest", "calm"]).join(prints, "node")
     calm, rest = F.col("label") == F.col("most"), F.col("rest")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), n).cast("int")
@@ -205,22 +207,55 @@ def _apart(rows: DataFrame, prints: DataFrame) -> DataFrame:
     met = held.select("key", "at", F.explode(others).alias("with"), "node", "label", "size", "fp")
     met = met.select("key", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), (F.col("at") > F.col("with")).alias("far"), "node", "label", "size", "fp")
 
-    def each(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        far, node, label, size = (block.column(c).to_numpy() for c in ("far", "node", "label", "size"))
+    def sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of either side (the same where a block meets itself), nodes and labels."""
+        far, node, label, i, j = (block.column(c).to_numpy() for c in ("far", "node", "label", "i", "j"))
+        a = np.flatnonzero(~far)
+        return a, a if i[0] == j[0] else np.flatnonzero(far), node, np.array(label)
+
+    def near(block: pa.Table) -> pa.Table:
+        a, b, _, label = sides(block)
+        size, keep = block.column("size").to_numpy(), np.zeros(label.size, bool)
         fp = np.asarray(block.column("fp").combine_chunks().flatten()).view(np.uint64).reshape(-1, LANES)
-        a, b, one = np.flatnonzero(~far), np.flatnonzero(far), not far.any()
-        b = a if one else b  # a block meets itself
-        firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x in a:
-            y = b[(label[b] != label[x]) & ((node[b] > node[x]) | (not one))]
+            y = b[(label[b] != label[x]) & (100 * np.minimum(size[b], size[x]) >= percent * np.maximum(size[b], size[x]))]
             differ = np.bitwise_count(fp[y] ^ fp[x]).sum(axis=1, dtype=np.int64)
             y = y[differ <= np.where(np.minimum(size[y], size[x]) < TINY, TINY_DISTANCE, DISTANCE)]
-            firsts.append(np.full(y.size, node[x]))
-            seconds.append(node[y])
-        return pa.table({"node": np.concatenate(firsts), "met": np.concatenate(seconds)})
-
-    return met.groupBy("key", "i", "j").applyInArrow(each, "node long, met long")
+            keep[y] = True
+            keep[x] |= y.size > 0
+        return block.select(["key", "i", "j", "far", "node", "label"]).filter(pa.array(keep))
+
+    def linked(block: pa.Table) -> pa.Table:
+        a, b, node, label = sides(block)
+        held = block.column("held").combine_chunks()
+        vocabulary, flat = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        size = held.value_lengths().to_numpy()
+        parts, own = np.split(flat, np.cumsum(size)[:-1]), np.zeros(vocabulary.size, np.int64)
+        firsts, seconds = [], []
+        for x in a:
+            y = b[(label[b] != label[x]) & (100 * np.minimum(size[b], size[x]) >= percent * np.maximum(size[b], size[x]))]
+            if not y.size:
+                continue
+            own[parts[x]] = 1
+            both = np.add.reduceat(own[np.concatenate([parts[k] for k in y])], np.cumsum(size[y]) - size[y])
+            own[parts[x]] = 0
+            y = y[100 * both >= percent * (size[x] + size[y] - both)]
+            joined, at = np.unique(label[y], return_index=True)
+            firsts.extend([node[x]] * at.size)
+            seconds.extend(node[y[at]])
+            label[np.isin(label, joined)] = label[x]  # one link joins two labels
+        return pa.table({"a": pa.array(np.minimum(firsts, seconds), pa.int64()), "b": pa.array(np.maximum(firsts, seconds), pa.int64())})
+
+    where = "key long, i int, j int, far boolean, node long, label long"
+    met = saved(met.groupBy("key", "i", "j").applyInArrow(near, where), "near")
+    known = map_batches(met.select("node").distinct().join(texts, "node"), lambda batch: _held(batch, words), "node long, held array<long>")
+    met = met.join(saved(known, "held").hint("merge"), "node")
+    return saved(met.groupBy("key", "i", "j").applyInArrow(linked, "a long, b long").distinct(), "confirmed")
+
+
+def _held(texts: pa.RecordBatch, words: int) -> pa.RecordBatch:
+    held = [shingles(text.as_py(), words) for text in texts.column(1)]
+    return pa.RecordBatch.from_arrays([texts.column(0), pa.array(held, pa.list_(pa.int64()))], names=["node", "held"])
 
 
 def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:

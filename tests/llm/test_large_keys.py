@@ -23,3 +23,31 @@ def test_links_of_a_large_key_without_a_hub(spark, monkeypatch):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     got = [r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(got) == 71 and set(got) == brute_first(rows)
+
+
+def test_rows_do_not_grow_with_the_pairs_of_a_large_key(spark, monkeypatch):
+    """Copies of one text with too many changes to link are near in pairs; no table holds these pairs, and all links are found."""
+    counts, saved = {}, jaccard.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    monkeypatch.setattr(jaccard, "band_keys", lambda held: np.zeros(1, np.int64))
+    monkeypatch.setattr(jaccard, "_BLOCK", 64)
+    rng = random.Random(3)
+    base, texts = [f"v{i}" for i in range(150)], []
+    for i in range(240):
+        near = list(base)
+        for at in rng.sample(range(30), 1 if i % 4 == 0 else 4):
+            near[5 * at + rng.randrange(5)] = f"w{rng.randrange(10**6)}"
+        texts.append(near)
+    for near in texts[1:200:10]:  # links between texts that are not linked to the rest
+        texts.append([*near[:-1], "end"])
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = [r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_first(rows) and 100 < len(got) < 200
+    assert max(counts.values()) <= 8 * len(rows), counts
