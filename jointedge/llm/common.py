@@ -129,6 +129,19 @@ def spread_lookup(rows: DataFrame, keys: list[str], row: Column, side: DataFrame
     return out.select(*rows.columns, *(F.coalesce(F.col(f"__heavy.{v}"), F.col(f"__light.{v}")).alias(v) for v in values))
 
 
+def spread_join(rows: DataFrame, key: str, side: DataFrame, weight: str) -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key; ``weight`` counts the key's rows), for sides that few rows have a key in.
+
+    Keys with more than ``HEAVY_SHARE`` of the joined rows (at most 512, named in the plan) are joined apart by broadcast, so that rows without a key in ``side`` leave no join.
+    """
+    limit = max(1, int((side.agg(F.sum(weight)).first()[0] or 0) * HEAVY_SHARE))
+    heavy = [r[0] for r in side.where(F.col(weight) > limit).select(key).collect()]
+    if not heavy:
+        return rows.join(side, key)
+    hot = F.col(key).isin(heavy)
+    return rows.where(~hot).join(side.where(F.col(weight) <= limit), key).union(rows.where(hot).join(F.broadcast(side.where(F.col(weight) > limit)), key))
+
+
 def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passes on what a task yields, and at its end gives back the memory that it has freed: a worker lives on and serves other stages beside it."""
     try:

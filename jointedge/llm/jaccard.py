@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, fresh, map_batches, saved, spread_lookup
+from .common import as_id, fresh, map_batches, saved, spread_join, spread_lookup
 from .simhash import _SEED, components, ring_holds
 from .textbytes import mixed
 
@@ -151,8 +151,7 @@ def labels(texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     prints, keyed = outline.select("node", "fp", "size"), outline.select("node", F.explode("keys").alias("key"))
     any_ = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node"))
     groups = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), any_(0).alias("first"), any_(1).alias("second")).where("n > 1"), "groups")
-    filed = spread_lookup(keyed, ["key"], F.col("node"), groups.select("key", "n", F.col("first.node").alias("x"), F.col("second.node").alias("y")), "n", ["n", "x", "y"])
-    filed = saved(filed.where(F.col("n").isNotNull()), "filed")
+    filed = saved(spread_join(keyed, "key", groups.select("key", "n", F.col("first.node").alias("x"), F.col("second.node").alias("y")), "n"), "filed")
     left = saved(_near(saved(_paired(filed.select("node", F.explode(F.array("x", "y")).alias("met"))), "pairs"), prints), "near")
     edges, known = [], left.select("a", "b")
 
