@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 from jointedge.llm import jaccard
+from jointedge.llm.common import spread_join
+from pyspark.sql import functions as F
 from test_jaccard import brute_first
 
 
@@ -51,3 +53,13 @@ def test_rows_do_not_grow_with_the_pairs_of_a_large_key(spark, monkeypatch):
     got = [r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_first(rows) and 100 < len(got) < 200
     assert max(counts.values()) <= 8 * len(rows), counts
+
+
+def test_keys_of_many_rows_join_apart(spark):
+    """All rows of keys that repeat come with their values, whether or not some key is heavy."""
+    for crowd in (3, 2000):
+        keys = [k for k in range(700) for _ in range(1 + k % 2)] + [1] * crowd
+        rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, node long")
+        side = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("x")).where("n > 1")
+        got = {(r.key, r.node, r.n, r.x) for r in spread_join(rows, "key", side, "n").collect()}
+        assert got == {(k, i, keys.count(k), keys.index(k)) for i, k in enumerate(keys) if k % 2}
