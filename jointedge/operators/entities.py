@@ -83,6 +83,22 @@ def triple_counts(counted: DataFrame, combos: list[tuple[int, ...]]) -> DataFram
     )
 
 
+def season_counts(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]], named: str) -> DataFrame:
+    """season, idx, a, b, .. and n, n1, .., n12, .. of every season and combo over all rows with an entity.
+
+    Rows are counted by season and mask, however many entities there are, and each count meets each combo in a sum over the season: the legs'
+    thresholds bound the masks, and the combos bound the rows that leave a task.
+    """
+    counted = rows.where("p is not null").groupBy("season", *mask_words(legs)).agg(F.count("*").alias("cnt"))
+    words = F.array(*[c for c in counted.columns if c.startswith("mask")])
+    x = with_numbers(counted.select("season", "cnt", words.alias("words")), ["idx", *named], combos)
+    sets = [v for size in range(1, len(named) + 1) for v in combinations(range(len(named)), size)]
+    hit = [F.expr(f"shiftright(get(words, {k} div {WORD}), {k} % {WORD}) & 1L") for k in named]
+    x = x.select("season", "idx", *named, "cnt", *(h.alias(f"h{i}") for i, h in enumerate(hit)))
+    sums = [F.sum(reduce(lambda a, i: a * F.col(f"h{i}"), v, F.col("cnt"))).alias("n" + "".join(str(i + 1) for i in v)) for v in sets]
+    return x.groupBy("season", "idx", *named).agg(F.sum("cnt").alias("n"), *sums)
+
+
 def raw_sums(rows: DataFrame, stats: list[str]) -> DataFrame:
     """season, p, rows, s1, s2 and the sums of each pair of stats over rows that have both; one wide aggregation, then one row per pair."""
     pairs = list(combinations(stats, 2))
@@ -200,6 +216,16 @@ def global_triples(counts: DataFrame, legs: list[Leg]) -> DataFrame:
     return x.withColumn("avg_r", mean_r("r12", "r13", "r23")).withColumn("avg_ra", mean_r("r12a", "r13a", "r23a"))
 
 
+def season_triples(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]]) -> DataFrame:
+    """What ``global_triples`` tells of a season's rows, for specs of any size."""
+    name = F.array(*(F.lit(leg_name(x)) for x in legs))
+    g = season_counts(rows, legs, combos, "abc")
+    n = F.col("n")
+    r = [F.round(phi(n, F.col(f"n{i}"), F.col(f"n{j}"), F.col(f"n{i}{j}")), 4).alias(f"r{i}{j}") for i, j in SIDES]
+    none = F.expr("n - n1 - n2 - n3 + n12 + n13 + n23 - n123")
+    return g.select("season", *(F.get(name, F.col(k)).alias(f"leg{i}") for i, k in enumerate("abc", 1)), "n", *r, percent(F.col("n123"), n).alias("all3"), percent(none, n).alias("neither"))
+
+
 def by_season(df: DataFrame, keys: list[str], sums: list[str], seasons: list[int]) -> DataFrame:
     """One row per key with each sum of each season in a column of its own (name_0 .. name_3)."""
     return df.groupBy(*keys).agg(*(F.sum(F.when(F.col("season") == s, F.col(k))).alias(f"{k}_{i}") for k in sums for i, s in enumerate(seasons)))
