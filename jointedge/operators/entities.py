@@ -216,6 +216,18 @@ def global_triples(counts: DataFrame, legs: list[Leg]) -> DataFrame:
     return x.withColumn("avg_r", mean_r("r12", "r13", "r23")).withColumn("avg_ra", mean_r("r12a", "r13a", "r23a"))
 
 
+def season_pairs(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]]) -> DataFrame:
+    """What ``global_pairs`` tells of a season's rows, for specs of any size: nothing is kept by entity but which there are."""
+    name = F.array(*(F.lit(leg_name(x)) for x in legs))
+    known = rows.where("p is not null").select("season", "p").distinct().groupBy(F.col("season").alias("of")).agg(F.count("*").alias("entities"))
+    g = season_counts(rows, legs, combos, "ab").join(F.broadcast(known), F.col("season").eqNullSafe(F.col("of")), "left")  # a row a season
+    n, n1, n2, n11 = (F.col(k) for k in ("n", "n1", "n2", "n12"))
+    return g.select(
+        "season", F.get(name, F.col("a")).alias("leg1"), F.get(name, F.col("b")).alias("leg2"), "n", "entities", F.round(phi(n, n1, n2, n11), 4).alias("r"),
+        percent(n1, n).alias("hit1"), percent(n2, n).alias("hit2"), percent(n11, n).alias("both"),
+    )
+
+
 def season_triples(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]]) -> DataFrame:
     """What ``global_triples`` tells of a season's rows, for specs of any size."""
     name = F.array(*(F.lit(leg_name(x)) for x in legs))

@@ -61,3 +61,20 @@ def test_season_triples_against_loops(table, rows):
     got = [tuple(map(near, r)) for r in entities.season_triples(table, LEGS, combos).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 12
     assert entities.season_triples(table, LEGS, []).collect() == []
+
+
+def test_spec_pairs_keep_of_entities_only_their_number(spark, sf_dir):
+    plan = QUERIES["spec_pairs"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert all("p#" not in k or k.count("#") == 2 for k in re.findall(KEYS, plan))
+
+
+def test_season_pairs_against_loops(table, rows):
+    combos = [(0, 70, 3), (1, 30, 65), (2, 61, 62), (3, 5, 5)]
+    want = []
+    for season in {r[0] for r in rows}:
+        of = [r for r in rows if r[0] == season and r[1] is not None]
+        for _, a, b in combos:
+            n, k = len(of), [sum(holds(r, LEGS[a]) for r in of), sum(holds(r, LEGS[b]) for r in of), sum(holds(r, LEGS[a]) and holds(r, LEGS[b]) for r in of)]
+            want.append((season, entities.leg_name(LEGS[a]), entities.leg_name(LEGS[b]), n, len({r[1] for r in of}), r_of(n, *k), *(share(v, n) for v in k)))
+    got = [tuple(map(near, r)) for r in entities.season_pairs(table, LEGS, combos).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and None in {r[0] for r in got}
