@@ -1,8 +1,9 @@
 """Per-entity hit rates and correlations of threshold events, by season, over all entities, and pooled over seasons.
 
 Each row becomes one bit mask of the events that hold, and rows are counted by (season, entity, mask) before any combo is looked
-at: one shuffle with map-side counts. Combos are then sums over masks, so neither the number of combos nor of schemes
-touches the rows again.
+at, with map-side counts. An entity's masks then meet in one partition, where one aggregation makes the sums of all combos: only rows of
+masks are shuffled, and neither the number of combos nor of schemes touches them again. Where entities don't matter, rows are
+counted by (season, mask) alone.
 """
 
 from __future__ import annotations
@@ -31,19 +32,33 @@ def leg_name(leg: Leg) -> str:
 
 
 WORD = 62  # bits of a mask's word
+AT_ONCE = 64  # combos whose sums one aggregation makes
 
 
-def mask_words(legs: list[Leg], name: str = "mask") -> list[Column]:
-    """One bit per event, in as many longs (mask0, mask1, ...) as the legs need."""
+def _words(ones: list[Column], name: str) -> list[Column]:
+    """One bit per column of 0 or 1, in as many longs as they need."""
     out = []
-    for word, first in enumerate(range(0, len(legs), WORD)):
+    for word, first in enumerate(range(0, len(ones), WORD)):
         bits = F.lit(0).cast("long")
-        for i, (direction, threshold, stat) in enumerate(legs[first : first + WORD]):
-            bits = bits + leg_hits(F.col(stat), direction, threshold).cast("long") * (1 << i)
+        for i, one in enumerate(ones[first : first + WORD]):
+            bits = bits + one.cast("long") * (1 << i)
         out.append(bits.alias(f"{name}{word}"))
     return out
 
 
+def mask_words(legs: list[Leg], name: str = "mask") -> list[Column]:
+    """One bit per event, in as many longs (mask0, mask1, ...) as the legs need."""
+    return _words([leg_hits(F.col(stat), direction, threshold) for direction, threshold, stat in legs], name)
+
+
+def _all_set(bits: tuple[int, ...], name: str = "mask") -> str:
+    """SQL: whether all of the bits are set in the words."""
+    words: dict[int, int] = {}
+    for b in bits:
+        words[b // WORD] = words.get(b // WORD, 0) | 1 << b % WORD
+    return " AND ".join(f"{name}{w} & {v}L = {v}L" for w, v in words.items())
+
+
 def masks(rows: DataFrame, legs: list[Leg]) -> DataFrame:
     """season, p, mask0.., cnt: how many rows of an entity's season have exactly these events. Any number of legs."""
     return rows.where("p is not null").groupBy("season", "p", *mask_words(legs)).agg(F.count("*").alias("cnt"))
@@ -62,25 +77,39 @@ def _bits(counted: DataFrame, legs: str) -> list[Column]:
     return [F.call_function("shiftright", word(k), (F.col(k) % WORD).cast("int")).bitwiseAND(1).alias(f"h{i}") for i, k in enumerate(legs, 1)]
 
 
-def _unfolded(counted: DataFrame, combos: list[tuple[int, ...]], legs: str) -> DataFrame:
-    """Each count for each combo of a spec."""
-    names = ["idx", *legs]
-    return with_numbers(counted, names, combos).select("season", "p", *names, "cnt", *_bits(counted, legs))
+def _combo_counts(counted: DataFrame, combos: list[tuple[int, ...]], legs: str, more: dict[str, list[Column]] | None = None) -> DataFrame:
+    """season, p, idx, a, b, .. and n, n1, .., n12, .. of every entity's season and combo, and an array of each list of further sums.
+
+    An entity's masks, at most as many as its rows, meet in one partition. There one aggregation makes one row with the sum of each set of legs
+    that a combo asks for, and the combos look theirs up: no row of a combo is shuffled or hashed. A large spec takes its combos by shares.
+    """
+    held = counted.repartition("season", "p")
+    shares = [combos[i : i + AT_ONCE] for i in range(0, len(combos), AT_ONCE)] or [[]]
+    return reduce(DataFrame.union, [_counts_of(held, share, legs, more or {}) for share in shares])
+
+
+def _counts_of(held: DataFrame, combos: list[tuple[int, ...]], legs: str, more: dict[str, list[Column]]) -> DataFrame:
+    sets = [x for size in range(1, len(legs) + 1) for x in combinations(range(len(legs)), size)]
+    legs_of = lambda combo, x: tuple(sorted(combo[1 + i] for i in x))
+    asked = {size: sorted({legs_of(c, x) for c in combos for x in sets if len(x) == size}) for size in range(1, len(legs) + 1)}
+    place = {v: i for held_legs in asked.values() for i, v in enumerate(held_legs)}
+    sums = {f"of{size}": [F.expr(f"sum(if({_all_set(v)}, cnt, 0L))") for v in held_legs] for size, held_legs in asked.items()} | more
+    wide = held.groupBy("season", "p").agg(F.sum("cnt").alias("n"), *(c.alias(f"{k}_{i}") for k, cs in sums.items() for i, c in enumerate(cs)))
+    one = wide.select("season", "p", "n", *((F.array(*(f"{k}_{i}" for i in range(len(cs)))) if cs else F.array().cast("array<bigint>")).alias(k) for k, cs in sums.items()))
+    name = lambda x: "".join(str(i + 1) for i in x)
+    looked = with_numbers(one, ["idx", *legs, *(f"at{name(x)}" for x in sets)], [(*c, *(place[legs_of(c, x)] for x in sets)) for c in combos])
+    return looked.select("season", "p", "idx", *legs, "n", *(F.get(F.col(f"of{len(x)}"), F.col(f"at{name(x)}")).alias(f"n{name(x)}") for x in sets), *more)
 
 
 def pair_counts(counted: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
     """season, p, idx, a, b, n, n1, n2, n11 for every entity's season and combo."""
-    x, c = _unfolded(counted, combos, "ab"), F.col("cnt")
-    return x.groupBy("season", "p", "idx", "a", "b").agg(F.sum(c).alias("n"), F.sum(c * F.col("h1")).alias("n1"), F.sum(c * F.col("h2")).alias("n2"), F.sum(c * F.col("h1") * F.col("h2")).alias("n11"))
+    return _combo_counts(counted, combos, "ab").withColumnRenamed("n12", "n11")
 
 
 def triple_counts(counted: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
-    x, c = _unfolded(counted, combos, "abc"), F.col("cnt")
-    h = [F.col(f"h{i}") for i in (1, 2, 3)]
-    return x.groupBy("season", "p", "idx", "a", "b", "c").agg(
-        F.sum(c).alias("n"), *(F.sum(c * h[i]).alias(f"n{i + 1}") for i in range(3)), F.sum(c * h[0] * h[1]).alias("n12"), F.sum(c * h[0] * h[2]).alias("n13"), F.sum(c * h[1] * h[2]).alias("n23"),
-        F.sum(c * h[0] * h[1] * h[2]).alias("n123"), F.sum(c * (1 - h[0]) * (1 - h[1]) * (1 - h[2])).alias("n000"),
-    )
+    x = _combo_counts(counted, combos, "abc")
+    none = F.expr("n - n1 - n2 - n3 + n12 + n13 + n23 - n123")  # by inclusion and exclusion
+    return x.select("season", "p", "idx", "a", "b", "c", *TRIPLE_SUMS[:-1], none.alias("n000"))
 
 
 def season_counts(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]], named: str) -> DataFrame:
@@ -162,20 +191,23 @@ def pair_report(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]],
 
 def mean_r(*names: str) -> Column:
     """The mean of the correlations that are there; null without any."""
-    known = F.filter(F.array(*names), lambda v: v.isNotNull())
-    return F.round(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known)), 4)
+    total = reduce(lambda a, v: a + F.coalesce(F.col(v), F.lit(0.0)), names, F.lit(0.0))
+    return F.round(F.try_divide(total, reduce(lambda a, v: a + F.col(v).isNotNull().cast("int"), names, F.lit(0))), 4)
 
 
 def triple_report(counts: DataFrame, legs: list[Leg]) -> DataFrame:
-    """r12, r13, r23, their mean, hit1..3, all3 and none (counted) of each combo that has any r."""
+    """r12, r13, r23, their mean, hit1..3, all3 and none (counted) of each combo that has any r.
+
+    Correlations and shares leave generators, so that the filter and the mean don't repeat their arithmetic and each is compiled apart: as one
+    projection they are too large for the JVM to compile.
+    """
     name = F.array(*(F.lit(leg_name(x)) for x in legs))
-    c = {k: F.col(k) for k in ("n", "n1", "n2", "n3", "n12", "n13", "n23", "n123", "n000")}
-    r = {f"r{i}{j}": F.round(phi(c["n"], c[f"n{i}"], c[f"n{j}"], c[f"n{i}{j}"]), 4) for i, j in ((1, 2), (1, 3), (2, 3))}
-    x = counts.select(
-        "season", "p", *(F.get(name, F.col(k)).alias(f"leg{i}") for i, k in enumerate("abc", 1)), "n", *(v.alias(k) for k, v in r.items()),
-        *(percent(c[f"n{i}"], c["n"]).alias(f"hit{i}") for i in (1, 2, 3)), percent(c["n123"], c["n"]).alias("all3"), percent(c["n000"], c["n"]).alias("none3"),
-    )
-    return x.withColumn("avg_r", mean_r("r12", "r13", "r23")).where("coalesce(r12, r13, r23) is not null")
+    c = {k: F.col(k) for k in TRIPLE_SUMS}
+    once = lambda *columns: F.inline(F.array(F.struct(*columns)))
+    x = counts.select("*", once(*(F.round(phi(c["n"], c[f"n{i}"], c[f"n{j}"], c[f"n{i}{j}"]), 4).alias(f"r{i}{j}") for i, j in SIDES))).where("coalesce(r12, r13, r23) is not null")
+    told = {"hit1": "n1", "hit2": "n2", "hit3": "n3", "all3": "n123", "none3": "n000"}
+    x = x.select("*", once(*(percent(c[v], c["n"]).alias(k) for k, v in told.items())))
+    return x.select("season", "p", *(F.get(name, F.col(k)).alias(f"leg{i}") for i, k in enumerate("abc", 1)), "n", "r12", "r13", "r23", *told, mean_r("r12", "r13", "r23").alias("avg_r"))
 
 
 def global_pairs(counts: DataFrame, legs: list[Leg]) -> DataFrame:

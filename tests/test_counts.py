@@ -78,3 +78,25 @@ def test_season_pairs_against_loops(table, rows):
             want.append((season, entities.leg_name(LEGS[a]), entities.leg_name(LEGS[b]), n, len({r[1] for r in of}), r_of(n, *k), *(share(v, n) for v in k)))
     got = [tuple(map(near, r)) for r in entities.season_pairs(table, LEGS, combos).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and None in {r[0] for r in got}
+
+
+def test_entity_triples_shuffle_masks_and_no_combos(spark, sf_dir):
+    plan = QUERIES["entity_triples"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert all("idx#" not in k for k in re.findall(KEYS, plan))
+
+
+@pytest.mark.parametrize("at_once", [64, 2])
+def test_entity_triples_count_against_loops(table, rows, monkeypatch, at_once):
+    monkeypatch.setattr(entities, "AT_ONCE", at_once, raising=False)
+    combos = [(0, 70, 3, 30), (1, 30, 65, 1), (2, 61, 62, 63), (3, 5, 5, 40), (4, 0, 1, 2)]
+    want = []
+    for season, p in {r[:2] for r in rows if r[1] is not None}:
+        of = [r for r in rows if r[:2] == (season, p)]
+        for idx, *legs in combos:
+            hit = [[holds(r, LEGS[k]) for k in legs] for r in of]
+            sums = [sum(all(h[i] for i in v) for h in hit) for k in (1, 2, 3) for v in combinations(range(3), k)]
+            want.append((season, p, idx, *legs, len(of), *sums, sum(not any(h) for h in hit)))
+    counts = entities.triple_counts(entities.masks(table, LEGS), combos)
+    assert counts.columns == ["season", "p", "idx", "a", "b", "c", *entities.TRIPLE_SUMS]
+    assert sorted(map(tuple, counts.collect()), key=repr) == sorted(want, key=repr)
+    assert entities.triple_counts(entities.masks(table, LEGS), []).collect() == []
