@@ -100,3 +100,8 @@ def test_entity_triples_count_against_loops(table, rows, monkeypatch, at_once):
     assert counts.columns == ["season", "p", "idx", "a", "b", "c", *entities.TRIPLE_SUMS]
     assert sorted(map(tuple, counts.collect()), key=repr) == sorted(want, key=repr)
     assert entities.triple_counts(entities.masks(table, LEGS), []).collect() == []
+
+
+def test_global_triples_shuffle_no_combo_of_an_entity(spark, sf_dir):
+    plan = QUERIES["global_triples"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert all("p#" not in k or "a#" not in k for k in re.findall(KEYS, plan))
