@@ -70,13 +70,6 @@ def combos_of(legs: list[Leg], size: int, distinct_stats: bool = False) -> list[
     return [(i, *x) for i, x in enumerate(kept)]
 
 
-def _bits(counted: DataFrame, legs: str) -> list[Column]:
-    """h1, h2, ...: whether the events of the combo's legs hold, from the words of the mask."""
-    words = [c for c in counted.columns if c.startswith("mask")]
-    word = lambda leg: F.col(words[0]) if len(words) == 1 else F.get(F.array(*words), F.floor(F.col(leg) / WORD).cast("int"))
-    return [F.call_function("shiftright", word(k), (F.col(k) % WORD).cast("int")).bitwiseAND(1).alias(f"h{i}") for i, k in enumerate(legs, 1)]
-
-
 def _combo_counts(counted: DataFrame, combos: list[tuple[int, ...]], legs: str, more: dict[str, list[Column]] | None = None) -> DataFrame:
     """season, p, idx, a, b, .. and n, n1, .., n12, .. of every entity's season and combo, and an array of each list of further sums.
 
@@ -160,29 +153,23 @@ def conditional(both: str, hit: str) -> Column:
 def pair_report(rows: DataFrame, legs: list[Leg], combos: list[tuple[int, ...]], stats: list[str], same_stat: bool = False) -> DataFrame:
     """r, r_margin, hit1, hit2, both, given1 of each combo; same-stat combos and combos without any r are left out.
 
-    Rows are read and shuffled once: an entity's season is counted by mask together with the sums of each pair of stats, and both become slots that one
-    aggregation adds up. An entity's slots, as many as the spec has combos and pairs of stats, meet in one row for the margins.
+    Rows are read once: an entity's season is counted by mask and by which stats are there, together with the stats' sums, and its counts meet in
+    one partition, where one aggregation makes the sums of combos and of pairs of stats.
     """
-    if not same_stat:
-        combos = [c for c in combos if legs[c[1]][2] != legs[c[2]][2]]
-    sides = list(combinations(stats, 2))
-    side_of = {frozenset(x): i for i, x in enumerate(sides)}
-    masked = rows.where("p is not null").groupBy("season", "p", *mask_words(legs)).agg(F.count("*").alias("cnt"), *(c for x, y in sides for c in pair_sums(F.col(x), F.col(y), f"{x}_{y}_")))
-    held = masked.select("season", "p", *[c for c in masked.columns if c.startswith("mask")], "cnt", *(F.array(*(F.col(f"{x}_{y}_{k}") for x, y in sides)).alias(f"all_{k}") for k in RAW_SUMS))
-    slots = with_numbers(held, ["slot", "a", "b"], [*((i, c[1], c[2]) for i, c in enumerate(combos)), *((len(combos) + i, -1, i) for i in range(len(sides)))])
-    h1, h2 = (F.when(F.col("a") >= 0, h) for h in _bits(held, "ab"))
-    x = slots.select("season", "p", "slot", "a", "b", "cnt", h1.alias("h1"), h2.alias("h2"), *(F.when(F.col("a") < 0, F.get(F.col(f"all_{k}"), F.col("b"))).alias(f"raw_{k}") for k in RAW_SUMS))
-    c = F.col("cnt")
-    counts = {"n": c, "x": c * F.col("h1"), "y": c * F.col("h2"), "xy": c * F.col("h1") * F.col("h2")}
-    sums = [F.sum(F.when(F.col("a") >= 0, counts[k]).otherwise(F.col(f"raw_{k}")) if k in counts else F.col(f"raw_{k}")).alias(k) for k in RAW_SUMS]
-    one = x.groupBy("season", "p", "slot", "a", "b").agg(*sums).groupBy("season", "p").agg(F.array_sort(F.collect_list(F.struct("slot", "a", "b", *RAW_SUMS))).alias("slots"))
-    margin = F.array(*(F.lit(len(combos) + side_of.get(frozenset((legs[x[1]][2], legs[x[2]][2])), len(sides))) for x in combos))
-    pairs = one.select("season", "p", "slots", F.inline(F.filter("slots", lambda s: s["a"] >= 0)))
-    raw = F.get(F.col("slots"), F.get(margin, F.col("slot")))
+    combos = [(i, *c[1:]) for i, c in enumerate(c for c in combos if same_stat or legs[c[1]][2] != legs[c[2]][2])]
+    sides = list(combinations(range(len(stats)), 2))
+    side_of = {frozenset((stats[i], stats[j])): k for k, (i, j) in enumerate(sides)}
+    there = _words([F.col(s).isNotNull() for s in stats], "there")
+    parts = {**{f"x{i}": F.col(s) for i, s in enumerate(stats)}, **{f"x{i}_{j}": F.col(stats[i]) * F.col(stats[j]) for i in range(len(stats)) for j in range(i, len(stats))}}
+    counted = rows.where("p is not null").groupBy("season", "p", *mask_words(legs), *there).agg(F.count("*").alias("cnt"), *(F.sum(v).alias(k) for k, v in parts.items()))
+    of = {"n": "cnt", "x": "x{0}", "y": "x{1}", "xx": "x{0}_{0}", "yy": "x{1}_{1}", "xy": "x{0}_{1}"}
+    raw = {f"all_{k}": [F.expr(f"sum(if({_all_set(v, 'there')}, {of[k].format(*v)}, null))") for v in sides] for k in RAW_SUMS}
+    pairs = _combo_counts(counted, combos, "ab", raw)
+    margin = F.get(F.array(*(F.lit(side_of.get(frozenset((legs[x[1]][2], legs[x[2]][2])), len(sides))) for x in combos)), F.col("idx"))
     name = F.array(*(F.lit(leg_name(x)) for x in legs))
-    n, n1, n2, n11 = (F.col(k) for k in ("n", "x", "y", "xy"))
+    n, n1, n2, n11 = (F.col(k) for k in ("n", "n1", "n2", "n12"))
     told = pairs.select(
-        "season", "p", F.get(name, F.col("a")).alias("leg1"), F.get(name, F.col("b")).alias("leg2"), "n", F.round(phi(n, n1, n2, n11), 4).alias("r"), F.round(pearson(*(raw[k] for k in RAW_SUMS)), 4).alias("r_margin"),
+        "season", "p", F.get(name, F.col("a")).alias("leg1"), F.get(name, F.col("b")).alias("leg2"), "n", F.round(phi(n, n1, n2, n11), 4).alias("r"), F.round(pearson(*(F.get(F.col(f"all_{k}"), margin) for k in RAW_SUMS)), 4).alias("r_margin"),
         percent(n1, n).alias("hit1"), percent(n2, n).alias("hit2"), percent(n11, n).alias("both"),
     )
     # the conditional comes from the rounded rates

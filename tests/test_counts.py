@@ -105,3 +105,31 @@ def test_entity_triples_count_against_loops(table, rows, monkeypatch, at_once):
 def test_global_triples_shuffle_no_combo_of_an_entity(spark, sf_dir):
     plan = QUERIES["global_triples"](spark, sf_dir)._jdf.queryExecution().toString()
     assert all("p#" not in k or "a#" not in k for k in re.findall(KEYS, plan))
+
+
+def test_distinct_legs_shuffle_no_slot_of_an_entity(spark, sf_dir):
+    plan = QUERIES["distinct_legs"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert all("slot#" not in k and "idx#" not in k for k in re.findall(KEYS, plan))
+
+
+def test_pair_report_margins_take_rows_that_have_both(table, rows):
+    """Pairs against loops: the margin of two stats is over the rows of an entity's season that have both, whatever else they lack."""
+    legs, combos = [("Over", 5.5, "x"), ("Under", 7.5, "y"), ("Over", 3.5, "z"), ("Under", 4.5, "x")], [(7, 0, 1), (8, 2, 0), (9, 0, 3), (11, 3, 2)]
+
+    def pearson(of, a, b):
+        v = [(r[2 + STATS.index(a)], r[2 + STATS.index(b)]) for r in of]
+        v = [k for k in v if None not in k]
+        n, x, y, xx, yy, xy = len(v), *(sum(f(*k) for k in v) for f in (lambda a, b: a, lambda a, b: b, lambda a, b: a * a, lambda a, b: b * b, lambda a, b: a * b))
+        vx, vy = n * xx - x * x, n * yy - y * y
+        return round((n * xy - x * y) / (vx * vy) ** 0.5, 4) if n > 1 and vx > 0 and vy > 0 else None
+
+    want = {}
+    for season, p in {r[:2] for r in rows if r[1] is not None}:
+        of = [r for r in rows if r[:2] == (season, p)]
+        for _, a, b in combos:
+            k = [sum(holds(r, legs[v]) for r in of) for v in (a, b)]
+            told = (len(of), r_of(len(of), *k, sum(holds(r, legs[a]) and holds(r, legs[b]) for r in of)), pearson(of, legs[a][2], legs[b][2]))
+            if legs[a][2] != legs[b][2] and told[1:] != (None, None):
+                want[season, p, entities.leg_name(legs[a]), entities.leg_name(legs[b])] = told
+    got = {(r.season, r.p, r.leg1, r.leg2): (r.n, near(r.r), near(r.r_margin)) for r in entities.pair_report(table, legs, combos, STATS).collect()}
+    assert got == want and len(got) == 27
